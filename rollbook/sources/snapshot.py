@@ -1,0 +1,50 @@
+"""Tables stored as numbered snapshots.
+
+A result is written under a new path and counts only once Spark's commit has
+left its success marker, so a failed load changes nothing and no path is read
+and overwritten at once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+_PREFIX = "snapshot-"
+_MARKER = "_SUCCESS"
+
+
+def publish(
+    df: DataFrame, table_dir: str, number: int | None = None, partition_by: Sequence[str] = ()
+) -> str:
+    """Write ``df`` as the next (or the given) snapshot of a table; gives its path.
+
+    A given number that was published before is left as it is, so a repeated
+    batch changes nothing. Remains of a failed write are replaced.
+    """
+    spark = df.sparkSession
+    done = snapshot_numbers(spark, table_dir)
+    if number is None:
+        number = done[-1] + 1 if done else 0
+    path = f"{table_dir}/{_PREFIX}{number:012d}"
+    if number not in done:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return path
+
+
+def read_snapshot(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot, or the newest with a number below ``before``."""
+    done = [n for n in snapshot_numbers(spark, table_dir) if before is None or n < before]
+    if not done:
+        return None
+    return spark.read.parquet(f"{table_dir}/{_PREFIX}{done[-1]:012d}")
+
+
+def snapshot_numbers(spark: SparkSession, table_dir: str) -> list[int]:
+    """Numbers of the published snapshots, ascending."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{table_dir}/{_PREFIX}*/{_MARKER}")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    names = [f.getPath().getParent().getName() for f in files or []]
+    return sorted(int(n.removeprefix(_PREFIX)) for n in names)
