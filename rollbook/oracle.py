@@ -365,7 +365,7 @@ ORACLE: dict[str, str] = {
         SELECT CAST(l_orderkey AS VARCHAR) AS nama, CAST(NULL AS VARCHAR) AS kabupaten,
                CAST(NULL AS VARCHAR) AS instansi, 'a;b ' || l_returnflag AS jabatan,
                CAST(NULL AS VARCHAR) AS alamat, CAST(NULL AS VARCHAR) AS jenjang,
-               CASE WHEN l_linenumber > 2 THEN l_linestatus END AS peran, ';' AS sep
+               CASE WHEN l_linenumber > 2 THEN l_linestatus ELSE '' END AS peran, ';' AS sep
         FROM lineitem
     """,
     "header_rules": """

@@ -41,3 +41,23 @@ def rows_of_sql(connection, sql: str) -> tuple[list[str], Counter]:
     return sorted(columns), Counter(
         tuple((type(r[i]).__name__, _plain(r[i])) for i in order) for r in cursor.fetchall()
     )
+
+
+# DuckDB's name of each Spark type the queries return.
+SQL_TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+}
+
+
+def types_of(df) -> dict[str, str]:
+    return {f.name: SQL_TYPES[f.dataType.simpleString()] for f in df.schema.fields}
+
+
+def types_of_sql(connection, sql: str) -> dict[str, str]:
+    rows = connection.execute(f"DESCRIBE {sql}").fetchall()
+    return {r[0]: r[1] for r in rows}
