@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.change import Change
-from rollbook.plans import rank_in_group
+from rollbook.plans import hint_by_size, rank_in_group
 
 # Codes of one user per array; a user with more has several rows.
 CODES_PER_ROW = 1_000
@@ -48,7 +48,7 @@ def codes_per_user(
     owned = permission_codes(
         links, permissions, None, user, permission, permission_key, code
     ).filter(F.col("code").isNotNull())
-    if owned.groupBy(user).count().filter(F.col("count") > per_row).isEmpty():
+    if links.groupBy(user).count().filter(F.col("count") > per_row).isEmpty():
         placed = owned.withColumn("codes_no", F.lit(1).cast("long"))
     else:
         ranked = rank_in_group(owned, [user], [F.col("code").asc()], "_rank")
@@ -105,7 +105,8 @@ def replace_set(
     ``order_by`` stays. Status: ``applied``, ``untouched``, ``rejected`` or
     ``not_found``.
     """
-    known = users.select(F.col(user_key).alias(user), F.lit(True).alias("_known"))
+    hint = hint_by_size(requests.select(user, ids))
+    known = _known_users(users, user_key, requests, user, hint)
     repeated = F.size(F.array_distinct(ids)) < F.size(ids)
     status = (
         requests.join(known, user, "left")
@@ -120,7 +121,7 @@ def replace_set(
     )
     applied = status.filter("status = 'applied'")
     final = applied.groupBy(user).agg(F.max_by(F.col(ids), F.col(order_by)).alias(ids))
-    kept = links.join(final.select(user), user, "left_anti").select(*links.columns)
+    kept = links.join(hint(final.select(user)), user, "left_anti").select(*links.columns)
     added = final.select(user, F.explode(ids).alias(permission))
     added = added.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in links.schema.fields]
@@ -143,7 +144,8 @@ def assign_codes(
     Unknown codes are dropped and repeated ones count once; a request for an
     unknown user gives no links and the status ``not_found``.
     """
-    known = users.select(F.col(user_key).alias(user), F.lit(True).alias("_known"))
+    hint = hint_by_size(requests.select(user, codes))
+    known = _known_users(users, user_key, requests, user, hint)
     status = (
         requests.join(known, user, "left")
         .withColumn("status", F.when(F.col("_known"), "assigned").otherwise("not_found"))
@@ -159,3 +161,16 @@ def assign_codes(
     )
     links = asked.join(ids, "code").select(user, "permission_id").distinct()
     return links, status
+
+
+def _known_users(
+    users: DataFrame,
+    user_key: str,
+    requests: DataFrame,
+    user: str,
+    hint: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The requested users that exist, marked ``_known``."""
+    asked = hint(requests.select(user).distinct())
+    found = users.select(F.col(user_key).alias(user)).join(asked, user, "left_semi")
+    return hint(found.withColumn("_known", F.lit(True)))

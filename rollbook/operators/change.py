@@ -6,14 +6,14 @@ rows; ``sources.snapshot.publish`` stores a result under a new path.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import is_given, or_default
-from rollbook.plans import broadcast_if_small, number_rows, order_columns
+from rollbook.plans import hint_by_size, is_small, number_rows, order_columns
 from rollbook.plans.ordering import Term
 from rollbook.plans.sizing import BROADCAST_BYTES
 
@@ -93,7 +93,7 @@ def assign_keys(
     """
     if order_by is None:
         return rows.withColumn(key, F.monotonically_increasing_id() + F.lit(start + 1))
-    numbered = number_rows(rows, order_columns(order_by), "_nth")
+    numbered = number_rows(rows, order_columns(order_by), "_nth", unique=True)
     return numbered.withColumn(key, F.col("_nth") + F.lit(start + 1)).drop("_nth")
 
 
@@ -130,10 +130,10 @@ def upsert(
         *[F.col(c).alias(f"_new_{c}") for c in columns if c not in keys],
         F.lit(True).alias("_staged"),
     )
-    hinted, is_small = broadcast_if_small(batch, small)
-    if is_small:
-        known = F.broadcast(target.join(hinted.select(*keys), keys, "left_semi").select(*keys))
-        updated = _merged(target.join(hinted, keys, "left"), columns, keys, update_cols, None)
+    if is_small(staged.select(*columns), small):
+        batch = F.broadcast(batch)
+        known = F.broadcast(target.join(batch.select(*keys), keys, "left_semi").select(*keys))
+        updated = _merged(target.join(batch, keys, "left"), columns, keys, update_cols, None)
         inserted = fresh.join(known, keys, "left_anti").withColumn("_staged", F.lit(True))
         merged = updated.unionByName(inserted)
     else:
@@ -164,7 +164,8 @@ def update_by_key(
     last = changes.groupBy(key).agg(
         *[_last_given(c, given[c], order_by).alias(f"_new_{c}") for c in cols]
     )
-    joined = target.join(last, key, "left")
+    hint = hint_by_size(changes.select(key, *cols))
+    joined = target.join(hint(last), key, "left")
     touched = F.lit(False)
     for c in cols:
         touched = touched | F.col(f"_new_{c}").isNotNull()
@@ -183,7 +184,7 @@ def update_by_key(
     any_given = F.lit(False)
     for condition in given.values():
         any_given = any_given | condition
-    known = target.select(F.col(key), F.lit(True).alias("_known"))
+    known = _found(target, last, [key], hint)
     status = (
         changes.join(known, key, "left")
         .withColumn(
@@ -211,13 +212,13 @@ def insert_unique(
     else ``missing``, ``known`` or ``repeated``.
     """
     first = rows.groupBy(*keys).agg(F.min(order_by).alias("_first"))
-    known = target.select(*keys, F.lit(True).alias("_known")).distinct()
-    checks = first.join(known, list(keys), "left")
+    hint = hint_by_size(rows.select(*keys))
+    checks = first.join(_found(target, first, keys, hint).distinct(), list(keys), "left")
     missing = F.lit(False)
     for k in keys:
         missing = missing | ~is_given(F.col(k))
     status = (
-        rows.join(checks, list(keys), "left")
+        rows.join(hint(checks), list(keys), "left")
         .withColumn(
             "reason",
             F.when(missing, "missing")
@@ -241,20 +242,23 @@ def rename_unique(
     Names are checked against the table before the batch and against earlier
     requests. Status is ``updated``, ``duplicate``, ``missing`` or ``not_found``.
     """
-    names = target.select(F.col(col), F.col(key).alias("_holder"))
+    hint = hint_by_size(requests.select(key, col))
+    named = hint(requests.select(col).distinct())
+    holders = target.select(F.col(col), F.col(key).alias("_holder"))
+    holders = hint(holders.join(named, col, "left_semi"))
+    known = hint(_found(target, requests.select(key).distinct(), [key], hint))
     asked = requests.select(
         *requests.columns, F.struct(F.col(order_by), F.col(key)).alias("_claim")
     )
-    usable = asked.filter(is_given(F.col(col))).join(target.select(key), key, "left_semi")
+    usable = asked.filter(is_given(F.col(col))).join(known, key, "left_semi")
     first = usable.groupBy(col).agg(F.min("_claim")[key].alias("_claimant"))
-    known = target.select(F.col(key), F.lit(True).alias("_known"))
     taken = (F.col("_holder").isNotNull() & (F.col("_holder") != F.col(key))) | (
         F.col("_claimant") != F.col(key)
     )
     status = (
         asked.join(known, key, "left")
-        .join(names, col, "left")
-        .join(first, col, "left")
+        .join(holders, col, "left")
+        .join(hint(first), col, "left")
         .withColumn(
             "status",
             F.when(~is_given(F.col(col)), "missing")
@@ -269,6 +273,17 @@ def rename_unique(
     return Change(change.after, change.affected, status)
 
 
+def _found(
+    target: DataFrame,
+    wanted: DataFrame,
+    keys: Sequence[str],
+    hint: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The ``wanted`` keys that ``target`` has, marked ``_known``."""
+    reduced = target.select(*keys).join(hint(wanted.select(*keys)), list(keys), "left_semi")
+    return reduced.withColumn("_known", F.lit(True))
+
+
 def _merged(
     joined: DataFrame,
     columns: Sequence[str],

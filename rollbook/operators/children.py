@@ -116,5 +116,5 @@ def _page_of_each(
         window = Window.partitionBy(folded).orderBy(*columns)
         ranked = mine.withColumn("_rank", F.row_number().over(window))
     else:
-        ranked = rank_in_group(mine, [folded], columns, "_rank")
+        ranked = rank_in_group(mine, [folded], columns, "_rank", unique=True)
     return ranked.filter((F.col("_rank") > offset) & (F.col("_rank") <= last))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.change import Change
+from rollbook.plans import hint_by_size
 
 REQUEST = "request_id"
 
@@ -38,11 +39,8 @@ class Truncation:
 
 def delete_by_key(target: DataFrame, requests: DataFrame, keys: Sequence[str]) -> Change:
     """Rows whose key is requested; ``affected`` holds them."""
-    wanted = requests.select(*keys).distinct()
-    return Change(
-        target.join(wanted, list(keys), "left_anti").select(*target.columns),
-        target.join(wanted, list(keys), "left_semi").select(*target.columns),
-    )
+    wanted = requests.select(*keys)
+    return _split_by(target, hint_by_size(wanted)(wanted.distinct()), keys)
 
 
 def delete_scoped(
@@ -61,16 +59,18 @@ def delete_scoped(
     ``owners``, which ``target`` reaches by ``owner_link`` = (target column,
     owners column). Status: ``deleted`` or ``refused``.
     """
-    held = _owned_keys(target, key, owner, owners, owner_link)
+    hint = hint_by_size(requests.select(key))
+    asked = hint(requests.select(key).distinct())
+    held = _owned_keys(target.join(asked, key, "left_semi"), key, owner, owners, owner_link)
     mine = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
-    judged = requests.join(held, key, "left").withColumn(
+    judged = requests.join(hint(held), key, "left").withColumn(
         "_may",
         F.col("_found").isNotNull()
         & ((F.coalesce(F.col("role"), F.lit("")) == admin) | mine),
     )
     first = judged.filter("_may").groupBy(key).agg(F.min(REQUEST).alias("_first"))
     status = (
-        judged.join(first, key, "left")
+        judged.join(hint(first), key, "left")
         .withColumn(
             "status",
             F.when(F.col("_may") & (F.col(REQUEST) == F.col("_first")), "deleted").otherwise(
@@ -79,7 +79,7 @@ def delete_scoped(
         )
         .select(*requests.columns, "status")
     )
-    change = delete_by_key(target, first, [key])
+    change = _split_by(target, hint(first.select(key)), [key])
     return Change(change.after, change.affected, status)
 
 
@@ -98,20 +98,23 @@ def delete_group(
     group, others that of a parent they own. Status: ``deleted`` with the
     number of rows, ``already_empty`` or ``refused``.
     """
+    hint = hint_by_size(requests.select(fk))
+    asked = hint(requests.select(fk).distinct())
     held = parents.select(F.col(parent_key).alias(fk), F.col(owner).alias("_owner"))
+    held = hint(held.join(asked, fk, "left_semi"))
     mine = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
     judged = requests.join(held, fk, "left").withColumn(
         "_may", (F.coalesce(F.col("role"), F.lit("")) == admin) | mine
     )
     first = judged.filter("_may").groupBy(fk).agg(F.min(REQUEST).alias("_first"))
     sizes = (
-        target.join(first.select(fk), fk, "left_semi")
+        target.join(hint(first.select(fk)), fk, "left_semi")
         .groupBy(fk)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     hit = F.col("_rows").isNotNull() & (F.col(REQUEST) == F.col("_first"))
     status = (
-        judged.join(first.join(sizes, fk, "left"), fk, "left")
+        judged.join(hint(first.join(hint(sizes), fk, "left")), fk, "left")
         .withColumn(
             "status",
             F.when(~F.col("_may"), "refused").when(hit, "deleted").otherwise("already_empty"),
@@ -119,7 +122,7 @@ def delete_group(
         .withColumn("rows", F.when(F.col("status") == "deleted", F.col("_rows")).otherwise(0))
         .select(*requests.columns, "status", "rows")
     )
-    change = delete_by_key(target, first, [fk])
+    change = _split_by(target, hint(first.select(fk)), [fk])
     return Change(change.after, change.affected, status)
 
 
@@ -134,13 +137,17 @@ def delete_restricted(
 
     Status: ``refused`` (in use), ``deleted`` or ``not_found``.
     """
-    used = child.select(F.col(fk).alias(key)).distinct().withColumn("_used", F.lit(True))
-    known = target.select(F.col(key), F.lit(True).alias("_known"))
+    hint = hint_by_size(requests.select(key))
+    asked = hint(requests.select(key).distinct())
+    used = child.select(F.col(fk).alias(key)).join(asked, key, "left_semi").distinct()
+    used = hint(used.withColumn("_used", F.lit(True)))
+    known = target.select(key).join(asked, key, "left_semi")
+    known = hint(known.withColumn("_known", F.lit(True)))
     judged = requests.join(known, key, "left").join(used, key, "left")
     free = F.col("_known").isNotNull() & F.col("_used").isNull()
     first = judged.filter(free).groupBy(key).agg(F.min(REQUEST).alias("_first"))
     status = (
-        judged.join(first, key, "left")
+        judged.join(hint(first), key, "left")
         .withColumn(
             "status",
             F.when(F.col("_known").isNull(), "not_found")
@@ -150,7 +157,7 @@ def delete_restricted(
         )
         .select(*requests.columns, "status")
     )
-    change = delete_by_key(target, first, [key])
+    change = _split_by(target, hint(first.select(key)), [key])
     return Change(change.after, change.affected, status)
 
 
@@ -196,6 +203,14 @@ def truncate(
     return Truncation("deleted", after, dict.fromkeys(sorted(emptied), 1))
 
 
+def _split_by(target: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> Change:
+    """Rows of ``target`` without and with a wanted key; wanted keys are distinct."""
+    return Change(
+        target.join(wanted, list(keys), "left_anti").select(*target.columns),
+        target.join(wanted, list(keys), "left_semi").select(*target.columns),
+    )
+
+
 def _owned_keys(
     target: DataFrame,
     key: str,

@@ -141,7 +141,7 @@ def all_pages(
 ) -> DataFrame:
     """Every row with its ``page_no`` and ``position`` on the page, from 1."""
     _, size = page_args(None, limit)
-    numbered = number_rows(df, order_columns(order, key), "_ordinal")
+    numbered = number_rows(df, order_columns(order, key), "_ordinal", unique=True)
     return numbered.withColumns(
         {
             "page_no": F.floor(F.col("_ordinal") / F.lit(size)) + F.lit(1),
@@ -165,7 +165,7 @@ def _cut(df: DataFrame, columns: list[Column], number: int, size: int) -> DataFr
         return df.orderBy(*columns).offset(offset).limit(size)
     ordinal = F.col("_ordinal")
     return (
-        number_rows(df, columns, "_ordinal")
+        number_rows(df, columns, "_ordinal", unique=True)
         .filter((ordinal >= offset) & (ordinal < offset + size))
         .orderBy("_ordinal")
         .drop("_ordinal")

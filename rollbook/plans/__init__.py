@@ -2,11 +2,12 @@
 
 from rollbook.plans.ordering import order_columns
 from rollbook.plans.ranking import number_rows, rank_in_group, with_source_order
-from rollbook.plans.sizing import broadcast_if_small, measured_bytes
+from rollbook.plans.sizing import hint_by_size, is_small, measured_bytes
 from rollbook.plans.staging import stage, stage_path
 
 __all__ = [
-    "broadcast_if_small",
+    "hint_by_size",
+    "is_small",
     "measured_bytes",
     "number_rows",
     "order_columns",

@@ -21,6 +21,7 @@ LARGE_GROUP_ROWS = 1_000_000
 
 _TASK = "_task"
 _POSITION = "_position"
+_CONTENT = "_content"
 _TIE = "_tie"
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row in its low 33 bits
 
@@ -43,12 +44,15 @@ def with_source_order(df: DataFrame, out: str = "source_order") -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[Column] | None = None, out: str = "ordinal"
+    df: DataFrame,
+    order: Sequence[Column] | None = None,
+    out: str = "ordinal",
+    unique: bool = False,
 ) -> DataFrame:
     """Add ``out`` = 0, 1, 2, ... over the whole table.
 
     With ``order`` the rows are numbered in that order; without, in source order
-    and without a shuffle.
+    and without a shuffle. Say so if the order is ``unique``: it saves a sort.
     """
     if order is None:
         located = with_source_order(df, "_source")
@@ -64,7 +68,7 @@ def number_rows(
         )
         place = ["_file", "_block"]
     else:
-        rows = _placed(df, order)
+        rows = _placed(df, order, unique)
         place = [_TASK]
 
     # One short row per writing task or file block comes to the driver.
@@ -89,6 +93,7 @@ def rank_in_group(
     group: Sequence[str],
     order: Sequence[Column],
     out: str = "rank",
+    unique: bool = False,
     large: int = LARGE_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``out`` = 1, 2, 3, ... inside each group.
@@ -102,7 +107,7 @@ def rank_in_group(
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("long"))
 
-    rows = _placed(df, [*(F.col(g).asc_nulls_last() for g in group), *order])
+    rows = _placed(df, [*(F.col(g).asc_nulls_last() for g in group), *order], unique)
     runs = rows.groupBy(_TASK, *group).agg(
         F.count(F.lit(1)).alias("_run"), F.min(_POSITION).alias("_first")
     )
@@ -121,15 +126,23 @@ def rank_in_group(
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], rank.alias(out))
 
 
-def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def _placed(df: DataFrame, order: Sequence[Column], unique: bool) -> DataFrame:
     """``df`` written in order, with the task and position of every row."""
-    keys = [*order, F.col(_TIE).asc()]
+    keys = list(order)
+    if not unique:
+        # Equal rows must not meet in one range, so they get a further key. It
+        # is taken from sorted rows: a task that runs again gives the same keys
+        # even if its input arrives in another order.
+        content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        df = df.sortWithinPartitions(*keys, content).withColumns(
+            {_CONTENT: content, _TIE: F.monotonically_increasing_id()}
+        )
+        keys += [F.col(_CONTENT).asc(), F.col(_TIE).asc()]
     place = F.monotonically_increasing_id()
     return stage(
-        df.withColumn(_TIE, F.monotonically_increasing_id())
-        .repartitionByRange(*keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .drop(_TIE)
+        .drop(_CONTENT, _TIE)
         .withColumn(_POSITION, place)
         .withColumn(_TASK, F.shiftright(_POSITION, _POSITION_BITS).cast("int"))
         .withColumn(_POSITION, F.col(_POSITION).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))),

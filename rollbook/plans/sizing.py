@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,23 @@ def measured_bytes(df: DataFrame) -> int:
     return int(total or 0)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if it measures at most ``limit`` bytes."""
-    small = measured_bytes(df) <= limit
-    return (F.broadcast(df) if small else df), small
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` measures at most ``limit`` bytes."""
+    return measured_bytes(df) <= limit
+
+
+def hint_by_size(df: DataFrame, limit: int = BROADCAST_BYTES) -> Callable[[DataFrame], DataFrame]:
+    """A broadcast hint if ``df`` is small, else no hint.
+
+    For frames derived from ``df`` that have at most its rows and its columns,
+    such as its distinct keys: without the hint a join of a large table with
+    them would shuffle the table.
+    """
+    return F.broadcast if is_small(df, limit) else _as_is
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def _value_bytes(field: T.StructField) -> Column:

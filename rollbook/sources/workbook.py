@@ -112,7 +112,7 @@ def split_workbooks(rows: DataFrame, rows_per_part: int) -> DataFrame:
     sheet its first row is from.
     """
     ranked = rank_in_group(
-        rows, ["file"], [F.col("sheet_no").asc(), F.col("row_no").asc()], "_rank"
+        rows, ["file"], [F.col("sheet_no").asc(), F.col("row_no").asc()], "_rank", unique=True
     )
     before = F.col("_rank") - F.lit(1)
     placed = ranked.withColumns(

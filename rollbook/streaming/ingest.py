@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.operators.change import upsert
+from rollbook.plans import stage
 from rollbook.sources.csv import csv_reader, restore_empty
 from rollbook.sources.snapshot import publish, read_snapshot
 
@@ -52,7 +53,8 @@ def ingest_dir(
         target = read_snapshot(session, table_dir, before=number)
         if target is None:
             target = session.createDataFrame([], _without(staged.schema, _ORDER))
-        change = upsert(target, staged, keys, update_cols, [_ORDER])
+        parsed = stage(staged, "arrived")
+        change = upsert(target, parsed, keys, update_cols, [_ORDER])
         publish(change.after, table_dir, number)
 
     query = (
