@@ -6,6 +6,8 @@ lenient forms give null.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,12 @@ def leading_int(c: Column) -> Column:
     return _leading_digits(c).try_cast("bigint")
 
 
+def leading_int_of(value: object) -> int | None:
+    """``leading_int`` of one request value."""
+    match = re.match(_LEADING_DIGITS, "" if value is None else str(value))
+    return int(match.group(1)) if match else None
+
+
 def leading_number(c: Column) -> Column:
     """``leading_int`` as a double, for comparisons of any size."""
     return _leading_digits(c).try_cast("double")

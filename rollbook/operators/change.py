@@ -200,6 +200,14 @@ def update_by_key(
     )
 
 
+def update_all(target: DataFrame, values: Mapping[str, object]) -> Change:
+    """Set columns of every row."""
+    after = target.withColumns(
+        {c: F.lit(v).cast(target.schema[c].dataType) for c, v in values.items()}
+    )
+    return Change(after, after)
+
+
 def insert_unique(
     target: DataFrame,
     rows: DataFrame,

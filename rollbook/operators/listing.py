@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import JS_WHITESPACE
+from rollbook.functions.typed import leading_int_of
 from rollbook.plans import number_rows, order_columns
 from rollbook.plans.ordering import Term
 
@@ -150,6 +149,12 @@ def all_pages(
     ).drop("_ordinal")
 
 
+def single_value(df: DataFrame, column: str, default: str = "") -> DataFrame:
+    """One row: ``column`` of any one row, or ``default`` if it is null or there is none."""
+    one = df.select(column).limit(1).agg(F.first(column).alias(column))
+    return one.select(F.coalesce(F.col(column), F.lit(default)).alias(column))
+
+
 def ordered_array(rows: DataFrame) -> DataFrame:
     """One row whose ``data`` holds the rows of one ordered page as structs."""
     placed = rows.select(
@@ -183,9 +188,7 @@ def _summary(counted: DataFrame, number: int, size: int) -> DataFrame:
 
 
 def _positive(value: object, default: int, name: str) -> int:
-    text = "" if value is None else str(value)
-    match = re.match(r"[+-]?[0-9]+", text.lstrip(JS_WHITESPACE))
-    parsed = int(match.group()) if match else 0
+    parsed = leading_int_of(value) or default
     if parsed < 0:
         raise ValueError(f"{name} must not be negative, got {parsed}")
-    return parsed or default
+    return parsed

@@ -87,12 +87,29 @@ def rows_to_table(rows: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def rows_by_name(rows: DataFrame, allowed: Sequence[str], rule: str = "trim_lower") -> DataFrame:
-    """Allowed columns by header name, per file; a file without any is an error."""
+def rows_by_name(
+    rows: DataFrame,
+    allowed: Sequence[str],
+    rule: str = "trim_lower",
+    on_unknown: str = "fail",
+) -> DataFrame:
+    """Allowed columns by header name, per file; absent ones become null.
+
+    A file without any allowed column is an error, and so is an unknown column
+    unless ``on_unknown`` is ``"drop"``.
+    """
+    if on_unknown not in ("fail", "drop"):
+        raise ValueError("on_unknown must be 'fail' or 'drop'")
     names = F.transform("header", lambda h: header_column(h, rule))
     wanted = F.array(*[F.lit(a) for a in allowed])
-    checked = F.when(F.arrays_overlap("_names", wanted), F.col("_names")).otherwise(
-        F.raise_error(F.concat(F.lit("no allowed column in "), F.col("file")))
+    usable = F.arrays_overlap("_names", wanted)
+    if on_unknown == "fail":
+        usable = usable & (F.size(F.array_except("_names", wanted)) == 0)
+    checked = F.when(usable, F.col("_names")).otherwise(
+        F.raise_error(
+            F.concat(F.lit("columns not allowed in "), F.col("file"), F.lit(": "),
+                     F.array_join("_names", ", "))
+        )
     )
     place = rows.withColumn("_names", names).withColumn("_names", checked)
     return place.select(
