@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rollbook import tables
 from rollbook.functions.predicates import matches, search
-from rollbook.functions.text import blank_nulls, or_default, trim_all
+from rollbook.functions.text import blank_nulls, is_given, or_default, trim_all
 from rollbook.functions.typed import leading_int, leading_int_of, mixed_date, strict_int
 from rollbook.operators import access, change, delete, listing, stats, validate
 from rollbook.operators.change import Change
@@ -340,14 +340,13 @@ def update_users(
     ``requests`` has request_id, id, role and ids. A request with a role outside
     the domain or a repeated permission changes nothing at all.
     """
+    bad_role = is_given(F.col("role")) & ~F.col("role").isin(list(roles))
+    repeated = F.size(F.array_distinct("ids")) < F.size("ids")
     judged = validate.validate_rows(
-        requests.withColumn("_role", F.nullif("role", F.lit(""))),
-        [
-            validate.one_of("_role", roles),
-            validate.Rule("ids: repeated", F.size(F.array_distinct("ids")) < F.size("ids")),
-        ],
+        requests,
+        [validate.Rule("role: not allowed", bad_role), validate.Rule("ids: repeated", repeated)],
     )
-    good = judged.good.drop("_role")
+    good = judged.good
     changed = change.update_by_key(
         users, good, "id", ["role"], {"updated_at": now}, order_by="request_id"
     )

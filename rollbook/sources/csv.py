@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.functions.text import JS_WHITESPACE, header_name
+from rollbook.functions.text import header_name
 from rollbook.plans import with_source_order
 
 # Stands for a quoted empty field while Spark turns unquoted ones into null.
@@ -25,10 +25,11 @@ def load_positional(
 ) -> DataFrame:
     """Rows of CSV files whose fields bind to ``schema`` by position.
 
-    Header names are ignored. A row with too few or too many fields, or a value
-    of the wrong type, fails the whole load. An unquoted empty field is null, a
-    quoted one ''. ``multiline`` allows line breaks inside quotes but makes each
-    file one task; turn it off for large files without such breaks.
+    Header names are ignored. A row with too few or too many fields fails the
+    whole load, and so does a value of the wrong type in a column that is used.
+    An unquoted empty field is null, a quoted one ''. ``multiline`` allows line
+    breaks inside quotes but makes each file one task; turn it off for large
+    files without such breaks.
     ``source_order`` names a column to add that sorts rows as the files do.
     """
     rows = csv_reader(spark.read, schema, sep, multiline).csv(path)
@@ -104,7 +105,7 @@ def delimiter_of(line: str) -> str:
 def first_line(spark: SparkSession, path: str) -> str:
     """The first line of a file; '' if it has none."""
     row = spark.read.text(path).first()
-    return row["value"].rstrip(JS_WHITESPACE.replace("\t", "")) if row else ""
+    return row["value"].rstrip("\r\n") if row else ""
 
 
 def csv_reader(reader, schema: T.StructType, sep: str = ",", multiline: bool = True):
