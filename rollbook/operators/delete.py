@@ -6,7 +6,7 @@ be deleted by one request only and later ones find it gone.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,7 +61,8 @@ def delete_scoped(
     """
     hint = hint_by_size(requests.select(key))
     asked = hint(requests.select(key).distinct())
-    held = _owned_keys(target.join(asked, key, "left_semi"), key, owner, owners, owner_link)
+    found = target.join(asked, key, "left_semi")
+    held = _owned_keys(found, key, owner, owners, owner_link, hint)
     mine = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
     judged = requests.join(hint(held), key, "left").withColumn(
         "_may",
@@ -212,21 +213,22 @@ def _split_by(target: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> Chan
 
 
 def _owned_keys(
-    target: DataFrame,
+    found: DataFrame,
     key: str,
     owner: str,
     owners: DataFrame | None,
     owner_link: tuple[str, str] | None,
+    hint: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """key, _found and _owner for every row of ``target``."""
-    found = F.lit(True).alias("_found")
+    """key, _found and _owner of the ``found`` rows, which are as few as the requests."""
+    marker = F.lit(True).alias("_found")
     if owners is None:
-        return target.select(F.col(key), F.col(owner).alias("_owner"), found)
+        return found.select(F.col(key), F.col(owner).alias("_owner"), marker)
     link, owners_key = owner_link
+    linked = found.select(F.col(key), F.col(link).alias("_link"), marker)
     held = owners.select(F.col(owners_key).alias("_link"), F.col(owner).alias("_owner"))
-    return target.select(F.col(key), F.col(link).alias("_link"), found).join(
-        held, "_link", "left"
-    ).drop("_link")
+    held = held.join(hint(linked.select("_link").distinct()), "_link", "left_semi")
+    return linked.join(hint(held), "_link", "left").drop("_link")
 
 
 def _below(references: Sequence[Reference], name: str) -> list[str]:

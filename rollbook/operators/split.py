@@ -17,15 +17,18 @@ def split_parts(
     df: DataFrame,
     order_by: Sequence[Term] | None = None,
     rows_per_part: int = ROWS_PER_PART,
+    scanned: bool = False,
 ) -> DataFrame:
     """Every row with ``part`` and ``row_in_part``, both from 1.
 
     Rows count in the order of ``order_by``, or in source order if it is None.
+    ``scanned`` says that ``df`` is read from files without a shuffle, which
+    saves a sort.
     """
     columns = None if order_by is None else order_columns(order_by)
     ordinal = F.col("_ordinal")
     return (
-        number_rows(df, columns, "_ordinal")
+        number_rows(df, columns, "_ordinal", scanned=scanned)
         .withColumns(
             {
                 "part": F.floor(ordinal / F.lit(rows_per_part)) + F.lit(1),
@@ -41,13 +44,15 @@ def part_name(base: str, suffix: str = ".csv"):
     return F.concat(F.lit(f"{base}_part"), F.col("part").cast("string"), F.lit(suffix))
 
 
-def part_manifest(parts: DataFrame, base: str, suffix: str = ".csv") -> DataFrame:
-    """part, name and number of rows of every part."""
-    return (
-        parts.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("name", part_name(base, suffix))
-    )
+def part_manifest(
+    parts: DataFrame, base: str, suffix: str = ".csv", key: str | None = None
+) -> DataFrame:
+    """part, name and number of rows of every part, and its first and last ``key``."""
+    shown = [F.count(F.lit(1)).alias("n")]
+    if key:
+        shown.append(F.min_by(key, "row_in_part").alias("first_key"))
+        shown.append(F.max_by(key, "row_in_part").alias("last_key"))
+    return parts.groupBy("part").agg(*shown).withColumn("name", part_name(base, suffix))
 
 
 def write_parts(parts: DataFrame, path: str, base: str) -> None:

@@ -21,7 +21,6 @@ LARGE_GROUP_ROWS = 1_000_000
 
 _TASK = "_task"
 _POSITION = "_position"
-_CONTENT = "_content"
 _TIE = "_tie"
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row in its low 33 bits
 
@@ -48,44 +47,17 @@ def number_rows(
     order: Sequence[Column] | None = None,
     out: str = "ordinal",
     unique: bool = False,
+    scanned: bool = False,
 ) -> DataFrame:
     """Add ``out`` = 0, 1, 2, ... over the whole table.
 
     With ``order`` the rows are numbered in that order; without, in source order
-    and without a shuffle. Say so if the order is ``unique``: it saves a sort.
+    and without a shuffle. Say so if the order is ``unique`` or ``df`` is read
+    from files without a shuffle (``scanned``): either saves a sort.
     """
     if order is None:
-        located = with_source_order(df, "_source")
-        rows = stage(
-            located.withColumns(
-                {
-                    "_file": F.col("_source.file"),
-                    "_block": F.col("_source.block"),
-                    _POSITION: F.col("_source.row"),
-                }
-            ).drop("_source"),
-            "placed",
-        )
-        place = ["_file", "_block"]
-    else:
-        rows = _placed(df, order, unique)
-        place = [_TASK]
-
-    # One short row per writing task or file block comes to the driver.
-    runs = rows.groupBy(*place).agg(
-        F.count(F.lit(1)).alias("n"), F.min(_POSITION).alias("first")
-    )
-    starts, total = [], 0
-    for run in sorted(runs.collect(), key=lambda r: tuple(r[c] for c in place)):
-        starts.append((*(run[c] for c in place), total - run["first"]))
-        total += run["n"]
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in place)
-    shifts = df.sparkSession.createDataFrame(starts, f"{schema}, _shift long")
-    return (
-        rows.join(F.broadcast(shifts), place)
-        .withColumn(out, F.col(_POSITION) + F.col("_shift"))
-        .drop(*place, _POSITION, "_shift")
-    )
+        return _numbered_by_source(df, out)
+    return _shifted(_placed(df, order, unique or scanned, unique), [_TASK], out)
 
 
 def rank_in_group(
@@ -107,7 +79,7 @@ def rank_in_group(
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("long"))
 
-    rows = _placed(df, [*(F.col(g).asc_nulls_last() for g in group), *order], unique)
+    rows = _placed(df, [*(F.col(g).asc_nulls_last() for g in group), *order], unique, unique)
     runs = rows.groupBy(_TASK, *group).agg(
         F.count(F.lit(1)).alias("_run"), F.min(_POSITION).alias("_first")
     )
@@ -126,27 +98,62 @@ def rank_in_group(
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], rank.alias(out))
 
 
-def _placed(df: DataFrame, order: Sequence[Column], unique: bool) -> DataFrame:
+def _placed(
+    df: DataFrame, order: Sequence[Column], repeatable: bool, unique: bool
+) -> DataFrame:
     """``df`` written in order, with the task and position of every row."""
     keys = list(order)
     if not unique:
-        # Equal rows must not meet in one range, so they get a further key. It
-        # is taken from sorted rows: a task that runs again gives the same keys
-        # even if its input arrives in another order.
-        content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-        df = df.sortWithinPartitions(*keys, content).withColumns(
-            {_CONTENT: content, _TIE: F.monotonically_increasing_id()}
-        )
-        keys += [F.col(_CONTENT).asc(), F.col(_TIE).asc()]
+        # Equal rows must not meet in one range, so their place in the input is
+        # a further key. Unless it is ``repeatable``, the input is sorted first:
+        # a task that runs again must give its rows the same places.
+        if not repeatable:
+            df = df.sortWithinPartitions(*keys, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        df = df.withColumn(_TIE, F.monotonically_increasing_id())
+        keys.append(F.col(_TIE).asc())
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_TIE)
+    return stage(ordered.withColumns(_place()), "placed")
+
+
+def _place() -> dict[str, Column]:
     place = F.monotonically_increasing_id()
-    return stage(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .drop(_CONTENT, _TIE)
-        .withColumn(_POSITION, place)
-        .withColumn(_TASK, F.shiftright(_POSITION, _POSITION_BITS).cast("int"))
-        .withColumn(_POSITION, F.col(_POSITION).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))),
-        "placed",
+    return {
+        _TASK: F.shiftright(place, _POSITION_BITS).cast("int"),
+        _POSITION: place.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)),
+    }
+
+
+def _numbered_by_source(df: DataFrame, out: str) -> DataFrame:
+    located = with_source_order(df, "_source").withColumns(
+        {"_file": F.col("_source.file"), "_block": F.col("_source.block"), **_place()}
+    )
+    rows = stage(located.drop("_source"), "placed")
+    # The rows of a file block are read in one run by one task; if not, the
+    # frame was shuffled after its scan and has no source order but that of tasks.
+    blocks = rows.groupBy("_file", "_block").agg(
+        F.countDistinct(_TASK).alias("tasks"),
+        (F.max(_POSITION) - F.min(_POSITION) + F.lit(1) - F.count(F.lit(1))).alias("gaps"),
+    )
+    if blocks.filter("tasks > 1 OR gaps > 0").isEmpty():
+        return _shifted(rows.drop(_TASK), ["_file", "_block"], out)
+    return _shifted(rows.drop("_file", "_block"), [_TASK], out)
+
+
+def _shifted(rows: DataFrame, place: list[str], out: str) -> DataFrame:
+    """Positions within each task or file block turned into numbers.
+
+    One short row per task or block comes to the driver and goes back out.
+    """
+    runs = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min(_POSITION).alias("first"))
+    starts, total = [], 0
+    for run in sorted(runs.collect(), key=lambda r: tuple(r[c] for c in place)):
+        starts.append((*(run[c] for c in place), total - run["first"]))
+        total += run["n"]
+    columns = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in place)
+    shifts = rows.sparkSession.createDataFrame(starts, f"{columns}, _shift long")
+    numbered = rows.join(F.broadcast(shifts), place)
+    return numbered.withColumn(out, F.col(_POSITION) + F.col("_shift")).drop(
+        *[c for c in (_TASK, "_file", "_block", _POSITION, "_shift") if c in numbered.columns]
     )
 
 

@@ -525,7 +525,7 @@ def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"),
         F.concat(F.lit(" <"), "c_mktsegment", F.lit("> & ")).alias("segment"),
     )
-    files = workbook.workbook_parts(split.split_parts(people, ["c_custkey"], 400), "people")
+    files = workbook.workbook_parts(split.split_parts(people, ["c_custkey"], 400, scanned=True), "people")
     rows = workbook.parse_workbooks(files, rule="d")
     return rows.select(
         "file",
@@ -537,7 +537,7 @@ def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def workbook_table(spark: SparkSession, sf: str) -> DataFrame:
     people = _read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    files = workbook.workbook_parts(split.split_parts(people, ["s_name"], 70), "staff")
+    files = workbook.workbook_parts(split.split_parts(people, ["s_name"], 70, scanned=True), "staff")
     rows = workbook.parse_workbooks(files, rule="a")
     schema = T.StructType.fromDDL("id bigint, nama string, saldo double")
     return workbook.rows_to_table(rows, schema).drop("source_order")
@@ -810,23 +810,19 @@ def validate_bad(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    parts = split.split_parts(_read(spark, sf, "lineitem"), LINE_ORDER)
-    edges = parts.groupBy("part").agg(
-        F.min(F.struct("row_in_part", "l_orderkey"))["l_orderkey"].alias("first_key"),
-        F.max(F.struct("row_in_part", "l_orderkey"))["l_orderkey"].alias("last_key"),
-    )
-    return split.part_manifest(parts, "lines").join(edges, "part")
+    parts = split.split_parts(_read(spark, sf, "lineitem"), LINE_ORDER, scanned=True)
+    return split.part_manifest(parts, "lines", key="l_orderkey")
 
 
 def split_rows(spark: SparkSession, sf: str) -> DataFrame:
     documents = _read(spark, sf, "documents").select("doc_id", "lang")
-    return split.split_parts(documents, [("lang", "desc"), "doc_id"], 64)
+    return split.split_parts(documents, [("lang", "desc"), "doc_id"], 64, scanned=True)
 
 
 def split_files(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "parts")
     part = _read(spark, sf, "part").select("p_partkey", "p_name")
-    split.write_parts(split.split_parts(part, ["p_partkey"], 300), path, "parts")
+    split.write_parts(split.split_parts(part, ["p_partkey"], 300, scanned=True), path, "parts")
     return spark.read.option("header", True).schema("p_partkey bigint, p_name string, name string").csv(path)
 
 

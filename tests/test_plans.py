@@ -184,3 +184,18 @@ def test_stage_uses_the_shared_folder(spark):
     assert stage_path(spark, "x").startswith(folder)
     df = spark.range(10).withColumn("t", F.lit(None).cast("string"))
     assert rows(stage(df, "x")) == rows(df)
+
+
+def test_number_rows_of_a_shuffled_scan(spark, tmp_path):
+    spark.range(3000, numPartitions=3).write.parquet(str(tmp_path / "t"))
+    shuffled = spark.read.parquet(str(tmp_path / "t")).repartition(5)
+    numbered = number_rows(shuffled)
+    assert rows(numbered.select("ordinal")) == sorted(((i,) for i in range(3000)), key=str)
+
+
+@pytest.mark.parametrize("scanned", [True, False])
+def test_number_rows_with_ties(spark, scanned):
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), "id")
+    numbered = number_rows(df, [F.col("k").asc()], scanned=scanned).collect()
+    assert sorted(r["ordinal"] for r in numbered) == list(range(3000))
+    assert all(r["ordinal"] // 1000 == r["k"] for r in numbered)
