@@ -10,32 +10,34 @@ from pyspark.sql import types as T
 
 from rollbook.functions.text import header_name
 from rollbook.plans import with_source_order
+from rollbook.sources.records import has_spanning_records, largest_file, records
 
 # Stands for a quoted empty field while Spark turns unquoted ones into null.
 _QUOTED_EMPTY = "\x01\x02"
 
+# A file up to this size may be read by one task.
+ONE_TASK_BYTES = 256 * 1024 * 1024
+
 
 def load_positional(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType,
     sep: str = ",",
-    multiline: bool = True,
+    spanning: bool | None = None,
     source_order: str | None = None,
 ) -> DataFrame:
     """Rows of CSV files whose fields bind to ``schema`` by position.
 
     Header names are ignored. A row with too few or too many fields fails the
     whole load, and so does a value of the wrong type in a column that is used.
-    An unquoted empty field is null, a quoted one ''. ``multiline`` allows line
-    breaks inside quotes but makes each file one task; turn it off for large
-    files without such breaks.
-    ``source_order`` names a column to add that sorts rows as the files do.
+    An unquoted empty field is null, a quoted one ''. ``source_order`` names a
+    column to add that sorts rows as the files do.
+
+    ``spanning`` says whether quoted fields may hold line breaks; None finds
+    out. Files of any size are read by many tasks either way.
     """
-    rows = csv_reader(spark.read, schema, sep, multiline).csv(path)
-    if source_order:
-        rows = with_source_order(rows, source_order)
-    return restore_empty(rows)
+    return restore_empty(_rows(spark, path, schema, sep, spanning, source_order, None))
 
 
 def load_by_name(
@@ -44,7 +46,7 @@ def load_by_name(
     allowed: Sequence[str],
     on_unknown: str = "fail",
     sep: str | None = None,
-    multiline: bool = True,
+    spanning: bool | None = None,
     source_order: str | None = None,
 ) -> DataFrame:
     """Text columns of CSV files whose header names them, in any order and case.
@@ -52,6 +54,7 @@ def load_by_name(
     Allowed columns that are absent become null. A header without any allowed
     column is an error, and so is an unknown column unless ``on_unknown`` is
     ``"drop"``. With several files, every header must equal the first.
+    ``spanning`` and ``source_order`` are as in ``load_positional``.
     """
     if on_unknown not in ("fail", "drop"):
         raise ValueError("on_unknown must be 'fail' or 'drop'")
@@ -69,10 +72,7 @@ def load_by_name(
         raise ValueError(f"unknown columns in the header: {unknown}")
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in raw])
-    reader = csv_reader(spark.read, schema, sep, multiline).option("enforceSchema", False)
-    rows = reader.csv(path)
-    if source_order:
-        rows = with_source_order(rows, source_order)
+    rows = _rows(spark, path, schema, sep, spanning, source_order, first)
     extra = [source_order] if source_order else []
     positions = {n: i for i, n in enumerate(names)}
     rows = rows.toDF(*[f"_{i}" for i in range(len(names))], *extra)
@@ -108,23 +108,59 @@ def first_line(spark: SparkSession, path: str) -> str:
     return row["value"].rstrip("\r\n") if row else ""
 
 
-def csv_reader(reader, schema: T.StructType, sep: str = ",", multiline: bool = True):
-    """Options shared by batch and streaming reads."""
-    return (
-        reader.schema(schema)
-        .option("header", True)
-        .option("sep", sep)
-        .option("mode", "FAILFAST")
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("emptyValue", _QUOTED_EMPTY)
-        .option("columnPruning", False)
-    )
-
-
 def restore_empty(df: DataFrame) -> DataFrame:
     """Quoted empty fields as ''."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns(
         {c: F.when(F.col(c) == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(c)) for c in texts}
     )
+
+
+def _rows(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    sep: str,
+    spanning: bool | None,
+    source_order: str | None,
+    header: str | None,
+) -> DataFrame:
+    """Parsed rows; with ``header`` every file must have that first line."""
+    options = {
+        "sep": sep,
+        "mode": "FAILFAST",
+        "escape": '"',
+        "emptyValue": _QUOTED_EMPTY,
+        "columnPruning": "false",
+    }
+    whole = spanning is not False and largest_file(spark, path) <= ONE_TASK_BYTES
+    if not whole and spanning is None:
+        spanning = has_spanning_records(spark, path)
+    if not whole and spanning:
+        return _assembled(spark, path, schema, options, source_order, header)
+    rows = (
+        spark.read.schema(schema)
+        .options(**options, header=True, multiLine=whole, enforceSchema=header is None)
+        .csv(path)
+    )
+    return with_source_order(rows, source_order) if source_order else rows
+
+
+def _assembled(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    options: dict[str, str],
+    source_order: str | None,
+    header: str | None,
+) -> DataFrame:
+    headers, rest = records(spark, path)
+    if header is not None:
+        other = headers.filter(F.regexp_replace("text", "\\A\\x{FEFF}", "") != header.lstrip("\ufeff"))
+        if not other.isEmpty():
+            raise ValueError(f"a header differs from the first: {header}")
+    parsed = F.from_csv("text", schema.toDDL(), {**options, "multiLine": "true"})
+    rows = rest.select(parsed.alias("row"), "source_order")
+    fields = [F.col("row").getField(f.name).alias(f.name) for f in schema.fields]
+    order = [F.col("source_order").alias(source_order)] if source_order else []
+    return rows.select(*fields, *order)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.operators.change import upsert
 from rollbook.plans import stage
-from rollbook.sources.csv import csv_reader, restore_empty
+from rollbook.sources.csv import load_positional
 from rollbook.sources.snapshot import publish, read_snapshot
 
 _ORDER = "_source_order"
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ingest_dir(
@@ -30,30 +30,29 @@ def ingest_dir(
 ) -> DataFrame:
     """Upsert every new CSV file of ``in_dir`` into the table at ``table_dir``.
 
-    Runs until no new file is left and gives the table's newest snapshot. Each
-    batch publishes one snapshot under its batch number, so a batch that is
-    repeated after a failure changes nothing. Within a batch the first row per
-    key in source order wins.
+    Runs until no new file is left and gives the table's newest snapshot. A
+    batch is a list of arrived files, loaded as ``load_positional`` does; it
+    publishes one snapshot under its batch number, so a batch that is repeated
+    after a failure changes nothing. Within a batch the first row per key in
+    source order wins.
     """
-    reader = csv_reader(spark.readStream, schema, sep)
+    reader = spark.readStream.format("binaryFile").schema(_FILES)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arriving = reader.csv(in_dir).select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-    )
+    arriving = reader.load(in_dir).select("path")  # contents are not read here
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        place = F.struct("_file", "_block", F.monotonically_increasing_id().alias("row"))
-        staged = restore_empty(batch.withColumn(_ORDER, place).drop("_file", "_block"))
+        paths = [r["path"] for r in batch.collect()]
+        if not paths:
+            return
+        staged = load_positional(session, paths, schema, sep, source_order=_ORDER)
         if normalise:
             staged = normalise(staged)
+        parsed = stage(staged, "arrived")  # parsed once, though used several times
         target = read_snapshot(session, table_dir, before=number)
         if target is None:
-            target = session.createDataFrame([], _without(staged.schema, _ORDER))
-        parsed = stage(staged, "arrived")
+            target = session.createDataFrame([], _without(parsed.schema, _ORDER))
         change = upsert(target, parsed, keys, update_cols, [_ORDER])
         publish(change.after, table_dir, number)
 

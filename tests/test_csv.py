@@ -13,23 +13,35 @@ COLUMNS = T.StructType(
 )
 
 
+READS = ["whole", "split", "assembled"]
+
+
+@pytest.fixture(params=READS)
+def reading(request, monkeypatch):
+    """Each way a file may be read."""
+    if request.param != "whole":
+        monkeypatch.setattr(csv, "ONE_TASK_BYTES", 0)
+    return {"whole": None, "split": False, "assembled": True}[request.param]
+
+
 def write(tmp_path, text, name="f.csv"):
     path = tmp_path / name
     path.write_bytes(text.encode("utf-8"))
     return str(path)
 
 
-def test_positional_ignores_header_names(spark, tmp_path):
+@pytest.mark.parametrize("bound", [0, csv.ONE_TASK_BYTES])
+def test_positional_ignores_header_names(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(csv, "ONE_TASK_BYTES", bound)
     path = write(tmp_path, '﻿x,"y, z",w\r\n1,"",7\r\n,"q ""r"", s\nt",\r\n u ,v,-1\r\n')
     loaded = csv.load_positional(spark, path, COLUMNS)
     assert rows(loaded) == [(" u ", "v", -1), ("1", "", 7), (None, 'q "r", s\nt', None)]
 
 
 @pytest.mark.parametrize("line", ["1,2", "1,2,3,4", "1,2,x"])
-@pytest.mark.parametrize("multiline", [True, False])
-def test_positional_fails_whole(spark, tmp_path, line, multiline):
+def test_positional_fails_whole(spark, tmp_path, line, reading):
     path = write(tmp_path, f"a,b,n\nok,ok,1\n{line}\n")
-    loaded = csv.load_positional(spark, path, COLUMNS, multiline=multiline)
+    loaded = csv.load_positional(spark, path, COLUMNS, spanning=reading)
     with pytest.raises(Exception, match="MALFORMED"):
         loaded.collect()
     if not line.endswith("x"):
@@ -37,10 +49,10 @@ def test_positional_fails_whole(spark, tmp_path, line, multiline):
             loaded.select("a").collect()
 
 
-def test_positional_source_order(spark, tmp_path):
+def test_positional_source_order(spark, tmp_path, reading):
     write(tmp_path, "a,b,n\nz,z,1\ny,y,2\n", "1.csv")
     write(tmp_path, "a,b,n\nb,b,3\na,a,4\n" + "c,c,5\n" * 50, "2.csv")
-    loaded = csv.load_positional(spark, str(tmp_path), COLUMNS, source_order="o")
+    loaded = csv.load_positional(spark, str(tmp_path), COLUMNS, spanning=reading, source_order="o")
     assert [r["n"] for r in loaded.orderBy("o").collect()] == [1, 2, 3, 4] + [5] * 50
 
 
@@ -55,9 +67,9 @@ ALLOWED = ["nama", "kabupaten", "peran"]
 
 
 @pytest.mark.parametrize("sep", [";", "\t", ","])
-def test_by_name(spark, tmp_path, sep):
+def test_by_name(spark, tmp_path, sep, reading):
     text = f'﻿"PERAN"{sep} Nama \r\n"x"{sep}\r\n""{sep}"A{sep} B"\r\n'
-    loaded = csv.load_by_name(spark, write(tmp_path, text), ALLOWED)
+    loaded = csv.load_by_name(spark, write(tmp_path, text), ALLOWED, spanning=reading)
     assert loaded.columns == ALLOWED
     assert rows(loaded) == [("A" + sep + " B", None, ""), (None, None, "x")]
 
@@ -78,14 +90,50 @@ def test_by_name_bad_header(spark, tmp_path, header, message):
         csv.load_by_name(spark, write(tmp_path, header + "\n1,2\n"), ALLOWED)
 
 
-def test_by_name_headers_must_agree(spark, tmp_path):
+def test_by_name_headers_must_agree(spark, tmp_path, reading):
     write(tmp_path, "nama,peran\na,b\n", "1.csv")
     write(tmp_path, "peran,nama\nb,a\n", "2.csv")
     with pytest.raises(Exception, match="header"):
-        csv.load_by_name(spark, str(tmp_path), ALLOWED).collect()
+        csv.load_by_name(spark, str(tmp_path), ALLOWED, spanning=reading).collect()
 
 
 def test_by_name_short_row_fails(spark, tmp_path):
     path = write(tmp_path, "nama,peran\na\n")
     with pytest.raises(Exception, match="MALFORMED"):
         csv.load_by_name(spark, path, ALLOWED).collect()
+
+
+@pytest.mark.parametrize("spanning", [None, True])
+def test_records_over_many_blocks(spark, conf, tmp_path, monkeypatch, spanning):
+    """Records that span lines, and blocks, of files that many tasks read."""
+    conf(files__maxPartitionBytes=2000, files__openCostInBytes=1)
+    monkeypatch.setattr(csv, "ONE_TASK_BYTES", 1000)
+    expected = []
+    for file in range(3):
+        lines = ["h1,h2,h3"]
+        for i in range(300):
+            key = file * 1000 + i
+            text = f"t{i}" if i % 3 else 'a ""q"", ' + "line\r\n" * (i % 50) + '""'
+            lines.append(f'{key},"{text}",{i}')
+            expected.append((str(key), text.replace('""', '"'), i))
+        (tmp_path / f"{file}.csv").write_bytes("\r\n".join(lines).encode() + b"\r\n")
+    loaded = csv.load_positional(
+        spark, str(tmp_path), COLUMNS, spanning=spanning, source_order="o"
+    )
+    assert [tuple(r)[:3] for r in loaded.orderBy("o").collect()] == expected
+
+
+def test_unterminated_quote_fails(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv, "ONE_TASK_BYTES", 0)
+    path = write(tmp_path, 'a,b,n\n1,"x,2\n3,y,4\n')
+    with pytest.raises(Exception, match="unterminated"):
+        csv.load_positional(spark, path, COLUMNS).collect()
+
+
+def test_large_files_without_breaks_are_split(spark, conf, tmp_path, monkeypatch):
+    conf(files__maxPartitionBytes=2000, files__openCostInBytes=1)
+    monkeypatch.setattr(csv, "ONE_TASK_BYTES", 1000)
+    path = write(tmp_path, "a,b,n\n" + '"x",y,1\n' * 2000)
+    loaded = csv.load_positional(spark, path, COLUMNS)
+    assert loaded.count() == 2000
+    assert loaded.rdd.getNumPartitions() > 3
