@@ -390,6 +390,17 @@ ORACLE: dict[str, str] = {
                  || '| <' || c_mktsegment || '> & ' AS cells
         FROM numbered
     """,
+    "split_workbook": """
+        WITH numbered AS (
+          SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer
+        )
+        SELECT 'people_part' || CAST(n // 500 + 1 AS VARCHAR) || '_part'
+                 || CAST(n % 500 // 200 + 1 AS VARCHAR) || '.xlsx' AS file,
+               CAST(n % 500 % 200 + 2 AS BIGINT) AS row_no,
+               CAST(c_custkey AS VARCHAR) || '|' || c_name || '|' || CAST(c_nationkey AS VARCHAR) AS cells,
+               'true|false|true' AS numeric
+        FROM numbered
+    """,
     "workbook_table": "SELECT s_suppkey AS id, s_name AS nama, s_acctbal AS saldo FROM supplier",
     "ingest_dir": f"""
         WITH known AS (
@@ -555,6 +566,32 @@ ORACLE: dict[str, str] = {
                     ELSE 'updated' END AS status
         FROM requests r LEFT JOIN claims c ON c.nama_tim = r.nama_tim
     """,
+    "create_users": """
+        WITH requests AS (
+          SELECT p_partkey AS request_id, p_name AS nama, p_size,
+                 'Supplier#' || lpad(CAST(p_partkey // 3 AS VARCHAR), 9, '0') AS nip
+          FROM part
+        ),
+        judged AS (
+          SELECT *, CASE WHEN p_size = 7 THEN 'role: not allowed'
+                         WHEN nip IN (SELECT s_name FROM supplier) THEN 'known'
+                         WHEN request_id > min(request_id) FILTER (WHERE p_size <> 7)
+                                             OVER (PARTITION BY nip) THEN 'repeated'
+                         ELSE '' END AS reason
+          FROM requests
+        ),
+        made AS (
+          SELECT *, (SELECT max(s_suppkey) FROM supplier)
+                      + row_number() OVER (ORDER BY request_id) AS id
+          FROM judged WHERE reason = ''
+        )
+        SELECT id, nip, nama, 'user' AS role, '' AS reason FROM made
+        UNION ALL
+        SELECT id, CAST(request_id AS VARCHAR), 'link', '', '' FROM made
+        UNION ALL
+        SELECT request_id, '', 'refused', '', reason FROM judged WHERE reason <> ''
+    """,
+    "update_all": "SELECT doc_id, lang, 'isi' AS text FROM documents",
     "validate_good": f"{_FAULTS} SELECT * EXCLUDE (errors) FROM judged WHERE errors = ''",
     "validate_bad": f"{_FAULTS} SELECT id, users_id, errors FROM judged WHERE errors <> ''",
     "split_manifest": f"""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollbook import registry
 from rollbook.functions.predicates import matches, search
 from rollbook.functions.text import blank_nulls, header_column, trim_all
 from rollbook.functions.typed import leading_int, mixed_date, strict_int
@@ -535,6 +536,22 @@ def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def split_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    """Workbooks of 500 rows split into workbooks of 200."""
+    people = _read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    files = workbook.workbook_parts(
+        split.split_parts(people, ["c_custkey"], 500, scanned=True), "people"
+    )
+    rows = workbook.parse_workbooks(files, "e", "all")
+    again = workbook.split_workbook_files(workbook.split_workbooks(rows, 200))
+    return workbook.parse_workbooks(again, "a").select(
+        "file",
+        F.col("row_no").cast("bigint").alias("row_no"),
+        F.array_join("cells", "|").alias("cells"),
+        F.array_join(F.transform("numeric", lambda n: n.cast("string")), "|").alias("numeric"),
+    )
+
+
 def workbook_table(spark: SparkSession, sf: str) -> DataFrame:
     people = _read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     files = workbook.workbook_parts(split.split_parts(people, ["s_name"], 70, scanned=True), "staff")
@@ -836,6 +853,53 @@ def split_source(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_parts(loaded)
 
 
+def create_users(spark: SparkSession, sf: str) -> DataFrame:
+    users = _read(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("id"),
+        F.col("s_name").alias("nip"),
+        F.lit("old").alias("nama"),
+        F.lit("h").alias("password"),
+        F.lit("user").alias("role"),
+        F.lit(NOW).alias("created_at"),
+        F.lit(NOW).alias("updated_at"),
+    )
+    code = F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"))
+    role = F.when(F.col("p_size") == 7, F.lit("boss")).when(F.col("p_size") == 8, F.lit(""))
+    supplier = F.concat(F.lit("Supplier#"), F.lpad(F.floor(F.col("p_partkey") / 3).cast("string"), 9, "0"))
+    requests = _read(spark, sf, "part").select(
+        F.col("p_partkey").alias("request_id"),
+        supplier.alias("nip"),
+        F.col("p_name").alias("nama"),
+        F.lit("h").alias("password"),
+        role.alias("role"),
+        F.array(F.lit("unknown"), code, code).alias("codes"),
+    )
+    permissions = _permissions(spark, sf)
+    no_links = _links(spark, sf).limit(0)
+    added, links = registry.create_users(users, no_links, permissions, requests, NOW)
+    made = added.affected.select("id", "nip", "nama", "role", F.lit("").alias("reason"))
+    granted = links.select(
+        F.col("user_id").alias("id"),
+        F.col("permission_id").cast("string").alias("nip"),
+        F.lit("link").alias("nama"),
+        F.lit("").alias("role"),
+        F.lit("").alias("reason"),
+    )
+    refused = added.status.filter(F.col("reason").isNotNull()).select(
+        F.col("request_id").alias("id"),
+        F.lit("").alias("nip"),
+        F.lit("refused").alias("nama"),
+        F.lit("").alias("role"),
+        "reason",
+    )
+    return made.unionByName(granted).unionByName(refused)
+
+
+def update_all(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _read(spark, sf, "documents").select("doc_id", "lang", "text")
+    return change.update_all(documents, {"text": "isi"}).after
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -875,6 +939,7 @@ QUERIES: dict[str, Query] = {
         header_rules,
         publish_snapshot,
         workbook_rows,
+        split_workbook,
         workbook_table,
         ingest_dir,
         delete_by_key,
@@ -888,6 +953,8 @@ QUERIES: dict[str, Query] = {
         insert_defaults,
         update_by_key,
         rename_unique,
+        create_users,
+        update_all,
         validate_good,
         validate_bad,
         split_manifest,

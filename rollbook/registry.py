@@ -16,7 +16,7 @@ from rollbook import tables
 from rollbook.functions.predicates import matches, search
 from rollbook.functions.text import blank_nulls, is_given, or_default, trim_all
 from rollbook.functions.typed import leading_int, leading_int_of, mixed_date, strict_int
-from rollbook.operators import access, change, delete, listing, stats, validate
+from rollbook.operators import access, change, delete, listing, split, stats, validate
 from rollbook.operators.change import Change
 from rollbook.operators.children import children_page, children_pages
 from rollbook.operators.listing import Lookup, Page
@@ -92,6 +92,25 @@ def load_activities(
     return change.append(activities, typed, constants={"users_id": users_id}, now=now)
 
 
+def split_csv(
+    spark: SparkSession, path: str, out: str, base: str, rows_per_part: int = split.ROWS_PER_PART
+) -> DataFrame:
+    """Split a CSV file in source order into files with its header; gives the manifest."""
+    header = spark.read.option("header", True).option("escape", '"').csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    parts = split.split_parts(csv.load_positional(spark, path, schema), None, rows_per_part)
+    split.write_parts(parts, out, base)
+    return split.part_manifest(parts, base)
+
+
+def split_workbook(
+    spark: SparkSession, path: str, rows_per_part: int = split.ROWS_PER_PART
+) -> DataFrame:
+    """(path, content) of the workbooks that the rows of all sheets are split into."""
+    rows = workbook.workbook_rows(spark, path, "e", "all")
+    return workbook.split_workbook_files(workbook.split_workbooks(rows, rows_per_part))
+
+
 # --- schools and staff ---------------------------------------------------
 
 

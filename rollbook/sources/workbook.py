@@ -10,23 +10,22 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from decimal import Decimal
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.functions.text import JS_WHITESPACE, header_column
-from rollbook.operators.split import part_name
-from rollbook.plans import rank_in_group
+from rollbook.operators.split import ROWS_PER_PART, part_name
 
 ROW_SCHEMA = (
-    "file string, sheet string, sheet_no int, row_no int, header array<string>, "
-    "cells array<string>"
+    "file string, sheet string, sheet_no int, row_no int, data_row long, header array<string>, "
+    "cells array<string>, numeric array<boolean>"
 )
 _BATCH_ROWS = 10_000
 
@@ -50,8 +49,9 @@ def parse_workbooks(files: DataFrame, rule: str = "a", sheets: str = "first") ->
     """Rows of workbooks given as (path, content).
 
     One output row per data row of the first sheet or of ``sheets="all"``:
-    file, sheet, sheet_no, row_no, the sheet's header and the cells as text,
-    as many as the header has. The cell rules differ in how they show formulas,
+    file, sheet, sheet_no, row_no, data_row (counted over the sheets of a file),
+    the sheet's header, the cells as text, as many as the header has, and which
+    of them are numbers. The cell rules differ in how they show formulas,
     rich text, links and blanks; rule ``d`` gives null for blanks, others ''.
     """
     if rule not in CELL_RULES:
@@ -59,8 +59,10 @@ def parse_workbooks(files: DataFrame, rule: str = "a", sheets: str = "first") ->
     if sheets not in ("first", "all"):
         raise ValueError("sheets must be 'first' or 'all'")
 
+    fields = T.StructType.fromDDL(ROW_SCHEMA).fields
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file", "sheet", "sheet_no", "row_no", "header", "cells"]
+        columns = [field.name for field in fields]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
@@ -122,26 +124,20 @@ def rows_by_name(
     )
 
 
-def split_workbooks(rows: DataFrame, rows_per_part: int) -> DataFrame:
+def split_workbooks(rows: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Add ``part``, ``row_in_part`` and ``part_header`` to rows of all sheets.
 
     Counting runs on over the sheets of a file; a part has the header of the
     sheet its first row is from.
     """
-    ranked = rank_in_group(
-        rows, ["file"], [F.col("sheet_no").asc(), F.col("row_no").asc()], "_rank", unique=True
-    )
-    before = F.col("_rank") - F.lit(1)
-    placed = ranked.withColumns(
+    before = F.col("data_row") - F.lit(1)
+    part = Window.partitionBy("file", "part").orderBy("row_in_part")
+    return rows.withColumns(
         {
             "part": F.floor(before / F.lit(rows_per_part)) + F.lit(1),
             "row_in_part": before % F.lit(rows_per_part) + F.lit(1),
         }
-    ).drop("_rank")
-    opened = placed.filter("row_in_part = 1").select(
-        "file", "part", F.col("header").alias("part_header")
-    )
-    return placed.join(opened, ["file", "part"])
+    ).withColumn("part_header", F.first("header").over(part))
 
 
 def workbook_parts(parts: DataFrame, base: str) -> DataFrame:
@@ -154,7 +150,8 @@ def workbook_parts(parts: DataFrame, base: str) -> DataFrame:
 
     def write(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("row_in_part")
-        content = _write_workbook(columns, part[columns].values.tolist(), set(numbers))
+        numeric = [c in numbers for c in columns]
+        content = _write_workbook(columns, ((r, numeric) for r in part[columns].values.tolist()))
         return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [content]})
 
     texts = [F.col(c).cast("string").alias(c) for c in columns]
@@ -162,6 +159,25 @@ def workbook_parts(parts: DataFrame, base: str) -> DataFrame:
     return named.groupBy("part").applyInPandas(write, "path string, content binary")
 
 
+def split_workbook_files(parts: DataFrame) -> DataFrame:
+    """(path, content) of a workbook per part of ``split_workbooks``.
+
+    The path is that of the source file with ``_part<n>`` before its suffix.
+    """
+    stem = F.regexp_replace("file", r"(?i)\.xlsx\z", "")
+    name = F.concat(stem, F.lit("_part"), F.col("part").cast("string"), F.lit(".xlsx"))
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("row_in_part")
+        rows = zip(part["cells"], part["numeric"], strict=True)
+        content = _write_workbook(list(part["part_header"].iloc[0]), rows)
+        return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [content]})
+
+    columns = ["file", "part", "row_in_part", "part_header", "cells", "numeric"]
+    named = parts.select(*columns, name.alias("path"))
+    return named.groupBy("file", "part").applyInPandas(write, "path string, content binary")
+
+
 # --- cells ---------------------------------------------------------------
 # A cell is None, a scalar (str, bool, float) or a dict with some of the keys
 # "text", "richText", "formula" and "result".
@@ -232,7 +248,7 @@ CELL_RULES: dict[str, Callable[[object], str | None]] = {
 
 def _read_workbook(path: str, content: bytes, rule: Callable, all_sheets: bool) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        strings = _shared_strings(archive)
+        strings, data_row = _shared_strings(archive), 0
         for sheet_no, (sheet, member) in enumerate(_sheets(archive), 1):
             header: list[str] | None = None
             with archive.open(member) as stream:
@@ -243,7 +259,10 @@ def _read_workbook(path: str, content: bytes, rule: Callable, all_sheets: bool)
                     if header is None:
                         raise ValueError(f"sheet {sheet!r} of {path} has no header row")
                     padded = cells[: len(header)] + [None] * (len(header) - len(cells))
-                    yield path, sheet, sheet_no, row_no, header, [rule(c) for c in padded]
+                    texts = [rule(c) for c in padded]
+                    numeric = [isinstance(c, float) for c in padded]
+                    data_row += 1
+                    yield path, sheet, sheet_no, row_no, data_row, header, texts, numeric
             if not all_sheets:
                 return
 
@@ -337,8 +356,11 @@ def _column_number(reference: str) -> int:
 
 
 def _write_workbook(
-    header: Sequence[str], rows: Sequence[Sequence[object]], numbers: set[str], sheet: str = "Sheet1"
+    header: Sequence[str],
+    rows: Iterable[tuple[Sequence[object], Sequence[bool]]],
+    sheet: str = "Sheet1",
 ) -> bytes:
+    """A workbook of one sheet; each row comes with a flag per cell for numbers."""
     main, link, package = (n.strip("{}") for n in (_MAIN, _LINK, _PACKAGE))
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     members = {
@@ -364,9 +386,8 @@ def _write_workbook(
             f'Type="{link}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>'
         ),
     }
-    numeric = [name in numbers for name in header]
     lines = [_row_xml(1, header, [False] * len(header))]
-    lines += [_row_xml(i, row, numeric) for i, row in enumerate(rows, 2)]
+    lines += [_row_xml(i, row, numeric) for i, (row, numeric) in enumerate(rows, 2)]
     members["xl/worksheets/sheet1.xml"] = (
         f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>'
     )
@@ -382,7 +403,7 @@ def _row_xml(number: int, values: Sequence[object], numeric: Sequence[bool]) ->
     cells = []
     for column, (value, is_number) in enumerate(zip(values, numeric, strict=True), 1):
         reference = f'r="{_column_letters(column)}{number}"'
-        if value is None:
+        if value is None or (is_number and value == ""):
             continue
         if is_number:
             cells.append(f"<c {reference}><v>{value}</v></c>")

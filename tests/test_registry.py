@@ -402,6 +402,34 @@ def test_load_activities_fails_whole(spark, activities, tmp_path):
     assert rows(lenient.affected, "tanggal_mulai") == [(None,)]
 
 
+def test_split_csv(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('"k, 1",t\n' + "".join(f"{i},{i % 7}\n" for i in range(2100)))
+    manifest = registry.split_csv(spark, str(path), str(tmp_path / "out"), "in")
+    assert rows(manifest, "part", "n", "name") == [
+        (1, 1000, "in_part1.csv"),
+        (2, 1000, "in_part2.csv"),
+        (3, 100, "in_part3.csv"),
+    ]
+    last = next((tmp_path / "out" / "name=in_part3.csv").glob("*.csv")).read_text().splitlines()
+    assert last[:2] == ['"k, 1",t', "2000,5"]
+    assert len(last) == 101
+
+
+def test_split_workbook(spark, tmp_path):
+    path = tmp_path / "b.xlsx"
+    path.write_bytes(make_workbook({"S": sheet([["k", "t"], *[[i, f"t{i}"] for i in range(5)]])}))
+    files = registry.split_workbook(spark, str(path), 2)
+    assert sorted(r["path"].rsplit("/", 1)[-1] for r in files.collect()) == [
+        "b_part1.xlsx",
+        "b_part2.xlsx",
+        "b_part3.xlsx",
+    ]
+    back = registry.workbook.parse_workbooks(files, "a")
+    assert rows(back, F.array_join("cells", "|")) == [(f"{i}|t{i}",) for i in range(5)]
+    assert rows(back.select("numeric").distinct()) == [([True, False],)]
+
+
 def test_schema_types_are_plain(spark):
     assert isinstance(tables.SCHOOLS.schema, T.StructType)
     empty = spark.createDataFrame([], tables.ACTIVITIES)
