@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.typed import leading_int_of
@@ -15,8 +15,13 @@ from rollbook.plans.ordering import Term
 DEFAULT_PAGE = 1
 DEFAULT_LIMIT = 10
 
-# Up to this row a page is a top-k; beyond it rows are numbered in parallel.
-DEEP_PAGE_ROWS = 100_000
+# Every task of the scan hands this many rows at most to the one that cuts the page.
+FEW_ROWS = 100
+
+# Up to this row, tasks thin out their rows in groups first; beyond it the whole
+# table is numbered in parallel.
+DEEP_PAGE_ROWS = 999
+_GROUPS = 512
 
 
 @dataclass(frozen=True)
@@ -165,18 +170,30 @@ def ordered_array(rows: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame, columns: list[Column], number: int, size: int) -> DataFrame:
-    offset = (number - 1) * size
-    if offset + size <= DEEP_PAGE_ROWS:
-        return df.orderBy(*columns).offset(offset).limit(size)
+    offset, last = (number - 1) * size, number * size
+    if last <= DEEP_PAGE_ROWS:
+        rows = df if last <= FEW_ROWS else _thinned(df, columns, last)
+        return rows.orderBy(*columns).offset(offset).limit(size)
     ordinal = F.col("_ordinal")
     return (
         number_rows(df, columns, "_ordinal", unique=True)
-        .filter((ordinal >= offset) & (ordinal < offset + size))
+        .filter((ordinal >= offset) & (ordinal < last))
         .orderBy("_ordinal")
         .drop("_ordinal")
     )
 
 
+def _thinned(df: DataFrame, columns: list[Column], last: int) -> DataFrame:
+    """The first ``last`` rows of each of a fixed number of groups of tasks."""
+    group = Window.partitionBy("_group").orderBy(*columns)
+    return (
+        df.withColumn("_group", F.spark_partition_id() % F.lit(_GROUPS))
+        .withColumn("_nth", F.row_number().over(group))
+        .filter(F.col("_nth") <= last)
+        .drop("_group", "_nth")
+    )
+
+
 def _summary(counted: DataFrame, number: int, size: int) -> DataFrame:
     total = F.count(F.lit(1))
     return counted.agg(

@@ -20,6 +20,7 @@ from rollbook.operators import access, change, delete, listing, split, stats, va
 from rollbook.operators.change import Change
 from rollbook.operators.children import children_page, children_pages
 from rollbook.operators.listing import Lookup, Page
+from rollbook.plans import stage
 from rollbook.sources import csv, workbook
 
 SOURCE_ORDER = "source_order"
@@ -423,7 +424,8 @@ def _load_upsert(
     schema: T.StructType | None,
     rule: str,
 ) -> Change:
-    staged = _staged_file(spark, path, schema or table.schema, rule)
+    # Parsed once and whole before anything is merged.
+    staged = stage(_staged_file(spark, path, schema or table.schema, rule), "arrived")
     return change.upsert(target, staged, table.key, table.updates, [SOURCE_ORDER])
 
 

@@ -67,6 +67,14 @@ def test_deep_page_equals_short_page(people, monkeypatch):
     assert [r["id"] for r in deep.envelope().first()["data"]] == [r["id"] for r in short]
 
 
+@pytest.mark.parametrize(("page", "limit"), [(1, 10), (3, 50), (2, 450), (4, 600)])
+def test_pages_of_every_depth(spark, page, limit):
+    df = spark.range(3000, numPartitions=20).select("id", (F.col("id") % 4).alias("nama"))
+    cut = listing.page(df, [("nama", "desc")], "id", page, limit)
+    expected = sorted(range(3000), key=lambda i: (-(i % 4), i))[(page - 1) * limit : page * limit]
+    assert [r["id"] for r in cut.rows.collect()] == expected
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 17])
 def test_all_pages_cover_and_do_not_overlap(spark, conf, partitions):
     conf(shuffle__partitions=partitions)

@@ -199,3 +199,27 @@ def test_number_rows_with_ties(spark, scanned):
     numbered = number_rows(df, [F.col("k").asc()], scanned=scanned).collect()
     assert sorted(r["ordinal"] for r in numbered) == list(range(3000))
     assert all(r["ordinal"] // 1000 == r["k"] for r in numbered)
+
+
+def test_longer_page_is_thinned_before_the_cut(spark):
+    df = spark.range(5000, numPartitions=20).select("id", F.lit("x").alias("wide"))
+    plan = page(df, [("id", "desc")], "id", 3, 100).rows._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 300, Partial" in plan
+    assert "TakeOrderedAndProject" in plan
+
+
+class FakeSession:
+    def __init__(self, **settings):
+        self.settings = settings
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.settings.get(key.replace(".", "_"), default)
+
+
+def test_stage_folder_is_never_local_on_a_cluster():
+    assert stage_path(FakeSession(spark_checkpoint_dir="hdfs://x/y/"), "t").startswith("hdfs://x/y/rollbook/t-")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stage_path(FakeSession(spark_master="spark://host"), "t")
+    local = FakeSession(spark_master="local[2]")
+    assert stage_path(local, "t").rsplit("/", 1)[0] == stage_path(local, "t").rsplit("/", 1)[0]
