@@ -6,22 +6,18 @@ about a million rows, a task reads row by row.
 
 from __future__ import annotations
 
-import io
-import posixpath
-import re
-import zipfile
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from decimal import Decimal
-from xml.etree import ElementTree
-from xml.sax.saxutils import escape, quoteattr
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.functions.text import JS_WHITESPACE, header_column
+from rollbook.functions.text import header_column
 from rollbook.operators.split import ROWS_PER_PART, part_name
+from rollbook.sources import xlsx
+from rollbook.sources.xlsx import CELL_RULES, read_workbook, write_workbook
 
 ROW_SCHEMA = (
     "file string, sheet string, sheet_no int, row_no int, data_row long, header array<string>, "
@@ -29,12 +25,9 @@ ROW_SCHEMA = (
 )
 _BATCH_ROWS = 10_000
 
-# Namespaces and part names of the file format.
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
-_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-_OBJECT_TEXT = "[object Object]"
+# Tasks get these helpers with the function that uses them, so that workers need
+# no copy of the package.
+cloudpickle.register_pickle_by_value(xlsx)
 
 
 def workbook_rows(
@@ -66,7 +59,7 @@ def parse_workbooks(files: DataFrame, rule: str = "a", sheets: str = "first") ->
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for row in _read_workbook(path, content, CELL_RULES[rule], sheets == "all"):
+                for row in read_workbook(path, content, CELL_RULES[rule], sheets == "all"):
                     rows.append(row)
                     if len(rows) == _BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=columns)
@@ -151,7 +144,7 @@ def workbook_parts(parts: DataFrame, base: str) -> DataFrame:
     def write(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("row_in_part")
         numeric = [c in numbers for c in columns]
-        content = _write_workbook(columns, ((r, numeric) for r in part[columns].values.tolist()))
+        content = write_workbook(columns, ((r, numeric) for r in part[columns].values.tolist()))
         return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [content]})
 
     texts = [F.col(c).cast("string").alias(c) for c in columns]
@@ -170,255 +163,9 @@ def split_workbook_files(parts: DataFrame) -> DataFrame:
     def write(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("row_in_part")
         rows = zip(part["cells"], part["numeric"], strict=True)
-        content = _write_workbook(list(part["part_header"].iloc[0]), rows)
+        content = write_workbook(list(part["part_header"].iloc[0]), rows)
         return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [content]})
 
     columns = ["file", "part", "row_in_part", "part_header", "cells", "numeric"]
     named = parts.select(*columns, name.alias("path"))
     return named.groupBy("file", "part").applyInPandas(write, "path string, content binary")
-
-
-# --- cells ---------------------------------------------------------------
-# A cell is None, a scalar (str, bool, float) or a dict with some of the keys
-# "text", "richText", "formula" and "result".
-
-
-def _as_text(value: object) -> str:
-    """The text a scalar has in the source system."""
-    if value is None:
-        return ""
-    if isinstance(value, dict):
-        return _OBJECT_TEXT
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float):
-        return _number_text(value)
-    return str(value)
-
-
-def _number_text(value: float) -> str:
-    if abs(value) >= 1e21 or 0 < abs(value) < 1e-6:
-        return re.sub(r"e([+-])0*(\d)", r"e\1\2", repr(value))
-    return str(int(value)) if value == int(value) else format(Decimal(repr(value)), "f")
-
-
-def _rich_text(value: dict) -> str:
-    return "".join(value.get("richText") or [])
-
-
-def _rule_plain(value: object) -> str:
-    return _as_text(value)
-
-
-def _rule_trimmed(value: object) -> str:
-    return _as_text(value).strip(JS_WHITESPACE)
-
-
-def _rule_rich(value: object) -> str:
-    if isinstance(value, dict):
-        value = value.get("text") or _rich_text(value)
-    return _as_text(value).strip(JS_WHITESPACE)
-
-
-def _rule_nullable(value: object) -> str | None:
-    if isinstance(value, dict):
-        value = value.get("text") or value.get("result") or None
-    return None if value is None or value == "" else _as_text(value)
-
-
-def _rule_extract(value: object) -> str:
-    if isinstance(value, dict):
-        for shown in (_rich_text(value), value.get("text"), value.get("result")):
-            if shown:
-                return _as_text(shown)
-    return _as_text(value)
-
-
-CELL_RULES: dict[str, Callable[[object], str | None]] = {
-    "a": _rule_plain,
-    "b": _rule_trimmed,
-    "c": _rule_rich,
-    "d": _rule_nullable,
-    "e": _rule_extract,
-}
-
-
-# --- reading -------------------------------------------------------------
-
-
-def _read_workbook(path: str, content: bytes, rule: Callable, all_sheets: bool) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        strings, data_row = _shared_strings(archive), 0
-        for sheet_no, (sheet, member) in enumerate(_sheets(archive), 1):
-            header: list[str] | None = None
-            with archive.open(member) as stream:
-                for row_no, cells in _sheet_rows(stream, strings):
-                    if row_no == 1:
-                        header = [_as_text(c) for c in cells]
-                        continue
-                    if header is None:
-                        raise ValueError(f"sheet {sheet!r} of {path} has no header row")
-                    padded = cells[: len(header)] + [None] * (len(header) - len(cells))
-                    texts = [rule(c) for c in padded]
-                    numeric = [isinstance(c, float) for c in padded]
-                    data_row += 1
-                    yield path, sheet, sheet_no, row_no, data_row, header, texts, numeric
-            if not all_sheets:
-                return
-
-
-def _sheets(archive: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
-    links = {
-        link.get("Id"): link.get("Target")
-        for link in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")).iter(
-            f"{_PACKAGE}Relationship"
-        )
-    }
-    for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-        target = links[sheet.get(f"{_LINK}id")]
-        yield sheet.get("name"), posixpath.normpath(posixpath.join("/xl", target)).lstrip("/")
-
-
-def _shared_strings(archive: zipfile.ZipFile) -> list[object]:
-    if "xl/sharedStrings.xml" not in archive.namelist():
-        return []
-    with archive.open("xl/sharedStrings.xml") as stream:
-        return [_string_item(e) for e in _finished(stream, f"{_MAIN}si")]
-
-
-def _sheet_rows(stream, strings: list[object]) -> Iterator[tuple[int, list[object]]]:
-    last = 0
-    for row in _finished(stream, f"{_MAIN}row"):
-        last = int(row.get("r") or last + 1)
-        cells: list[object] = []
-        for cell in row.findall(f"{_MAIN}c"):
-            column = _column_number(cell.get("r")) if cell.get("r") else len(cells) + 1
-            cells += [None] * (column - 1 - len(cells))
-            cells.append(_cell_value(cell, strings))
-        if cells:
-            yield last, cells
-
-
-def _finished(stream, tag: str) -> Iterator[ElementTree.Element]:
-    """Elements as they end, each freed after use."""
-    context = ElementTree.iterparse(stream, events=("start", "end"))
-    _, root = next(context)
-    for event, element in context:
-        if event == "end" and element.tag == tag:
-            yield element
-            element.clear()
-            if element is not root:
-                _drop_children(root)
-
-
-def _drop_children(root: ElementTree.Element) -> None:
-    holder = root.find(f"{_MAIN}sheetData")
-    (root if holder is None else holder).clear()
-
-
-def _cell_value(cell: ElementTree.Element, strings: list[object]) -> object:
-    kind = cell.get("t", "n")
-    text = cell.findtext(f"{_MAIN}v")
-    if kind == "s":
-        value = strings[int(text)] if text is not None else None
-    elif kind == "inlineStr":
-        inline = cell.find(f"{_MAIN}is")
-        value = None if inline is None else _string_item(inline)
-    elif text is None:
-        value = None
-    elif kind == "b":
-        value = text == "1"
-    elif kind == "n":
-        value = float(text)
-    else:  # formula text, errors and ISO dates keep their text
-        value = text
-    formula = cell.find(f"{_MAIN}f")
-    return value if formula is None else {"formula": formula.text or "", "result": value}
-
-
-def _string_item(item: ElementTree.Element) -> object:
-    runs = item.findall(f"{_MAIN}r")
-    if runs:
-        return {"richText": [r.findtext(f"{_MAIN}t") or "" for r in runs]}
-    return item.findtext(f"{_MAIN}t") or ""
-
-
-def _column_number(reference: str) -> int:
-    number = 0
-    for char in reference:
-        if not char.isalpha():
-            break
-        number = number * 26 + ord(char.upper()) - ord("A") + 1
-    return number
-
-
-# --- writing -------------------------------------------------------------
-
-
-def _write_workbook(
-    header: Sequence[str],
-    rows: Iterable[tuple[Sequence[object], Sequence[bool]]],
-    sheet: str = "Sheet1",
-) -> bytes:
-    """A workbook of one sheet; each row comes with a flag per cell for numbers."""
-    main, link, package = (n.strip("{}") for n in (_MAIN, _LINK, _PACKAGE))
-    kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    members = {
-        "[Content_Types].xml": (
-            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-            '<Default Extension="rels" '
-            'ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-            '<Default Extension="xml" ContentType="application/xml"/>'
-            f'<Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>'
-            f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/>'
-            "</Types>"
-        ),
-        "_rels/.rels": (
-            f'<Relationships xmlns="{package}"><Relationship Id="rId1" '
-            f'Type="{link}/officeDocument" Target="xl/workbook.xml"/></Relationships>'
-        ),
-        "xl/workbook.xml": (
-            f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets>'
-            f'<sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>'
-        ),
-        "xl/_rels/workbook.xml.rels": (
-            f'<Relationships xmlns="{package}"><Relationship Id="rId1" '
-            f'Type="{link}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>'
-        ),
-    }
-    lines = [_row_xml(1, header, [False] * len(header))]
-    lines += [_row_xml(i, row, numeric) for i, (row, numeric) in enumerate(rows, 2)]
-    members["xl/worksheets/sheet1.xml"] = (
-        f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>'
-    )
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
-        for name, body in members.items():
-            # A fixed time stamp gives equal bytes when a task runs again.
-            archive.writestr(zipfile.ZipInfo(name), _XML + body, zipfile.ZIP_DEFLATED, 1)
-    return buffer.getvalue()
-
-
-def _row_xml(number: int, values: Sequence[object], numeric: Sequence[bool]) -> str:
-    cells = []
-    for column, (value, is_number) in enumerate(zip(values, numeric, strict=True), 1):
-        reference = f'r="{_column_letters(column)}{number}"'
-        if value is None or (is_number and value == ""):
-            continue
-        if is_number:
-            cells.append(f"<c {reference}><v>{value}</v></c>")
-        else:
-            text = escape(str(value))
-            cells.append(
-                f'<c {reference} t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
-            )
-    return f'<row r="{number}">{"".join(cells)}</row>'
-
-
-def _column_letters(number: int) -> str:
-    letters = ""
-    while number:
-        number, rest = divmod(number - 1, 26)
-        letters = chr(ord("A") + rest) + letters
-    return letters
-

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from rollbook.operators.split import split_parts
 from rollbook.sources import workbook
+from rollbook.sources.xlsx import number_text
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -114,7 +115,7 @@ def test_bad_arguments(spark, book, rule, sheets):
     ],
 )
 def test_number_text(value, text):
-    assert workbook._number_text(value) == text
+    assert number_text(value) == text
 
 
 def test_by_position(spark, book):
