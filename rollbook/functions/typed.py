@@ -27,6 +27,11 @@ def strict_int(c: Column, strict: bool = True) -> Column:
     return _checked(text, text.try_cast("int"), "integer") if strict else text.try_cast("int")
 
 
+def exact_int(c: Column) -> Column:
+    """Integer of text that must be one; '' is an error, null stays null."""
+    return _checked(c, c.try_cast("int"), "integer")
+
+
 def mixed_date(c: Column, min_serial: int = 0, strict: bool = True) -> Column:
     """Date of trimmed text that is a spreadsheet serial or YYYY-MM-DD, else null.
 

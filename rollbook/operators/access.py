@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.change import Change
-from rollbook.plans import hint_by_size, rank_in_group
+from rollbook.plans import hint_by_size, largest_group, rank_in_group
 
 # Codes of one user per array; a user with more has several rows.
 CODES_PER_ROW = 1_000
@@ -48,10 +48,12 @@ def codes_per_user(
     owned = permission_codes(
         links, permissions, None, user, permission, permission_key, code
     ).filter(F.col("code").isNotNull())
-    if links.groupBy(user).count().filter(F.col("count") > per_row).isEmpty():
+    largest = largest_group(links, [user])  # no user has more codes than links
+    if largest <= per_row:
         placed = owned.withColumn("codes_no", F.lit(1).cast("long"))
     else:
-        ranked = rank_in_group(owned, [user], [F.col("code").asc()], "_rank")
+        order = [F.col("code").asc()]
+        ranked = rank_in_group(owned, [user], order, "_rank", largest=largest)
         placed = ranked.withColumn(
             "codes_no", F.floor((F.col("_rank") - F.lit(1)) / F.lit(per_row)) + F.lit(1)
         )

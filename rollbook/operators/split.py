@@ -66,6 +66,8 @@ def write_parts(parts: DataFrame, path: str, base: str) -> None:
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", 0)
         .csv(path)
     )

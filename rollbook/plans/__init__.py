@@ -1,13 +1,19 @@
 """Plan building blocks shared by the operators."""
 
 from rollbook.plans.ordering import order_columns
-from rollbook.plans.ranking import number_rows, rank_in_group, with_source_order
+from rollbook.plans.ranking import (
+    largest_group,
+    number_rows,
+    rank_in_group,
+    with_source_order,
+)
 from rollbook.plans.sizing import hint_by_size, is_small, measured_bytes
 from rollbook.plans.staging import stage, stage_path
 
 __all__ = [
     "hint_by_size",
     "is_small",
+    "largest_group",
     "measured_bytes",
     "number_rows",
     "order_columns",

@@ -66,16 +66,19 @@ def rank_in_group(
     order: Sequence[Column],
     out: str = "rank",
     unique: bool = False,
+    largest: int | None = None,
     large: int = LARGE_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``out`` = 1, 2, 3, ... inside each group.
 
-    Group sizes are counted first (with map-side combine). While every group is
-    small, an ordinary window ranks them; otherwise ranks are derived from the
-    range-partitioned order, in which a large group spans many tasks.
+    While every group is small, an ordinary window ranks them; otherwise ranks
+    are derived from the range-partitioned order, in which a large group spans
+    many tasks. Unless the size of the ``largest`` group (or a bound) is given,
+    it is counted, with map-side combine.
     """
-    sizes = df.groupBy(*group).count()
-    if sizes.filter(F.col("count") > large).isEmpty():
+    if largest is None:
+        largest = largest_group(df, group)
+    if largest <= large:
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("long"))
 
@@ -98,6 +101,12 @@ def rank_in_group(
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], rank.alias(out))
 
 
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group."""
+    sizes = df.groupBy(*group).count()
+    return int(sizes.agg(F.max("count").alias("n")).first()["n"] or 0)
+
+
 def _placed(
     df: DataFrame, order: Sequence[Column], repeatable: bool, unique: bool
 ) -> DataFrame:

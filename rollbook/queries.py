@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from rollbook import registry
 from rollbook.functions.predicates import matches, search
 from rollbook.functions.text import blank_nulls, header_column, trim_all
-from rollbook.functions.typed import leading_int, mixed_date, strict_int
+from rollbook.functions.typed import exact_int, leading_int, mixed_date, strict_int
 from rollbook.operators import access, change, delete, listing, split, stats, validate
 from rollbook.operators.children import children_page as one_parent
 from rollbook.operators.children import children_pages as every_parent
@@ -255,7 +255,7 @@ def cast_order_blank(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_size") >= 10, F.col("p_brand")).alias("lptk"),
         F.when(F.col("p_size") < 40, F.col("p_size")).alias("tahap"),
     )
-    cut = listing.page(candidates, [(F.col("no").cast("int"), "asc")], "no", 5, 20)
+    cut = listing.page(candidates, [(exact_int(F.col("no")), "asc")], "no", 5, 20)
     return blank_nulls(cut.rows)
 
 

@@ -15,7 +15,13 @@ from pyspark.sql import types as T
 from rollbook import tables
 from rollbook.functions.predicates import matches, search
 from rollbook.functions.text import blank_nulls, is_given, or_default, trim_all
-from rollbook.functions.typed import leading_int, leading_int_of, mixed_date, strict_int
+from rollbook.functions.typed import (
+    exact_int,
+    leading_int,
+    leading_int_of,
+    mixed_date,
+    strict_int,
+)
 from rollbook.operators import access, change, delete, listing, split, stats, validate
 from rollbook.operators.change import Change
 from rollbook.operators.children import children_page, children_pages
@@ -180,7 +186,7 @@ def staff_distribution(staff: DataFrame) -> DataFrame:
 
 def list_candidates(candidates: DataFrame, page: object = None, limit: object = None) -> Page:
     """Candidates by number, with blanks for nulls."""
-    order = [(F.col("no").cast("int"), "asc")]
+    order = [(exact_int(F.col("no")), "asc")]
     cut = listing.page(candidates, order, tables.CANDIDATE_KEY, page, limit)
     return Page(cut.page, cut.limit, blank_nulls(cut.rows), cut.summary)
 
@@ -236,11 +242,11 @@ def activities_by_id(
 def insert_activities(
     activities: DataFrame, rows: DataFrame, now: object, order_by: Sequence[str] | None = None
 ) -> tuple[Change, validate.Validation]:
-    """Append activities whose total does not exceed the target number."""
-    judged = validate.validate_rows(
-        rows, [validate.not_greater("total_peserta", "sasaran_peserta")]
-    )
-    numbers = {c: leading_int(F.col(c)) for c in ("sasaran_peserta", "total_peserta")}
+    """Append activities with two numbers, of which the total is within the target."""
+    counts = ("sasaran_peserta", "total_peserta")
+    rules = [validate.not_greater("total_peserta", "sasaran_peserta")]
+    judged = validate.validate_rows(rows, rules + [validate.is_int(c) for c in counts])
+    numbers = {c: leading_int(F.col(c)) for c in counts}
     return _insert(activities, judged.good.withColumns(numbers), "id", now, order_by), judged
 
 

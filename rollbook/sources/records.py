@@ -44,6 +44,9 @@ def records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Data
     by_file = Window.partitionBy("file").orderBy("block")  # one row per block
     earlier_blocks = by_file.rowsBetween(Window.unboundedPreceding, -1)
     blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("total"))
+    odd = blocks.groupBy("file").agg((F.sum("total") % 2).alias("odd")).filter("odd = 1").head()
+    if odd:
+        raise ValueError(f"unterminated quoted field in {odd['file']}")
     blocks = blocks.withColumn("carried", F.coalesce(F.sum("total").over(earlier_blocks), F.lit(0)))
 
     in_block = Window.partitionBy("file", "block").orderBy("row")
@@ -62,15 +65,10 @@ def records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Data
         "start", F.coalesce("start", "earlier")
     )
     pieces = F.sort_array(F.collect_list(F.struct("block", "row", "value")))
-    joined = owned.groupBy("file", "start").agg(
-        F.array_join(F.transform(pieces, lambda p: p["value"]), _LINE_BREAK).alias("text"),
-        F.sum("quotes").alias("quotes"),
-    )
-    closed = F.when(F.col("quotes") % 2 == 0, F.regexp_replace("text", r"\r\z", "")).otherwise(
-        F.raise_error(F.concat(F.lit("unterminated quoted field in "), F.col("file")))
-    )
+    text = F.array_join(F.transform(pieces, lambda p: p["value"]), _LINE_BREAK)
+    joined = owned.groupBy("file", "start").agg(F.regexp_replace(text, r"\r\z", "").alias("text"))
     order = F.struct("file", F.col("start.block").alias("block"), F.col("start.row").alias("row"))
-    found = joined.select(order.alias("source_order"), closed.alias("text"))
+    found = joined.select(order.alias("source_order"), "text")
 
     firsts = lines.groupBy("file").agg(F.min(F.struct("block", "row")).alias("first"))
     firsts = firsts.select(F.struct("file", "first.block", "first.row").alias("source_order"))

@@ -16,6 +16,7 @@ from rollbook.functions.text import (
     trim_all,
 )
 from rollbook.functions.typed import (
+    exact_int,
     leading_int,
     leading_int_of,
     leading_number,
@@ -82,6 +83,12 @@ def test_strict_int_fails(spark, conf, text, ansi):
     assert apply(spark, [text], lambda c: strict_int(c, strict=False)) == [None]
 
 
+def test_exact_int(spark):
+    assert apply(spark, ["7", None, " 8 "], exact_int) == [7, None, 8]
+    with pytest.raises(Exception, match="not a valid integer"):
+        apply(spark, [""], exact_int)
+
+
 def test_leading_int(spark):
     values = ["12abc", "  7", " 8", "x1", "", None, "-5.9", "+3", "99999999999"]
     expected = [12, 7, 8, None, None, None, -5, 3, 99999999999]

@@ -171,15 +171,21 @@ def test_users_with_codes(spark, users):
 
 def test_insert_activities(spark, activities):
     new = spark.createDataFrame(
-        [(1, 2, "ok", "5", "5"), (2, 2, "bad", "5", "6"), (3, 2, "text", "x", "6")],
+        [
+            (1, 2, "ok", "5", "5"),
+            (2, 2, "bad", "5", "6"),
+            (3, 2, "text", "x", "6"),
+            (4, 2, "none", "7", None),
+            (5, 2, "more", "9 people", "8"),
+        ],
         "seq int, users_id long, nama_kegiatan string, sasaran_peserta string, total_peserta string",
     )
     change, judged = registry.insert_activities(activities, new, NOW, ["seq"])
     assert rows(change.affected, "id", "nama_kegiatan", "sasaran_peserta", "created_at") == [
         (5, "ok", 5, NOW),
-        (6, "text", None, NOW),
+        (6, "more", 9, NOW),
     ]
-    assert rows(judged.bad, "nama_kegiatan") == [("bad",)]
+    assert rows(judged.bad, "nama_kegiatan") == [("bad",), ("none",), ("text",)]
 
 
 def test_insert_participants(spark, participants):

@@ -86,6 +86,17 @@ def test_written_parts_concatenate_to_the_input(spark, tmp_path):
     assert found == [tuple(r) for r in df.orderBy("k").collect()]
 
 
+TEXTS = [" a ", "\tb\t", "c\rd", "#e", "f\\g", '"', '""', ",", ";", "'h'", "\n", "  ", "é\u00a0"]
+
+
+def test_written_texts_read_back(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "k int, t string")
+    path = str(tmp_path / "out")
+    split.write_parts(split.split_parts(df, ["k"], 5), path, "b")
+    back = csv.load_positional(spark, f"{path}/*", df.schema)
+    assert rows(back) == rows(df)
+
+
 def test_parts_in_source_order(spark, tmp_path):
     text = "k,t\n" + "".join(f"{(i * 37) % 2500},x\n" for i in range(2500))
     (tmp_path / "in.csv").write_text(text)
