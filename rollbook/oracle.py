@@ -591,6 +591,53 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT request_id, '', 'refused', '', reason FROM judged WHERE reason <> ''
     """,
+    "update_users": f"""
+        WITH {_ACCESS},
+        requests AS (
+          SELECT c_custkey AS request_id, c_custkey // 4 AS id,
+                 CASE c_nationkey % 5 WHEN 0 THEN 'boss' WHEN 1 THEN '' WHEN 2 THEN 'admin' END AS role,
+                 c_nationkey % 3 AS form
+          FROM customer
+        ),
+        judged AS (
+          SELECT *, concat_ws('; ', CASE WHEN role = 'boss' THEN 'role: not allowed' END,
+                                    CASE WHEN form = 0 THEN 'ids: repeated' END) AS errors
+          FROM requests
+        ),
+        final AS (
+          SELECT id, max(request_id) FILTER (WHERE role = 'admin') AS admin_by,
+                 max(request_id) FILTER (WHERE form = 1) AS set_by
+          FROM judged WHERE errors = '' AND id IN (SELECT id FROM users) GROUP BY id
+        )
+        SELECT 'user' AS kind, u.id, CASE WHEN admin_by IS NULL THEN 'user' ELSE 'admin' END AS text,
+               CASE WHEN admin_by IS NOT NULL THEN '2024-06-01' END AS more
+        FROM users u LEFT JOIN final f ON u.id = f.id
+        UNION ALL
+        SELECT 'request', request_id,
+               CASE WHEN errors <> '' THEN errors
+                    WHEN id NOT IN (SELECT id FROM users) THEN 'not_found'
+                    WHEN role = 'admin' THEN 'updated' ELSE 'unchanged' END, ''
+        FROM judged
+        UNION ALL
+        SELECT 'link', user_id, CAST(permission_id AS VARCHAR), '' FROM links
+        WHERE user_id NOT IN (SELECT id FROM final WHERE set_by IS NOT NULL)
+        UNION ALL
+        SELECT 'link', id, CAST(set_by + step AS VARCHAR), ''
+        FROM final, (VALUES (0), (1)) AS steps (step) WHERE set_by IS NOT NULL
+    """,
+    "search_candidates": """
+        WITH hits AS (
+          SELECT p_partkey AS no_ukg, p_size AS tahun, p_name AS nama_lengkap FROM part
+          WHERE p_name ILIKE '%ring%'
+        )
+        SELECT *, (SELECT count(*) FROM hits) AS total,
+               (SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) FROM hits) AS pages
+        FROM hits ORDER BY nama_lengkap NULLS LAST, no_ukg, tahun LIMIT 10 OFFSET 10
+    """,
+    "single_value": """
+        SELECT CAST(max(n_chars) AS VARCHAR) AS isi FROM documents
+        UNION ALL SELECT '-'
+    """,
     "update_all": "SELECT doc_id, lang, 'isi' AS text FROM documents",
     "validate_good": f"{_FAULTS} SELECT * EXCLUDE (errors) FROM judged WHERE errors = ''",
     "validate_bad": f"{_FAULTS} SELECT id, users_id, errors FROM judged WHERE errors <> ''",

@@ -895,6 +895,59 @@ def create_users(spark: SparkSession, sf: str) -> DataFrame:
     return made.unionByName(granted).unionByName(refused)
 
 
+def update_users(spark: SparkSession, sf: str) -> DataFrame:
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    users = _users(spark, sf).select(
+        "id", F.lit("user").alias("role"), F.lit(None).cast("timestamp").alias("updated_at")
+    )
+    role = (
+        F.when(nation % 5 == 0, F.lit("boss"))
+        .when(nation % 5 == 1, F.lit(""))
+        .when(nation % 5 == 2, F.lit("admin"))
+    )
+    ids = F.when(nation % 3 == 0, F.array(key, key)).when(nation % 3 == 1, F.array(key, key + 1))
+    requests = _read(spark, sf, "customer").select(
+        key.alias("request_id"), F.floor(key / 4).alias("id"), role.alias("role"), ids.alias("ids")
+    )
+    changed, sets = registry.update_users(users, _links(spark, sf), requests, NOW)
+    roles = changed.after.select(
+        F.lit("user").alias("kind"),
+        "id",
+        F.col("role").alias("text"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("more"),
+    )
+    statuses = changed.status.select(
+        F.lit("request").alias("kind"),
+        F.col("request_id").alias("id"),
+        F.col("status").alias("text"),
+        F.lit("").alias("more"),
+    )
+    links = sets.after.select(
+        F.lit("link").alias("kind"),
+        F.col("user_id").alias("id"),
+        F.col("permission_id").cast("string").alias("text"),
+        F.lit("").alias("more"),
+    )
+    return roles.unionByName(statuses).unionByName(links)
+
+
+def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    candidates = _read(spark, sf, "part").select(
+        F.col("p_partkey").alias("no_ukg"),
+        F.col("p_size").alias("tahun"),
+        F.col("p_name").alias("nama_lengkap"),
+    )
+    cut = registry.search_candidates(candidates, keyword="", query=" Ring\t", page="2", limit="x")
+    return cut.with_totals()
+
+
+def single_value(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _read(spark, sf, "documents")
+    longest = documents.agg(F.max("n_chars").cast("string").alias("isi"))
+    none = documents.agg(F.max(F.nullif("n_chars", "n_chars")).cast("string").alias("isi"))
+    return listing.single_value(longest, "isi").unionByName(listing.single_value(none, "isi", "-"))
+
+
 def update_all(spark: SparkSession, sf: str) -> DataFrame:
     documents = _read(spark, sf, "documents").select("doc_id", "lang", "text")
     return change.update_all(documents, {"text": "isi"}).after
@@ -954,7 +1007,10 @@ QUERIES: dict[str, Query] = {
         update_by_key,
         rename_unique,
         create_users,
+        update_users,
         update_all,
+        search_candidates,
+        single_value,
         validate_good,
         validate_bad,
         split_manifest,

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from conftest import rows
@@ -177,3 +178,39 @@ def test_search_null_does_not_hide_a_hit(spark):
 def test_eq_ci(spark):
     df = spark.createDataFrame([("A", "a"), ("A", "b"), (None, "a")], "a string, b string")
     assert rows(df.filter(eq_ci(F.col("a"), F.col("b")))) == [("A", "a")]
+
+
+def like(text: str, pattern: str) -> bool:
+    """ILIKE by its definition, with a backslash that makes any next character literal."""
+    if not pattern:
+        return not text
+    head, rest = pattern[0], pattern[1:]
+    if head == "%":
+        return any(like(text[i:], rest) for i in range(len(text) + 1))
+    if head == "\\":
+        head, rest = rest[0], rest[1:]
+        return bool(text) and text[0].lower() == head.lower() and like(text[1:], rest)
+    return bool(text) and (head == "_" or text[0].lower() == head.lower()) and like(text[1:], rest)
+
+
+def test_search_text_means_what_the_database_makes_of_it(spark):
+    """Random texts and searches over the characters with a meaning."""
+    chance = random.Random(5)
+
+    def some(longest):
+        return "".join(chance.choice("aAb%_\\") for _ in range(chance.randint(0, longest)))
+
+    cases = [(some(6), some(4)) for _ in range(300)]
+    checks = [F.lit(t).ilike(ilike_pattern(q)) for t, q in cases]
+    literal = [F.lit(t).ilike(ilike_pattern(q, literal=True)) for t, q in cases]
+    found = spark.range(1).select(F.array(*checks), F.array(*literal)).first()
+    assert list(found[0]) == [like(t, f"%{q}%") for t, q in cases]
+    assert list(found[1]) == [q.lower() in t.lower() for t, q in cases]
+
+
+@pytest.mark.parametrize("rule", HEADERS)
+def test_header_rules_agree_on_any_text(spark, rule):
+    chance = random.Random(7)
+    alphabet = "aB\" \t\n\r ﻿　_"
+    texts = ["".join(chance.choice(alphabet) for _ in range(chance.randint(0, 8))) for _ in range(200)]
+    assert apply(spark, texts, lambda c: header_column(c, rule)) == [header_name(t, rule) for t in texts]
