@@ -526,7 +526,8 @@ def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"),
         F.concat(F.lit(" <"), "c_mktsegment", F.lit("> & ")).alias("segment"),
     )
-    files = workbook.workbook_parts(split.split_parts(people, ["c_custkey"], 400, scanned=True), "people")
+    parts = split.split_parts(people, ["c_custkey"], 400, scanned=True)
+    files = workbook.workbook_parts(parts, "people")
     rows = workbook.parse_workbooks(files, rule="d")
     return rows.select(
         "file",
@@ -554,7 +555,8 @@ def split_workbook(spark: SparkSession, sf: str) -> DataFrame:
 
 def workbook_table(spark: SparkSession, sf: str) -> DataFrame:
     people = _read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    files = workbook.workbook_parts(split.split_parts(people, ["s_name"], 70, scanned=True), "staff")
+    parts = split.split_parts(people, ["s_name"], 70, scanned=True)
+    files = workbook.workbook_parts(parts, "staff")
     rows = workbook.parse_workbooks(files, rule="a")
     schema = T.StructType.fromDDL("id bigint, nama string, saldo double")
     return workbook.rows_to_table(rows, schema).drop("source_order")
@@ -727,14 +729,17 @@ def insert_unique(spark: SparkSession, sf: str) -> DataFrame:
         result.affected, "id", change.next_key(target, "id"), order_by=["o_orderkey"]
     )
     refused = result.status.filter(F.col("reason").isNotNull())
-    return refused.select("o_orderkey", "nip", "reason", F.lit(None).cast("bigint").alias("id")).unionByName(
+    no_id = F.lit(None).cast("bigint").alias("id")
+    return refused.select("o_orderkey", "nip", "reason", no_id).unionByName(
         keyed.select("o_orderkey", "nip", F.lit("").alias("reason"), "id")
     )
 
 
 def insert_defaults(spark: SparkSession, sf: str) -> DataFrame:
     target = _read(spark, sf, "part").select(
-        F.col("p_partkey").alias("id"), F.col("p_name").alias("nama"), F.col("p_brand").alias("peran")
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("nama"),
+        F.col("p_brand").alias("peran"),
     )
     status = F.col("o_orderstatus")
     rows = _read(spark, sf, "orders").select(
@@ -752,9 +757,10 @@ def update_by_key(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(datetime.datetime(2024, 1, 1)).alias("updated_at"),
     )
     status = F.col("o_orderstatus")
+    role = F.when(status == "F", F.lit("")).when(status == "O", F.col("o_orderpriority"))
     changes = _read(spark, sf, "orders").select(
         (F.col("o_custkey") * 2).alias("id"),
-        F.when(status == "F", F.lit("")).when(status == "O", F.col("o_orderpriority")).alias("role"),
+        role.alias("role"),
         F.col("o_orderkey").alias("seq"),
     )
     result = change.update_by_key(
@@ -776,9 +782,10 @@ def rename_unique(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").alias("id"), F.col("c_name").alias("nama_tim")
     )
     status = F.col("o_orderstatus")
+    team = F.concat(F.lit("Tim "), F.floor(F.col("o_orderkey") / 3).cast("string"))
     name = (
         F.when(status == "F", _customer_name("o_orderkey"))
-        .when(status == "O", F.concat(F.lit("Tim "), F.floor(F.col("o_orderkey") / 3).cast("string")))
+        .when(status == "O", team)
         .otherwise(F.lit(""))
     )
     requests = _read(spark, sf, "orders").select(
@@ -840,7 +847,8 @@ def split_files(spark: SparkSession, sf: str) -> DataFrame:
     path = stage_path(spark, "parts")
     part = _read(spark, sf, "part").select("p_partkey", "p_name")
     split.write_parts(split.split_parts(part, ["p_partkey"], 300, scanned=True), path, "parts")
-    return spark.read.option("header", True).schema("p_partkey bigint, p_name string, name string").csv(path)
+    schema = "p_partkey bigint, p_name string, name string"
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def split_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -865,7 +873,8 @@ def create_users(spark: SparkSession, sf: str) -> DataFrame:
     )
     code = F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"))
     role = F.when(F.col("p_size") == 7, F.lit("boss")).when(F.col("p_size") == 8, F.lit(""))
-    supplier = F.concat(F.lit("Supplier#"), F.lpad(F.floor(F.col("p_partkey") / 3).cast("string"), 9, "0"))
+    number = F.floor(F.col("p_partkey") / 3).cast("string")
+    supplier = F.concat(F.lit("Supplier#"), F.lpad(number, 9, "0"))
     requests = _read(spark, sf, "part").select(
         F.col("p_partkey").alias("request_id"),
         supplier.alias("nip"),

@@ -156,7 +156,8 @@ def _assembled(
 ) -> DataFrame:
     headers, rest = records(spark, path)
     if header is not None:
-        other = headers.filter(F.regexp_replace("text", "\\A\\x{FEFF}", "") != header.lstrip("\ufeff"))
+        found = F.regexp_replace("text", r"\A\x{FEFF}", "")
+        other = headers.filter(found != header.lstrip("\ufeff"))
         if not other.isEmpty():
             raise ValueError(f"a header differs from the first: {header}")
     parsed = F.from_csv("text", schema.toDDL(), {**options, "multiLine": "true"})

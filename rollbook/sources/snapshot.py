@@ -33,7 +33,9 @@ def publish(
     return path
 
 
-def read_snapshot(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
+def read_snapshot(
+    spark: SparkSession, table_dir: str, before: int | None = None
+) -> DataFrame | None:
     """The newest snapshot, or the newest with a number below ``before``."""
     done = [n for n in snapshot_numbers(spark, table_dir) if before is None or n < before]
     if not done:

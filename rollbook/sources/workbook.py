@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,21 +100,22 @@ def rows_by_name(
     usable = F.arrays_overlap("_names", wanted)
     if on_unknown == "fail":
         usable = usable & (F.size(F.array_except("_names", wanted)) == 0)
-    checked = F.when(usable, F.col("_names")).otherwise(
-        F.raise_error(
-            F.concat(F.lit("columns not allowed in "), F.col("file"), F.lit(": "),
-                     F.array_join("_names", ", "))
+    found = F.array_join("_names", ", ")
+    failure = F.concat(F.lit("columns not allowed in "), F.col("file"), F.lit(": "), found)
+    checked = F.when(usable, F.col("_names")).otherwise(F.raise_error(failure))
+
+    def cell(name: str) -> Column:
+        position = F.nullif(F.array_position("_names", F.lit(name)), F.lit(0))
+        return F.try_element_at("cells", position.cast("int")).alias(name)
+
+    return (
+        rows.withColumn("_names", names)
+        .withColumn("_names", checked)
+        .select(
+            *[cell(a) for a in allowed],
+            F.struct("file", "sheet_no", "row_no").alias("source_order"),
         )
     )
-    place = rows.withColumn("_names", names).withColumn("_names", checked)
-    return place.select(
-        *[
-            F.try_element_at("cells", F.nullif(F.array_position("_names", F.lit(a)), F.lit(0)).cast("int"))
-            .alias(a)
-            for a in allowed
-        ],
-        F.struct("file", "sheet_no", "row_no").alias("source_order"),
-    )
 
 
 def split_workbooks(rows: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
