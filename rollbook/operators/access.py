@@ -60,16 +60,16 @@ def codes_per_user(
     arrays = placed.groupBy(user, "codes_no").agg(
         F.sort_array(F.collect_list("code")).alias("codes")
     )
-    return (
-        users.join(arrays, F.col(user_key) == F.col(user), "left")
-        .withColumns(
-            {
-                "codes_no": F.coalesce(F.col("codes_no"), F.lit(1)),
-                "codes": F.coalesce(F.col("codes"), F.array().cast("array<string>")),
-            }
-        )
-        .select(*users.columns, "codes_no", "codes")
+    # Users without codes come apart: an inner join can be split if one user has
+    # very many rows, an outer join that keeps the users cannot.
+    same = F.col(user_key) == F.col("_holder")
+    arrays = arrays.withColumnRenamed(user, "_holder")
+    holders = owned.select(F.col(user).alias("_holder")).distinct()
+    held = arrays.join(users, same).select(*users.columns, "codes_no", "codes")
+    others = users.join(holders, same, "left_anti").withColumns(
+        {"codes_no": F.lit(1).cast("long"), "codes": F.array().cast("array<string>")}
     )
+    return held.unionByName(others)
 
 
 def has_access(

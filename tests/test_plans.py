@@ -1,11 +1,13 @@
 """Ranking, skew and the physical plans the operators rely on."""
 
 import re
+from functools import partial
 
 import pytest
 from conftest import final_plan, rows
 from pyspark.sql import functions as F
 
+from rollbook.operators import access
 from rollbook.operators.change import dedupe_by_key, upsert
 from rollbook.operators.children import children_pages
 from rollbook.operators.delete import delete_by_key
@@ -223,3 +225,17 @@ def test_stage_folder_is_never_local_on_a_cluster():
         stage_path(FakeSession(spark_master="spark://host"), "t")
     local = FakeSession(spark_master="local[2]")
     assert stage_path(local, "t").rsplit("/", 1)[0] == stage_path(local, "t").rsplit("/", 1)[0]
+
+
+def test_codes_of_a_hot_user_are_joined_by_several_tasks(spark, skewed, monkeypatch):
+    monkeypatch.setattr(access, "rank_in_group", partial(access.rank_in_group, large=100))
+    users = spark.range(1000).select("id", F.lit("x").alias("nama"))
+    links = skewed.select(F.col("k").alias("user_id"), F.col("id").alias("permission_id"))
+    permissions = skewed.select("id", F.col("wide").alias("code"))
+    found = access.codes_per_user(users, links, permissions, per_row=10)
+    assert "skew=true" in final_plan(found)
+    hot = found.filter("id = 7")
+    codes = hot.select(F.explode("codes").alias("code"))
+    assert codes.distinct().count() == skewed.filter("k = 7").count()
+    assert hot.filter(F.size("codes") > 10).count() == 0
+    assert found.select("id").distinct().count() == 1000
