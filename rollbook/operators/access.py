@@ -121,8 +121,10 @@ def replace_set(
         )
         .drop("_known")
     )
-    applied = status.filter("status = 'applied'")
-    final = applied.groupBy(user).agg(F.max_by(F.col(ids), F.col(order_by)).alias(ids))
+    # Of the requests of a user only the last is left before the join.
+    usable = requests.filter(F.col(ids).isNotNull() & ~repeated)
+    final = usable.groupBy(user).agg(F.max_by(F.col(ids), F.col(order_by)).alias(ids))
+    final = final.join(known, user, "left_semi")
     kept = links.join(hint(final.select(user)), user, "left_anti").select(*links.columns)
     added = final.select(user, F.explode(ids).alias(permission))
     added = added.select(
@@ -153,11 +155,8 @@ def assign_codes(
         .withColumn("status", F.when(F.col("_known"), "assigned").otherwise("not_found"))
         .drop("_known")
     )
-    asked = (
-        status.filter("status = 'assigned'")
-        .select(user, F.explode(codes).alias("code"))
-        .distinct()
-    )
+    asked = requests.select(user, F.explode(codes).alias("code")).distinct()
+    asked = asked.join(known, user, "left_semi")
     ids = permissions.select(
         F.col(permission_key).alias("permission_id"), F.col(code).alias("code")
     )

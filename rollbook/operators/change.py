@@ -253,7 +253,7 @@ def rename_unique(
     hint = hint_by_size(requests.select(key, col))
     named = hint(requests.select(col).distinct())
     holders = target.select(F.col(col), F.col(key).alias("_holder"))
-    holders = hint(holders.join(named, col, "left_semi"))
+    holders = holders.join(named, col, "left_semi")
     known = hint(_found(target, requests.select(key).distinct(), [key], hint))
     asked = requests.select(
         *requests.columns, F.struct(F.col(order_by), F.col(key)).alias("_claim")
@@ -265,8 +265,7 @@ def rename_unique(
     )
     status = (
         asked.join(known, key, "left")
-        .join(holders, col, "left")
-        .join(hint(first), col, "left")
+        .join(hint(holders.join(first, col, "full_outer")), col, "left")
         .withColumn(
             "status",
             F.when(~is_given(F.col(col)), "missing")

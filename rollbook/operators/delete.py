@@ -59,27 +59,11 @@ def delete_scoped(
     ``owners``, which ``target`` reaches by ``owner_link`` = (target column,
     owners column). Status: ``deleted`` or ``refused``.
     """
-    hint = hint_by_size(requests.select(key))
-    asked = hint(requests.select(key).distinct())
-    found = target.join(asked, key, "left_semi")
-    held = _owned_keys(found, key, owner, owners, owner_link, hint)
-    mine = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
-    judged = requests.join(hint(held), key, "left").withColumn(
-        "_may",
-        F.col("_found").isNotNull()
-        & ((F.coalesce(F.col("role"), F.lit("")) == admin) | mine),
-    )
-    first = judged.filter("_may").groupBy(key).agg(F.min(REQUEST).alias("_first"))
-    status = (
-        judged.join(hint(first), key, "left")
-        .withColumn(
-            "status",
-            F.when(F.col("_may") & (F.col(REQUEST) == F.col("_first")), "deleted").otherwise(
-                "refused"
-            ),
-        )
-        .select(*requests.columns, "status")
-    )
+    hint = hint_by_size(requests.select(key, "user_id", "role"))
+    found = target.join(hint(requests.select(key).distinct()), key, "left_semi")
+    held = hint(_owned_keys(found, key, owner, owners, owner_link, hint))
+    first = _first_allowed(requests, held, key, admin, hint).join(held, key, "left_semi")
+    status = _with_status(requests, first, hint, "refused")
     change = _split_by(target, hint(first.select(key)), [key])
     return Change(change.after, change.affected, status)
 
@@ -99,28 +83,29 @@ def delete_group(
     group, others that of a parent they own. Status: ``deleted`` with the
     number of rows, ``already_empty`` or ``refused``.
     """
-    hint = hint_by_size(requests.select(fk))
-    asked = hint(requests.select(fk).distinct())
+    hint = hint_by_size(requests.select(fk, "user_id", "role"))
     held = parents.select(F.col(parent_key).alias(fk), F.col(owner).alias("_owner"))
-    held = hint(held.join(asked, fk, "left_semi"))
-    mine = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
-    judged = requests.join(held, fk, "left").withColumn(
-        "_may", (F.coalesce(F.col("role"), F.lit("")) == admin) | mine
-    )
-    first = judged.filter("_may").groupBy(fk).agg(F.min(REQUEST).alias("_first"))
-    sizes = (
-        target.join(hint(first.select(fk)), fk, "left_semi")
-        .groupBy(fk)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    hit = F.col("_rows").isNotNull() & (F.col(REQUEST) == F.col("_first"))
+    held = hint(held.join(hint(requests.select(fk).distinct()), fk, "left_semi"))
+    first = _first_allowed(requests, held, fk, admin, hint)
+    # Rows are counted ahead of the join if that shuffles.
+    if hint is F.broadcast:
+        counted = _counts(target.join(hint(first.select(fk)), fk, "left_semi"), fk)
+    else:
+        counted = _counts(target, fk)
+    done = first.join(hint(counted), fk).select(REQUEST, F.col("_rows"))
+
+    own = held.select(fk, F.col("_owner").alias("user_id"), F.lit(True).alias("_own"))
+    may = (F.coalesce(F.col("role"), F.lit("")) == admin) | F.col("_own").isNotNull()
     status = (
-        judged.join(hint(first.join(hint(sizes), fk, "left")), fk, "left")
+        requests.join(hint(own), [fk, "user_id"], "left")
+        .join(hint(done), REQUEST, "left")
         .withColumn(
             "status",
-            F.when(~F.col("_may"), "refused").when(hit, "deleted").otherwise("already_empty"),
+            F.when(F.col("_rows").isNotNull(), "deleted")
+            .when(may, "already_empty")
+            .otherwise("refused"),
         )
-        .withColumn("rows", F.when(F.col("status") == "deleted", F.col("_rows")).otherwise(0))
+        .withColumn("rows", F.coalesce(F.col("_rows"), F.lit(0)))
         .select(*requests.columns, "status", "rows")
     )
     change = _split_by(target, hint(first.select(fk)), [fk])
@@ -139,16 +124,18 @@ def delete_restricted(
     Status: ``refused`` (in use), ``deleted`` or ``not_found``.
     """
     hint = hint_by_size(requests.select(key))
-    asked = hint(requests.select(key).distinct())
-    used = child.select(F.col(fk).alias(key)).join(asked, key, "left_semi").distinct()
-    used = hint(used.withColumn("_used", F.lit(True)))
-    known = target.select(key).join(asked, key, "left_semi")
-    known = hint(known.withColumn("_known", F.lit(True)))
-    judged = requests.join(known, key, "left").join(used, key, "left")
-    free = F.col("_known").isNotNull() & F.col("_used").isNull()
-    first = judged.filter(free).groupBy(key).agg(F.min(REQUEST).alias("_first"))
+    first = requests.groupBy(key).agg(F.min(REQUEST).alias("_first"))
+    asked = hint(first.select(key))
+    used = child.select(F.col(fk).alias(key))
+    if hint is F.broadcast:
+        used = used.join(asked, key, "left_semi").distinct()
+    else:
+        used = used.distinct().join(asked, key, "left_semi")
+    known = hint(target.select(key).join(asked, key, "left_semi"))
+    judged = first.join(known.withColumn("_known", F.lit(True)), key, "left")
+    judged = judged.join(hint(used).withColumn("_used", F.lit(True)), key, "left")
     status = (
-        judged.join(hint(first), key, "left")
+        requests.join(hint(judged), key, "left")
         .withColumn(
             "status",
             F.when(F.col("_known").isNull(), "not_found")
@@ -158,7 +145,8 @@ def delete_restricted(
         )
         .select(*requests.columns, "status")
     )
-    change = _split_by(target, hint(first.select(key)), [key])
+    gone = judged.filter(F.col("_known") & F.col("_used").isNull()).select(key)
+    change = _split_by(target, hint(gone), [key])
     return Change(change.after, change.affected, status)
 
 
@@ -204,6 +192,39 @@ def truncate(
     return Truncation("deleted", after, dict.fromkeys(sorted(emptied), 1))
 
 
+def _first_allowed(
+    requests: DataFrame,
+    held: DataFrame,
+    key: str,
+    admin: str,
+    hint: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """key and the first request of it by an admin or by the owner in ``held``.
+
+    Repeated requests are combined before the join, and the join is by key and
+    user, so a key that very many ask for is spread by its users.
+    """
+    by_admin = requests.filter(F.col("role") == admin).select(key, REQUEST)
+    asked = requests.groupBy(key, "user_id").agg(F.min(REQUEST).alias(REQUEST))
+    owners = held.select(key, F.col("_owner").alias("user_id"))
+    by_owner = asked.join(hint(owners), [key, "user_id"]).select(key, REQUEST)
+    return by_admin.unionByName(by_owner).groupBy(key).agg(F.min(REQUEST).alias(REQUEST))
+
+
+def _with_status(
+    requests: DataFrame, done: DataFrame, hint: Callable[[DataFrame], DataFrame], other: str
+) -> DataFrame:
+    """``requests`` with status ``deleted`` for those in ``done``."""
+    marked = done.select(REQUEST, F.lit("deleted").alias("_done"))
+    return requests.join(hint(marked), REQUEST, "left").select(
+        *requests.columns, F.coalesce("_done", F.lit(other)).alias("status")
+    )
+
+
+def _counts(rows: DataFrame, fk: str) -> DataFrame:
+    return rows.groupBy(fk).agg(F.count(F.lit(1)).alias("_rows"))
+
+
 def _split_by(target: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> Change:
     """Rows of ``target`` without and with a wanted key; wanted keys are distinct."""
     return Change(

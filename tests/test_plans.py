@@ -7,7 +7,7 @@ import pytest
 from conftest import final_plan, rows
 from pyspark.sql import functions as F
 
-from rollbook.operators import access
+from rollbook.operators import access, delete
 from rollbook.operators.change import dedupe_by_key, upsert
 from rollbook.operators.children import children_pages
 from rollbook.operators.delete import delete_by_key
@@ -239,3 +239,41 @@ def test_codes_of_a_hot_user_are_joined_by_several_tasks(spark, skewed, monkeypa
     assert codes.distinct().count() == skewed.filter("k = 7").count()
     assert hot.filter(F.size("codes") > 10).count() == 0
     assert found.select("id").distinct().count() == 1000
+
+
+def test_requests_for_one_hot_row(spark, conf, skewed, monkeypatch):
+    """A third of all requests ask for one row; the requests are not broadcast."""
+    for module in ("delete", "access"):
+        monkeypatch.setattr(f"rollbook.operators.{module}.hint_by_size", lambda df: lambda side: side)
+    requests = skewed.select(
+        F.col("id").alias("request_id"),
+        "k",
+        (F.col("id") % 100).alias("user_id"),
+        F.lit("user").alias("role"),
+    )
+    target = spark.range(1000).select(F.col("id").alias("k"), F.lit(5).alias("owner"))
+    scoped = delete.delete_scoped(target, requests, "k", "owner")
+    asked = {(r["k"], r["user_id"]): r["n"] for r in
+             requests.groupBy("k", "user_id").agg(F.min("request_id").alias("n")).collect()}
+    firsts = sorted((n,) for (_, user), n in asked.items() if user == 5)
+    assert sorted(map(tuple, scoped.status.filter("status = 'deleted'").select("request_id").collect())) == firsts
+    assert scoped.after.count() == 1000 - len(firsts)
+
+    group = delete.delete_group(skewed.select("k", "id"), requests, target, "k", "k", "owner")
+    assert rows(group.status.groupBy("status").count()) == [
+        ("already_empty", requests.filter("user_id = 5").count() - len(firsts)),
+        ("deleted", len(firsts)),
+        ("refused", requests.filter("user_id <> 5").count()),
+    ]
+    assert group.status.agg(F.sum("rows")).first()[0] == group.affected.count()
+
+    free = delete.delete_restricted(target, requests, "k", spark.range(500).toDF("fk"), "fk")
+    assert free.after.count() == 500
+    assert free.status.filter("status = 'deleted'").count() == 500
+
+    users = target.select(F.col("k").alias("id"))
+    links = skewed.select(F.col("k").alias("user_id"), F.col("id").alias("permission_id"))
+    wanted = requests.select("request_id", F.col("k").alias("user_id"), F.array("request_id").alias("ids"))
+    replaced = access.replace_set(links, wanted, users, "request_id")
+    last = requests.groupBy("k").agg(F.max("request_id"))
+    assert rows(replaced.after) == rows(last)
