@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe, jaccard, mixing, pii, rules
+from rollbook.llm import bpe, digest, jaccard, maxent, mixing, pages, pii, rules, subwords
 from rollbook.llm.tables import documents, table
 
 
@@ -15,6 +15,10 @@ from rollbook.llm.tables import documents, table
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.with_edits(documents(spark, sf_dir))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -27,19 +31,35 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(documents(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.classified(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(documents(spark, sf_dir), k=3, num=90, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_personal_data": op2_personal_data,
     "op3_bpe": op3_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_model": op6_language_model,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_source_mixing": op8_source_mixing,
+    "op9_main_text": op9_main_text,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
