@@ -1,7 +1,7 @@
 """A quality classifier of supervised subword embeddings.
 
-A text's features are its words and the runs of 3 to 5 bytes of its words with
-the white space beside them, each hashed to a learned vector. The text is the
+A text's features are its words, its pairs of neighbouring words, and the runs of 3 to 5 bytes of its words
+with the white space beside them, each hashed to a learned vector. The text is the
 mean of its vectors, and a softmax layer gives the chance of label 1. Vectors
 and layer are trained by stochastic gradient descent on labelled documents
 outside the held-out fold, at most ``LABEL_SAMPLE`` of them, chosen by a hash of
@@ -27,7 +27,7 @@ from rollbook.llm.blocks import IS_SPACE, Block, Hasher, blocks
 from rollbook.llm.carry import per_block
 
 ORDERS = (3, 4, 5)
-#: Buckets of words, and of each order's runs.
+#: Buckets of words, of pairs of words, and of each order's runs.
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 LABEL_SAMPLE = 3_000
@@ -43,9 +43,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For words and each order: buckets, and those before each text."""
+    """For words, pairs of words and each order: buckets, and those before each text."""
     starts, ends, before = block.words()
-    yield (Hasher(block.data)(starts, ends) >> np.uint64(48)).astype(np.int64), before
+    words = Hasher(block.data)(starts, ends)
+    yield (words >> np.uint64(48)).astype(np.int64), before
+    inside = np.ones(max(len(words) - 1, 0), bool)
+    edges = before[1:-1]
+    inside[edges[(edges > 0) & (edges < len(words))] - 1] = False
+    place = np.flatnonzero(inside)
+    # The exclusive or is the same for all words that follow themselves.
+    yield ((words[place] ^ words[place + 1]) >> np.uint64(48)).astype(np.int64) + BUCKETS, np.searchsorted(place, before)
     space = IS_SPACE[block.data]
     data = np.where(space, np.uint8(0x20), block.data).astype(np.uint64)
     spaces = np.concatenate([[0], np.cumsum(space)])
@@ -63,7 +70,7 @@ def features(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             whole[at[(at >= 0) & (at < n)]] = False
         place = np.flatnonzero(whole)
         bucket = ((key[place] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-        yield bucket + (k + 1) * BUCKETS, np.searchsorted(place, block.at)
+        yield bucket + (k + 2) * BUCKETS, np.searchsorted(place, block.at)
 
 
 class Model:
@@ -116,7 +123,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, limit: int) -> list[tu
 
 def train(data: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Stochastic gradient descent with a falling rate, in an order that a fixed seed draws."""
-    size = (1 + len(ORDERS)) * BUCKETS
+    size = (2 + len(ORDERS)) * BUCKETS
     if len({y for _, _, y in data}) < 2:
         return Model(np.zeros(size, np.int64), 0.0)
     rng = np.random.default_rng(7)
