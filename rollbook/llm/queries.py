@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, digest, jaccard, maxent, mixing, pages, pii, rules, subwords
+from rollbook.llm import bpe, digest, edits, jaccard, maxent, mixing, pages, pii, rules, subwords
 from rollbook.llm.tables import documents, table
 
 
@@ -27,6 +28,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    note = F.concat_ws(" ", F.lit(""), "lang", "source")
+    return edits.recounted(docs.withColumn("edits", edits.example_edits(docs["text"], note)), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_personal_data": op2_personal_data,
     "op3_bpe": op3_bpe,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_model": op6_language_model,
     "op7_quality_classifier": op7_quality_classifier,
