@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.change import Change
-from rollbook.plans import hint_by_size, largest_group, rank_in_group
+from rollbook.plans import hint_by_size, rank_in_group
 
-# Codes of one user per array; a user with more has several rows.
-CODES_PER_ROW = 1_000
+# Codes that one row may hold; a catalogue with more of them is refused.
+MOST_CODES = 1_000_000
 
 
 def permission_codes(
@@ -33,43 +33,88 @@ def codes_per_user(
     users: DataFrame,
     links: DataFrame,
     permissions: DataFrame,
+    user_ids: Sequence[object] | None = None,
     user_key: str = "id",
     user: str = "user_id",
     permission: str = "permission_id",
     permission_key: str = "id",
     code: str = "code",
-    per_row: int = CODES_PER_ROW,
 ) -> DataFrame:
-    """Every user with the sorted array of their codes, empty if there are none.
+    """Every user, or those in ``user_ids``, with the sorted array of their codes.
 
-    Null codes are left out. A user with more than ``per_row`` codes continues
-    on further rows (``codes_no`` 1, 2, ...), so no array grows with the data.
+    One row per user; the array is empty if there are no codes, and null codes
+    are left out. A user holds a permission once however often it is linked, so
+    an array has at most the rows of ``permissions``; more than ``MOST_CODES``
+    is an error, for which ``codes_in_rows`` is the way out.
     """
-    owned = permission_codes(
-        links, permissions, None, user, permission, permission_key, code
-    ).filter(F.col("code").isNotNull())
-    largest = largest_group(links, [user])  # no user has more codes than links
-    if largest <= per_row:
-        placed = owned.withColumn("codes_no", F.lit(1).cast("long"))
-    else:
-        order = [F.col("code").asc()]
-        ranked = rank_in_group(owned, [user], order, "_rank", largest=largest)
-        placed = ranked.withColumn(
-            "codes_no", F.floor((F.col("_rank") - F.lit(1)) / F.lit(per_row)) + F.lit(1)
-        )
-    arrays = placed.groupBy(user, "codes_no").agg(
-        F.sort_array(F.collect_list("code")).alias("codes")
-    )
-    # Users without codes come apart: an inner join can be split if one user has
-    # very many rows, an outer join that keeps the users cannot.
-    same = F.col(user_key) == F.col("_holder")
+    if user_ids is not None:
+        users = users.filter(F.col(user_key).isin(list(user_ids)))
+    held = _held_codes(links, permissions, user_ids, user, permission, permission_key, code)
+    arrays = held.groupBy(user).agg(F.sort_array(F.collect_list("code")).alias("codes"))
     arrays = arrays.withColumnRenamed(user, "_holder")
-    holders = owned.select(F.col(user).alias("_holder")).distinct()
-    held = arrays.join(users, same).select(*users.columns, "codes_no", "codes")
-    others = users.join(holders, same, "left_anti").withColumns(
-        {"codes_no": F.lit(1).cast("long"), "codes": F.array().cast("array<string>")}
+    many = F.raise_error(F.lit(f"a user has more than {MOST_CODES} codes"))
+    codes = F.when(F.size("codes") > MOST_CODES, many.cast("array<string>")).otherwise(
+        F.coalesce("codes", F.array().cast("array<string>"))
     )
-    return held.unionByName(others)
+    return users.join(arrays, F.col(user_key) == F.col("_holder"), "left").select(
+        *users.columns, codes.alias("codes")
+    )
+
+
+def codes_of_requested(
+    users: DataFrame,
+    links: DataFrame,
+    permissions: DataFrame,
+    requests: DataFrame,
+    request: str = "request_id",
+    user_key: str = "id",
+    user: str = "user_id",
+) -> tuple[DataFrame, DataFrame]:
+    """The requested users with their codes, and each request with its status.
+
+    ``requests`` has ``request`` and ``user_key``; the status is ``found`` or
+    ``not_found``. Only the links of users asked for are joined.
+    """
+    hint = hint_by_size(requests.select(user_key))
+    asked = hint(requests.select(user_key).distinct())
+    chosen = users.join(asked, user_key, "left_semi").select(*users.columns)
+    theirs = links.join(asked.withColumnRenamed(user_key, user), user, "left_semi")
+    known = hint(chosen.select(user_key, F.lit(True).alias("_known")))
+    status = requests.join(known, user_key, "left").select(
+        *requests.columns, F.when(F.col("_known"), "found").otherwise("not_found").alias("status")
+    )
+    return codes_per_user(chosen, theirs, permissions, user_key=user_key, user=user), status
+
+
+def codes_in_rows(
+    links: DataFrame,
+    permissions: DataFrame,
+    user: str = "user_id",
+    permission: str = "permission_id",
+    permission_key: str = "id",
+    code: str = "code",
+) -> DataFrame:
+    """``user, code, position`` with positions from 1 in the order of a user's codes.
+
+    For catalogues of any size: a user's rows may span many tasks.
+    """
+    held = _held_codes(links, permissions, None, user, permission, permission_key, code)
+    return rank_in_group(held, [user], [F.col("code").asc()], "position")
+
+
+def _held_codes(
+    links: DataFrame,
+    permissions: DataFrame,
+    user_ids: Sequence[object] | None,
+    user: str,
+    permission: str,
+    permission_key: str,
+    code: str,
+) -> DataFrame:
+    """user and code of each permission held that has a code, once however often it is linked."""
+    once = links.select(user, permission).distinct()
+    held = permission_codes(once, permissions, user_ids, user, permission, permission_key, code)
+    return held.filter(F.col("code").isNotNull())
 
 
 def has_access(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.change import Change
-from rollbook.plans import hint_by_size
+from rollbook.plans import hint_by_size, stage
 
 REQUEST = "request_id"
 
@@ -38,9 +38,20 @@ class Truncation:
 
 
 def delete_by_key(target: DataFrame, requests: DataFrame, keys: Sequence[str]) -> Change:
-    """Rows whose key is requested; ``affected`` holds them."""
-    wanted = requests.select(*keys)
-    return _split_by(target, hint_by_size(wanted)(wanted.distinct()), keys)
+    """Rows whose key is requested; ``affected`` holds them.
+
+    Requests with a ``request_id`` get a status: ``deleted`` for the first
+    request of a key that has rows, ``not_found`` for others.
+    """
+    hint = hint_by_size(requests.select(*keys))
+    change = _split_by(target, hint(requests.select(*keys).distinct()), keys)
+    if REQUEST not in requests.columns:
+        return change
+    first = requests.groupBy(*keys).agg(F.min(REQUEST).alias(REQUEST))
+    known = target.select(*keys).join(hint(first.select(*keys)), list(keys), "left_semi")
+    done = first.join(hint(known.distinct()), list(keys), "left_semi")
+    status = _with_status(requests, done, hint, "not_found")
+    return Change(change.after, change.affected, status)
 
 
 def delete_scoped(
@@ -157,14 +168,19 @@ def delete_cascade(
     requests: DataFrame,
     keys: Sequence[str],
 ) -> dict[str, Change]:
-    """Delete rows of ``name`` and, through ``references``, all rows below them."""
+    """Delete rows of ``name`` and, through ``references``, all rows below them.
+
+    The change of ``name`` has the status of each request, as ``delete_by_key``
+    gives it. What is taken along on each level is written once, since the
+    levels below and both sides of a change read it.
+    """
     changes = {name: delete_by_key(tables[name], requests, keys)}
     for table in _below(references, name):
         after, affected = tables[table], None
         for ref in references:
             if ref.child != table or ref.parent not in changes:
                 continue
-            gone = changes[ref.parent].affected.select(F.col(ref.key).alias(ref.fk))
+            gone = _gone_keys(changes[ref.parent].affected, ref)
             step = delete_by_key(after, gone, [ref.fk])
             after = step.after
             affected = (
@@ -174,6 +190,11 @@ def delete_cascade(
     return changes
 
 
+def _gone_keys(affected: DataFrame, ref: Reference) -> DataFrame:
+    keys = affected.select(F.col(ref.key).alias(ref.fk)).distinct()
+    return stage(keys, "gone")
+
+
 def truncate(
     tables: Mapping[str, DataFrame],
     name: str,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.typed import leading_int_of
-from rollbook.plans import number_rows, order_columns
+from rollbook.plans import all_terms, number_rows, order_columns, rows_between
 from rollbook.plans.ordering import Term
 
 DEFAULT_PAGE = 1
@@ -18,9 +18,12 @@ DEFAULT_LIMIT = 10
 # Every task of the scan hands this many rows at most to the one that cuts the page.
 FEW_ROWS = 100
 
-# Up to this row, tasks thin out their rows in groups first; beyond it the whole
-# table is numbered in parallel.
-DEEP_PAGE_ROWS = 999
+# Up to this row, tasks thin out order values and keys in groups first; beyond it
+# those of the whole table are sorted in parallel. Other columns are read for the
+# page's rows only.
+DEEP_PAGE_ROWS = 10_000
+# Keys of a page up to this size are broadcast.
+PAGE_BROADCAST_ROWS = 10_000
 _GROUPS = 512
 
 
@@ -106,7 +109,7 @@ def page(
     return Page(
         number,
         size,
-        _cut(df, order_columns(order, key), number, size),
+        _cut(df, order, key, number, size),
         _summary(counted if counted is not None else df, number, size),
     )
 
@@ -135,7 +138,7 @@ def lookup_page(
             reachable = reachable.join(known, F.col(lookup.on) == F.col("_known"), "left_semi")
     number, size = page_args(page, limit)
     columns = order_columns(order, key)
-    rows = with_lookups(_cut(reachable, columns, number, size), lookups).orderBy(*columns)
+    rows = with_lookups(_cut(reachable, order, key, number, size), lookups).orderBy(*columns)
     counted = fact if total == "base" else reachable
     return Page(number, size, rows, _summary(counted, number, size))
 
@@ -169,18 +172,33 @@ def ordered_array(rows: DataFrame) -> DataFrame:
     return placed.agg(F.transform(items, lambda item: item["row"]).alias("data"))
 
 
-def _cut(df: DataFrame, columns: list[Column], number: int, size: int) -> DataFrame:
+def _cut(
+    df: DataFrame, order: Sequence[Term], key: str | Sequence[str], number: int, size: int
+) -> DataFrame:
+    """One page. Beyond the first rows, order values and keys alone find its keys."""
     offset, last = (number - 1) * size, number * size
-    if last <= DEEP_PAGE_ROWS:
-        rows = df if last <= FEW_ROWS else _thinned(df, columns, last)
-        return rows.orderBy(*columns).offset(offset).limit(size)
-    ordinal = F.col("_ordinal")
-    return (
-        number_rows(df, columns, "_ordinal", unique=True)
-        .filter((ordinal >= offset) & (ordinal < last))
-        .orderBy("_ordinal")
-        .drop("_ordinal")
+    columns = order_columns(order, key)
+    if last <= FEW_ROWS:
+        return df.orderBy(*columns).offset(offset).limit(size)
+    keys = [key] if isinstance(key, str) else list(key)
+    terms = [t if isinstance(t, tuple) else (t, "asc") for t in all_terms(order, key)]
+    values = [F.col(v) if isinstance(v, str) else v for v, _ in terms]
+    narrow = df.select(
+        *[v.alias(f"_order_{i}") for i, v in enumerate(values)],
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
     )
+    sort = order_columns([(f"_order_{i}", direction) for i, (_, direction) in enumerate(terms)])
+    if last <= DEEP_PAGE_ROWS:
+        found = _thinned(narrow, sort, last).orderBy(*sort).offset(offset).limit(size)
+    else:
+        found = rows_between(narrow, sort, offset, last)
+    found = found.select(*[f"_key_{i}" for i in range(len(keys))])
+    if size <= PAGE_BROADCAST_ROWS:
+        found = F.broadcast(found)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(found, same, "left_semi").orderBy(*columns)
 
 
 def _thinned(df: DataFrame, columns: list[Column], last: int) -> DataFrame:

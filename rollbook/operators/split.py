@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.plans import number_rows, order_columns
@@ -18,17 +18,18 @@ def split_parts(
     order_by: Sequence[Term] | None = None,
     rows_per_part: int = ROWS_PER_PART,
     scanned: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """Every row with ``part`` and ``row_in_part``, both from 1.
 
     Rows count in the order of ``order_by``, or in source order if it is None.
-    ``scanned`` says that ``df`` is read from files without a shuffle, which
-    saves a sort.
+    ``scanned`` says that ``df`` is read from files without a shuffle and
+    ``unique`` that the order has no ties; either saves a sort.
     """
     columns = None if order_by is None else order_columns(order_by)
     ordinal = F.col("_ordinal")
     return (
-        number_rows(df, columns, "_ordinal", scanned=scanned)
+        number_rows(df, columns, "_ordinal", unique=unique, scanned=scanned)
         .withColumns(
             {
                 "part": F.floor(ordinal / F.lit(rows_per_part)) + F.lit(1),
@@ -55,6 +56,12 @@ def part_manifest(
     return parts.groupBy("part").agg(*shown).withColumn("name", part_name(base, suffix))
 
 
+def part_files(spark: SparkSession, path: str) -> DataFrame:
+    """The file that holds each part below ``path``, as written by ``write_parts``: name and file."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    return found.select("name", F.col("path").alias("file"))
+
+
 def write_parts(parts: DataFrame, path: str, base: str) -> None:
     """Write each part as one CSV file with a header, in ``path/name=<base>_part<n>.csv``."""
     (

@@ -96,6 +96,11 @@ judged AS (
 )
 """
 
+_PAGE_ORDER = (
+    "CAST(l_shipdate AS DATE) DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
+    "l_orderkey, l_linenumber, l_discount, l_tax, l_returnflag, l_linestatus"
+)
+
 _LINE_ORDER = (
     "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
     "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
@@ -251,17 +256,27 @@ ORACLE: dict[str, str] = {
     """,
     "codes_per_user": f"""
         WITH {_ACCESS},
-        ranked AS (
-          SELECT user_id, code,
-                 (row_number() OVER (PARTITION BY user_id ORDER BY code) - 1) // 500 + 1 AS codes_no
-          FROM links JOIN permissions ON permission_id = id WHERE code IS NOT NULL
-        ),
         arrays AS (
-          SELECT user_id, codes_no, string_agg(code, ',' ORDER BY code) AS codes
-          FROM ranked GROUP BY user_id, codes_no
+          SELECT user_id, string_agg(code, ',' ORDER BY code) AS codes
+          FROM links JOIN permissions ON permission_id = id WHERE code IS NOT NULL GROUP BY user_id
+        )
+        SELECT id, nama, coalesce(codes, '') AS codes FROM users LEFT JOIN arrays ON id = user_id
+    """,
+    "codes_of_one_user": f"""
+        WITH {_ACCESS},
+        arrays AS (
+          SELECT user_id, string_agg(code, ',' ORDER BY code) AS codes
+          FROM links JOIN permissions ON permission_id = id WHERE code IS NOT NULL GROUP BY user_id
         )
-        SELECT id, nama, CAST(coalesce(codes_no, 1) AS BIGINT) AS codes_no, coalesce(codes, '') AS codes
-        FROM users LEFT JOIN arrays ON id = user_id
+        SELECT id, nama, coalesce(codes, '') AS codes
+        FROM users LEFT JOIN arrays ON id = user_id WHERE id IN (1, 7)
+        UNION ALL SELECT id, 'found', '' FROM users WHERE id IN (1, 7)
+        UNION ALL SELECT max(id) + 1, 'not_found', '' FROM users
+    """,
+    "codes_in_rows": f"""
+        WITH {_ACCESS}
+        SELECT user_id, code, row_number() OVER (PARTITION BY user_id ORDER BY code) AS position
+        FROM links JOIN permissions ON permission_id = id WHERE code IS NOT NULL
     """,
     "permission_codes": f"""
         WITH {_ACCESS}
@@ -376,32 +391,6 @@ ORACLE: dict[str, str] = {
         FROM customer
     """,
     "publish_snapshot": "SELECT p_partkey, p_brand, p_size + 1 AS p_size FROM part",
-    "workbook_rows": """
-        WITH numbered AS (
-          SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer
-        )
-        SELECT 'people_part' || CAST(n // 400 + 1 AS VARCHAR) || '.xlsx' AS file,
-               CAST(n % 400 + 2 AS BIGINT) AS row_no,
-               'c_custkey|c_name|c_acctbal|segment' AS header,
-               CAST(c_custkey AS VARCHAR) || '|' || c_name || '|'
-                 || CASE WHEN c_acctbal > 0
-                         THEN regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '')
-                         ELSE '(null)' END
-                 || '| <' || c_mktsegment || '> & ' AS cells
-        FROM numbered
-    """,
-    "split_workbook": """
-        WITH numbered AS (
-          SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer
-        )
-        SELECT 'people_part' || CAST(n // 500 + 1 AS VARCHAR) || '_part'
-                 || CAST(n % 500 // 200 + 1 AS VARCHAR) || '.xlsx' AS file,
-               CAST(n % 500 % 200 + 2 AS BIGINT) AS row_no,
-               CAST(c_custkey AS VARCHAR) || '|' || c_name || '|' || CAST(c_nationkey AS VARCHAR) AS cells,
-               'true|false|true' AS numeric
-        FROM numbered
-    """,
-    "workbook_table": "SELECT s_suppkey AS id, s_name AS nama, s_acctbal AS saldo FROM supplier",
     "ingest_dir": f"""
         WITH known AS (
           SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS note
@@ -415,9 +404,19 @@ ORACLE: dict[str, str] = {
         FROM known o FULL JOIN lines l USING (k)
     """,
     "delete_by_key": """
+        WITH requests AS (
+          SELECT o_orderkey AS request_id, o_orderkey // 2 * 4 AS l_orderkey FROM orders
+        )
         SELECT l_orderkey, l_linenumber, l_partkey,
-               CASE WHEN o_orderstatus = 'F' THEN 'affected' ELSE 'after' END AS side
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+               CASE WHEN l_orderkey IN (SELECT l_orderkey FROM requests)
+                 THEN 'affected' ELSE 'after' END AS side
+        FROM lineitem
+        UNION ALL
+        SELECT request_id, NULL, NULL,
+               CASE WHEN l_orderkey IN (SELECT l_orderkey FROM lineitem)
+                 AND request_id = min(request_id) OVER (PARTITION BY l_orderkey)
+                 THEN 'deleted' ELSE 'not_found' END
+        FROM requests
     """,
     "delete_owned": f"""
         WITH {_REQUESTS},
@@ -472,18 +471,27 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'lineitem', 0, 'deleted', 1
     """,
     "delete_cascade": """
-        WITH judged AS (
-          SELECT 'customer' AS name, c_acctbal < 0 AS gone FROM customer
-          UNION ALL
-          SELECT 'orders', o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) FROM orders
-          UNION ALL
-          SELECT 'lineitem', l_orderkey IN (
-            SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0)
-          FROM lineitem
-        )
-        SELECT name, 'affected' AS side, count(*) FILTER (WHERE gone) AS n FROM judged GROUP BY name
+        WITH gone AS (
+          SELECT c_custkey AS id FROM customer
+          WHERE c_custkey IN (SELECT c_custkey * 3 FROM customer)
+        ),
+        gone_orders AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT id FROM gone))
+        SELECT 'customer' AS name, CASE WHEN c_custkey IN (SELECT id FROM gone)
+                 THEN 'affected' ELSE 'after' END AS side,
+               CAST(c_custkey AS BIGINT) AS key, CAST(0 AS BIGINT) AS line
+        FROM customer
+        UNION ALL
+        SELECT 'orders', CASE WHEN o_orderkey IN (SELECT id FROM gone_orders)
+                 THEN 'affected' ELSE 'after' END, o_orderkey, 0
+        FROM orders
+        UNION ALL
+        SELECT 'lineitem', CASE WHEN l_orderkey IN (SELECT id FROM gone_orders)
+                 THEN 'affected' ELSE 'after' END, l_orderkey, l_linenumber
+        FROM lineitem
         UNION ALL
-        SELECT name, 'after', count(*) FILTER (WHERE NOT gone) FROM judged GROUP BY name
+        SELECT 'request', CASE WHEN c_custkey * 3 IN (SELECT id FROM gone)
+                 THEN 'deleted' ELSE 'not_found' END, c_custkey, 0
+        FROM customer
     """,
     "delete_restricted": """
         WITH requests AS (SELECT event_id AS request_id, event_id * 3 // 2 AS id FROM events),
@@ -557,7 +565,8 @@ ORACLE: dict[str, str] = {
           SELECT DISTINCT ON (nama_tim) nama_tim, id FROM requests
           WHERE nama_tim <> '' AND id IN (SELECT c_custkey FROM customer)
           ORDER BY nama_tim, seq
-        )
+        ),
+        judged AS (
         SELECT seq, r.id, r.nama_tim,
                CASE WHEN r.nama_tim = '' THEN 'missing'
                     WHEN r.id NOT IN (SELECT c_custkey FROM customer) THEN 'not_found'
@@ -565,6 +574,14 @@ ORACLE: dict[str, str] = {
                       OR c.id <> r.id THEN 'duplicate'
                     ELSE 'updated' END AS status
         FROM requests r LEFT JOIN claims c ON c.nama_tim = r.nama_tim
+        ),
+        named AS (
+          SELECT DISTINCT ON (id) id, nama_tim FROM judged WHERE status = 'updated' ORDER BY id, seq DESC
+        )
+        SELECT seq, id, nama_tim, status FROM judged
+        UNION ALL
+        SELECT NULL, c_custkey, coalesce(n.nama_tim, c_name), 'after'
+        FROM customer LEFT JOIN named n ON n.id = c_custkey
     """,
     "create_users": """
         WITH requests AS (
@@ -635,7 +652,7 @@ ORACLE: dict[str, str] = {
         FROM hits ORDER BY nama_lengkap NULLS LAST, no_ukg, tahun LIMIT 10 OFFSET 10
     """,
     "single_value": """
-        SELECT CAST(max(n_chars) AS VARCHAR) AS isi FROM documents
+        SELECT 'v0' AS isi
         UNION ALL SELECT '-'
     """,
     "update_all": "SELECT doc_id, lang, 'isi' AS text FROM documents",
@@ -672,4 +689,69 @@ ORACLE: dict[str, str] = {
                CAST(n % 1000 + 1 AS BIGINT) AS row_in_part
         FROM numbered
     """,
+    "split_source_lines": """
+        WITH numbered AS (
+          SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+                 'a "b", ' || c_mktsegment || chr(10) || CAST(c_nationkey AS VARCHAR) AS nick,
+                 row_number() OVER (ORDER BY c_custkey) - 1 AS n
+          FROM customer
+        )
+        SELECT c_custkey, nick, CAST(n // 100 + 1 AS BIGINT) AS part,
+               CAST(n % 100 + 1 AS BIGINT) AS row_in_part, read
+        FROM numbered, (VALUES ('whole'), ('pieces')) v(read)
+    """,
+    "load_participants": """
+        SELECT CAST(s_suppkey * 2 AS BIGINT) AS peserta_id, 3 AS kegiatan_id, s_name AS nama,
+               '' AS instansi
+        FROM supplier
+        UNION ALL
+        SELECT (SELECT max(s_suppkey) * 2 FROM supplier) + row_number() OVER (ORDER BY p_partkey),
+               9, p_name, p_brand
+        FROM part
+    """,
+    "load_activities": """
+        SELECT CAST(c_custkey + 5 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS users_id,
+               CAST(NULL AS VARCHAR) AS nama_kegiatan, CAST(NULL AS DATE) AS tanggal_mulai,
+               CAST(NULL AS INTEGER) AS total_peserta
+        FROM customer
+        UNION ALL
+        SELECT (SELECT max(c_custkey) + 5 FROM customer) + row_number() OVER (ORDER BY o_orderkey),
+               4, o_orderpriority, CAST(o_orderdate AS DATE), CAST(o_orderkey AS INTEGER)
+        FROM orders
+    """,
+    "page_500": """
+        SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders
+        ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey LIMIT 10 OFFSET 490
+    """,
+    "page_5000": f"""
+        SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem
+        ORDER BY {_PAGE_ORDER} LIMIT 10 OFFSET 4990
+    """,
+    "page_far": f"""
+        SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem
+        ORDER BY {_PAGE_ORDER} LIMIT 100 OFFSET 24900
+    """,
+    "rank_hot_groups": """
+        SELECT l_returnflag, l_orderkey, l_linenumber,
+               row_number() OVER (
+                 PARTITION BY l_returnflag ORDER BY l_orderkey DESC, l_linenumber) AS rank
+        FROM lineitem
+    """,
+    "clear_tables": """
+        WITH held(name, n) AS (
+          SELECT 'ptk', count(*) FROM orders UNION ALL SELECT 'data_sekolah', count(*) FROM customer
+          UNION ALL SELECT 'ppg', 0 UNION ALL SELECT 'kegiatan', count(*) FROM supplier
+          UNION ALL SELECT 'peserta', count(*) FROM lineitem
+        ),
+        emptied(clear, name) AS (
+          VALUES ('staff', 'ptk'), ('schools', 'data_sekolah'), ('schools', 'ptk'),
+                 ('activities', 'kegiatan'), ('activities', 'peserta')
+        ),
+        clears(clear, status) AS (
+          VALUES ('staff', 'deleted'), ('schools', 'deleted'), ('candidates', 'already_empty'),
+                 ('activities', 'deleted')
+        )
+        SELECT h.name, CASE WHEN e.name IS NULL THEN h.n ELSE 0 END AS n, c.clear, c.status
+        FROM held h CROSS JOIN clears c LEFT JOIN emptied e ON e.clear = c.clear AND e.name = h.name
+    """,
 }

@@ -1,16 +1,18 @@
 """Plan building blocks shared by the operators."""
 
-from rollbook.plans.ordering import order_columns
+from rollbook.plans.ordering import all_terms, order_columns
 from rollbook.plans.ranking import (
     largest_group,
     number_rows,
     rank_in_group,
+    rows_between,
     with_source_order,
 )
 from rollbook.plans.sizing import hint_by_size, is_small, measured_bytes
 from rollbook.plans.staging import stage, stage_path
 
 __all__ = [
+    "all_terms",
     "hint_by_size",
     "is_small",
     "largest_group",
@@ -18,6 +20,7 @@ __all__ = [
     "number_rows",
     "order_columns",
     "rank_in_group",
+    "rows_between",
     "stage",
     "stage_path",
     "with_source_order",

@@ -16,11 +16,15 @@ Term = str | Column | tuple[str | Column, str]
 
 def order_columns(order: Iterable[Term], key: str | Sequence[str] = ()) -> list[Column]:
     """Sort columns for ``order``, with every key column appended as tie-break."""
+    return [_sort_column(t) for t in all_terms(order, key)]
+
+
+def all_terms(order: Iterable[Term], key: str | Sequence[str] = ()) -> list[Term]:
+    """The terms of ``order`` and the key columns that are not among them."""
     terms = list(order)
     named = {t if isinstance(t, str) else t[0] for t in terms if _is_named(t)}
     keys = [key] if isinstance(key, str) else list(key)
-    terms += [k for k in keys if k not in named]
-    return [_sort_column(t) for t in terms]
+    return terms + [k for k in keys if k not in named]
 
 
 def _is_named(term: Term) -> bool:

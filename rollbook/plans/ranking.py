@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.plans.sizing import hint_by_size
 from rollbook.plans.staging import stage
 
 # Beyond this many rows a group is ranked over several tasks.
@@ -23,6 +24,7 @@ _TASK = "_task"
 _POSITION = "_position"
 _TIE = "_tie"
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row in its low 33 bits
+_TASKS_TOGETHER = 1024  # tasks whose row counts are summed first
 
 
 def with_source_order(df: DataFrame, out: str = "source_order") -> DataFrame:
@@ -51,13 +53,35 @@ def number_rows(
 ) -> DataFrame:
     """Add ``out`` = 0, 1, 2, ... over the whole table.
 
-    With ``order`` the rows are numbered in that order; without, in source order
-    and without a shuffle. Say so if the order is ``unique`` or ``df`` is read
+    With ``order`` the rows are numbered in that order; without, in the order of
+    the files they were read from, without a shuffle. Without an order it is an
+    error if ``df`` does not read files or was shuffled after its scan. Say so if the order is ``unique`` or ``df`` is read
     from files without a shuffle (``scanned``): either saves a sort.
     """
     if order is None:
         return _numbered_by_source(df, out)
-    return _shifted(_placed(df, order, unique or scanned, unique), [_TASK], out)
+    return _shifted(_placed(df, order, unique or scanned, unique), _together(), [_TASK], out)
+
+
+def rows_between(df: DataFrame, order: Sequence[Column], first: int, last: int) -> DataFrame:
+    """The rows numbered ``first`` to ``last - 1`` in a unique ``order``, in no order.
+
+    ``df`` is written in order; then only what the tasks with such rows have
+    written is read. The number of those tasks is at most that of the rows.
+    """
+    rows = _placed(df, order, True, True)
+    starts = _starts(rows, _together(), [_TASK])
+    hit = starts.filter((F.col("start") < last) & (F.col("start") + F.col("n") > first)).collect()
+    shift = F.lit(None).cast("long")
+    for run in hit:
+        shift = F.when(F.col(_TASK) == run[_TASK], F.lit(run["_shift"])).otherwise(shift)
+    number = F.col(_POSITION) + shift
+    mine = rows.filter(F.col(_TASK).isin([run[_TASK] for run in hit]))
+    return mine.filter((number >= first) & (number < last)).drop(_TASK, _POSITION)
+
+
+def _together() -> Column:
+    return F.floor(F.col(_TASK) / F.lit(_TASKS_TOGETHER))
 
 
 def rank_in_group(
@@ -133,39 +157,49 @@ def _place() -> dict[str, Column]:
 
 
 def _numbered_by_source(df: DataFrame, out: str) -> DataFrame:
+    if not _reads_files(df):
+        raise ValueError("only rows read from files have a source order; give an order")
     located = with_source_order(df, "_source").withColumns(
         {"_file": F.col("_source.file"), "_block": F.col("_source.block"), **_place()}
     )
     rows = stage(located.drop("_source"), "placed")
     # The rows of a file block are read in one run by one task; if not, the
-    # frame was shuffled after its scan and has no source order but that of tasks.
+    # frame was shuffled after its scan.
     blocks = rows.groupBy("_file", "_block").agg(
-        F.countDistinct(_TASK).alias("tasks"),
-        (F.max(_POSITION) - F.min(_POSITION) + F.lit(1) - F.count(F.lit(1))).alias("gaps"),
+        (F.max(_TASK) > F.min(_TASK)).alias("dealt"),
+        (F.max(_POSITION) - F.min(_POSITION) + F.lit(1) > F.count(F.lit(1))).alias("gaps"),
     )
-    if blocks.filter("tasks > 1 OR gaps > 0").isEmpty():
-        return _shifted(rows.drop(_TASK), ["_file", "_block"], out)
-    return _shifted(rows.drop("_file", "_block"), [_TASK], out)
-
+    if not blocks.filter("dealt OR gaps").isEmpty():
+        raise ValueError("rows were shuffled after their scan; add a source order at the scan")
+    return _shifted(rows.drop(_TASK), F.col("_file"), ["_file", "_block"], out)
 
-def _shifted(rows: DataFrame, place: list[str], out: str) -> DataFrame:
-    """Positions within each task or file block turned into numbers.
 
-    One short row per task or block comes to the driver and goes back out.
-    """
-    runs = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min(_POSITION).alias("first"))
-    starts, total = [], 0
-    for run in sorted(runs.collect(), key=lambda r: tuple(r[c] for c in place)):
-        starts.append((*(run[c] for c in place), total - run["first"]))
-        total += run["n"]
-    columns = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in place)
-    shifts = rows.sparkSession.createDataFrame(starts, f"{columns}, _shift long")
-    numbered = rows.join(F.broadcast(shifts), place)
+def _shifted(rows: DataFrame, outer: Column, place: list[str], out: str) -> DataFrame:
+    """Positions within each task or file block turned into numbers."""
+    shifts = _starts(rows, outer, place).select(*place, "_shift")
+    numbered = rows.join(hint_by_size(shifts)(shifts), place)
     return numbered.withColumn(out, F.col(_POSITION) + F.col("_shift")).drop(
         *[c for c in (_TASK, "_file", "_block", _POSITION, "_shift") if c in numbered.columns]
     )
 
 
+def _starts(rows: DataFrame, outer: Column, place: list[str]) -> DataFrame:
+    """The number of each place's first row, its rows, and what turns positions into numbers.
+
+    The rows before a place are those of earlier ``outer`` groups and of earlier
+    places in its own group: sums in two levels over one short row per place.
+    """
+    runs = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min(_POSITION).alias("first"))
+    runs = stage(runs.withColumn("_outer", outer), "runs")
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = runs.groupBy("_outer").agg(F.sum("n").alias("n"))
+    groups = groups.select("_outer", F.sum("n").over(ahead.orderBy("_outer")).alias("_groups"))
+    own = ahead.partitionBy("_outer").orderBy(*place)
+    runs = runs.withColumn("_before", F.sum("n").over(own)).join(groups, "_outer")
+    start = F.coalesce("_groups", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return stage(runs.select(*place, "n", start.alias("start"), (start - F.col("first")).alias("_shift")), "starts")
+
+
 def _reads_files(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_path").schema  # resolves the metadata column

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook import registry
+from rollbook import registry, tables
 from rollbook.functions.predicates import matches, search
 from rollbook.functions.text import blank_nulls, header_column, trim_all
 from rollbook.functions.typed import exact_int, leading_int, mixed_date, strict_int
@@ -22,8 +22,8 @@ from rollbook.operators import access, change, delete, listing, split, stats, va
 from rollbook.operators.children import children_page as one_parent
 from rollbook.operators.children import children_pages as every_parent
 from rollbook.operators.listing import Lookup
-from rollbook.plans import stage_path
-from rollbook.sources import csv, snapshot, workbook
+from rollbook.plans import rank_in_group, stage_path
+from rollbook.sources import csv, snapshot
 from rollbook.streaming import ingest_dir as ingest_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,10 +301,29 @@ def _users(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def codes_per_user(spark: SparkSession, sf: str) -> DataFrame:
-    listed = access.codes_per_user(
-        _users(spark, sf), _links(spark, sf), _permissions(spark, sf), per_row=500
+    listed = access.codes_per_user(_users(spark, sf), _links(spark, sf), _permissions(spark, sf))
+    return listed.select("id", "nama", F.array_join("codes", ",").alias("codes"))
+
+
+def codes_of_one_user(spark: SparkSession, sf: str) -> DataFrame:
+    """Two users that exist and one that does not."""
+    requests = _read(spark, sf, "supplier").agg(F.max("s_suppkey").alias("top")).select(
+        F.explode(F.array(F.lit(1), F.lit(7), F.col("top") + 1).cast("array<bigint>")).alias("id")
+    )
+    users, status = access.codes_of_requested(
+        _users(spark, sf),
+        _links(spark, sf),
+        _permissions(spark, sf),
+        requests.withColumn("request_id", F.col("id") * 10),
     )
-    return listed.select("id", "nama", "codes_no", F.array_join("codes", ",").alias("codes"))
+    found = users.select("id", "nama", F.array_join("codes", ",").alias("codes"))
+    return found.unionByName(
+        status.select("id", F.col("status").alias("nama"), F.lit("").alias("codes"))
+    )
+
+
+def codes_in_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return access.codes_in_rows(_links(spark, sf), _permissions(spark, sf))
 
 
 def permission_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -519,49 +538,6 @@ def publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot.read_snapshot(spark, table)
 
 
-def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
-    people = _read(spark, sf, "customer").select(
-        "c_custkey",
-        "c_name",
-        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"),
-        F.concat(F.lit(" <"), "c_mktsegment", F.lit("> & ")).alias("segment"),
-    )
-    parts = split.split_parts(people, ["c_custkey"], 400, scanned=True)
-    files = workbook.workbook_parts(parts, "people")
-    rows = workbook.parse_workbooks(files, rule="d")
-    return rows.select(
-        "file",
-        F.col("row_no").cast("bigint").alias("row_no"),
-        F.array_join("header", "|").alias("header"),
-        F.array_join("cells", "|", "(null)").alias("cells"),
-    )
-
-
-def split_workbook(spark: SparkSession, sf: str) -> DataFrame:
-    """Workbooks of 500 rows split into workbooks of 200."""
-    people = _read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
-    files = workbook.workbook_parts(
-        split.split_parts(people, ["c_custkey"], 500, scanned=True), "people"
-    )
-    rows = workbook.parse_workbooks(files, "e", "all")
-    again = workbook.split_workbook_files(workbook.split_workbooks(rows, 200))
-    return workbook.parse_workbooks(again, "a").select(
-        "file",
-        F.col("row_no").cast("bigint").alias("row_no"),
-        F.array_join("cells", "|").alias("cells"),
-        F.array_join(F.transform("numeric", lambda n: n.cast("string")), "|").alias("numeric"),
-    )
-
-
-def workbook_table(spark: SparkSession, sf: str) -> DataFrame:
-    people = _read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    parts = split.split_parts(people, ["s_name"], 70, scanned=True)
-    files = workbook.workbook_parts(parts, "staff")
-    rows = workbook.parse_workbooks(files, rule="a")
-    schema = T.StructType.fromDDL("id bigint, nama string, saldo double")
-    return workbook.rows_to_table(rows, schema).drop("source_order")
-
-
 def ingest_dir(spark: SparkSession, sf: str) -> DataFrame:
     folder = stage_path(spark, "ingest")
     schema = T.StructType.fromDDL("k bigint, status string, note string")
@@ -606,12 +582,24 @@ def _statuses_and_rows(status: DataFrame, rows: DataFrame, key: str) -> DataFram
 
 def delete_by_key(spark: SparkSession, sf: str) -> DataFrame:
     target = _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    requests = _read(spark, sf, "orders").filter("o_orderstatus = 'F'")
-    result = delete.delete_by_key(
-        target, requests.select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"]
+    orders = _read(spark, sf, "orders")
+    # Every key is asked for twice, and half of the keys are unknown.
+    requests = orders.select(
+        F.col("o_orderkey").alias("request_id"),
+        (F.floor(F.col("o_orderkey") / 2) * 4).alias("l_orderkey"),
+    )
+    result = delete.delete_by_key(target, requests, ["l_orderkey"])
+    no_line = F.lit(None).cast("bigint")
+    statuses = result.status.select(
+        F.col("request_id").alias("l_orderkey"),
+        F.lit(None).cast(target.schema["l_linenumber"].dataType).alias("l_linenumber"),
+        no_line.alias("l_partkey"),
+        F.col("status").alias("side"),
     )
-    return result.after.withColumn("side", F.lit("after")).unionByName(
-        result.affected.withColumn("side", F.lit("affected"))
+    return (
+        result.after.withColumn("side", F.lit("after"))
+        .unionByName(result.affected.withColumn("side", F.lit("affected")))
+        .unionByName(statuses)
     )
 
 
@@ -672,9 +660,9 @@ def _registry(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {t: _read(spark, sf, t) for t in ("customer", "orders", "lineitem")}
 
 
-def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+def _sizes(held: dict[str, DataFrame]) -> DataFrame:
     rows = None
-    for name, df in tables.items():
+    for name, df in held.items():
         size = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         rows = size if rows is None else rows.unionByName(size)
     return rows
@@ -691,12 +679,34 @@ def truncate_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    tables = _registry(spark, sf)
-    requests = tables["customer"].filter("c_acctbal < 0").select("c_custkey")
-    changes = delete.delete_cascade(tables, _REFERENCES, "customer", requests, ["c_custkey"])
-    after = _sizes({t: c.after for t, c in changes.items()}).withColumn("side", F.lit("after"))
-    affected = _sizes({t: c.affected for t, c in changes.items()})
-    return after.unionByName(affected.withColumn("side", F.lit("affected")))
+    held = _registry(spark, sf)
+    # Every third customer and as many unknown ones.
+    requests = held["customer"].select(
+        F.col("c_custkey").alias("request_id"), (F.col("c_custkey") * 3).alias("c_custkey")
+    )
+    changes = delete.delete_cascade(held, _REFERENCES, "customer", requests, ["c_custkey"])
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+
+    def side(name: str, rows: DataFrame, label: str) -> DataFrame:
+        first, *more = keys[name]
+        second = F.col(more[0]) if more else F.lit(0)
+        return rows.select(
+            F.lit(name).alias("name"),
+            F.lit(label).alias("side"),
+            F.col(first).cast("bigint").alias("key"),
+            second.cast("bigint").alias("line"),
+        )
+
+    out = changes["customer"].status.select(
+        F.lit("request").alias("name"),
+        F.col("status").alias("side"),
+        F.col("request_id").cast("bigint").alias("key"),
+        F.lit(0).cast("bigint").alias("line"),
+    )
+    for name, change_of in changes.items():
+        out = out.unionByName(side(name, change_of.after, "after"))
+        out = out.unionByName(side(name, change_of.affected, "affected"))
+    return out
 
 
 def delete_restricted(spark: SparkSession, sf: str) -> DataFrame:
@@ -794,7 +804,10 @@ def rename_unique(spark: SparkSession, sf: str) -> DataFrame:
         name.alias("nama_tim"),
     )
     result = change.rename_unique(target, requests, "id", "nama_tim", "seq")
-    return result.status
+    after = result.after.select(
+        F.lit(None).cast("bigint").alias("seq"), "id", "nama_tim", F.lit("after").alias("status")
+    )
+    return result.status.select("seq", "id", "nama_tim", "status").unionByName(after)
 
 
 def _faulty_orders(spark: SparkSession, sf: str) -> tuple[DataFrame, list[validate.Rule]]:
@@ -857,10 +870,118 @@ def split_source(spark: SparkSession, sf: str) -> DataFrame:
     orders = _read(spark, sf, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey")
     orders.write.option("header", True).csv(path)
     schema = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint")
-    loaded = csv.load_positional(spark, path, schema)
+    loaded = csv.load_positional(spark, path, schema, spanning=False)
     return split.split_parts(loaded)
 
 
+def split_source_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of a CSV file with line breaks in quotes, read whole and in pieces."""
+    path = stage_path(spark, "lines-csv")
+    nick = F.concat(F.lit('a "b", '), "c_mktsegment", F.lit("\n"), F.col("c_nationkey").cast("string"))
+    customer = _read(spark, sf, "customer").select("c_custkey", nick.alias("nick"))
+    ordered = customer.orderBy("c_custkey")
+    ordered.write.option("header", True).option("escape", '"').csv(path)
+
+    def parts(bound: int | None, label: str) -> DataFrame:
+        rows = registry.csv_parts(spark, path, 100, one_task_bytes=bound)
+        return rows.withColumn("read", F.lit(label))
+
+    return parts(None, "whole").unionByName(parts(0, "pieces"))
+
+
+def load_participants(spark: SparkSession, sf: str) -> DataFrame:
+    """New rows have the next ids in the order of the file."""
+    path = stage_path(spark, "participants-csv")
+    part = _read(spark, sf, "part").orderBy("p_partkey")
+    part.select(
+        F.concat(F.lit(" "), "p_name", F.lit("\n ")).alias("NAMA"), F.col("p_brand").alias("Instansi")
+    ).write.option("header", True).option("escape", '"').csv(path)
+    target = _read(spark, sf, "supplier").select(
+        (F.col("s_suppkey") * 2).alias("peserta_id"),
+        F.lit(3).alias("kegiatan_id"),
+        F.col("s_name").alias("nama"),
+        *[F.lit("").alias(c) for c in ("kabupaten", "instansi", "jabatan", "alamat", "jenjang", "peran")],
+    )
+    loaded = registry.load_participants(spark, path, target, 9)
+    return loaded.after.select("peserta_id", "kegiatan_id", "nama", "instansi")
+
+
+def load_activities(spark: SparkSession, sf: str) -> DataFrame:
+    """New rows have the next ids in the order of the file."""
+    path = stage_path(spark, "activities-csv")
+    text = F.concat(F.lit(" "), F.col("o_orderkey").cast("string"))
+    given = {
+        "nama_kegiatan": F.col("o_orderpriority"),
+        "tanggal_mulai": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "total_peserta": text,
+    }
+    orders = _read(spark, sf, "orders").orderBy("o_orderkey")
+    orders.select(
+        *[given.get(c, F.lit(None).cast("string")).alias(c) for c in tables.ACTIVITY_STAGED]
+    ).write.option("header", True).csv(path)
+    schema = T.StructType.fromDDL(tables.ACTIVITIES)
+    known = _read(spark, sf, "customer").select(
+        *[
+            (F.col("c_custkey") + 5 if f.name == "id" else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+    loaded = registry.load_activities(spark, path, known, 4, NOW)
+    return loaded.after.select("id", "users_id", "nama_kegiatan", "tanggal_mulai", "total_peserta")
+
+
+def page_500(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows 491 to 500 of a wide table."""
+    orders = _read(spark, sf, "orders").withColumn("o_orderdate", _day("o_orderdate"))
+    return listing.page(orders, [("o_orderdate", "desc")], "o_orderkey", 50, 10).rows
+
+
+def page_5000(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows 4,991 to 5,000 of a wide table."""
+    lines = _read(spark, sf, "lineitem").withColumn("l_shipdate", _day("l_shipdate"))
+    order = [("l_shipdate", "desc"), *LINE_ORDER[2:6]]
+    return listing.page(lines, order, LINE_ORDER, 500, 10).rows
+
+
+def page_far(spark: SparkSession, sf: str) -> DataFrame:
+    """A page so far on that the order is split over tasks."""
+    lines = _read(spark, sf, "lineitem").withColumn("l_shipdate", _day("l_shipdate"))
+    order = [("l_shipdate", "desc"), *LINE_ORDER[2:6]]
+    return listing.page(lines, order, LINE_ORDER, 250, 100).rows
+
+
+def rank_hot_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks in groups that are taken as too large for one task."""
+    lines = _read(spark, sf, "lineitem").select("l_returnflag", *LINE_ORDER[:2])
+    order = [F.col("l_orderkey").desc(), F.col("l_linenumber").asc()]
+    return rank_in_group(lines, ["l_returnflag"], order, unique=True, large=100)
+
+
+def clear_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each table after each of the four clears."""
+    held = {
+        "ptk": _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id")),
+        "data_sekolah": _read(spark, sf, "customer").select(F.col("c_custkey").alias("id")),
+        "ppg": _read(spark, sf, "part").select(F.col("p_partkey").alias("id")).filter("id < 0"),
+        "kegiatan": _read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")),
+        "peserta": _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")),
+    }
+    clears = {
+        "staff": registry.clear_staff,
+        "schools": registry.clear_schools,
+        "candidates": registry.clear_candidates,
+        "activities": registry.clear_activities,
+    }
+    out = None
+    for label, clear in clears.items():
+        result = clear(held)
+        rows = _sizes(result.tables).withColumns(
+            {"clear": F.lit(label), "status": F.lit(result.status)}
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def create_users(spark: SparkSession, sf: str) -> DataFrame:
     users = _read(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("id"),
@@ -951,10 +1072,11 @@ def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def single_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Of whole tables whose column holds one value, or none."""
     documents = _read(spark, sf, "documents")
-    longest = documents.agg(F.max("n_chars").cast("string").alias("isi"))
-    none = documents.agg(F.max(F.nullif("n_chars", "n_chars")).cast("string").alias("isi"))
-    return listing.single_value(longest, "isi").unionByName(listing.single_value(none, "isi", "-"))
+    same = documents.select(F.concat(F.lit("v"), F.col("n_chars") * 0).alias("isi"))
+    none = documents.select(F.nullif("n_chars", "n_chars").cast("string").alias("isi"))
+    return listing.single_value(same, "isi").unionByName(listing.single_value(none, "isi", "-"))
 
 
 def update_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -986,6 +1108,8 @@ QUERIES: dict[str, Query] = {
         distribution,
         statistics_feed,
         codes_per_user,
+        codes_of_one_user,
+        codes_in_rows,
         permission_codes,
         has_access,
         replace_set,
@@ -1000,9 +1124,6 @@ QUERIES: dict[str, Query] = {
         csv_by_name,
         header_rules,
         publish_snapshot,
-        workbook_rows,
-        split_workbook,
-        workbook_table,
         ingest_dir,
         delete_by_key,
         delete_owned,
@@ -1026,5 +1147,13 @@ QUERIES: dict[str, Query] = {
         split_rows,
         split_files,
         split_source,
+        split_source_lines,
+        load_participants,
+        load_activities,
+        page_500,
+        page_5000,
+        page_far,
+        rank_hot_groups,
+        clear_tables,
     )
 }

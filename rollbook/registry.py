@@ -62,7 +62,10 @@ def load_participants(
     kegiatan_id: int,
     on_unknown: str = "fail",
 ) -> Change:
-    """Append a CSV or workbook of participants, bound by column name, to an activity."""
+    """Append a CSV or workbook of participants, bound by column name, to an activity.
+
+    New rows get the next ids in source order.
+    """
     if not kegiatan_id:
         raise ValueError("kegiatan_id is required")
     allowed = tables.PARTICIPANT_COLUMNS
@@ -70,9 +73,10 @@ def load_participants(
         rows = workbook.workbook_rows(spark, path, "c")
         staged = workbook.rows_by_name(rows, allowed, on_unknown=on_unknown)
     else:
-        staged = csv.load_by_name(spark, path, allowed, on_unknown)
-    trimmed = trim_all(staged.select(*allowed), allowed)
-    return change.append(participants, trimmed, constants={"kegiatan_id": kegiatan_id})
+        staged = csv.load_by_name(spark, path, allowed, on_unknown, source_order=SOURCE_ORDER)
+    trimmed = trim_all(staged.select(*allowed, SOURCE_ORDER), allowed)
+    keyed = _in_source_order(trimmed, "peserta_id", participants)
+    return change.append(participants, keyed, constants={"kegiatan_id": kegiatan_id})
 
 
 def load_activities(
@@ -84,9 +88,12 @@ def load_activities(
     min_serial: int = 0,
     strict: bool = True,
 ) -> Change:
-    """Append a CSV or workbook of activities, with dates and integers parsed from text."""
+    """Append a CSV or workbook of activities, with dates and integers parsed from text.
+
+    New rows get the next ids in source order.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in tables.ACTIVITY_STAGED])
-    staged = _staged_file(spark, path, schema, "b").drop(SOURCE_ORDER)
+    staged = _staged_file(spark, path, schema, "b")
     texts = ["nama_kegiatan", "penanggung_jawab", "tempat_pelaksanaan"]
     dates = ["tanggal_mulai", "tanggal_selesai"]
     numbers = ["team_id", "tahun", "sasaran_peserta", "total_peserta"]
@@ -96,26 +103,41 @@ def load_activities(
             **{c: strict_int(F.col(c), strict) for c in numbers},
         }
     )
-    return change.append(activities, typed, constants={"users_id": users_id}, now=now)
+    keyed = _in_source_order(typed, "id", activities)
+    return change.append(activities, keyed, constants={"users_id": users_id}, now=now)
 
 
 def split_csv(
-    spark: SparkSession, path: str, out: str, base: str, rows_per_part: int = split.ROWS_PER_PART
+    spark: SparkSession,
+    path: str,
+    out: str,
+    base: str,
+    rows_per_part: int = split.ROWS_PER_PART,
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
-    """Split a CSV file in source order into files with its header; gives the manifest."""
-    header = spark.read.option("header", True).option("escape", '"').csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    parts = split.split_parts(csv.load_positional(spark, path, schema), None, rows_per_part)
+    """Split a CSV file in source order into files with its header.
+
+    Gives the manifest: part, name, number of rows and the file that holds it.
+    """
+    parts = csv_parts(spark, path, rows_per_part, one_task_bytes)
     split.write_parts(parts, out, base)
-    return split.part_manifest(parts, base)
+    return split.part_manifest(parts, base).join(split.part_files(spark, out), "name")
 
 
-def split_workbook(
-    spark: SparkSession, path: str, rows_per_part: int = split.ROWS_PER_PART
+def csv_parts(
+    spark: SparkSession,
+    path: str,
+    rows_per_part: int = split.ROWS_PER_PART,
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
-    """(path, content) of the workbooks that the rows of all sheets are split into."""
-    rows = workbook.workbook_rows(spark, path, "e", "all")
-    return workbook.split_workbook_files(workbook.split_workbooks(rows, rows_per_part))
+    """The rows of a CSV file with their part and row in it, counted in source order."""
+    header = spark.read.option("header", True).option("escape", '"').csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    order = "_source_order"
+    loaded = csv.load_positional(
+        spark, path, schema, source_order=order, one_task_bytes=one_task_bytes
+    )
+    return split.split_parts(loaded, [order], rows_per_part, unique=True).drop(order)
 
 
 # --- schools and staff ---------------------------------------------------
@@ -317,10 +339,22 @@ def list_users(users: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def users_with_codes(
-    users: DataFrame, links: DataFrame, permissions: DataFrame
+    users: DataFrame,
+    links: DataFrame,
+    permissions: DataFrame,
+    user_ids: Sequence[object] | None = None,
 ) -> DataFrame:
-    """Every user with the permission codes held."""
-    return access.codes_per_user(users.select(*tables.USER_LISTED), links, permissions)
+    """All users, or those with an id in ``user_ids``, with the permission codes they hold."""
+    listed = users.select(*tables.USER_LISTED)
+    return access.codes_per_user(listed, links, permissions, user_ids)
+
+
+def users_by_id(
+    users: DataFrame, links: DataFrame, permissions: DataFrame, requests: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """The users asked for with their codes, and the status of each request (request_id, id)."""
+    listed = users.select(*tables.USER_LISTED)
+    return access.codes_of_requested(listed, links, permissions, requests)
 
 
 def create_users(
@@ -386,7 +420,11 @@ def update_users(
 def delete_users(
     registry: Mapping[str, DataFrame], requests: DataFrame, with_participants: bool = False
 ) -> dict[str, Change]:
-    """Delete users by id with their links and activities."""
+    """Delete users by id with their links and activities.
+
+    Requests (request_id, id) have the status ``deleted`` or ``not_found`` in
+    the change of ``users``.
+    """
     references = list(tables.USER_REFERENCES)
     if with_participants:
         references += tables.ACTIVITY_REFERENCES
@@ -419,6 +457,29 @@ def delete_teams(teams: DataFrame, requests: DataFrame, activities: DataFrame) -
     return delete.delete_restricted(teams, requests, "id", activities, "team_id")
 
 
+# --- clears --------------------------------------------------------------
+
+
+def clear_staff(registry: Mapping[str, DataFrame]) -> delete.Truncation:
+    """Empty the staff and restart their ids."""
+    return delete.truncate(registry, "ptk")
+
+
+def clear_schools(registry: Mapping[str, DataFrame]) -> delete.Truncation:
+    """Empty the schools, and the staff that refer to them, and restart ids."""
+    return delete.truncate(registry, "data_sekolah", tables.SCHOOL_REFERENCES)
+
+
+def clear_candidates(registry: Mapping[str, DataFrame]) -> delete.Truncation:
+    """Empty the candidates; ``already_empty`` if there are none."""
+    return delete.truncate(registry, "ppg", refuse_empty=True)
+
+
+def clear_activities(registry: Mapping[str, DataFrame]) -> delete.Truncation:
+    """Empty the activities and their participants; ``already_empty`` if there are none."""
+    return delete.truncate(registry, "kegiatan", tables.ACTIVITY_REFERENCES, refuse_empty=True)
+
+
 # --- helpers -------------------------------------------------------------
 
 
@@ -441,6 +502,12 @@ def _staged_file(spark: SparkSession, path: str, schema: T.StructType, rule: str
     return csv.load_positional(spark, path, schema, source_order=SOURCE_ORDER)
 
 
+def _in_source_order(staged: DataFrame, key: str, target: DataFrame) -> DataFrame:
+    """The next keys of ``target`` for rows with a source order, which is dropped."""
+    keyed = change.assign_keys(staged, key, change.next_key(target, key), [SOURCE_ORDER])
+    return keyed.drop(SOURCE_ORDER)
+
+
 def _is_workbook(path: str) -> bool:
     return path.lower().endswith(".xlsx")
 

@@ -26,6 +26,7 @@ def load_positional(
     sep: str = ",",
     spanning: bool | None = None,
     source_order: str | None = None,
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
     """Rows of CSV files whose fields bind to ``schema`` by position.
 
@@ -35,9 +36,11 @@ def load_positional(
     column to add that sorts rows as the files do.
 
     ``spanning`` says whether quoted fields may hold line breaks; None finds
-    out. Files of any size are read by many tasks either way.
+    out. Files of any size are read by many tasks either way. Rows come in no
+    order of their own: ask for a ``source_order`` to number them.
     """
-    return restore_empty(_rows(spark, path, schema, sep, spanning, source_order, None))
+    rows = _rows(spark, path, schema, sep, spanning, source_order, None, one_task_bytes)
+    return restore_empty(rows)
 
 
 def load_by_name(
@@ -124,6 +127,7 @@ def _rows(
     spanning: bool | None,
     source_order: str | None,
     header: str | None,
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
     """Parsed rows; with ``header`` every file must have that first line."""
     options = {
@@ -133,7 +137,8 @@ def _rows(
         "emptyValue": _QUOTED_EMPTY,
         "columnPruning": "false",
     }
-    whole = spanning is not False and largest_file(spark, path) <= ONE_TASK_BYTES
+    bound = ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes
+    whole = spanning is not False and largest_file(spark, path) <= bound
     if not whole and spanning is None:
         spanning = has_spanning_records(spark, path)
     if not whole and spanning:

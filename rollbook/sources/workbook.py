@@ -1,4 +1,4 @@
-"""Workbooks (XLSX) to rows and back.
+"""Workbooks (XLSX) as rows, for loads of small files.
 
 Spark spreads the files; inside one file, whose sheets the format limits to
 about a million rows, a task reads row by row.
@@ -10,14 +10,13 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.functions.text import header_column
-from rollbook.operators.split import ROWS_PER_PART, part_name
 from rollbook.sources import xlsx
-from rollbook.sources.xlsx import CELL_RULES, read_workbook, write_workbook
+from rollbook.sources.xlsx import CELL_RULES, read_workbook
 
 ROW_SCHEMA = (
     "file string, sheet string, sheet_no int, row_no int, data_row long, header array<string>, "
@@ -44,7 +43,7 @@ def parse_workbooks(files: DataFrame, rule: str = "a", sheets: str = "first") ->
     One output row per data row of the first sheet or of ``sheets="all"``:
     file, sheet, sheet_no, row_no, data_row (counted over the sheets of a file),
     the sheet's header, the cells as text, as many as the header has, and which
-    of them are numbers. The cell rules differ in how they show formulas,
+    of them are numbers. A filled cell beyond the header is an error. The cell rules differ in how they show formulas,
     rich text, links and blanks; rule ``d`` gives null for blanks, others ''.
     """
     if rule not in CELL_RULES:
@@ -116,57 +115,3 @@ def rows_by_name(
             F.struct("file", "sheet_no", "row_no").alias("source_order"),
         )
     )
-
-
-def split_workbooks(rows: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Add ``part``, ``row_in_part`` and ``part_header`` to rows of all sheets.
-
-    Counting runs on over the sheets of a file; a part has the header of the
-    sheet its first row is from.
-    """
-    before = F.col("data_row") - F.lit(1)
-    part = Window.partitionBy("file", "part").orderBy("row_in_part")
-    return rows.withColumns(
-        {
-            "part": F.floor(before / F.lit(rows_per_part)) + F.lit(1),
-            "row_in_part": before % F.lit(rows_per_part) + F.lit(1),
-        }
-    ).withColumn("part_header", F.first("header").over(part))
-
-
-def workbook_parts(parts: DataFrame, base: str) -> DataFrame:
-    """(path, content) of one workbook per part, with a header row.
-
-    A part holds a fixed number of rows, so a group is always small.
-    """
-    columns = [c for c in parts.columns if c not in ("part", "row_in_part")]
-    numbers = [c for c in columns if isinstance(parts.schema[c].dataType, T.NumericType)]
-
-    def write(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_in_part")
-        numeric = [c in numbers for c in columns]
-        content = write_workbook(columns, ((r, numeric) for r in part[columns].values.tolist()))
-        return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [content]})
-
-    texts = [F.col(c).cast("string").alias(c) for c in columns]
-    named = parts.select("part", "row_in_part", *texts, part_name(base, ".xlsx").alias("path"))
-    return named.groupBy("part").applyInPandas(write, "path string, content binary")
-
-
-def split_workbook_files(parts: DataFrame) -> DataFrame:
-    """(path, content) of a workbook per part of ``split_workbooks``.
-
-    The path is that of the source file with ``_part<n>`` before its suffix.
-    """
-    stem = F.regexp_replace("file", r"(?i)\.xlsx\z", "")
-    name = F.concat(stem, F.lit("_part"), F.col("part").cast("string"), F.lit(".xlsx"))
-
-    def write(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_in_part")
-        rows = zip(part["cells"], part["numeric"], strict=True)
-        content = write_workbook(list(part["part_header"].iloc[0]), rows)
-        return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [content]})
-
-    columns = ["file", "part", "row_in_part", "part_header", "cells", "numeric"]
-    named = parts.select(*columns, name.alias("path"))
-    return named.groupBy("file", "part").applyInPandas(write, "path string, content binary")

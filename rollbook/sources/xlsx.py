@@ -9,10 +9,9 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape, quoteattr
 
 from rollbook.functions.text import JS_WHITESPACE
 
@@ -20,7 +19,6 @@ from rollbook.functions.text import JS_WHITESPACE
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
-_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _OBJECT_TEXT = "[object Object]"
 
 # --- cells ---------------------------------------------------------------
@@ -103,6 +101,8 @@ def read_workbook(path: str, content: bytes, rule: Callable, all_sheets: bool) -
                         continue
                     if header is None:
                         raise ValueError(f"sheet {sheet!r} of {path} has no header row")
+                    if any(_as_text(c) for c in cells[len(header) :] if c is not None):
+                        raise ValueError(f"row {row_no} of {path} has cells beyond its header")
                     padded = cells[: len(header)] + [None] * (len(header) - len(cells))
                     texts = [rule(c) for c in padded]
                     numeric = [isinstance(c, float) for c in padded]
@@ -195,75 +195,3 @@ def _column_number(reference: str) -> int:
             break
         number = number * 26 + ord(char.upper()) - ord("A") + 1
     return number
-
-
-# --- writing -------------------------------------------------------------
-
-
-def write_workbook(
-    header: Sequence[str],
-    rows: Iterable[tuple[Sequence[object], Sequence[bool]]],
-    sheet: str = "Sheet1",
-) -> bytes:
-    """A workbook of one sheet; each row comes with a flag per cell for numbers."""
-    main, link, package = (n.strip("{}") for n in (_MAIN, _LINK, _PACKAGE))
-    kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    members = {
-        "[Content_Types].xml": (
-            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-            '<Default Extension="rels" '
-            'ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-            '<Default Extension="xml" ContentType="application/xml"/>'
-            f'<Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>'
-            f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/>'
-            "</Types>"
-        ),
-        "_rels/.rels": (
-            f'<Relationships xmlns="{package}"><Relationship Id="rId1" '
-            f'Type="{link}/officeDocument" Target="xl/workbook.xml"/></Relationships>'
-        ),
-        "xl/workbook.xml": (
-            f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets>'
-            f'<sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>'
-        ),
-        "xl/_rels/workbook.xml.rels": (
-            f'<Relationships xmlns="{package}"><Relationship Id="rId1" '
-            f'Type="{link}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>'
-        ),
-    }
-    lines = [_row_xml(1, header, [False] * len(header))]
-    lines += [_row_xml(i, row, numeric) for i, (row, numeric) in enumerate(rows, 2)]
-    members["xl/worksheets/sheet1.xml"] = (
-        f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>'
-    )
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
-        for name, body in members.items():
-            # A fixed time stamp gives equal bytes when a task runs again.
-            archive.writestr(zipfile.ZipInfo(name), _XML + body, zipfile.ZIP_DEFLATED, 1)
-    return buffer.getvalue()
-
-
-def _row_xml(number: int, values: Sequence[object], numeric: Sequence[bool]) -> str:
-    cells = []
-    for column, (value, is_number) in enumerate(zip(values, numeric, strict=True), 1):
-        reference = f'r="{_column_letters(column)}{number}"'
-        if value is None or (is_number and value == ""):
-            continue
-        if is_number:
-            cells.append(f"<c {reference}><v>{value}</v></c>")
-        else:
-            text = escape(str(value))
-            cells.append(
-                f'<c {reference} t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
-            )
-    return f'<row r="{number}">{"".join(cells)}</row>'
-
-
-def _column_letters(number: int) -> str:
-    letters = ""
-    while number:
-        number, rest = divmod(number - 1, 26)
-        letters = chr(ord("A") + rest) + letters
-    return letters
-

@@ -26,22 +26,25 @@ def links(spark):
 
 def test_codes_per_user(users, links, permissions):
     found = access.codes_per_user(users, links, permissions)
-    assert rows(found, "id", "codes_no", F.to_json("codes")) == [
-        (1, 1, "[]"),
-        (2, 1, '["a","b"]'),
-        (3, 1, "[]"),
-        (4, 1, "[]"),
+    assert rows(found, "id", F.to_json("codes")) == [
+        (1, "[]"),
+        (2, '["a","b"]'),
+        (3, "[]"),
+        (4, "[]"),
     ]
+    some = access.codes_per_user(users, links.union(links), permissions, [2, 9])
+    assert rows(some, "id", F.to_json("codes")) == [(2, '["a","b"]')]
 
 
-def test_codes_of_a_user_with_many(spark, users):
+def test_codes_of_a_user_with_many(spark, users, monkeypatch):
     permissions = spark.range(2500).select("id", F.format_string("c%05d", "id").alias("code"))
     links = permissions.select(F.lit(2).cast("bigint").alias("user_id"), F.col("id").alias("permission_id"))
-    found = access.codes_per_user(users, links, permissions, per_row=1000)
-    mine = found.filter("id = 2").orderBy("codes_no").collect()
-    assert [(r["codes_no"], len(r["codes"])) for r in mine] == [(1, 1000), (2, 1000), (3, 500)]
-    assert sum((r["codes"] for r in mine), []) == [f"c{i:05d}" for i in range(2500)]
-    assert found.count() == 6
+    found = access.codes_per_user(users, links, permissions)
+    assert found.filter("id = 2").first()["codes"] == [f"c{i:05d}" for i in range(2500)]
+    assert found.count() == 4
+    monkeypatch.setattr(access, "MOST_CODES", 2000)
+    with pytest.raises(Exception, match="more than 2000 codes"):
+        access.codes_per_user(users, links, permissions).collect()
 
 
 def test_permission_codes(links, permissions):

@@ -376,9 +376,9 @@ def test_load_participants(spark, participants, tmp_path, kind):
         path.write_bytes(make_workbook({"S": sheet([[" NAMA", "peran"], [" a ", ""], ["b", None]])}))
     change = registry.load_participants(spark, str(path), participants, 9)
     blank = None if kind == "csv" else ""
-    assert rows(change.affected, "kegiatan_id", "nama", "peran", "alamat") == [
-        (9, "a", "", None),
-        (9, "b", blank, None),
+    assert rows(change.affected, "peserta_id", "kegiatan_id", "nama", "peran", "alamat") == [
+        (4, 9, "a", "", None),
+        (5, 9, "b", blank, None),
     ]
     with pytest.raises(ValueError, match="kegiatan_id"):
         registry.load_participants(spark, str(path), participants, None)
@@ -393,8 +393,9 @@ def test_load_activities(spark, activities, tmp_path, kind):
     else:
         path.write_bytes(make_workbook({"S": sheet([tables.ACTIVITY_STAGED, [*values[:1], 45292, *values[2:]]])}))
     change = registry.load_activities(spark, str(path), activities, 2, NOW)
-    assert rows(change.affected.drop("id")) == [
-        (2, "Rapat", datetime.date(2024, 1, 1), datetime.date(2024, 1, 3), "x", 5, "y", 2024, None, 7, NOW, NOW)
+    top = activities.agg(F.max("id")).first()[0]
+    assert rows(change.affected) == [
+        (top + 1, 2, "Rapat", datetime.date(2024, 1, 1), datetime.date(2024, 1, 3), "x", 5, "y", 2024, None, 7, NOW, NOW)
     ]
     assert change.after.count() == 5
 
@@ -422,18 +423,44 @@ def test_split_csv(spark, tmp_path):
     assert len(last) == 101
 
 
-def test_split_workbook(spark, tmp_path):
-    path = tmp_path / "b.xlsx"
-    path.write_bytes(make_workbook({"S": sheet([["k", "t"], *[[i, f"t{i}"] for i in range(5)]])}))
-    files = registry.split_workbook(spark, str(path), 2)
-    assert sorted(r["path"].rsplit("/", 1)[-1] for r in files.collect()) == [
-        "b_part1.xlsx",
-        "b_part2.xlsx",
-        "b_part3.xlsx",
+@pytest.mark.parametrize("bound", [None, 0])
+def test_split_csv_with_line_breaks_in_quotes(spark, conf, tmp_path, bound):
+    """Rows stay in the order of the file however it is read."""
+    conf(adaptive__coalescePartitions__enabled="false", shuffle__partitions="8")
+    path = tmp_path / "in.csv"
+    path.write_text("k,t\n" + "".join(f'{i},"a\n""{i % 7}""\n"\n' for i in range(2500)))
+    manifest = registry.split_csv(spark, str(path), str(tmp_path / "out"), "in", one_task_bytes=bound)
+    assert rows(manifest, "part", "n", "name") == [
+        (1, 1000, "in_part1.csv"),
+        (2, 1000, "in_part2.csv"),
+        (3, 500, "in_part3.csv"),
     ]
-    back = registry.workbook.parse_workbooks(files, "a")
-    assert rows(back, F.array_join("cells", "|")) == [(f"{i}|t{i}",) for i in range(5)]
-    assert rows(back.select("numeric").distinct()) == [([True, False],)]
+    for r in manifest.collect():
+        keys = [x[0] for x in spark.read.csv(r["file"], header=True, multiLine=True, escape='"').select("k").collect()]
+        assert keys == [str(i) for i in range((r["part"] - 1) * 1000, min(r["part"] * 1000, 2500))]
+
+
+def test_clears(spark):
+    held = {name: spark.range(3) for name in ("ptk", "data_sekolah", "kegiatan", "peserta")} | {"ppg": spark.range(0)}
+
+    def left(result):
+        return result.status, sorted(t for t, df in result.tables.items() if not df.isEmpty())
+
+    assert left(registry.clear_staff(held)) == ("deleted", ["data_sekolah", "kegiatan", "peserta"])
+    assert left(registry.clear_schools(held)) == ("deleted", ["kegiatan", "peserta"])
+    assert left(registry.clear_activities(held)) == ("deleted", ["data_sekolah", "ptk"])
+    assert left(registry.clear_candidates(held))[0] == "already_empty"
+
+
+def test_users_by_id(spark, users):
+    links = spark.createDataFrame([(2, 1), (2, 2), (2, 2)], tables.USER_PERMISSIONS)
+    permissions = spark.createDataFrame([(1, "b"), (2, "a")], tables.PERMISSIONS)
+    requests = spark.createDataFrame([(1, 2), (2, 77), (3, 2)], "request_id int, id bigint")
+    found, status = registry.users_by_id(users, links, permissions, requests)
+    assert [(r["id"], r["codes"]) for r in found.collect()] == [(2, ["a", "b"])]
+    assert rows(status, "request_id", "status") == [(1, "found"), (2, "not_found"), (3, "found")]
+    some = registry.users_with_codes(users, links, permissions, [1])
+    assert [(r["id"], r["codes"]) for r in some.collect()] == [(1, [])]
 
 
 def test_schema_types_are_plain(spark):

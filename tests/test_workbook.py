@@ -6,7 +6,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.operators.split import split_parts
 from rollbook.sources import workbook
 from rollbook.sources.xlsx import number_text
 
@@ -59,7 +58,7 @@ FIRST = (
     + '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2" t="s"><v>3</v></c>'
     '<c r="C2"><v>45292</v></c><c r="D2"><f>1+1</f><v>2</v></c></row>'
     '<row r="4"><c r="B4" t="b"><v>1</v></c><c r="C4"><v>1.5e-7</v></c>'
-    '<c r="D4" t="str"><f>x</f><v></v></c><c r="E4"><v>9</v></c></row>'
+    '<c r="D4" t="str"><f>x</f><v></v></c></row>'
     '<row r="5"/>'
 )
 SECOND = '<row><c t="inlineStr"><is><t>other</t></is></c></row><row><c><v>0.1</v></c></row>'
@@ -156,31 +155,9 @@ def test_sheet_without_header_fails(spark, tmp_path):
         workbook.workbook_rows(spark, str(tmp_path)).collect()
 
 
-def test_written_workbooks_read_back(spark):
-    df = spark.range(25).select(
-        F.col("id").cast("int").alias("k"),
-        F.when(F.col("id") % 2 == 0, F.concat(F.lit(" <&> "), F.col("id"))).alias("t"),
-        (F.col("id") / 4).alias("d"),
-    )
-    files = workbook.workbook_parts(split_parts(df, ["k"], 10), "b")
-    assert sorted(r["path"] for r in files.collect()) == [f"b_part{n}.xlsx" for n in (1, 2, 3)]
-    back = workbook.rows_to_table(workbook.parse_workbooks(files, "d"), df.schema)
-    assert rows(back.drop("source_order")) == rows(df)
-
-
-def test_splitting_sheets_runs_on(spark, tmp_path):
-    def sheet(name, count):
-        lines = "".join(f"<row><c><v>{i}</v></c></row>" for i in range(count))
-        return f'<row><c t="inlineStr"><is><t>{name}</t></is></c></row>{lines}'
-
-    content = make_workbook({"S1": sheet("h1", 7), "S2": sheet("h2", 6)})
-    for name in ("x.xlsx", "y.xlsx"):
-        (tmp_path / name).write_bytes(content)
-    parts = workbook.split_workbooks(workbook.workbook_rows(spark, str(tmp_path), "a", "all"), 5)
-    for file in {r["file"] for r in parts.collect()}:
-        found = parts.filter(F.col("file") == file).orderBy("part", "row_in_part").collect()
-        assert [(r["part"], r["row_in_part"]) for r in found] == [
-            (i // 5 + 1, i % 5 + 1) for i in range(13)
-        ]
-        assert [r["part_header"][0] for r in found] == ["h1"] * 10 + ["h2"] * 3
-        assert [r["cells"][0] for r in found] == [str(i) for i in [*range(7), *range(6)]]
+def test_cells_beyond_the_header_fail(spark, tmp_path):
+    path = tmp_path / "wide.xlsx"
+    wide = HEADER + '<row r="2"><c r="A2"><v>1</v></c><c r="E2"><v>9</v></c></row>'
+    path.write_bytes(make_workbook({"S": wide}, STRINGS))
+    with pytest.raises(Exception, match="beyond its header"):
+        workbook.workbook_rows(spark, str(path)).collect()
