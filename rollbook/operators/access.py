@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.change import Change
-from rollbook.plans import hint_by_size, rank_in_group
+from rollbook.plans import hint_by_size, rank_in_group, stage
 
 # Codes that one row may hold; a catalogue with more of them is refused.
 MOST_CODES = 1_000_000
@@ -149,9 +149,10 @@ def replace_set(
 
     A null list leaves the links alone, an empty one removes them. A list with
     a repeated id is rejected whole. Of several lists for a user the last by
-    ``order_by`` stays. Status: ``applied``, ``untouched``, ``rejected`` or
+    ``order_by``, which is unique for a user, stays. Status: ``applied``, ``untouched``, ``rejected`` or
     ``not_found``.
     """
+    requests = stage(requests, "requests")
     hint = hint_by_size(requests.select(user, ids))
     known = _known_users(users, user_key, requests, user, hint)
     repeated = F.size(F.array_distinct(ids)) < F.size(ids)
@@ -168,7 +169,8 @@ def replace_set(
     )
     # Of the requests of a user only the last is left before the join.
     usable = requests.filter(F.col(ids).isNotNull() & ~repeated)
-    final = usable.groupBy(user).agg(F.max_by(F.col(ids), F.col(order_by)).alias(ids))
+    last = usable.groupBy(user).agg(F.max(order_by).alias(order_by))
+    final = usable.join(last, [user, order_by]).select(user, ids)
     final = final.join(known, user, "left_semi")
     kept = links.join(hint(final.select(user)), user, "left_anti").select(*links.columns)
     added = final.select(user, F.explode(ids).alias(permission))
@@ -193,6 +195,7 @@ def assign_codes(
     Unknown codes are dropped and repeated ones count once; a request for an
     unknown user gives no links and the status ``not_found``.
     """
+    requests = stage(requests, "requests")
     hint = hint_by_size(requests.select(user, codes))
     known = _known_users(users, user_key, requests, user, hint)
     status = (

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import is_given, or_default
-from rollbook.plans import hint_by_size, is_small, number_rows, order_columns
+from rollbook.plans import hint_by_size, is_small, number_rows, order_columns, stage
 from rollbook.plans.ordering import Term
 from rollbook.plans.sizing import BROADCAST_BYTES
 
@@ -112,7 +112,7 @@ def upsert(
 ) -> Change:
     """Merge ``staged`` into ``target`` by ``keys``, which are unique in ``target``.
 
-    Duplicates in ``staged`` fall to the first by ``order_by``. New keys are
+    A repeated key in ``target`` is an error where the batch has it. Duplicates in ``staged`` fall to the first by ``order_by``. New keys are
     inserted whole; for known keys the ``update_cols`` take the staged value,
     null included, and other columns stay. A null key is an error.
 
@@ -132,7 +132,8 @@ def upsert(
     )
     if is_small(staged.select(*columns), small):
         batch = F.broadcast(batch)
-        known = F.broadcast(target.join(batch.select(*keys), keys, "left_semi").select(*keys))
+        found = target.join(batch.select(*keys), keys, "left_semi").groupBy(*keys).count()
+        known = F.broadcast(found.filter(_once(keys)).select(*keys))
         updated = _merged(target.join(batch, keys, "left"), columns, keys, update_cols, None)
         inserted = fresh.join(known, keys, "left_anti").withColumn("_staged", F.lit(True))
         merged = updated.unionByName(inserted)
@@ -156,14 +157,13 @@ def update_by_key(
     """Set ``cols`` from ``changes``; null and '' leave a value alone if ``skip_empty``.
 
     ``touch`` columns (such as ``updated_at``) are set on every row with a given
-    change. Several changes of one key apply in the order of ``order_by``, so
-    the last given value of each column wins. The status of a change is
+    change. Several changes of one key apply in the order of ``order_by`` (ties in
+    any order), so the last given value of each column wins. The status of a change is
     ``updated``, ``unchanged`` or ``not_found``.
     """
     given = {c: is_given(F.col(c)) if skip_empty else F.lit(True) for c in cols}
-    last = changes.groupBy(key).agg(
-        *[_last_given(c, given[c], order_by).alias(f"_new_{c}") for c in cols]
-    )
+    changes = stage(changes, "changes")
+    last = _last_given(changes, key, given, order_by)
     hint = hint_by_size(changes.select(key, *cols))
     joined = target.join(hint(last), key, "left")
     touched = F.lit(False)
@@ -225,7 +225,7 @@ def insert_unique(
     missing = F.lit(False)
     for k in keys:
         missing = missing | ~is_given(F.col(k))
-    status = (
+    judged = (
         rows.join(hint(checks), list(keys), "left")
         .withColumn(
             "reason",
@@ -235,6 +235,7 @@ def insert_unique(
         )
         .drop("_first", "_known")
     )
+    status = stage(judged, "judged")  # read for the status and for what is accepted
     accepted = status.filter(F.col("reason").isNull()).drop("reason")
     kept = [c for c in target.columns if c in accepted.columns]
     return Change(
@@ -311,17 +312,43 @@ def _merged(
     return joined.select(*values, "_staged")
 
 
+def _once(keys: Sequence[str]) -> Column:
+    """True for a key that is counted once; an error for others."""
+    twice = F.raise_error(F.concat_ws(" ", F.lit("repeated key in the table:"), *[F.col(k).cast("string") for k in keys]))
+    return F.when(F.col("count") == 1, F.lit(True)).otherwise(twice.cast("boolean"))
+
+
 def _required_key(key: str) -> Column:
     column = F.col(key)
     return F.when(column.isNull(), F.raise_error(F.lit(f"null key: {key}"))).otherwise(column)
 
 
-def _last_given(c: str, given: Column, order_by: str | None) -> Column:
-    """The last given value, wrapped so that a given null differs from none."""
-    wrapped = F.when(given, F.struct(F.col(c).alias("value")))
-    if order_by is None:
-        return F.max(wrapped)
-    return F.max_by(wrapped, F.when(given, F.col(order_by)))
+def _last_given(
+    changes: DataFrame, key: str, given: Mapping[str, Column], order_by: str | None
+) -> DataFrame:
+    """One row per key with the last given value of each column as ``_new_<column>``.
+
+    A value is wrapped in a struct, so that a given null differs from none. The
+    last change of a column is found by numbers alone, which are combined by hash
+    before the shuffle, and its value is joined to it.
+    """
+    row = F.monotonically_increasing_id().alias("_row")  # of a written table, so it is fixed
+    numbered = changes.select(key, *given, *([order_by] if order_by else []), row)
+    if order_by:
+        tops = numbered.groupBy(key).agg(
+            *[F.max(F.when(g, F.col(order_by))).alias(f"_top_{c}") for c, g in given.items()]
+        )
+        placed = numbered.join(tops, key)
+        last = {c: g & F.col(order_by).eqNullSafe(F.col(f"_top_{c}")) for c, g in given.items()}
+    else:
+        placed, last = numbered, given
+    rows = placed.groupBy(key).agg(
+        *[F.max(F.when(is_last, F.col("_row"))).alias(f"_at_{c}") for c, is_last in last.items()]
+    )
+    for c in given:
+        values = numbered.select(F.col("_row").alias(f"_at_{c}"), F.struct(F.col(c).alias("value")).alias(f"_new_{c}"))
+        rows = rows.join(values, f"_at_{c}", "left")
+    return rows.select(key, *[f"_new_{c}" for c in given])
 
 
 def _reversed(term: Term) -> Term:

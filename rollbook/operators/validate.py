@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.text import is_given
 from rollbook.functions.typed import leading_int, leading_number
+from rollbook.plans import stage
 
 
 @dataclass(frozen=True)
@@ -62,12 +63,12 @@ def exists_in(column: str, parent: DataFrame, key: str) -> Rule:
 
 
 def validate_rows(df: DataFrame, rules: Sequence[Rule]) -> Validation:
-    """Good and bad rows of ``df`` under all rules, judged in one pass."""
+    """Good and bad rows of ``df`` under all rules, judged once and written with their errors."""
     checked = df
     for rule in rules:
         if rule.prepare:
             checked = rule.prepare(checked)
     errors = F.array_compact(F.array(*[F.when(r.fault, F.lit(r.label)) for r in rules]))
-    checked = checked.select(*df.columns, errors.alias("errors"))
+    checked = stage(checked.select(*df.columns, errors.alias("errors")), "judged")
     found = F.size("errors")
     return Validation(checked.filter(found == 0).drop("errors"), checked.filter(found > 0))

@@ -9,7 +9,7 @@ from rollbook.plans.ranking import (
     with_source_order,
 )
 from rollbook.plans.sizing import hint_by_size, is_small, measured_bytes
-from rollbook.plans.staging import stage, stage_path
+from rollbook.plans.staging import release, stage, stage_path
 
 __all__ = [
     "all_terms",
@@ -20,6 +20,7 @@ __all__ = [
     "number_rows",
     "order_columns",
     "rank_in_group",
+    "release",
     "rows_between",
     "stage",
     "stage_path",

@@ -1,52 +1,201 @@
 """Tables stored as numbered snapshots.
 
-A result is written under a new path and counts only once Spark's commit has
-left its success marker, so a failed load changes nothing and no path is read
-and overwritten at once.
+Data goes to a new path of its own and counts only once a manifest names it, so
+a failed load changes nothing and no path is read and overwritten at once. A
+manifest is written under a number that its writer has claimed by creating a
+file that must not exist: of two writers of one number, one fails.
+
+A table that is merged into is dealt into buckets by a hash of its key. A merge
+reads and rewrites the buckets its batch touches; the new manifest names the old
+files of all others.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from rollbook.operators.change import upsert
+from rollbook.plans import stage
+from rollbook.plans.ordering import Term
 
 _PREFIX = "snapshot-"
-_MARKER = "_SUCCESS"
+_CLAIM = "claim-"
+_BUCKET = "_bucket"
+# Buckets of a table at its first merge; a table keeps its number.
+BUCKETS = 64
+
+
+class AlreadyClaimed(RuntimeError):
+    """Another writer has published this number, or is about to."""
 
 
 def publish(
     df: DataFrame, table_dir: str, number: int | None = None, partition_by: Sequence[str] = ()
 ) -> str:
-    """Write ``df`` as the next (or the given) snapshot of a table; gives its path.
+    """Write ``df`` as the next (or the given) snapshot of a table; gives its manifest's path.
 
     A given number that was published before is left as it is, so a repeated
-    batch changes nothing. Remains of a failed write are replaced.
+    batch changes nothing.
     """
     spark = df.sparkSession
     done = snapshot_numbers(spark, table_dir)
-    if number is None:
-        number = done[-1] + 1 if done else 0
-    path = f"{table_dir}/{_PREFIX}{number:012d}"
-    if number not in done:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return path
+    if number in done:
+        return _manifest(table_dir, number)
+    path = f"{table_dir}/data-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    return _commit(spark, table_dir, number, done, {"paths": [path]})
 
 
 def read_snapshot(
     spark: SparkSession, table_dir: str, before: int | None = None
 ) -> DataFrame | None:
     """The newest snapshot, or the newest with a number below ``before``."""
+    content = _newest(spark, table_dir, before)
+    return None if content is None else _table(spark, content)
+
+
+def merge(
+    batch: DataFrame,
+    table_dir: str,
+    keys: Sequence[str],
+    update_cols: Sequence[str],
+    order_by: Sequence[Term],
+    number: int | None = None,
+    buckets: int = BUCKETS,
+) -> str:
+    """Upsert ``batch`` into the table and publish the result; gives its manifest's path.
+
+    ``batch`` has the table's columns and those of ``order_by``. Only buckets
+    with a key of the batch are read and written.
+    """
+    spark = batch.sparkSession
+    done = snapshot_numbers(spark, table_dir)
+    if number in done:
+        return _manifest(table_dir, number)
+    extra = {t if isinstance(t, str) else t[0] for t in order_by}
+    columns = [c for c in batch.columns if c not in extra]
+    old = _newest(spark, table_dir, number)
+    if old is not None and "buckets" not in old:
+        rows = _table(spark, old).withColumn(_BUCKET, _bucket(keys, buckets))
+        path = f"{table_dir}/data-{uuid.uuid4().hex}"
+        rows.repartition(buckets, _BUCKET).write.partitionBy(_BUCKET).parquet(path)
+        old = {**old, "buckets": buckets, "paths": _bucket_paths(spark, path)}
+    if old is not None:
+        buckets = old["buckets"]
+    batch = stage(batch.withColumn(_BUCKET, _bucket(keys, buckets)), "batch")
+    touched = sorted(r[0] for r in batch.select(_BUCKET).distinct().collect())  # a bucket's number
+    paths = dict(old["paths"]) if old else {}
+    mine = [paths[str(b)] for b in touched if str(b) in paths]
+    schema = batch.select(*columns).schema
+    target = spark.read.schema(schema).parquet(*mine) if mine else spark.createDataFrame([], schema)
+    merged = upsert(target, batch, keys, update_cols, order_by).after
+    path = f"{table_dir}/data-{uuid.uuid4().hex}"
+    dealt = merged.withColumn(_BUCKET, _bucket(keys, buckets)).repartition(F.col(_BUCKET), *keys)
+    dealt.write.partitionBy(_BUCKET).parquet(path)
+    paths |= _bucket_paths(spark, path)
+    content = {"buckets": buckets, "paths": paths, "schema": schema.json()}
+    return _commit(spark, table_dir, number, done, content)
+
+
+def snapshot_numbers(spark: SparkSession, table_dir: str) -> list[int]:
+    """Numbers of the published snapshots, ascending."""
+    return _numbers(spark, table_dir, _PREFIX)
+
+
+def snapshot_files(spark: SparkSession, table_dir: str) -> list[str]:
+    """The folders that the newest snapshot is made of."""
+    content = _newest(spark, table_dir, None)
+    paths = content["paths"] if content else []
+    return sorted(paths.values() if isinstance(paths, dict) else paths)
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def _bucket_paths(spark: SparkSession, path: str) -> dict[str, str]:
+    found = _files(spark, f"{path}/{_BUCKET}=*")
+    return {name.split("=")[1]: f"{path}/{name}" for name in found}
+
+
+def _table(spark: SparkSession, content: dict) -> DataFrame:
+    if "buckets" not in content:
+        return spark.read.parquet(*content["paths"])
+    schema = StructType.fromJson(json.loads(content["schema"])) if "schema" in content else None
+    reader = spark.read.schema(schema) if schema else spark.read
+    paths = list(content["paths"].values())
+    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _commit(
+    spark: SparkSession, table_dir: str, number: int | None, done: list[int], content: dict
+) -> str:
+    """Claim the number, then put the manifest in its place."""
+    if number is None:
+        number = max([-1, *done]) + 1
+        _claim(spark, table_dir, number)
+    # A given number belongs to one stream: a claim without a manifest is its own failed try.
+    path = _manifest(table_dir, number)
+    draft = f"{table_dir}/draft-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(jvm_path(draft), False)
+    out.write(json.dumps(content).encode())
+    out.close()
+    if not files.rename(jvm_path(draft), jvm_path(path)):
+        raise AlreadyClaimed(path)
+    return path
+
+
+def _claim(spark: SparkSession, table_dir: str, number: int) -> None:
+    """Create the number's claim; fails if it exists."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/{_CLAIM}{number:012d}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path.getParent())
+    try:
+        if files.getScheme() == "file":  # where create() looks first and creates then
+            nio = spark._jvm.java.nio.file
+            nio.Files.createFile(
+                spark._jvm.java.io.File(path.toUri().getPath()).toPath(),
+                spark.sparkContext._gateway.new_array(nio.attribute.FileAttribute, 0),
+            )
+        else:
+            files.create(path, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in str(error.java_exception.getClass().getName()):
+            raise AlreadyClaimed(path.toString()) from None
+        raise
+
+
+def _manifest(table_dir: str, number: int) -> str:
+    return f"{table_dir}/{_PREFIX}{number:012d}"
+
+
+def _newest(spark: SparkSession, table_dir: str, before: int | None) -> dict | None:
     done = [n for n in snapshot_numbers(spark, table_dir) if before is None or n < before]
     if not done:
         return None
-    return spark.read.parquet(f"{table_dir}/{_PREFIX}{done[-1]:012d}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(_manifest(table_dir, done[-1]))
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        raw = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
+    finally:
+        stream.close()
+    return json.loads(bytes(raw))
 
 
-def snapshot_numbers(spark: SparkSession, table_dir: str) -> list[int]:
-    """Numbers of the published snapshots, ascending."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    pattern = hadoop.Path(f"{table_dir}/{_PREFIX}*/{_MARKER}")
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    names = [f.getPath().getParent().getName() for f in files or []]
-    return sorted(int(n.removeprefix(_PREFIX)) for n in names)
+def _numbers(spark: SparkSession, table_dir: str, prefix: str) -> list[int]:
+    return sorted(int(n.removeprefix(prefix)) for n in _files(spark, f"{table_dir}/{prefix}*"))
+
+
+def _files(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().getName() for f in found or []]

@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rollbook.operators.change import upsert
 from rollbook.plans import stage
 from rollbook.sources.csv import load_positional
-from rollbook.sources.snapshot import publish, read_snapshot
+from rollbook.sources.snapshot import merge, read_snapshot
+
+# Files of one batch; their paths come to the driver.
+FILES_PER_BATCH = 1_000
 
 _ORDER = "_source_order"
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -26,45 +28,36 @@ def ingest_dir(
     checkpoint: str,
     sep: str = ",",
     normalise: Callable[[DataFrame], DataFrame] | None = None,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
     """Upsert every new CSV file of ``in_dir`` into the table at ``table_dir``.
 
     Runs until no new file is left and gives the table's newest snapshot. A
-    batch is a list of arrived files, loaded as ``load_positional`` does; it
-    publishes one snapshot under its batch number, so a batch that is repeated
+    batch is a list of at most ``files_per_batch`` arrived files, loaded as
+    ``load_positional`` does; it rewrites the buckets its keys are in and publishes one snapshot under its batch number, so a batch that is repeated
     after a failure changes nothing. Within a batch the first row per key in
     source order wins.
     """
     reader = spark.readStream.format("binaryFile").schema(_FILES)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
     arriving = reader.load(in_dir).select("path")  # contents are not read here
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def arrived(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         paths = [r["path"] for r in batch.collect()]
         if not paths:
             return
-        staged = load_positional(session, paths, schema, sep, source_order=_ORDER)
+        rows = load_positional(session, paths, schema, sep, source_order=_ORDER)
         if normalise:
-            staged = normalise(staged)
-        parsed = stage(staged, "arrived")  # parsed once, though used several times
-        target = read_snapshot(session, table_dir, before=number)
-        if target is None:
-            target = session.createDataFrame([], _without(parsed.schema, _ORDER))
-        change = upsert(target, parsed, keys, update_cols, [_ORDER])
-        publish(change.after, table_dir, number)
+            rows = normalise(rows)
+        # Parsed once and whole before anything is merged.
+        merge(stage(rows, "arrived"), table_dir, keys, update_cols, [_ORDER], number)
 
     query = (
-        arriving.writeStream.foreachBatch(merge)
+        arriving.writeStream.foreachBatch(arrived)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     return read_snapshot(spark, table_dir)
-
-
-def _without(schema: T.StructType, name: str) -> T.StructType:
-    return T.StructType([f for f in schema.fields if f.name != name])

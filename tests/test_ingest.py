@@ -76,3 +76,37 @@ def test_a_bad_file_fails_and_leaves_the_table(spark, folder):
     with pytest.raises(Exception, match="MALFORMED"):
         ingest(spark, folder)
     assert rows(snapshot.read_snapshot(spark, str(folder / "table"))) == [(1, "a", "x")]
+
+
+def test_a_one_row_batch_rewrites_one_bucket(spark, tmp_path):
+    table = str(tmp_path / "table")
+    many = spark.range(500).select(F.col("id").cast("int").alias("k"), F.lit("a").alias("v"), F.lit("x").alias("keep"))
+    snapshot.merge(many.withColumn("o", F.col("k")), table, ["k"], ["v"], ["o"])
+    before = set(snapshot.snapshot_files(spark, table))
+    one = many.limit(1).withColumns({"v": F.lit("z"), "o": F.lit(1)})
+    snapshot.merge(one, table, ["k"], ["v"], ["o"])
+    after = set(snapshot.snapshot_files(spark, table))
+    assert len(after - before) == 1 and len(before - after) == 1
+    now = snapshot.read_snapshot(spark, table)
+    assert now.count() == 500
+    assert now.filter("v = 'z'").count() == 1
+
+
+def test_two_publishers_cannot_both_win(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "table")
+    snapshot.publish(spark.range(1), table)
+    stale = snapshot.snapshot_numbers(spark, table)
+    snapshot.publish(spark.range(2), table)
+    monkeypatch.setattr(snapshot, "snapshot_numbers", lambda *_: stale)  # as another writer saw it
+    with pytest.raises(snapshot.AlreadyClaimed):
+        snapshot.publish(spark.range(3), table)
+    monkeypatch.undo()
+    assert snapshot.read_snapshot(spark, table).count() == 2
+
+
+def test_a_plain_snapshot_can_be_merged_into(spark, tmp_path):
+    table = str(tmp_path / "table")
+    rows_ = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    snapshot.publish(rows_, table)
+    snapshot.merge(rows_.filter("k = 2").withColumns({"v": F.lit("c"), "o": F.lit(0)}), table, ["k"], ["v"], ["o"])
+    assert rows(snapshot.read_snapshot(spark, table)) == [(1, "a"), (2, "c")]

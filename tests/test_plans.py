@@ -8,7 +8,7 @@ from conftest import final_plan, rows
 from pyspark.sql import functions as F
 
 from rollbook.operators import access, delete
-from rollbook.operators.change import dedupe_by_key, upsert
+from rollbook.operators.change import dedupe_by_key, update_by_key, upsert
 from rollbook.operators.children import children_pages
 from rollbook.operators.delete import delete_by_key
 from rollbook.operators.listing import Lookup, lookup_page, page, with_lookups
@@ -18,11 +18,14 @@ from rollbook.plans import (
     measured_bytes,
     number_rows,
     rank_in_group,
+    release,
     rows_between,
     stage,
     stage_path,
     with_source_order,
 )
+from rollbook.plans import staging
+from rollbook.plans.staging import shared_folder
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 17])
@@ -244,11 +247,33 @@ class FakeSession:
 
 
 def test_stage_folder_is_never_local_on_a_cluster():
-    assert stage_path(FakeSession(spark_checkpoint_dir="hdfs://x/y/"), "t").startswith("hdfs://x/y/rollbook/t-")
+    assert shared_folder(FakeSession(spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        stage_path(FakeSession(spark_master="spark://host"), "t")
-    local = FakeSession(spark_master="local[2]")
-    assert stage_path(local, "t").rsplit("/", 1)[0] == stage_path(local, "t").rsplit("/", 1)[0]
+        shared_folder(FakeSession(spark_master="spark://host"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSession(spark_master="spark://host", spark_sql_warehouse_dir="/tmp/x"))
+    assert shared_folder(FakeSession(spark_master="local[2]", spark_sql_warehouse_dir="/w")) == "/w"
+
+
+def test_released_stages_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_folder", lambda _: str(tmp_path))
+    stage(spark.range(3), "t")
+    stage(spark.range(3), "t")
+    assert len(list((tmp_path / "rollbook").glob("*/t-*"))) == 2
+    release(spark)
+    assert list((tmp_path / "rollbook").glob("*/*")) == []
+    assert stage(spark.range(3), "t").count() == 3
+
+
+def test_batches_are_reduced_by_hash(spark):
+    target = spark.range(50).select("id", F.lit("a").alias("role"))
+    changes = target.select("id", F.lit("b").alias("role"), F.col("id").alias("seq"))
+    change = update_by_key(target, changes, "id", ["role"], order_by="seq")
+    assert "SortAggregate" not in final_plan(change.after)
+    links = target.select(F.col("id").alias("user_id"), F.col("id").alias("permission_id"))
+    asked = links.select("user_id", F.array("permission_id").alias("ids"), F.col("user_id").alias("seq"))
+    replaced = access.replace_set(links, asked, target, "seq")
+    assert "SortAggregate" not in final_plan(replaced.after)
 
 
 def test_codes_of_a_hot_user(spark, skewed):
