@@ -11,7 +11,7 @@ activities AS (
 listed AS (
   SELECT a.*, u.c_name AS created_by, t.n_name AS tim
   FROM activities a
-  JOIN (SELECT * FROM customer WHERE c_acctbal > 0) u ON a.users_id = u.c_custkey
+  JOIN customer u ON a.users_id = u.c_custkey * 2
   LEFT JOIN nation t ON a.team_id = t.n_nationkey
 )
 """
@@ -36,8 +36,8 @@ users AS (SELECT s_suppkey AS id, s_name AS nama FROM supplier)
 
 _UPSERT = """
 WITH target AS (
-  SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS note, o_totalprice AS amount
-  FROM orders WHERE o_orderstatus <> 'P'
+  SELECT o_orderkey * 2 AS k, o_orderstatus AS status, o_orderpriority AS note, o_totalprice AS amount
+  FROM orders
 ),
 staged AS (
   SELECT DISTINCT ON (l_orderkey) l_orderkey AS k, nullif(l_returnflag, 'R') AS status,
@@ -90,7 +90,7 @@ judged AS (
     CASE WHEN TRY_CAST(total_peserta AS INTEGER) > 14 THEN 'total_peserta: exceeds sasaran_peserta' END,
     CASE WHEN total_peserta = 'x' THEN 'total_peserta: not a number' END,
     CASE WHEN role NOT IN ('admin', 'user') THEN 'role: not allowed' END,
-    CASE WHEN users_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    CASE WHEN users_id NOT IN (SELECT c_custkey * 2 FROM customer)
          THEN 'users_id: not found' END) AS errors
   FROM rows
 )
@@ -290,8 +290,7 @@ ORACLE: dict[str, str] = {
         )
         SELECT id, role,
                coalesce(role = 'admin', false) OR EXISTS (
-                 SELECT 1 FROM orders WHERE o_custkey = id AND o_orderpriority = '1-URGENT'
-                 AND o_orderstatus = 'P') AS allowed
+                 SELECT 1 FROM orders WHERE o_custkey * 2 = id) AS allowed
         FROM users
     """,
     "replace_set": f"""
@@ -393,8 +392,8 @@ ORACLE: dict[str, str] = {
     "publish_snapshot": "SELECT p_partkey, p_brand, p_size + 1 AS p_size FROM part",
     "ingest_dir": f"""
         WITH known AS (
-          SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS note
-          FROM orders WHERE o_orderstatus <> 'P'
+          SELECT o_orderkey * 2 AS k, o_orderstatus AS status, o_orderpriority AS note
+          FROM orders
         ),
         lines AS (
           SELECT DISTINCT ON (l_orderkey) l_orderkey AS k, l_returnflag AS status, l_linestatus AS note
@@ -517,7 +516,8 @@ ORACLE: dict[str, str] = {
         ),
         judged AS (
           SELECT *, CASE WHEN nip = '' THEN 'missing'
-                         WHEN nip IN (SELECT c_name FROM customer WHERE c_acctbal > 0) THEN 'known'
+                         WHEN nip IN (
+                           SELECT 'Customer#' || lpad(CAST(c_custkey * 2 AS VARCHAR), 9, '0') FROM customer) THEN 'known'
                          WHEN o_orderkey > min(o_orderkey) OVER (PARTITION BY nip) THEN 'repeated'
                          ELSE '' END AS reason
           FROM staged
@@ -525,7 +525,7 @@ ORACLE: dict[str, str] = {
         SELECT o_orderkey, nip, reason, CAST(NULL AS BIGINT) AS id FROM judged WHERE reason <> ''
         UNION ALL
         SELECT o_orderkey, nip, reason,
-               (SELECT max(c_custkey) FROM customer WHERE c_acctbal > 0)
+               (SELECT max(c_custkey) * 2 FROM customer)
                  + row_number() OVER (ORDER BY o_orderkey)
         FROM judged WHERE reason = ''
     """,
