@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.blocks import Block, Hasher, blocks
 from rollbook.llm.carry import named, per_block
+from rollbook.llm.tables import stage
 
 WINDOW = 64
 NEIGHBOURS = 64
@@ -40,6 +42,10 @@ BITS_PER_FEATURE = 5
 #: Steps of entropy; below ``LOW`` a window has no information worth keeping.
 STEPS, LOW = 1000, 100
 
+#: Texts that are compared at a time, and what a row of a range is.
+ROWS = 512
+INNER, FIRST, LAST = 0, 1, 2
+
 _COUNTS = np.arange(WINDOW + 1, dtype=np.float64)
 _PHI = np.rint(_COUNTS * np.log2(np.maximum(_COUNTS, 1)) * (1 << 20)).astype(np.int64)
 _GAIN = np.diff(_PHI)
@@ -195,82 +201,81 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
     return named(per_block(docs, "text", ["doc_id"], "fingerprint string", run), ["doc_id"], ["fingerprint"])
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """``bucket, follows, key, doc_id, text`` so that each row's next one is in its partition.
-
-    Rows are dealt into ranges of ``doc_id``; the first row of a range is also sent to the
-    range above (``follows``), after that range's last row. One shuffle of the texts.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = keyed.approxQuantile("key", [i / (4 * n) for i in range(1, 4 * n)], 1 / (8 * n))
-    cuts = sorted({int(c) for c in cuts})
-    bucket = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    placed = keyed.withColumn("bucket", bucket)
-    heads = dict(placed.groupBy("bucket").agg(F.max("key")).collect())  # a row for each range
-    if not heads:
-        return placed.withColumn("follows", F.lit(False)).select("bucket", "follows", "key", "doc_id", "text")
-    used = sorted(heads)
-    above = dict(zip(used, [*used[1:], used[0]], strict=True))
-    size = max(used) + 1
-    head = F.element_at(F.array(*(F.lit(heads.get(i, 0)).cast("long") for i in range(size))), F.col("bucket") + 1)
-    to = F.element_at(F.array(*(F.lit(above.get(i, 0)) for i in range(size))), F.col("bucket") + 1)
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("follows"))
-    sent = F.struct(to.alias("bucket"), F.lit(True).alias("follows"))
-    places = F.explode(F.when(F.col("key") == head, F.array(own, sent)).otherwise(F.array(own)))
-    return (
-        placed.select(places.alias("place"), "key", "doc_id", "text")
-        .select("place.bucket", "place.follows", "key", "doc_id", "text")
-        .repartition(n, "bucket")
-        .sortWithinPartitions("bucket", "follows", F.desc("key"), "text")
-    )
-
-
 def edited(text: str, following: str) -> str:
     """``text`` with its last third replaced by as much of the start of ``following``, or all of it."""
     third = len(text) // 3
     return text[: len(text) - third] + following[:third]
 
 
-def with_edits(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and their likeness and that of the next document's."""
-    ranks = rarity_ranks(entropy_histogram(docs)) if ranks is None else ranks
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+def _compared(ids: pa.Array, texts: list[str], prints: list, index: list[int], ranks: np.ndarray) -> list[pa.Array]:
+    """The result columns of the rows ``index``, each followed by the next row of the lists."""
+    changed = [edited(texts[i], texts[i + 1]) for i in index]
+    raw = [c.encode() for c in changed]
+    changed_prints = _texts_filters(raw, ranks)
+    return [
+        ids.take(pa.array(index, pa.int64())),
+        pa.array([len(texts[i]) for i in index], pa.int64()),
+        pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+        pa.array([written(*prints[i]) for i in index], pa.string()),
+        pa.array([written(*p) for p in changed_prints], pa.string()),
+        pa.array([likeness(prints[i][1], p[1]) for i, p in zip(index, changed_prints, strict=True)], pa.float64()),
+        pa.array([likeness(prints[i][1], prints[i + 1][1]) for i in index], pa.float64()),
+    ]
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                yield batch.slice(i, 512)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row and its filters
-        for batch in slices(batches):
-            ids, follows = batch.column("doc_id"), batch.column("follows").to_pylist()
-            texts = batch.column("text").to_pylist()
-            prints = _texts_filters([t.encode() for t in texts], sent.value)
-            if held:
-                ids = pa.concat_arrays([held[0], ids])
-                follows, texts, prints = [held[1], *follows], [held[2], *texts], [held[3], *prints]
-            index = [i for i in range(len(texts) - 1) if not follows[i]]
-            changed = [edited(texts[i], texts[i + 1]) for i in index]
-            raw = [c.encode() for c in changed]
-            changed_prints = _texts_filters(raw, sent.value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(index, pa.int64())),
-                    pa.array([len(texts[i]) for i in index], pa.int64()),
-                    pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
-                    pa.array([written(*prints[i]) for i in index], pa.string()),
-                    pa.array([written(*p) for p in changed_prints], pa.string()),
-                    pa.array([likeness(prints[i][1], p[1]) for i, p in zip(index, changed_prints, strict=True)], pa.float64()),
-                    pa.array([likeness(prints[i][1], prints[i + 1][1]) for i in index], pa.float64()),
-                ],
-                ["doc_id", *names],
-            )
-            held = (ids.slice(len(texts) - 1), follows[-1], texts[-1], prints[-1])
+def with_edits(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and their likeness and that of the next document's.
 
+    One shuffle deals the texts into ranges of ``doc_id``. A range's rows but its
+    last are compared there; its first and last texts are kept as well, and the last of each
+    range is compared with the first of the next one in a small second step.
+    """
+    ranks = rarity_ranks(entropy_histogram(docs)) if ranks is None else ranks
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(ranks)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).mapInArrow(run, schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
+        held: tuple | None = None  # the last row and its filters
+
+        def edge(ids: pa.Array, text: str, role: int) -> pa.RecordBatch:
+            blank = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([ids, *blank, pa.array([role], pa.int32()), pa.array([here], pa.int32()), pa.array([text], pa.string())], [*names, "role", "range", "text"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+                if held is None:
+                    yield edge(ids.slice(0, 1), texts[0], FIRST)
+                prints = _texts_filters([t.encode() for t in texts], sent.value)
+                if held:
+                    ids, texts, prints = pa.concat_arrays([held[0], ids]), [held[1], *texts], [held[2], *prints]
+                n = len(texts) - 1
+                extra = [pa.array([INNER] * n, pa.int32()), pa.array([here] * n, pa.int32()), pa.nulls(n, pa.string())]
+                yield pa.RecordBatch.from_arrays([*_compared(ids, texts, prints, list(range(n)), sent.value), *extra], [*names, "role", "range", "text"])
+                held = (ids.slice(n), texts[n], prints[n])
+        if held:
+            yield edge(held[0], held[1], LAST)
+
+    def join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("following").to_pylist(), strict=True)
+            for i, texts in enumerate(pairs):
+                prints = _texts_filters([t.encode() for t in texts], sent.value)
+                yield pa.RecordBatch.from_arrays(_compared(batch.column("doc_id").slice(i, 1), list(texts), prints, [0], sent.value), names)
+
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    ranges = keyed.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
+    done = stage(ranges.mapInArrow(compare, f"{schema}, role int, range int, text string"), "ranges")
+    used = sorted(r["range"] for r in done.where(F.col("role") == FIRST).select("range").collect())  # numbers of ranges
+    following = spark.createDataFrame(list(zip(used, [*used[1:], *used[:1]], strict=True)), "range int, after int")
+    firsts = done.where(F.col("role") == FIRST).select(F.col("range").alias("after"), F.col("text").alias("following"))
+    lasts = done.where(F.col("role") == LAST).select("range", "doc_id", "text")
+    met = lasts.join(following, "range").join(firsts, "after").select("doc_id", "text", "following").mapInArrow(join_ranges, schema)
+    return done.where(F.col("role") == INNER).select(*names).unionByName(met)
