@@ -47,6 +47,8 @@ _BAD_WORDS = frozenset(
     "comment comments reply replies respondent form login signup subscribe newsletter share social related recommended widget breadcrumb breadcrumbs pagination pager popup modal toolbar legal "
     "copyright disclaimer skip search masthead byline tags meta".split()
 )
+#: Words that may also tell what stands beside the article inside an element.
+_BESIDE_WORDS = frozenset("sidebar side header ad ads share social login related banner".split())
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -55,17 +57,20 @@ FEATURES = ("place", "words", "link_density", "heading", "item", "words_before",
 
 
 def _place(tag: str, attributes: str, outer: int) -> int:
-    """What an element says of its text: 1 article, -1 something else, 0 nothing."""
+    """What an element says of its text: 1 article, -2 something else, -1 something else but for an article in it, 0 nothing."""
     if attributes and _HIDDEN.search(attributes):
-        return -1
+        return -2
     if tag in _BAD_TAGS or tag == "header" and outer <= 0:
-        return -1
-    if attributes and tag != "body":
+        return -2
+    if attributes and tag not in ("html", "body"):
         words: set[str] = set()
         for m in _NAMES.finditer(attributes):
             words.update(_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
-        if words & _BAD_WORDS:
-            return -1
+        bad = words & _BAD_WORDS
+        if bad == {"header"} and words & _GOOD_WORDS:
+            return 0
+        if bad:
+            return -1 if bad <= _BESIDE_WORDS else -2
         if words & _GOOD_WORDS:
             return 1
     return int(tag in _GOOD_TAGS)
@@ -84,13 +89,14 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int]]]:
         if joined:
             n_linked = len(html.unescape(" ".join(linked)).split())
             place = next((p for _, p in reversed(stack) if p), 0)
-            # Nothing inside a part that isn't the article belongs to it again.
+            # Nothing inside a part that isn't the article belongs to it again, but for an article in a
+            # part that may only be named for what stands beside it.
             bad = next((i for i, (_, p) in enumerate(stack) if p < 0), None)
-            if bad is not None and not any(t in _GOOD_TAGS for t, _ in stack[bad:]):
+            if bad is not None and (min(p for _, p in stack) == -2 or not any(t in _GOOD_TAGS for t, _ in stack[bad:])):
                 place = -1
             tags = [t for t, _ in stack]
             words = joined.count(" ") + 1
-            out.append((joined, (place, words, min(n_linked, words), int(any(t in _HEADINGS for t in tags[-2:])), int("li" in tags[-4:]))))
+            out.append((joined, (max(place, -1), words, min(n_linked, words), int(any(t in _HEADINGS for t in tags[-2:])), int("li" in tags[-4:]))))
         text.clear()
         linked.clear()
 

@@ -72,3 +72,11 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "u", "", 0)] * 2 + [(None, None, "", 0), (2, "v", "x", 1)]))
     assert pages.extract(df.limit(0)).collect() == []
+
+
+def test_articles_of_readers_are_comments():
+    page = "<article><p>one</p></article><section class='comments'><article><p>reader</p></article></section>"
+    assert _text(page) == "one"
+    assert _text("<div class='layout with-sidebar'><article><p>one</p></article><div class=sidebar>no</div></div>") == "one"
+    assert _text("<article><div class='entry-header'><h1>Title</h1></div><p>one</p><aside><p>no</p></aside></article>") == "Title\none"
+    assert _text("<main><p>one</p><nav><p>no</p></nav><div role='alert'>no</div><p class='ad'>no</p><p hidden>no</p></main>") == "one"
