@@ -27,7 +27,7 @@ from rollbook.operators.change import Change
 from rollbook.operators.children import children_page, children_pages
 from rollbook.operators.listing import Lookup, Page
 from rollbook.plans import stage
-from rollbook.sources import csv, workbook
+from rollbook.sources import csv, snapshot, workbook
 
 SOURCE_ORDER = "source_order"
 
@@ -55,6 +55,23 @@ def load_candidates(
     return _load_upsert(spark, path, candidates, tables.CANDIDATES, schema, "d")
 
 
+def merge_file(
+    spark: SparkSession,
+    path: str,
+    table_dir: str,
+    table: tables.UpsertTable,
+    schema: T.StructType | None = None,
+    rule: str = "a",
+) -> str:
+    """Load a file and merge it into a stored table, all of it or nothing.
+
+    ``table`` is ``tables.SCHOOLS``, ``STAFF`` or ``CANDIDATES``. Gives the path of
+    the manifest that the merge has published.
+    """
+    staged = _staged_file(spark, path, schema or table.schema, rule)
+    return snapshot.merge(staged, table_dir, table.key, table.updates, [SOURCE_ORDER])
+
+
 def load_participants(
     spark: SparkSession,
     path: str,

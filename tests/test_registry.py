@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from test_workbook import make_workbook
 
 from rollbook import registry, tables
+from rollbook.sources import snapshot
 
 NOW = datetime.datetime(2024, 6, 1)
 
@@ -440,6 +441,20 @@ def test_split_csv_with_line_breaks_in_quotes(spark, conf, tmp_path, bound):
         assert keys == [str(i) for i in range((r["part"] - 1) * 1000, min(r["part"] * 1000, 2500))]
 
 
+def test_merge_file(spark, tmp_path):
+    schema = T.StructType.fromDDL("ptk_id string, nama string, nip string")
+    table = tables.UpsertTable(["ptk_id"], ["nama"], schema)
+    folder = str(tmp_path / "staff")
+    for text in ("ptk_id,nama,nip\n1,a,x\n2,b,y\n", "ptk_id,nama,nip\n2,c,z\n2,d,z\n3,e,w\n"):
+        (tmp_path / "in.csv").write_text(text)
+        registry.merge_file(spark, str(tmp_path / "in.csv"), folder, table)
+    assert rows(snapshot.read_snapshot(spark, folder)) == [("1", "a", "x"), ("2", "c", "y"), ("3", "e", "w")]
+    (tmp_path / "in.csv").write_text("ptk_id,nama,nip\n4,f\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        registry.merge_file(spark, str(tmp_path / "in.csv"), folder, table)
+    assert snapshot.read_snapshot(spark, folder).count() == 3
+
+
 def test_clears(spark):
     held = {name: spark.range(3) for name in ("ptk", "data_sekolah", "kegiatan", "peserta")} | {"ppg": spark.range(0)}
 
