@@ -42,8 +42,8 @@ from rollbook.llm.components import components
 from rollbook.llm.rtree import RTree
 from rollbook.llm.tables import stage
 
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point: the more, the fewer differences cancel in a coordinate.
+GROUPS = 256
 #: Members of a cell that are searched together.
 SLAB = 4096
 #: Sets that a task remembers in order to key each only once.
@@ -245,11 +245,14 @@ def searched(members: DataFrame, num: int, den: int, across: bool) -> DataFrame:
         tree = RTree(counts, n, num, den)
         if not across:
             return [(min(a, b), max(a, b)) for a, b in ((int(ids[x]), int(ids[y])) for x, y in tree.forest()) if a != b]
+        # Of a pair between roots at least one set is outside the root with the most sets.
+        _, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        small = of != int(np.argmax(sizes))
         out = []
-        for x in range(len(ids)):
-            rows = tree.near(counts[x], int(n[x]))
-            rows = rows[(root[rows] != root[x]) & (ids[rows] > ids[x])]
-            out += [(int(ids[x]), int(y)) for y in ids[rows]]
+        for x in np.flatnonzero(small).tolist():
+            rows = tree.near(x)
+            rows = rows[(of[rows] != of[x]) & (~small[rows] | (ids[rows] > ids[x]))]
+            out += [(min(int(ids[x]), y), max(int(ids[x]), y)) for y in ids[rows].tolist()]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +262,7 @@ def searched(members: DataFrame, num: int, den: int, across: bool) -> DataFrame:
                 if not batch.num_rows:
                     continue
                 part = batch.column("part").to_numpy()
-                counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+                counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
                 rows = [part, *(batch.column(c).to_numpy() for c in ("root", "set_id", "n")), counts]
                 cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):

@@ -117,7 +117,12 @@ def test_tree_finds_what_the_bound_allows():
     for i in range(0, 500, 7):
         overlap = np.minimum(counts, counts[i]).sum(1)
         want = np.flatnonzero(180 * overlap >= 80 * (sizes + sizes[i]))
-        assert tree.near(counts[i], int(sizes[i])).tolist() == want.tolist()
+        assert tree.near(i).tolist() == want.tolist()
+    roots = list(range(500))
+    for a, b in tree.forest():
+        assert b in tree.near(a)
+        roots = [roots[a] if r == roots[b] else r for r in roots]
+    assert all(len({roots[j] for j in tree.near(i)}) == 1 for i in range(500))
 
 
 def test_components_of_chains_and_stars(spark):
