@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm.tables import stage
@@ -82,26 +82,29 @@ def _targets(cells: DataFrame, dimension: str, given: Mapping[str, float] | None
     else:
         share = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in given.items() for x in kv)), F.col("value")), F.lit(0.0))
         raw = values.withColumn("raw", share.cast("double"))
-    total = raw.agg(F.sum("raw").alias("all"))
-    return raw.crossJoin(F.broadcast(total)).select("value", F.when(F.col("all") > 0, F.col("raw") / F.col("all")).otherwise(0.0).alias("share"))
+    total = raw.agg(F.sum("raw")).first()[0] or 0.0
+    return raw.select("value", (F.col("raw") / F.lit(float(total)) if total else F.lit(0.0)).alias("share"))
 
 
 def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (``source, lang, topic, tokens``) with a ``weight`` for their tokens."""
+    """``cells`` (``source, lang, topic, tokens``) with a ``weight`` for their tokens.
+
+    One short row per cell: a round sums them by each dimension in turn and is written.
+    """
     cells = stage(cells, "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    shares = {d: stage(_targets(cells, d, (targets or {}).get(d), temper), "shares") for d in DIMENSIONS}
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     current = cells.withColumn("weight", F.lit(1.0))
+    for d in DIMENSIONS:
+        share = _targets(cells, d, (targets or {}).get(d), temper)
+        current = current.join(share.select(F.col("value").alias(d), F.col("share").alias(f"share_{d}")), d)
+    current = stage(current, "raked")
     for _ in range(rounds):
         for d in DIMENSIONS:
-            has = current.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("has"))
-            factor = has.join(shares[d], "value").select(
-                F.col("value").alias(d),
-                F.when(F.col("has") > 0, F.col("share") * F.lit(float(total)) / F.col("has")).otherwise(1.0).alias("factor"),
-            )
-            current = current.join(factor, d).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+            has = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(d))
+            factor = F.when(has > 0, F.col(f"share_{d}") * F.lit(total) / has).otherwise(1.0)
+            current = current.withColumn("weight", F.col("weight") * factor)
         current = stage(current, "raked")
-    return current
+    return current.select(*DIMENSIONS, "tokens", "weight")
 
 
 def sampling_factor(cells: DataFrame, share: float) -> float:
