@@ -28,8 +28,10 @@ from rollbook.llm.carry import named, per_block
 
 #: Elements whose content is no text.
 _SKIPPED = "script|style|noscript|template|title|textarea|select|svg|iframe|object|math|button|canvas|audio|video"
+#: The inside of a tag: only after an equals sign may quotes hold an angle bracket. Possessive, so that it takes linear time.
+_INSIDE = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^<>])*+"""
 _TAG = re.compile(
-    rf"<!--(?:.*?--!?>|.*\Z)|<({_SKIPPED})(?=[\s/>])[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    rf"<!--(?:.*?--!?>|.*\Z)|<({_SKIPPED})(?=[\s/>]){_INSIDE}(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_INSIDE})>",
     re.S | re.I,
 )
 #: Elements that don't part a block.

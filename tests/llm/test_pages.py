@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 
@@ -80,3 +81,11 @@ def test_articles_of_readers_are_comments():
     assert _text("<div class='layout with-sidebar'><article><p>one</p></article><div class=sidebar>no</div></div>") == "one"
     assert _text("<article><div class='entry-header'><h1>Title</h1></div><p>one</p><aside><p>no</p></aside></article>") == "Title\none"
     assert _text("<main><p>one</p><nav><p>no</p></nav><div role='alert'>no</div><p class='ad'>no</p><p hidden>no</p></main>") == "one"
+
+
+def test_markup_that_invites_backtracking():
+    begin = time.perf_counter()
+    for page in ("<a " + '"x"' * 3000, "<a x='" * 3000, "<a" * 50_000, "<!" * 50_000, "<script" * 20_000, "<a b=\"" * 20_001, "<!--" * 20_000, "<p title=it's>one</p>" * 2000):
+        _text(page)
+    assert time.perf_counter() - begin < 20
+    assert _text("<article><p title=it's>one</p><p title='a>b' x=\"<c>\">two</p></article>") == "one\ntwo"
