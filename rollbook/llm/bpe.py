@@ -1,9 +1,9 @@
 """Byte-level BPE: a lexicon of frequent words and exact merges for the rest.
 
-The corpus's words (pre-tokens) are counted over all documents; the most
-frequent ones are compiled with their ids into a minimal acyclic automaton
+The corpus's words (each with the space before it) are counted over all
+documents; the most frequent ones are compiled with their ids into a minimal acyclic automaton
 (``lexicon``) that every task memory-maps. Words that it lacks are merged by
-the vocabulary's ranks. The ids are those of the ``tokenizers`` library for the
+the vocabulary's ranks, pre-token by pre-token. The ids are those of the ``tokenizers`` library for the
 vocabulary file given by path, without added special tokens; an added token's
 string in a text is that token, as in the library. Decoding gives the text back.
 
@@ -18,7 +18,7 @@ import hashlib
 import heapq
 import json
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -28,23 +28,37 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import Block, blocks
+from rollbook.llm.blocks import Block, Hasher, blocks
 from rollbook.llm.carry import named, per_block
 from rollbook.llm.lexicon import Lexicon, compile_lexicon
-from rollbook.llm.tables import put_file
+from rollbook.llm.tables import put_file, stage
 
 #: Words of the lexicon at most.
 LEXICON_WORDS = 100_000
 #: Longest word of the lexicon, in bytes.
 LEXICON_BYTES = 64
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
-#: Different words that a task counts before it passes counts on.
+#: Words whose ids are remembered.
+REMEMBERED = 100_000
+#: Different pieces that a task counts before it passes counts on.
 COUNTED = 400_000
+#: Pieces between spaces whose ids a Python worker remembers.
+TABLE_PIECES = 1_000_000
+#: Longer words, and fewer words, are merged one by one.
+LONG = 64
+FEW = 24
 
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WORDS = regex.compile(PATTERN)
+WORDS = regex.compile(PATTERN)
+#: A space beside other white space. Where there is none, each space begins a pre-token,
+#: and the pre-tokens of a piece between spaces do not depend on the text around it.
+_IRREGULAR = regex.compile(r" \s|\s ")
+#: ASCII white space, and the first two bytes of other white space, of the pattern.
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_OTHER_WHITE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+#: Told apart from a piece after a space: one at a text's start.
+_AT_START = np.uint64(0x5851F42D4C957F2D)
 #: Characters whose classes may differ between versions of Unicode tables.
 _UNSURE = regex.compile(r"[^\x00-ԯḀ-ỿ‐-‧‰-⁞₠-₿℀-⅏　-〿ぁ-ゖァ-ヺ一-龥가-힣]")
 
@@ -76,33 +90,81 @@ class Vocabulary:
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self._split = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self._library = None
+        self.no_rank = len(self.merges)
+        self.merged_id = np.array([new for _, new in self.merges.values()])
         lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             lengths[i] = len(b)
         self.lengths = lengths
+        keys = np.array([a * len(lengths) + b for a, b in self.merges])
+        order = np.argsort(keys)
+        self.pair_key, self.pair_rank = keys[order], np.array([r for r, _ in self.merges.values()])[order]
         self.starts = np.cumsum(lengths) - lengths
         self.data = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(lengths))), np.uint8)
 
-    def merged(self, word: bytes) -> list[int]:
-        """The ids of one pre-token: the adjacent pair of the lowest rank merges first, leftmost of equals."""
-        ids = [self.byte_id[b] for b in word]
-        return self._merged_long(ids) if len(ids) > 48 else self._merged_short(ids)
-
-    def _merged_short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, new = None, -1, -1
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best):
-                    best, at, new = m[0], i, m[1]
-            if best is None:
-                break
-            ids[at : at + 2] = [new]
-        return ids
+    def merged(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids of pre-tokens, as little-endian 32-bit integers.
+
+        The adjacent pair of the lowest rank merges first, leftmost of equals.
+        All words take a step at a time, each its own next merge.
+        """
+        out: list[bytes] = [b""] * len(words)
+        short = []
+        for i, w in enumerate(words):
+            if len(w) > LONG or len(words) < FEW:
+                out[i] = np.array(self._merged_long([self.byte_id[b] for b in w]), "<u4").tobytes()
+            elif w:
+                short.append(i)
+        if not short:
+            return out
+        lengths = np.array([len(words[i]) for i in short])
+        ids = np.array(self.byte_id)[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
+        word = np.repeat(np.arange(len(short)), lengths)
+        done_ids, done_word = [], []
+        rank = np.full(len(ids), self.no_rank)
+        rank[:-1] = self._ranks(ids[:-1], ids[1:])
+        last = np.concatenate([word[1:] != word[:-1], [True]])
+        rank[last] = self.no_rank
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            live = least < self.no_rank
+            if not live.all():
+                ended = np.repeat(~live, size)
+                done_ids.append(ids[ended])
+                done_word.append(word[ended])
+                ids, word, rank = ids[~ended], word[~ended], rank[~ended]
+                least, size = least[live], size[live]
+                if not len(ids):
+                    break
+            spot = np.flatnonzero(rank == np.repeat(least, size))
+            spot = spot[np.concatenate([[True], word[spot[1:]] != word[spot[:-1]]])]
+            ids[spot] = self.merged_id[least]
+            kept = np.ones(len(ids), bool)
+            kept[spot + 1] = False
+            ids, word, rank = ids[kept], word[kept], rank[kept]
+            spot -= np.arange(len(spot))  # one symbol has gone from each word before
+            for at in (spot, spot[spot > 0] - 1):
+                ahead = np.minimum(at + 1, len(ids) - 1)
+                fresh = self._ranks(ids[at], ids[ahead])
+                fresh[(word[ahead] != word[at]) | (ahead == at)] = self.no_rank
+                rank[at] = fresh
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        ends = np.cumsum(np.bincount(word, minlength=len(short)))
+        raw = ids[order].astype("<u4").tobytes()
+        for i, a, b in zip(short, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[i] = raw[4 * a : 4 * b]
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * len(self.lengths) + b
+        spot = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where(self.pair_key[spot] == key, self.pair_rank[spot], self.no_rank)
 
     def _merged_long(self, ids: list[int]) -> list[int]:
-        """As above in n log n: a heap of pairs over a linked list."""
+        """One long word in n log n: a heap of pairs over a linked list."""
         merges, n = self.merges, len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
@@ -129,7 +191,7 @@ class Vocabulary:
 
                 self._library = Tokenizer.from_str(self.content).pre_tokenizer
             return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
-        return _WORDS.findall(text)
+        return WORDS.findall(text)
 
     def pieces(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at added tokens, and whether a piece is one."""
@@ -149,12 +211,86 @@ class Vocabulary:
         return self.data[place + np.repeat(self.starts[ids] - ends + n, n)].tobytes()
 
 
+class PieceTable:
+    """Ids of pieces of text by the 64-bit hash of their bytes: open addressing over flat arrays."""
+
+    def __init__(self) -> None:
+        self.bits, self.count, self.used = 16, 0, 0
+        self.key = np.zeros(1 << self.bits, np.uint64)  # 0: free
+        self.at, self.n = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.ids = np.empty(1 << 18, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 for those that aren't there."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            key = self.key[slot]
+            hit = key == hashes[live]
+            out[live[hit]] = slot[hit]
+            more = ~hit & (key != 0)
+            live, slot = live[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Different hashes that aren't there, with the ids of their pieces."""
+        if 2 * (self.count + len(hashes)) > 1 << self.bits:
+            old = self.key > 0
+            kept, at, n = self.key[old], self.at[old], self.n[old]
+            while 2 * (self.count + len(hashes)) > 1 << self.bits:
+                self.bits += 1
+            self.key = np.zeros(1 << self.bits, np.uint64)
+            self.at, self.n = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
+            self._place(kept, at, n)
+        new = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(new), np.uint32)])
+        self.ids[self.used : self.used + len(new)] = new
+        n = np.array([len(x) >> 2 for x in ids], np.int32)
+        self._place(hashes, self.used + np.cumsum(n) - n, n)
+        self.used += len(new)
+        self.count += len(hashes)
+
+    def _place(self, hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            free = np.flatnonzero(self.key[slot] == 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.key[taken], self.at[taken], self.n[taken] = hashes[live[own]], at[live[own]], n[live[own]]
+            rest = np.ones(len(live), bool)
+            rest[own] = False
+            live, slot = live[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and those before each piece."""
+        n = self.n[slots].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(ends[-1]) + np.repeat(self.at[slots] - ends[:-1], n)
+        return self.ids[place], ends
+
+
+def split_regular(text: str) -> tuple[list[str], list[str]] | None:
+    """The pre-tokens before the first space and the pieces after each space, if pieces can be cut one by one."""
+    if _IRREGULAR.search(text) or _UNSURE.search(text):
+        return None
+    rest = text.split(" ")
+    return WORDS.findall(rest.pop(0)), rest
+
+
 class Encoder:
-    """Ids of texts, with the words met lately remembered."""
+    """Ids of texts, with the words and pieces met lately remembered.
+
+    A text is cut at its spaces, unless one stands beside other white space.
+    Pieces are looked up by hash; new ones in the lexicon, then word by word.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.known: dict[str, bytes] = {}
+        self.table = PieceTable()
 
     def learn(self, words: set[str]) -> None:
         """Look up or merge the words that aren't remembered."""
@@ -163,27 +299,76 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         raw = [w.encode() for w in new]
         found = self.lexicon.outputs(raw) if self.lexicon else [None] * len(raw)
-        merged = self.vocabulary.merged
-        for w, r, ids in zip(new, raw, found, strict=True):
-            self.known[w] = np.array(merged(r), "<u4").tobytes() if ids is None else ids
-
-    def block(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = []
-        words: set[str] = set()
-        for text in texts:
-            parts = [(piece if special else self.vocabulary.words(piece), special) for piece, special in self.vocabulary.pieces(text)]
-            for part, special in parts:
-                if not special:
-                    words.update(part)
-            cut.append(parts)
-        self.learn(words)
-        known, added = self.known, self.vocabulary.added
-        out = []
-        for parts in cut:
-            out.append(b"".join([added[p].to_bytes(4, "little") if special else b"".join([known[w] for w in p]) for p, special in parts]))
+        other = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(other, self.vocabulary.merged([raw[i] for i in other]), strict=True):
+            found[i] = ids
+        self.known.update(zip(new, found, strict=True))
+
+    def spelled(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without added tokens, as little-endian 32-bit integers."""
+        out = self.lexicon.outputs([p.encode() for p in pieces]) if self.lexicon else [None] * len(pieces)
+        words = {i: self.vocabulary.words(pieces[i]) for i, ids in enumerate(out) if ids is None}
+        self.learn(set(chain.from_iterable(words.values())))
+        known = self.known
+        for i, own in words.items():
+            out[i] = b"".join([known[w] for w in own])
         return out
 
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of one text, pre-token by pre-token."""
+        out = []
+        for part, special in self.vocabulary.pieces(text):
+            if special:
+                out.append(self.vocabulary.added[part].to_bytes(4, "little"))
+            else:
+                words = self.vocabulary.words(part)
+                self.learn(set(words))
+                out += [self.known[w] for w in words]
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def block(self, block: Block) -> list[np.ndarray]:
+        """The ids of each text."""
+        data = block.data
+        space = data == 0x20
+        starts, ends, before = block.pieces(~space)
+        text = np.repeat(np.arange(block.n), np.diff(before))
+        whole = self._not_cut(block, space)
+        hashes = Hasher(data)(starts, ends)
+        hashes[starts == block.at[text]] ^= _AT_START
+        hashes[hashes == 0] = 1
+        cut = np.flatnonzero(~whole[text])
+        if self.table.count > TABLE_PIECES:
+            self.table = PieceTable()
+        slots = self.table.find(hashes[cut])
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh, first = np.unique(hashes[cut[new]], return_index=True)
+            pieces = []
+            for i in cut[new[first]].tolist():
+                raw = data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
+                pieces.append(raw if starts[i] == block.at[text[i]] else " " + raw)
+            self.table.add(fresh, self.spelled(pieces))
+            slots = self.table.find(hashes[cut])
+        ids, at = self.table.gather(slots)
+        edges = at[np.searchsorted(cut, before)]
+        return [self.whole(block.text(i).decode("utf-8", "replace")) if whole[i] else ids[edges[i] : edges[i + 1]] for i in range(block.n)]
+
+    def _not_cut(self, block: Block, space: np.ndarray) -> np.ndarray:
+        """Texts in which a space stands beside white space or at the end, or that may hold other white space or an added token."""
+        data = block.data
+        odd = np.zeros(len(data), bool)
+        if len(data) > 1:
+            white = _WHITE[data]
+            odd[:-1] = space[:-1] & white[1:] | white[:-1] & space[1:]
+            for first, second in _OTHER_WHITE:
+                odd[:-1] |= (data[:-1] == first) & (data[1:] == second)
+        for token in self.vocabulary.added:
+            head = np.flatnonzero(data == token.encode()[0])
+            odd[head] |= np.array([data[i : i + len(token.encode())].tobytes() == token.encode() for i in head.tolist()], bool)
+        last = block.at[1:] - 1
+        odd[last[last >= block.at[:-1]]] |= space[last[last >= block.at[:-1]]]
+        return block.per_text(odd) > 0
+
 
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
@@ -191,23 +376,32 @@ def read_vocabulary(path: str) -> str:
 
 
 def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``(word, n)`` of all pre-tokens of all documents."""
+    """``(word, n)`` of all documents: what follows each space, with it, and pre-tokens where texts can't be cut at spaces."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
         counts: Counter[str] = Counter()
+        pieces: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
+            for p, n in pieces.items():
+                counts[" " + p] += n
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
             counts.clear()
+            pieces.clear()
             return out
 
         for batch in batches:
             for block in blocks(batch.column("text")):
-                texts = [block.text(i).decode("utf-8", "replace") for i in range(block.n)]
-                counts.update(chain.from_iterable(vocab.words(p) for t in texts for p, special in vocab.pieces(t) if not special))
-                if len(counts) > COUNTED:
+                for i in range(block.n):
+                    for part, special in vocab.pieces(block.text(i).decode("utf-8", "replace")):
+                        if special:
+                            continue
+                        head, rest = split_regular(part) or (vocab.words(part), [])
+                        counts.update(head)
+                        pieces.update(rest)
+                if len(counts) + len(pieces) > COUNTED:
                     yield flush()
         yield flush()
 
@@ -217,48 +411,57 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of ``docs``; returns the name that tasks open it by.
 
-    Ties go to the first in order. At most ``limit`` words of at most ``LEXICON_BYTES`` come to the driver.
+    Words whose counts are of one size (64 steps to a doubling) go in or stay out together. At most ``limit`` words of at most ``LEXICON_BYTES`` come to the driver.
     """
     counts = word_counts(docs, vocabulary).where(F.octet_length("word").between(1, LEXICON_BYTES))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(limit)
+    counts = stage(counts.withColumn("size", F.floor(F.log2("n") * 64).cast("int")), "words")
+    least, kept = 1 << 30, 0
+    for size, words in sorted(counts.groupBy("size").count().collect(), reverse=True):  # at most 4,096 rows
+        if kept + words > limit:
+            break
+        least, kept = size, kept + words
+    frequent = counts.where(F.col("size") >= least)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([vocab.merged(w.encode()) for w in words], pa.list_(pa.int32()))], ["word", "ids"])
+            ids = Encoder(vocab, None).spelled(batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    rows = frequent.select("word").mapInArrow(merge, "word string, ids array<int>").collect()
-    return put_file(docs.sparkSession, "lexicon", compile_lexicon((w.encode(), ids) for w, ids in rows))
+    rows = frequent.select("word").mapInArrow(merge, "word string, ids binary").collect()
+    return put_file(docs.sparkSession, "lexicon", compile_lexicon((w.encode(), np.frombuffer(ids, "<u4").tolist()) for w, ids in rows))
 
 
-def _per_task(sent, lexicon: str | None) -> Callable[[], Encoder]:
-    held: list[Encoder] = []
+def _per_worker(sent, lexicon: str | None) -> Callable[[], Encoder]:
+    """One encoder for all tasks that a Python worker runs for a lexicon."""
 
     def encoder() -> Encoder:
-        if not held:
-            held.append(Encoder(Vocabulary(sent.value), Lexicon.open(SparkFiles.get(lexicon)) if lexicon else None))
-        return held[0]
+        if lexicon not in _encoders:
+            _encoders.clear()
+            _encoders[lexicon] = Encoder(Vocabulary(sent.value), Lexicon.open(SparkFiles.get(lexicon)) if lexicon else None)
+        return _encoders[lexicon]
 
     return encoder
 
 
+_encoders: dict[str | None, Encoder] = {}
+
+
 def encoded(docs: DataFrame, path: str, columns: list[str], with_ids: bool = True, limit: int = LEXICON_WORDS) -> DataFrame:
     """``columns`` with ``n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``.
 
     Carried columns are named ``__0``, ``__1`` and so on.
     """
     vocabulary = read_vocabulary(path)
-    encoder = _per_task(docs.sparkSession.sparkContext.broadcast(vocabulary), build_lexicon(docs, vocabulary, limit))
+    encoder = _per_worker(docs.sparkSession.sparkContext.broadcast(vocabulary), build_lexicon(docs, vocabulary, limit))
 
     def run(block: Block) -> dict:
         own = encoder()
         n, digests, decoded, lists = [], [], [], []
-        for raw in own.block([block.text(i).decode("utf-8", "replace") for i in range(block.n)]):
-            ids = np.frombuffer(raw, "<u4")
+        for ids in own.block(block):
             n.append(len(ids))
-            digests.append(hashlib.sha256(raw).hexdigest())
+            digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
             text = own.vocabulary.decoded(ids).decode("utf-8", "replace")
             decoded.append(hashlib.sha256(text.encode()).hexdigest())
             lists.append(ids)

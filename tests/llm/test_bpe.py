@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollbook.llm import bpe
+from rollbook.llm.blocks import blocks
 from rollbook.llm.lexicon import Lexicon, compile_lexicon
 
 PATH = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
@@ -65,14 +67,28 @@ def test_random_texts(vocabulary, library):
         parts = ["".join(rng.choice(p) for _ in range(rng.randrange(1, 12))) for p in rng.choices(pools, k=rng.randrange(1, 6))]
         texts.append("".join(parts) + rng.choice(["", "<|endoftext|>", " "]))
     texts += ["", "a" * 3000, "ab" * 700 + " " + "é" * 900, "".join(map(chr, range(1, 0xD800, 37)))]
-    got = bpe.Encoder(vocabulary, None).block(texts)
+    texts += [a + b + c for a in ("a", "", " ", "\n") for b in (" ", "  ", " \n", "\u00a0 ", " \u3000", "\x85 ", "\x1f ") for c in ("b", "", "\t", " c")]
+    encoder = bpe.Encoder(vocabulary, None)
+    got = [ids for _ in range(2) for block in blocks(pa.array(texts), 5000) for ids in encoder.block(block)]
     want = library.encode_batch(texts, add_special_tokens=False)
-    for text, a, b in zip(texts, got, want, strict=True):
-        ids = np.frombuffer(a, "<u4")
+    for text, ids, b in zip(texts * 2, got, want * 2, strict=True):
         assert ids.tolist() == b.ids, text
         assert vocabulary.decoded(ids).decode() == text
 
 
+def test_piece_table_grows():
+    rng = np.random.default_rng(0)
+    table = bpe.PieceTable()
+    hashes = np.unique(rng.integers(1, 1 << 63, 300_000).astype(np.uint64) << np.uint64(1))
+    for part in np.array_split(rng.permutation(hashes), 7):
+        table.add(part, [np.array([h % 1000, 7][: 1 + h % 2], "<u4").tobytes() for h in part.tolist()])
+    slots = table.find(hashes)
+    ids, at = table.gather(slots)
+    assert (ids[at[:-1]] == hashes % 1000).all()
+    assert (np.diff(at) == 1 + hashes % 2).all()
+    assert (table.find(hashes + np.uint64(1)) == -1).all()
+
+
 def test_lexicon_holds_exactly_its_words():
     rng = random.Random(2)
     words = sorted({bytes(rng.choice(b"abc\xff\x00") for _ in range(rng.randrange(1, 7))) for _ in range(500)})
