@@ -18,16 +18,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.bpe import Encoder, Vocabulary, read_vocabulary
-from rollbook.llm.blocks import BLOCK_BYTES
+from rollbook.llm.blocks import blocks
+from rollbook.llm.bpe import WORDS, Encoder, Vocabulary, read_vocabulary, split_regular
 
 RUN = 64
+#: Pieces between spaces whose numbers a Python worker remembers.
+PIECES = 300_000
+#: Code points of a piece whose numbers fit into bytes.
+SHORT = 60
 #: Characters past its end that a pre-token's match may look at.
 LOOK = 3
 
@@ -36,16 +41,21 @@ class SegmentTree:
     """Sums of code points and tokens over runs of pre-tokens."""
 
     def __init__(self, lengths: Sequence[int], counts: Sequence[int]):
-        self._build(list(lengths), list(counts))
+        self._build(lengths, counts)
 
-    def _build(self, lengths: list[int], counts: list[int]) -> None:
-        self.runs = [(lengths[i : i + RUN], counts[i : i + RUN]) for i in range(0, max(len(lengths), 1), RUN)]
+    def _build(self, lengths: Sequence[int], counts: Sequence[int]) -> None:
+        """Runs as arrays; a run is made a list when an edit touches it."""
+        lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+        starts = range(0, max(len(lengths), 1), RUN)
+        self.runs = [(lengths[i : i + RUN], counts[i : i + RUN]) for i in starts]
         self.size = 1 << (len(self.runs) - 1).bit_length()
-        self.sums = [(0, 0)] * (2 * self.size)
-        for i, (a, b) in enumerate(self.runs):
-            self.sums[self.size + i] = (sum(a), sum(b))
-        for i in range(self.size - 1, 0, -1):
-            self._add_up(i)
+        level = np.zeros((self.size, 2), np.int64)
+        if len(lengths):
+            level[: len(self.runs)] = np.stack([np.add.reduceat(x, np.array(starts)) for x in (lengths, counts)], axis=1)
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1][::2] + levels[-1][1::2])
+        self.sums = [(0, 0), *(tuple(x) for part in reversed(levels) for x in part.tolist())]
 
     def _add_up(self, i: int) -> None:
         (a, b), (c, d) = self.sums[2 * i], self.sums[2 * i + 1]
@@ -60,7 +70,7 @@ class SegmentTree:
         return self.sums[1][1]
 
     def leaves(self) -> tuple[list[int], list[int]]:
-        return [x for a, _ in self.runs for x in a], [x for _, b in self.runs for x in b]
+        return [int(x) for a, _ in self.runs for x in a], [int(x) for _, b in self.runs for x in b]
 
     def find(self, place: int) -> tuple[int, int, int]:
         """The run and the leaf in it that hold code point ``place`` (the last leaf's end if there is none), and where the leaf starts."""
@@ -71,17 +81,23 @@ class SegmentTree:
                 start += self.sums[node][0]
                 node += 1
         run = node - self.size
-        lengths = self.runs[run][0]
+        lengths = self._run(run)[0]
         for leaf, n in enumerate(lengths):
             if start + n > place:
                 return run, leaf, start
             start += n
         return run, len(lengths), start
 
+    def _run(self, run: int) -> tuple[list[int], list[int]]:
+        a, b = self.runs[run]
+        if not isinstance(a, list):
+            a, b = self.runs[run] = (a.tolist(), b.tolist())
+        return a, b
+
     def after(self, run: int, leaf: int) -> Iterator[tuple[int, int, int]]:
         """Runs, leaves and lengths from a leaf on."""
         while run < len(self.runs):
-            lengths = self.runs[run][0]
+            lengths = self._run(run)[0]
             while leaf < len(lengths):
                 yield run, leaf, lengths[leaf]
                 leaf += 1
@@ -90,7 +106,7 @@ class SegmentTree:
     def splice(self, first: tuple[int, int], last: tuple[int, int], lengths: list[int], counts: list[int]) -> None:
         """Put leaves in place of those from ``first`` up to but without ``last``."""
         (run, leaf), (end_run, end_leaf) = first, last
-        a, b = self.runs[run]
+        a, b = self._run(run)
         if run == end_run:
             self.runs[run] = (a[:leaf] + lengths + a[end_leaf:], b[:leaf] + counts + b[end_leaf:])
         else:
@@ -98,9 +114,9 @@ class SegmentTree:
             for i in range(run + 1, end_run):
                 self.runs[i] = ([], [])
             if end_run < len(self.runs):
-                c, d = self.runs[end_run]
+                c, d = self._run(end_run)
                 self.runs[end_run] = (c[end_leaf:], d[end_leaf:])
-        if len(self.runs[run][0]) > 4 * RUN:
+        if len(self._run(run)[0]) > 4 * RUN:
             self._build(*self.leaves())
             return
         changed = range(run, min(end_run, len(self.runs) - 1) + 1)
@@ -114,6 +130,54 @@ class SegmentTree:
             nodes = {i // 2 for i in nodes if i > 1}
 
 
+class Leaves:
+    """Code points and tokens of the pre-tokens of texts, with the pieces between spaces met lately remembered.
+
+    A piece's numbers are kept as bytes, two for each pre-token, so long pieces go the way of whole pre-tokens.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self.pieces: dict[str, bytes] = {}
+
+    def of(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Two arrays for each text."""
+        vocabulary = self.encoder.vocabulary
+        words: set[str] = set()
+        met: set[str] = set()
+        cut = []
+        for text in texts:
+            parts = []
+            for part, special in vocabulary.pieces(text):
+                head, rest = ([], []) if special else split_regular(part) or (vocabulary.words(part), [])
+                if rest and max(map(len, rest)) > SHORT:
+                    head, rest = vocabulary.words(part), []
+                words.update(head)
+                met.update(rest)
+                parts.append((len(part) if special else 0, head, rest))
+            cut.append(parts)
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        new = met.difference(self.pieces)
+        spelled = {p: WORDS.findall(" " + p) for p in new}
+        words.update(chain.from_iterable(spelled.values()))
+        self.encoder.learn(words)
+        known, pieces = self.encoder.known, self.pieces
+        for p, own in spelled.items():
+            pieces[p] = bytes([x for w in own for x in (len(w), len(known[w]) >> 2)])
+        out = []
+        for parts in cut:
+            arrays = [np.zeros(0, np.int64)]
+            for special, head, rest in parts:
+                first = [special, 1] if special else [x for w in head for x in (len(w), len(known[w]) >> 2)]
+                arrays.append(np.array(first, np.int64))
+                if rest:
+                    arrays.append(np.frombuffer(b"".join([pieces[p] for p in rest]), np.uint8))
+            pairs = np.concatenate(arrays).reshape(-1, 2)
+            out.append((pairs[:, 0], pairs[:, 1]))
+        return out
+
+
 class Counter:
     """A document's text and tree."""
 
@@ -180,6 +244,17 @@ class Counter:
         return words, (len(self.tree.runs), 0)  # the text's end
 
 
+_kept: dict[str, Leaves] = {}
+
+
+def _leaves_of(vocabulary: str) -> Leaves:
+    """One table of leaves for all tasks that a Python worker runs for a vocabulary."""
+    if vocabulary not in _kept:
+        _kept.clear()
+        _kept[vocabulary] = Leaves(Encoder(Vocabulary(vocabulary), None))
+    return _kept[vocabulary]
+
+
 def recounted(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
     """``doc_id`` with the counts before and after the edits of the column ``edits``.
 
@@ -188,29 +263,23 @@ def recounted(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(sent.value), None)
+        leaves = _leaves_of(sent.value)
+        encoder = leaves.encoder
         for batch in batches:
             n, pre, after, again, digests = [], [], [], [], []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ahead, size = 0, 0
-            for i, text in enumerate(texts):
-                if i == ahead:  # words of some texts are learned together
-                    words: set[str] = set()
-                    while ahead < len(texts) and (ahead == i or size + len(texts[ahead]) < BLOCK_BYTES):
-                        size += len(texts[ahead])
-                        words.update(w for p, special in encoder.vocabulary.pieces(texts[ahead]) if not special for w in encoder.vocabulary.words(p))
-                        ahead += 1
-                    size = 0
-                    encoder.learn(words)
-                counter = Counter(text, encoder)
-                n.append(counter.tree.n_tokens)
-                pre.append(sum(len(a) for a, _ in counter.tree.runs))
-                for e in batch.column("edits")[i].as_py() or []:
-                    if e is not None:
-                        counter.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
-                after.append(counter.tree.n_tokens)
-                again.append(counter.reencoded)
-                digests.append(hashlib.sha256(counter.text.encode()).hexdigest())
+            changes = batch.column("edits")
+            for block in blocks(batch.column("text")):
+                texts = [block.text(i).decode("utf-8", "replace") for i in range(block.n)]
+                for i, (text, (lengths, counts)) in enumerate(zip(texts, leaves.of(texts), strict=True), block.first):
+                    counter = Counter(text, encoder, SegmentTree(lengths, counts))
+                    n.append(counter.tree.n_tokens)
+                    pre.append(len(lengths))
+                    for e in changes[i].as_py() or []:
+                        if e is not None:
+                            counter.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "")
+                    after.append(counter.tree.n_tokens)
+                    again.append(counter.reencoded)
+                    digests.append(hashlib.sha256(counter.text.encode()).hexdigest())
             counts = [pa.array(x, pa.int64()) for x in (pre, n, after, again)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string())], ["doc_id", "n_pre_tokens", "n_tokens", "edited_tokens", "n_reencoded", "edited_sha256"])
 

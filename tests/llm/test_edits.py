@@ -39,7 +39,7 @@ def test_documents(docs, texts, encoder):
         new = text[: n // 4] + text[:9] + text[n // 4 + 5 :]
         new = new[: n // 2] + " it's" + new[n // 2 :]
         new = new[: 3 * n // 4] + new[3 * n // 4 + 20 :]
-        before, after = (len(x) // 4 for x in encoder.block([text, new]))
+        before, after = (len(encoder.whole(x)) for x in (text, new))
         assert (r["n_tokens"], r["edited_tokens"], r["edited_sha256"]) == (before, after, edits.hashlib.sha256(new.encode()).hexdigest())
 
 
@@ -58,3 +58,11 @@ def test_edits_of_a_table(spark, odd, encoder):
 
 def test_empty_table(nothing):
     assert edits.recounted(nothing.withColumn("edits", edits.example_edits(nothing["text"], F.lit(""))), PATH).collect() == []
+
+
+def test_leaves_are_those_of_the_whole_text(texts, encoder):
+    odd = ["x" * 70 + " b", "é" * 61 + " a " + "日" * 59, "", " ", "a  b", " a", "a ", "a \n b", "a<|endoftext|> b c", "日本 語 x", "it's 'rx 're", "\ta b"]
+    every = [*list(texts.values())[:80], *odd]
+    for text, own in zip(every, edits.Leaves(encoder).of(every), strict=True):
+        counter = edits.Counter("", encoder)
+        assert tuple(x.tolist() for x in own) == counter._counted(counter._words(text))
