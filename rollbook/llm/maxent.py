@@ -142,6 +142,13 @@ class Counts:
         self.member_bias = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
         self.floor = np.log10(total + SMOOTHING * (different + 1))
 
+    @classmethod
+    def of(cls, parts: dict) -> Counts:
+        """From ``vars`` of one: broadcasts hold plain values, so that tasks need no class to read them."""
+        out = cls.__new__(cls)
+        vars(out).update(parts)
+        return out
+
     def spots(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each word among the frequent ones, -1 for others."""
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -276,17 +283,17 @@ def steps(model: Model, counts: Counts, block: Block, squares: list[np.ndarray],
 def trained(training: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     """All training texts, dealt into ``rounds`` by a hash of the id; each round ends with the tasks' mean."""
     context = training.sparkSession.sparkContext
-    known, raw = context.broadcast(counts), Model().to_bytes()
+    known, raw = context.broadcast(vars(counts)), Model().to_bytes()
     for r in range(rounds):
         start = context.broadcast(raw)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            model = Model.from_bytes(start.value)
+            model, own_counts = Model.from_bytes(start.value), Counts.of(known.value)
             squares = [np.full(a.shape, 1.0, np.float32) for a in model.arrays()]
             seen = 0
             for batch in batches:
                 for block in blocks(batch.column("text")):
-                    seen += steps(model, known.value, block, squares, rate)
+                    seen += steps(model, own_counts, block, squares, rate)
             if seen:
                 weights = np.concatenate([a.ravel() for a in model.arrays()]).astype("<f2").tobytes()
                 parts = [weights[i : i + PART_BYTES] for i in range(0, len(weights), PART_BYTES)]
@@ -318,10 +325,10 @@ def scored(docs: DataFrame, limit: int = FREQUENT, rounds: int = ROUNDS) -> Data
     counts, rare = gather(training, limit)
     model = trained(training, counts, rounds)
     context = docs.sparkSession.sparkContext
-    known, sent = context.broadcast(counts), context.broadcast(model)
+    known, sent = context.broadcast(vars(counts)), context.broadcast(model.to_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, (c, m) = TaskContext.get().partitionId() << 33, (known.value, sent.value)
+        row, c, m = TaskContext.get().partitionId() << 33, Counts.of(known.value), Model.from_bytes(sent.value)
         log_n = np.log10(c.n + SMOOTHING)
         log_mass = np.concatenate([np.zeros(OWN), np.log10(c.mass)])
         for batch in batches:

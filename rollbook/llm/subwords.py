@@ -151,10 +151,10 @@ def train(data: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
 def classified(docs: DataFrame, labels: DataFrame, limit: int = LABEL_SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each document."""
     model = train(labelled_features(docs, labels, limit))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.fold, model.bias))
 
     def run(block: Block) -> dict:
-        return {"score": sent.value.scores(block)}
+        return {"score": Model(*sent.value).scores(block)}
 
     out = per_block(docs, "text", ["doc_id"], "score double", run)
     doc_id = F.col("__0")
