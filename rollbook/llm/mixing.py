@@ -2,9 +2,14 @@
 
 Documents fall into cells of source, language and topic. Each cell's tokens get
 a weight; the weights are raked until the weighted tokens of every source, every
-language and every topic have their target shares. Documents are then sampled
-with probabilities ``min(1, f * weight)``, where f is set so that the expected tokens
-are the asked share of all. DataFrame functions only.
+language and every topic have their target shares. A sample can't hold more of a value than there
+is, so probabilities are raked by themselves (``fitted``), never above 1: the expected
+tokens are the asked share of all, and each value's share of them is its target, or all its tokens
+where that is less, the others' targets then being scaled up alike. DataFrame functions only.
+
+``mixed`` has the rows of ``oracle_sql``, which cuts the weights instead of raking again: its
+probabilities are ``min(1, f * weight)``, with f set to the asked share of tokens.
+Its weights have the target shares, its kept rows may be further off than those of ``sampled``.
 
 Without given targets a dimension's shares are tempered: tokens to the power
 ``TEMPER``, scaled to 1. Given shares are scaled to 1 over the values that
@@ -129,23 +134,57 @@ def sampling_factor(cells: DataFrame, share: float) -> float:
     return factor
 
 
+def fitted(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` with a ``probability``, raked as ``raked`` does but never above 1.
+
+    A value's goal is its target or, where it has fewer tokens, all of them; the
+    others' goals grow alike, so that each dimension's add up to ``share`` of all tokens.
+    """
+    cells = stage(cells, "cells")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    current = cells.withColumn("probability", F.lit(float(share)))
+    for d in DIMENSIONS:
+        values = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"))
+        values = values.join(_targets(cells, d, (targets or {}).get(d), temper), "value")
+        values = stage(values.withColumn("weight", F.when(F.col("tokens") > 0, F.col("share") * F.lit(total) / F.col("tokens")).otherwise(0.0)), "goals")
+        goal = F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(sampling_factor(values, share)))
+        current = current.join(values.select(F.col("value").alias(d), goal.alias(f"goal_{d}")), d)
+    current = stage(current, "fitted")
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            has = F.sum(F.col("tokens") * F.col("probability")).over(Window.partitionBy(d))
+            factor = F.when(has > 0, F.col(f"goal_{d}") / has).otherwise(1.0)
+            current = current.withColumn("probability", F.least(F.lit(1.0), F.col("probability") * factor))
+        current = stage(current, "fitted")
+    # Rounds that end early or goals that exclude each other may miss the share of all tokens by a little.
+    last = sampling_factor(current.select("tokens", F.col("probability").alias("weight")), share)
+    return current.withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.lit(last))).select(*cells.columns, "probability")
+
+
+def _cells(placed: DataFrame) -> DataFrame:
+    return placed.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("__tokens").alias("tokens"))
+
+
+def _drawn(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """``placed`` with the columns of its cells, and ``__kept`` by their ``probability``."""
+    small = hint_by_size(cells)
+    of_cell = small(cells.drop("tokens").toDF(*(f"__{c}" for c in cells.columns if c != "tokens")))
+    uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return placed.join(of_cell, [f"__{d}" for d in DIMENSIONS]).withColumn("__kept", uniform < F.col("__probability"))
+
+
 def weighted(docs: DataFrame, topic: str | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, share: float = SHARE) -> DataFrame:
     """``docs`` with ``__source, __lang, __topic, __tokens, __weight, __probability`` and ``__kept``."""
     placed = in_cells(docs, topic)
-    cells = placed.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("__tokens").alias("tokens"))
-    cells = raked(cells, targets)
-    factor = sampling_factor(cells, share)
-    small = hint_by_size(cells)
-    of_cell = small(cells.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("weight").alias("__weight")))
-    uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    joined = placed.join(of_cell, [f"__{d}" for d in DIMENSIONS])
-    chance = F.least(F.lit(1.0), F.col("__weight") * F.lit(factor))
-    return joined.withColumn("__probability", chance).withColumn("__kept", uniform < F.col("__probability"))
+    return _drawn(placed, fitted(raked(_cells(placed), targets), targets, share=share))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Each document's cell, tokens, weight, probability and whether it is sampled."""
-    return weighted(docs.select("doc_id", "text", "source", "lang")).select(
+    """Each document's cell, tokens, weight, probability and whether it is sampled, as ``oracle_sql`` has them."""
+    placed = in_cells(docs.select("doc_id", "text", "source", "lang"))
+    cells = raked(_cells(placed))
+    cells = cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(sampling_factor(cells, SHARE))))
+    return _drawn(placed, cells).select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
         F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"),
     )
@@ -153,7 +192,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def sampled(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """The sampled rows of ``docs``, with their columns."""
-    return weighted(docs, share=share).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    placed = in_cells(docs)
+    return _drawn(placed, fitted(_cells(placed), share=share)).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle_sql() -> str:

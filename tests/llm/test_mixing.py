@@ -42,6 +42,46 @@ def test_expected_tokens_are_the_share(docs):
     assert k / t == pytest.approx(0.4, abs=0.12)
 
 
+def _shares(rows, dimension):
+    """Tokens, expected tokens and kept tokens of each value, as shares of their sums."""
+    kept = F.when(F.col("__kept"), F.col("__tokens")).otherwise(0)
+    own = rows.groupBy(f"__{dimension}").agg(F.sum("__tokens"), F.sum(F.col("__tokens") * F.col("__probability")), F.sum(kept)).collect()
+    sums = [sum(r[i] for r in own) for i in (1, 2, 3)]
+    return {r[0]: tuple(r[i] / sums[i - 1] for i in (1, 2, 3)) for r in own}
+
+
+def test_kept_rows_have_the_target_shares(spark):
+    """Targets that a sample of 60 % can reach, but not by cutting the weights at 1."""
+    rows = [(i, "w " * 10, f"s{i % 4}", ("x", "y", "y", "z", "z")[i % 5], f"t{i % 3 if i % 7 else 0}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, form string")
+    targets = {"lang": {"x": 0.3, "y": 0.3, "z": 0.4}, "source": {"s0": 0.35, "s1": 0.25, "s2": 0.2, "s3": 0.2}, "topic": {"t0": 0.3, "t1": 0.38, "t2": 0.32}}
+    out = mixing.weighted(df, topic="form", targets=targets, share=0.6)
+    for d, wanted in targets.items():
+        for value, (_, expected, kept) in _shares(out, d).items():
+            assert expected == pytest.approx(wanted[value], abs=0.005)
+            assert kept == pytest.approx(wanted[value], abs=0.02)
+
+
+def test_a_target_out_of_reach_takes_all_there_is(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = mixing.weighted(big)
+    for d in mixing.DIMENSIONS:
+        own = _shares(out, d)
+        raw = sum(t**mixing.TEMPER for t, _, _ in own.values())
+        most = {v: min(1.0, t / mixing.SHARE) for v, (t, _, _) in own.items()}
+        short = {v for v in own if own[v][0] ** mixing.TEMPER / raw > most[v]}
+        scale = 1.0  # of the targets of the others
+        while True:
+            goal = {v: most[v] if v in short else scale * own[v][0] ** mixing.TEMPER / raw for v in own}
+            over = {v for v in own if goal[v] > most[v]}
+            if not over and abs(sum(goal.values()) - 1) < 1e-9:
+                break
+            short |= over
+            scale = (1 - sum(most[v] for v in short)) / sum(own[v][0] ** mixing.TEMPER / raw for v in own if v not in short)
+        for v, (_, expected, _) in own.items():
+            assert expected == pytest.approx(goal[v], abs=0.01)
+
+
 def test_given_targets(spark):
     rows = [(i, "w " * 10, "a" if i % 3 else "b", "x" if i % 2 else "y", 20) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
