@@ -49,38 +49,60 @@ _BAD_WORDS = frozenset(
     "comment comments reply replies respondent form login signup subscribe newsletter share social related recommended widget breadcrumb breadcrumbs pagination pager popup modal toolbar legal "
     "copyright disclaimer skip search masthead byline tags meta".split()
 )
+#: Good words that name the article itself; the others may name any part's inside.
+_ARTICLE_WORDS = frozenset("article post entry story".split())
+#: Words of what readers write, be it in an element for articles.
+_READER_WORDS = frozenset("comment comments reply replies respondent".split())
+#: What follows these in a class is something that an element has, not what it is.
+_HAVING = frozenset("has have with without no".split())
+#: A class that begins so sorts an article by its subject.
+_SORTING = frozenset("category cat tag tagged topic type format status".split())
 #: Words that may also tell what stands beside the article inside an element.
 _BESIDE_WORDS = frozenset("sidebar side header ad ads share social login related banner".split())
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
-FEATURES = ("place", "words", "link_density", "heading", "item", "words_before", "density_before", "words_after", "density_after")
+FEATURES = ("place", "words", "link_density", "heading", "item", "words_before", "density_before", "words_after", "density_after", "doubt")
 
 
 def _place(tag: str, attributes: str, outer: int) -> int:
-    """What an element says of its text: 1 article, -2 something else, -1 something else but for an article in it, 0 nothing."""
+    """What an element says of its text: 1 article, 2 article but also words of something else, -2 something else, -1 something else but for an article in it, 0 nothing."""
     if attributes and _HIDDEN.search(attributes):
         return -2
     if tag in _BAD_TAGS or tag == "header" and outer <= 0:
         return -2
     if attributes and tag not in ("html", "body"):
-        words: set[str] = set()
+        words, good, bad, subject = set(), set(), set(), set()
         for m in _NAMES.finditer(attributes):
-            words.update(_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
-        bad = words & _BAD_WORDS
-        if bad == {"header"} and words & _GOOD_WORDS:
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                own = [w for w in _SPLIT.split(name) if w]
+                for i, w in enumerate(own[:-1]):
+                    if w in _HAVING and (w != "no" or own[i + 1] in _BESIDE_WORDS):
+                        own = own[:i]
+                        break
+                words.update(own)
+                if not _BAD_WORDS.isdisjoint(own):
+                    (subject if own[0] in _SORTING else bad).update(_BAD_WORDS.intersection(own))
+                else:
+                    good.update(_GOOD_WORDS.intersection(own))
+        if bad | subject == {"header"} and words & _GOOD_WORDS and tag not in _GOOD_TAGS:
             return 0
+        named = tag in _GOOD_TAGS or good & _ARTICLE_WORDS
+        if not named:
+            bad |= subject
         if bad:
+            if (named or good and bad <= _BESIDE_WORDS) and not bad & _READER_WORDS:
+                return 2
             return -1 if bad <= _BESIDE_WORDS else -2
-        if words & _GOOD_WORDS:
+        if good:
             return 1
     return int(tag in _GOOD_TAGS)
 
 
-def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int]]]:
-    """The text blocks of a page in order: text, and place, words, words in links, heading, item."""
-    out: list[tuple[str, tuple[int, int, int, int, int]]] = []
+def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
+    """The text blocks of a page in order: text, and place, words, words in links, heading, item, doubt."""
+    out: list[tuple[str, tuple[int, int, int, int, int, int]]] = []
     stack: list[tuple[str, int]] = []  # open elements that part blocks, with their places
     text: list[str] = []
     linked: list[str] = []
@@ -98,7 +120,7 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int]]]:
                 place = -1
             tags = [t for t, _ in stack]
             words = joined.count(" ") + 1
-            out.append((joined, (max(place, -1), words, min(n_linked, words), int(any(t in _HEADINGS for t in tags[-2:])), int("li" in tags[-4:]))))
+            out.append((joined, (min(max(place, -1), 1), words, min(n_linked, words), int(any(t in _HEADINGS for t in tags[-2:])), int("li" in tags[-4:]), int(place == 2))))
         text.clear()
         linked.clear()
 
@@ -137,9 +159,9 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int]]]:
     return out
 
 
-def block_features(found: list[tuple[str, tuple[int, int, int, int, int]]]) -> np.ndarray:
+def block_features(found: list[tuple[str, tuple[int, int, int, int, int, int]]]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
-    raw = np.array([f for _, f in found], np.float64).reshape(-1, 5)
+    raw = np.array([f for _, f in found], np.float64).reshape(-1, 6)
     words, density = raw[:, 1], raw[:, 2] / np.maximum(raw[:, 1], 1)
 
     def moved(x: np.ndarray, by: int) -> np.ndarray:
@@ -150,7 +172,7 @@ def block_features(found: list[tuple[str, tuple[int, int, int, int, int]]]) -> n
             y[:by] = x[-by:]
         return y
 
-    return np.stack([raw[:, 0], words, density, raw[:, 3], raw[:, 4], moved(words, 1), moved(density, 1), moved(words, -1), moved(density, -1)], axis=1)
+    return np.stack([raw[:, 0], words, density, raw[:, 3], raw[:, 4], moved(words, 1), moved(density, 1), moved(words, -1), moved(density, -1), raw[:, 5]], axis=1)
 
 
 def _some(n: int) -> str:
@@ -174,6 +196,11 @@ def labelled_pages() -> list[tuple[str, str]]:
         (f"<p>{_some(60)}</p><p>{_some(12)}</p><p>{_some(48)}</p>", "+++"),
         (f"<div>{link(_some(2))}</div><div>{link(_some(5))}</div><p>{_some(2)}</p><p>{link(_some(12))}</p>", "----"),
         (f"<article><h1>{_some(4)}</h1><ul>{''.join(f'<li>{link(_some(2))}</li>' for _ in range(3))}</ul><p>{link(_some(9))}</p><p>{_some(1)}</p></article>", "++++++"),
+        (f"<article class='post category-social'><h1>{_some(6)}</h1>{body}</article><article class='post tag-search'>{body}</article><div class=social>{_some(7)}</div>", "+" * 11 + "-"),
+        (f"<main class='content with-sidebar'><h1>{_some(6)}</h1>{body}</main><div class=sidebar>{body}</div>", "+" * 6 + "-" * 5),
+        (f"<div class='content has-sidebar'><h1>{_some(6)}</h1>{body}<ul>{items}</ul></div><div class='left-sidebar'>{menu}</div>", "+" * 9 + "-" * 4),
+        (f"<article class='post social'><h1>{_some(6)}</h1>{body}<ul>{items}</ul></article><article class='related'><h2>{link(_some(6))}</h2><p>{link(_some(12))}</p></article>", "+" * 9 + "--"),
+        (f"<div class='content sidebar'><h1>{_some(6)}</h1>{body}</div><article class=promo><p>{link(_some(3))}</p></article><article class='comment'>{body}</article>", "+" * 6 + "-" + "-" * 5),
     ]
 
 

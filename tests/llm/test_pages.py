@@ -89,3 +89,18 @@ def test_markup_that_invites_backtracking():
         _text(page)
     assert time.perf_counter() - begin < 20
     assert _text("<article><p title=it's>one</p><p title='a>b' x=\"<c>\">two</p></article>") == "one\ntwo"
+
+
+def test_a_word_beside_does_not_cost_the_article():
+    long = ("word " * 30).strip()
+    for element in (
+        "article class='post category-social'", "article class='post tag-search'", "article class='category-comments post'", "main class='content with-sidebar'", "div class='content has-sidebar'",
+        "div class='content no-sidebar'", "div class='post social'", "div id=post-7 class='entry-content share'", "article class='story sponsored'", "main role=main class='search'",
+        "div class='article--with-sidebar'",
+    ):
+        tag = element.split()[0]
+        page = f"<nav><a href=/>Home</a></nav><{element}><h1>Title</h1><p>{long}</p><p>Be.</p></{tag}><div class=sidebar><p>{long}</p></div>"
+        assert _text(page) == f"Title\n{long}\nBe.", element
+    for element in ("div class='left-sidebar'", "div class='sidebar-content'", "div class='footer content'", "article class='comment'", "div class='post-comments'", "ul class='category-nav'", "p class='no-comments'"):
+        tag = element.split()[0]
+        assert _text(f"<article><p>{long}</p></article><{element}>{long}</{tag}>") == long, element
