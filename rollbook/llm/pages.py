@@ -10,7 +10,8 @@ blocks of a few small pages, tells article blocks from the rest.
 A null or empty page, and one without article blocks, has the empty text.
 Repeated rows are handled one by one; other columns are ignored. Broken markup
 never fails: unclosed comments, scripts and styles run to the end of the page,
-end tags without a start are skipped.
+other elements to the end tag of their parent; end tags without a start are skipped.
+Formulas and the fallback text of objects, canvases, audio and video are text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 from rollbook.llm.blocks import Block
 from rollbook.llm.carry import named, per_block
 
-#: Elements whose content is no text.
-_SKIPPED = "script|style|noscript|template|title|textarea|select|svg|iframe|object|math|button|canvas|audio|video"
+#: Elements whose content is no text. That of the first two may hold anything but their end tag.
+_SKIPPED = "script|style"
+_RAW = frozenset("textarea title iframe".split())
+_UNREAD = frozenset("noscript template select svg button".split()) | _RAW
 #: The inside of a tag: only after an equals sign may quotes hold an angle bracket. Possessive, so that it takes linear time.
 _INSIDE = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^<>])*+"""
 _TAG = re.compile(
@@ -36,7 +39,10 @@ _TAG = re.compile(
 )
 #: Elements that don't part a block.
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input object audio video canvas source track param "
+    # Formulas.
+    "math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose maction "
+    "msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -124,36 +130,72 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int
         text.clear()
         linked.clear()
 
+    raw_ends: dict[str, int] = {}  # where the next end tag of a raw element is
+    raw_starts: dict[str, int] = {}
+
+    def following(known: dict[str, int], start: str, at: int) -> int:
+        """The place of the next ``start`` from ``at`` on, the page's length if there is none."""
+        if known.get(start, -1) < at:
+            m = re.compile(rf"{start}(?=[\s/>])", re.I).search(page, at)
+            known[start] = m.start() if m else len(page)
+        return known[start]
+
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
+    unread = -1  # the place in the stack of an element whose content isn't read
+    inline: dict[str, int] = {}  # how many elements of those that don't part blocks are open
+    m = _TAG.search(page)
+    while m:
+        if m.start() > at and unread < 0:
             piece = page[at : m.start()]
             text.append(piece)
             if links:
                 linked.append(piece)
         at = m.end()
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if tag in _INLINE:
+        tag = m[3].lower() if m[3] is not None else ""
+        if unread >= 0 and tag and m[2]:
+            # Read on at its end tag or at that of an element around it.
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if i > unread:
+                del stack[i:]
+            elif i >= 0 or inline.get(tag):
+                del stack[unread:]
+                unread, tag = -1, "" if i == unread else tag
+        if unread >= 0:
+            if tag and not m[2] and tag not in _VOID and not m[4].endswith("/") and (tag != stack[unread][0] or tag not in ("button", "select")):
+                stack.append((tag, 0))
+        elif not tag:
+            pass
+        elif tag in _UNREAD:
+            if not m[2] and not m[4].endswith("/"):
+                end = following(raw_ends, f"</{tag}", at) if tag in _RAW else len(page)
+                if end < len(page) and following(raw_starts, f"<{tag}", at) > end:
+                    at = end
+                else:
+                    unread = len(stack)
+                    stack.append((tag, 0))
+        elif tag in _INLINE:
             if tag == "a":
                 links = max(0, links - 1) if m[2] else links + 1
-            elif tag == "br":
+            elif tag in ("br", "mtd"):
                 text.append(" ")
-            continue
-        close()
-        links = 0
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag not in _VOID and not m[4].endswith("/"):
-            if tag in ("p", "li", *_HEADINGS) and stack and stack[-1][0] in ("p", *_HEADINGS, *(("li",) if tag == "li" else ())):
-                stack.pop()
-            outer = next((p for _, p in reversed(stack) if p), 0)
-            stack.append((tag, _place(tag, m[4], outer)))
-    if at < len(page):
+            if tag not in _VOID:
+                inline[tag] = max(0, inline.get(tag, 0) + (-1 if m[2] else 1))
+        else:
+            close()
+            links = 0
+            inline.clear()
+            if m[2]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        del stack[i:]
+                        break
+            elif tag not in _VOID and not m[4].endswith("/"):
+                if tag in ("p", "li", *_HEADINGS) and stack and stack[-1][0] in ("p", *_HEADINGS, *(("li",) if tag == "li" else ())):
+                    stack.pop()
+                outer = next((p for _, p in reversed(stack) if p), 0)
+                stack.append((tag, _place(tag, m[4], outer)))
+        m = _TAG.search(page, at)
+    if at < len(page) and unread < 0:
         text.append(page[at:])
     close()
     return out

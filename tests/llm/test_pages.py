@@ -104,3 +104,28 @@ def test_a_word_beside_does_not_cost_the_article():
     for element in ("div class='left-sidebar'", "div class='sidebar-content'", "div class='footer content'", "article class='comment'", "div class='post-comments'", "ul class='category-nav'", "p class='no-comments'"):
         tag = element.split()[0]
         assert _text(f"<article><p>{long}</p></article><{element}>{long}</{tag}>") == long, element
+
+
+def test_formulas_and_fallbacks_are_text():
+    assert _text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><p>b</p></article>") == "Let x=1 be.\nb"
+    for tag in ("object data=x", "canvas", "audio controls", "video"):
+        name = tag.split()[0]
+        assert _text(f"<article><p>see <{tag}><source src=y>the fallback</{name}> here</p><{tag}><p>more</p></{name}></article>") == "see the fallback here\nmore", tag
+    page = "<article><p>one <button>press</button>two <select><option>no</select><textarea></p><b>no</textarea>.</p><svg><title>no</title><text>no</text></svg><p>three</article>"
+    assert _text(page) == "one two .\nthree"
+
+
+def test_unclosed_elements_end_with_their_parents():
+    for tag in ("button", "select", "noscript", "template", "svg", "iframe src=x", "textarea", "title"):
+        name = tag.split()[0]
+        assert _text(f"<article><p>one</p><div><{tag}>no <i>no</i></div><p>two</p><p>three <b><{tag}>no</b> four</p><{name}>no</{name}><p>five</p></article>") == "one\ntwo\nthree four\nfive", tag
+    for tag in ("object", "math", "canvas", "audio", "video"):
+        assert _text(f"<article><p>one <{tag}>in</p><p>two</p></article><footer>no</footer>") == "one in\ntwo", tag
+
+
+def test_unclosed_elements_are_read_in_linear_time():
+    begin = time.perf_counter()
+    for tag in ("button", "select", "textarea", "title", "iframe", "svg", "math"):
+        for page in (f"<{tag}>" * 20_000, f"<p><{tag}>x</p>" * 20_000, f"<{tag}>" * 20_000 + f"</{tag}>", f"<{tag}></{tag}>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000):
+            _text(page)
+    assert time.perf_counter() - begin < 40
