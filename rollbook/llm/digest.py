@@ -3,7 +3,8 @@
 Every window of 64 bytes of a text is a feature. Its rank is how rare its
 entropy is among all windows of the corpus (windows of hardly any information
 have none). Of 64 neighbouring features the one of the lowest rank, leftmost of
-equals, gains a point; features with 16 points or more are selected. Selected
+equals, gains a point; features with 16 points or more are selected, or if none has as many, those with the
+most points. Selected
 features go, in order and once each, into chained Bloom filters of 2,048 bits,
 160 features and 5 bits a feature. Two fingerprints are compared filter by filter: bits in
 common beyond those expected by chance, as a share of the most possible; each
@@ -129,8 +130,10 @@ def selected(block: Block, ranks: np.ndarray) -> list[np.ndarray]:
         spots = runs % width
         spots = spots[rank[spots] < _NONE]
         where, points = np.unique(spots, return_counts=True)
-        chosen = where[points >= min(POINTS, len(runs))]
-        out.append(chosen if len(chosen) else np.array([a]))
+        if len(where):
+            out.append(where[points >= min(POINTS, points.max())])
+        else:
+            out.append(np.array([a]))
     return out
 
 

@@ -97,3 +97,32 @@ def test_one_row_follows_itself(spark):
 
 def test_empty_table(nothing):
     assert digest.with_edits(nothing).collect() == []
+
+
+def _cut(texts, low, high):
+    raw = [t for t in texts.values() if t.isascii()]
+    return [t[: low + i % (high - low)] for i, t in enumerate(raw) if len(t) >= high]
+
+
+def test_short_texts_have_their_best_windows(docs, texts):
+    """Where no window gets the points, those with the most are selected, not the first one."""
+    ranks = digest.rarity_ranks(digest.entropy_histogram(docs))
+    few = 0
+    for block in blocks(pa.array(short := _cut(texts, 127, 201))):
+        for text, at, places in zip(short, block.at.tolist(), digest.selected(block, ranks), strict=False):
+            rank = [int(ranks[_entropy(text.encode()[i : i + 64])]) for i in range(len(text) - 63)]
+            points = Counter(min(range(i, i + 64), key=lambda j: (rank[j], j)) for i in range(len(rank) - 63))
+            most = max(points.values())
+            few += most < min(16, len(rank) - 63)
+            assert (places - at).tolist() == sorted(i for i, n in points.items() if n >= min(16, most))
+    assert few > 10
+
+
+def test_short_texts_with_a_common_opening(docs, texts):
+    ranks = digest.rarity_ranks(digest.entropy_histogram(docs))
+    short = _cut(texts, 127, 201)
+    opening = short[0][:64]
+    alike = [opening + t[64:] for t in short]
+    prints = [rows for _, rows in digest._texts_filters([t.encode() for t in alike], ranks)]
+    pairs = [(i, j) for j in range(len(alike)) for i in range(j) if alike[i][64:127] != alike[j][64:127]]
+    assert sum(digest.likeness(prints[i], prints[j]) == 1 for i, j in pairs) < len(pairs) / 1000
