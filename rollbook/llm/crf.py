@@ -97,7 +97,7 @@ def features(word: str) -> list[str]:
     out.append(f"core={core}" if len(core) < 14 else "core=long")
     turns = sum(a != b for a, b in zip(s, s[1:], strict=False) if (a in "aA") != (b in "aA"))
     out += [f"turns={min(turns, 6) // 3}", f"digits={'9' in s}", f"quote={s[:1] == chr(34)}", f"plain={core in ('a', 'A', 'Aa', 'a-a', '')}"]
-    cue = word.lower().strip(".,;:!?")
+    cue = word.lower().strip(".,;:!?") if word.isascii() else ""
     if cue in CUES or word in CUES:
         out.append(f"cue={cue or word}")
     return out

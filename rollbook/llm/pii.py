@@ -115,11 +115,11 @@ class Kinds:
         key = Hasher(symbol[kept])(before[starts], before[ends])
         key += np.searchsorted((1, 2, 4, 8, 15, 31), ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         low = LOWER[block.data]
-        # A cue may have one mark of punctuation before and after it.
-        mark = _MARKS[block.data]
-        long = ends - starts > 1
-        a = starts + (mark[starts] & long)
-        b = ends - (mark[ends - 1] & (ends - a > 1))
+        # A cue may have marks of punctuation before and after it, all of which the features leave out.
+        mark, at = _MARKS[block.data], np.arange(len(low))
+        a = np.minimum.accumulate(np.where(mark, len(low), at)[::-1])[::-1][starts]
+        b = np.maximum.accumulate(np.where(mark, -1, at))[ends - 1] + 1
+        a, b = np.where(a < ends, a, starts), np.where(a < ends, b, ends)
         word = Hasher(low)(a, b)
         spot = np.minimum(np.searchsorted(self.cue_hash, word), len(self.cue_hash) - 1)
         key += np.where(self.cue_hash[spot] == word, word | np.uint64(1), np.uint64(0))

@@ -140,3 +140,14 @@ def test_redaction(odd, odd_rows):
 def test_empty_table(nothing):
     assert pii.find(nothing).collect() == []
     assert pii.redacted(nothing).collect() == []
+
+
+def test_a_word_has_its_own_scores_whatever_came_before():
+    model = crf.train()
+    words = ["hello!!", "phone!!", "hello", "phone", "?!phone;:", "(phone)", "::", ":", "=:", "==", "!!!", "!", "to\u212aen", "token", "wöken", "...KEY...", "...THE...", "phone!x", "hello!x"]
+    for order in (words, words[::-1], sorted(words)):
+        (block,) = blocks(pa.array([" ".join(order)]))
+        kinds = pii.Kinds(model)
+        starts, ends, _ = block.words()
+        for word, row in zip(order, kinds.rows(block, starts, ends), strict=True):
+            assert (kinds.scores[row] == model.rows(word)).all(), word
