@@ -273,6 +273,21 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT id, 'found', '' FROM users WHERE id IN (1, 7)
         UNION ALL SELECT max(id) + 1, 'not_found', '' FROM users
     """,
+    "codes_of_requested": f"""
+        WITH {_ACCESS},
+        requests AS (
+          SELECT l_orderkey || '-' || l_linenumber AS request_id, l_suppkey * 2 AS asked FROM lineitem
+        ),
+        arrays AS (
+          SELECT user_id, string_agg(code, ',' ORDER BY code) AS codes
+          FROM links JOIN permissions ON permission_id = id WHERE code IS NOT NULL GROUP BY user_id
+        )
+        SELECT id, nama, coalesce(codes, '') AS codes
+        FROM users LEFT JOIN arrays ON id = user_id WHERE id IN (SELECT asked FROM requests)
+        UNION ALL
+        SELECT asked, CASE WHEN id IS NULL THEN 'not_found' ELSE 'found' END, request_id
+        FROM requests LEFT JOIN users ON asked = id
+    """,
     "codes_in_rows": f"""
         WITH {_ACCESS}
         SELECT user_id, code, row_number() OVER (PARTITION BY user_id ORDER BY code) AS position

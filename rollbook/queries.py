@@ -327,6 +327,21 @@ def codes_of_one_user(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def codes_of_requested(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for each line item; half of the users asked for are unknown."""
+    requests = _read(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("request_id"),
+        (F.col("l_suppkey") * 2).alias("id"),
+    )
+    users, status = access.codes_of_requested(
+        _users(spark, sf), _links(spark, sf), _permissions(spark, sf), requests
+    )
+    found = users.select("id", "nama", F.array_join("codes", ",").alias("codes"))
+    return found.unionByName(
+        status.select("id", F.col("status").alias("nama"), F.col("request_id").alias("codes"))
+    )
+
+
 def codes_in_rows(spark: SparkSession, sf: str) -> DataFrame:
     return access.codes_in_rows(_links(spark, sf), _permissions(spark, sf))
 
@@ -1112,6 +1127,7 @@ QUERIES: dict[str, Query] = {
         statistics_feed,
         codes_per_user,
         codes_of_one_user,
+        codes_of_requested,
         codes_in_rows,
         permission_codes,
         has_access,

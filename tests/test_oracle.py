@@ -27,6 +27,15 @@ def test_query_matches_sql(spark, tables, name):
     assert rows_of(result) == rows_of_sql(tables, ORACLE[name])
 
 
+def test_a_large_request_table_is_asked(spark):
+    """Every line item asks, about half of them for users that don't exist."""
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    rows = QUERIES["codes_of_requested"](spark, SF)
+    by = {r[0]: r[1] for r in rows.groupBy("nama").count().collect()}
+    assert by["found"] + by["not_found"] == n
+    assert 0.3 * n < by["found"] < 0.7 * n
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
