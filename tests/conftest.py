@@ -33,15 +33,3 @@ def conf(spark):
             spark.conf.unset(key)
         else:
             spark.conf.set(key, value)
-
-
-def rows(df, *columns):
-    """Rows as plain tuples, sorted by their text."""
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=str)
-
-
-def final_plan(df) -> str:
-    """The physical plan after adaptive execution has run it."""
-    df.collect()
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from rollbook.operators import delete
 from rollbook.operators.delete import Reference

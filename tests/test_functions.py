@@ -2,7 +2,7 @@ import datetime
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from rollbook.functions.predicates import eq_ci, ilike_pattern, search

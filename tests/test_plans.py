@@ -4,7 +4,7 @@ import re
 from functools import partial
 
 import pytest
-from conftest import final_plan, rows
+from helpers import final_plan, rows
 from pyspark.sql import functions as F
 
 from rollbook.operators import access, delete

@@ -3,7 +3,7 @@
 import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_workbook import make_workbook
