@@ -397,6 +397,15 @@ ORACLE: dict[str, str] = {
                CASE WHEN l_linenumber > 2 THEN l_linestatus ELSE '' END AS peran, ';' AS sep
         FROM lineitem
     """,
+    "csv_unclosed": """
+        SELECT p_brand AS brand, sum(CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END) % 2 = 1 AS unclosed,
+               CASE WHEN max(n) > 0 THEN 'unterminated quoted field' ELSE 'loaded' END AS whole,
+               CASE WHEN max(n) > 0 THEN 'unterminated quoted field' ELSE 'loaded' END AS pieces
+        FROM part,
+             (SELECT count(*) AS n FROM (SELECT p_brand FROM part WHERE p_size % 7 = 0
+              GROUP BY p_brand HAVING count(*) % 2 = 1))
+        GROUP BY p_brand
+    """,
     "header_rules": """
         SELECT c_custkey,
                '"' || lower(c_mktsegment) || ' ' || chr(9) || ' of  ' || lower(c_name) || '"' AS trim_lower,

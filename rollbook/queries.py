@@ -535,6 +535,28 @@ def csv_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return trim_all(loaded, allowed).withColumn("sep", F.lit(csv.sniff_delimiter(spark, path)))
 
 
+def csv_unclosed(spark: SparkSession, sf: str) -> DataFrame:
+    """Which brands' files have a quote that never closes, and what their loads say at either size."""
+    path = stage_path(spark, "unclosed-csv")
+    opened = F.when(F.col("p_size") % 7 == 0, F.lit('"')).otherwise(F.lit(""))
+    line = F.concat(opened, "p_name", F.lit(","), F.col("p_partkey").cast("string"))
+    part = _read(spark, sf, "part").select("p_brand", line.alias("line"))
+    part.repartition("p_brand").write.partitionBy("p_brand").text(path)
+    files = csv.unclosed_files(spark, path)
+    brand = F.url_decode(F.url_decode(F.regexp_extract("file", "p_brand=([^/]+)/", 1)))
+
+    def outcome(one_task_bytes: int) -> str:
+        try:
+            csv.load_positional(spark, path, T.StructType.fromDDL("n string, k string"), one_task_bytes=one_task_bytes)
+        except ValueError as error:
+            return str(error).partition(" in ")[0]
+        return "loaded"
+
+    return files.select(
+        brand.alias("brand"), "unclosed", F.lit(outcome(csv.ONE_TASK_BYTES)).alias("whole"), F.lit(outcome(0)).alias("pieces")
+    )
+
+
 def header_rules(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit(' "'), F.col("c_mktsegment"), F.lit(" \t Of  "), "c_name", F.lit('"\r'))
     names = _read(spark, sf, "customer").select("c_custkey", raw.alias("raw"))
@@ -1141,6 +1163,7 @@ QUERIES: dict[str, Query] = {
         append_normalised,
         csv_positional,
         csv_by_name,
+        csv_unclosed,
         header_rules,
         publish_snapshot,
         ingest_dir,

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rollbook.functions.text import header_name
 from rollbook.plans import with_source_order
-from rollbook.sources.records import has_spanning_records, largest_file, records
+from rollbook.sources.records import largest_file, quote_counts, records
 
 # Stands for a quoted empty field while Spark turns unquoted ones into null.
 _QUOTED_EMPTY = "\x01\x02"
@@ -32,6 +32,7 @@ def load_positional(
 
     Header names are ignored. A row with too few or too many fields fails the
     whole load, and so does a value of the wrong type in a column that is used.
+    A file with a quote that never closes is an error at any size.
     An unquoted empty field is null, a quoted one ''. ``source_order`` names a
     column to add that sorts rows as the files do.
 
@@ -111,6 +112,16 @@ def first_line(spark: SparkSession, path: str) -> str:
     return row["value"].rstrip("\r\n") if row else ""
 
 
+def unclosed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per file: ``file`` and whether a quoted field in it is ``unclosed``.
+
+    A quote inside a field is doubled, so a file whose quotes all close has an
+    even number of them.
+    """
+    counts = quote_counts(spark, path)
+    return counts.select("file", (F.col("quotes") % 2 == 1).alias("unclosed"))
+
+
 def restore_empty(df: DataFrame) -> DataFrame:
     """Quoted empty fields as ''."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -138,9 +149,12 @@ def _rows(
         "columnPruning": "false",
     }
     bound = ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes
-    whole = spanning is not False and largest_file(spark, path) <= bound
-    if not whole and spanning is None:
-        spanning = has_spanning_records(spark, path)
+    broken, returns = _line_breaks(spark, path)
+    if broken and spanning is False:
+        raise ValueError("a quoted field holds a line break, which spanning=False excludes")
+    spanning = broken if spanning is None else spanning
+    # Spark takes a carriage return alone for a line's end or not, depending on how it reads a file.
+    whole = spanning and not returns and largest_file(spark, path) <= bound
     if not whole and spanning:
         return _assembled(spark, path, schema, options, source_order, header)
     rows = (
@@ -151,6 +165,20 @@ def _rows(
     return with_source_order(rows, source_order) if source_order else rows
 
 
+def _line_breaks(spark: SparkSession, path: str | list[str]) -> tuple[bool, bool]:
+    """Whether quoted fields may hold line breaks, and whether any is a carriage return alone.
+
+    It is an error if a quoted field never closes.
+    """
+    open_file = F.when(F.col("quotes") % 2 == 1, F.col("file"))
+    found = quote_counts(spark, path).agg(
+        F.min(open_file).alias("file"), F.max("spanning").alias("spanning"), F.max("returns").alias("returns")
+    ).first()
+    if found["file"] is not None:
+        raise ValueError(f"unterminated quoted field in {found['file']}")
+    return bool(found["spanning"] or found["returns"]), bool(found["returns"])
+
+
 def _assembled(
     spark: SparkSession,
     path: str | list[str],

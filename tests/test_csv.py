@@ -123,11 +123,41 @@ def test_records_over_many_blocks(spark, conf, tmp_path, monkeypatch, spanning):
     assert [tuple(r)[:3] for r in loaded.orderBy("o").collect()] == expected
 
 
-def test_unterminated_quote_fails(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv, "ONE_TASK_BYTES", 0)
-    path = write(tmp_path, 'a,b,n\n1,"x,2\n3,y,4\n')
+@pytest.mark.parametrize(
+    "text",
+    [
+        'a,b,n\n1,"x,2\n3,y,4\n',  # inner column
+        'a,b,n\n1,y,"2\n3,y,4\n',  # last column
+        'a,b,n\r\n1,"x,2\r\n3,y,4\r\n',
+        'a,b,n\n1,"x ""y"",2\n',
+        '"a,b,n\n1,x,2\n',  # in the header
+    ],
+)
+def test_unterminated_quote_fails(spark, tmp_path, text, reading):
+    path = write(tmp_path, text)
     with pytest.raises(Exception, match="unterminated"):
-        csv.load_positional(spark, path, COLUMNS).collect()
+        csv.load_positional(spark, path, COLUMNS, spanning=reading).collect()
+
+
+def test_unterminated_quote_fails_by_name(spark, tmp_path, reading):
+    write(tmp_path, "nama,peran\na,b\n", "1.csv")
+    write(tmp_path, 'nama,peran\na,"b\nc,d\n', "2.csv")
+    with pytest.raises(Exception, match=r"unterminated quoted field in \S+2\.csv"):
+        csv.load_by_name(spark, str(tmp_path), ALLOWED, spanning=reading).collect()
+
+
+def test_line_breaks_against_the_word_of_the_caller(spark, tmp_path):
+    path = write(tmp_path, 'a,b,n\n1,"x\ny",2\n')
+    assert rows(csv.load_positional(spark, path, COLUMNS)) == [("1", "x\ny", 2)]
+    with pytest.raises(ValueError, match="spanning=False"):
+        csv.load_positional(spark, path, COLUMNS, spanning=False)
+
+
+def test_unclosed_files(spark, tmp_path):
+    write(tmp_path, 'a\n"x\n', "1.csv")
+    write(tmp_path, 'a\n"x\ny"\n', "2.csv")
+    found = csv.unclosed_files(spark, str(tmp_path)).collect()
+    assert sorted((r["file"][-5:], r["unclosed"]) for r in found) == [("1.csv", True), ("2.csv", False)]
 
 
 def test_large_files_without_breaks_are_split(spark, conf, tmp_path, monkeypatch):
