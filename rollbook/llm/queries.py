@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, digest, edits, jaccard, maxent, mixing, pages, pii, rules, subwords
+from rollbook.llm import bpe, credentials, digest, edits, jaccard, maxent, mixing, pages, phrases, pii, rules, spelling, subwords
 from rollbook.llm.tables import documents, table
 
 
@@ -58,6 +58,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(documents(spark, sf_dir), k=3, num=90, den=100)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scanned(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spellings(documents(spark, sf_dir))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_personal_data": op2_personal_data,
@@ -69,6 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_main_text": op9_main_text,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-ORACLE: dict[str, str] = {"op8_source_mixing": mixing.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op8_source_mixing": mixing.oracle_sql(),
+    "op11_secret_scan": credentials.oracle_sql(),
+    "op12_spelling_variants": spelling.oracle_sql(),
+    "op13_phrase_collocations": phrases.oracle_sql(),
+}
