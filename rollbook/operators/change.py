@@ -243,44 +243,6 @@ def insert_unique(
     )
 
 
-def rename_unique(
-    target: DataFrame, requests: DataFrame, key: str, col: str, order_by: str
-) -> Change:
-    """Set ``col``, which is unique and required, by key.
-
-    Names are checked against the table before the batch and against earlier
-    requests. Status is ``updated``, ``duplicate``, ``missing`` or ``not_found``.
-    """
-    hint = hint_by_size(requests.select(key, col))
-    named = hint(requests.select(col).distinct())
-    holders = target.select(F.col(col), F.col(key).alias("_holder"))
-    holders = holders.join(named, col, "left_semi")
-    known = hint(_found(target, requests.select(key).distinct(), [key], hint))
-    asked = requests.select(
-        *requests.columns, F.struct(F.col(order_by), F.col(key)).alias("_claim")
-    )
-    usable = asked.filter(is_given(F.col(col))).join(known, key, "left_semi")
-    first = usable.groupBy(col).agg(F.min("_claim")[key].alias("_claimant"))
-    taken = (F.col("_holder").isNotNull() & (F.col("_holder") != F.col(key))) | (
-        F.col("_claimant") != F.col(key)
-    )
-    status = (
-        asked.join(known, key, "left")
-        .join(hint(holders.join(first, col, "full_outer")), col, "left")
-        .withColumn(
-            "status",
-            F.when(~is_given(F.col(col)), "missing")
-            .when(F.col("_known").isNull(), "not_found")
-            .when(taken, "duplicate")
-            .otherwise("updated"),
-        )
-        .select(*requests.columns, "status")
-    )
-    accepted = status.filter("status = 'updated'").drop("status")
-    change = update_by_key(target, accepted, key, [col], skip_empty=False, order_by=order_by)
-    return Change(change.after, change.affected, status)
-
-
 def _found(
     target: DataFrame,
     wanted: DataFrame,

@@ -578,34 +578,37 @@ ORACLE: dict[str, str] = {
         FROM changes GROUP BY 2
     """,
     "rename_unique": """
-        WITH requests AS (
-          SELECT o_orderkey AS seq, o_orderkey // 9 AS id,
-                 CASE o_orderstatus
-                   WHEN 'F' THEN 'Customer#' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')
-                   WHEN 'O' THEN 'Tim ' || CAST(o_orderkey // 3 AS VARCHAR) ELSE '' END AS nama_tim
+        WITH RECURSIVE requests AS (
+          SELECT o_orderkey AS seq, o_custkey // 10 AS block,
+                 CASE WHEN o_orderkey % 13 = 0 THEN -o_custkey ELSE o_custkey END AS id,
+                 CASE WHEN o_orderkey % 11 = 0 THEN ''
+                      WHEN o_orderkey % 3 = 0 THEN 'Customer#' || lpad(CAST(o_custkey // 10 * 10 + o_orderkey % 7 AS VARCHAR), 9, '0')
+                      ELSE 'Tim ' || CAST(o_custkey // 10 AS VARCHAR) || ' ' || CAST(o_orderkey % 40 AS VARCHAR) END AS nama_tim,
+                 row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) AS turn
           FROM orders
         ),
-        claims AS (
-          SELECT DISTINCT ON (nama_tim) nama_tim, id FROM requests
-          WHERE nama_tim <> '' AND id IN (SELECT c_custkey FROM customer)
-          ORDER BY nama_tim, seq
-        ),
-        judged AS (
-        SELECT seq, r.id, r.nama_tim,
-               CASE WHEN r.nama_tim = '' THEN 'missing'
-                    WHEN r.id NOT IN (SELECT c_custkey FROM customer) THEN 'not_found'
-                    WHEN EXISTS (SELECT 1 FROM customer WHERE c_name = r.nama_tim AND c_custkey <> r.id)
-                      OR c.id <> r.id THEN 'duplicate'
-                    ELSE 'updated' END AS status
-        FROM requests r LEFT JOIN claims c ON c.nama_tim = r.nama_tim
+        teams AS (SELECT c_custkey AS id, c_name AS nama_tim, c_custkey // 10 AS block FROM customer),
+        held(block, turn, ids, names, seq, id, nama_tim, status) AS (
+          SELECT block, 0, list(id ORDER BY id), list(nama_tim ORDER BY id), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), '', ''
+          FROM teams GROUP BY block
+          UNION ALL
+          SELECT block, turn, ids,
+                 CASE WHEN status = 'updated' THEN list_transform(names, lambda n, i: CASE WHEN ids[i] = id THEN nama_tim ELSE n END) ELSE names END,
+                 seq, id, nama_tim, status
+          FROM (
+            SELECT h.block, r.turn, h.ids, h.names, r.seq, r.id, r.nama_tim,
+                   CASE WHEN r.nama_tim = '' THEN 'missing'
+                        WHEN NOT list_contains(h.ids, r.id) THEN 'not_found'
+                        WHEN list_contains(h.names, r.nama_tim) AND h.ids[list_position(h.names, r.nama_tim)] <> r.id THEN 'duplicate'
+                        ELSE 'updated' END AS status
+            FROM held h JOIN requests r ON r.block = h.block AND r.turn = h.turn + 1
+          )
         ),
-        named AS (
-          SELECT DISTINCT ON (id) id, nama_tim FROM judged WHERE status = 'updated' ORDER BY id, seq DESC
-        )
-        SELECT seq, id, nama_tim, status FROM judged
+        last AS (SELECT block, unnest(ids) AS id, unnest(names) AS nama_tim FROM (
+          SELECT DISTINCT ON (block) block, ids, names FROM held ORDER BY block, turn DESC))
+        SELECT seq, id, nama_tim, status FROM held WHERE turn > 0
         UNION ALL
-        SELECT NULL, c_custkey, coalesce(n.nama_tim, c_name), 'after'
-        FROM customer LEFT JOIN named n ON n.id = c_custkey
+        SELECT NULL, id, nama_tim, 'after' FROM last
     """,
     "create_users": """
         WITH requests AS (

@@ -3,6 +3,7 @@
 from rollbook.plans.ordering import all_terms, order_columns
 from rollbook.plans.ranking import (
     largest_group,
+    next_in_group,
     number_rows,
     rank_in_group,
     rows_between,
@@ -17,6 +18,7 @@ __all__ = [
     "is_small",
     "largest_group",
     "measured_bytes",
+    "next_in_group",
     "number_rows",
     "order_columns",
     "rank_in_group",

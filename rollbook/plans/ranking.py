@@ -125,6 +125,49 @@ def rank_in_group(
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], rank.alias(out))
 
 
+def next_in_group(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    out: str,
+    largest: int | None = None,
+    large: int = LARGE_GROUP_ROWS,
+) -> DataFrame:
+    """Add ``out``: the nearest non-null ``value`` of a later row of the group.
+
+    ``order`` names columns without nulls whose ascending order is unique in a
+    group. A group of more than ``large`` rows spans many tasks: each looks at its own
+    rows, and a row without a value after it takes the first one of a later task.
+    """
+    if largest is None:
+        largest = largest_group(df, group)
+    df = df.withColumn("_value", value)
+    backwards = [F.col(c).desc() for c in order]
+    if largest <= large:
+        later = Window.partitionBy(*group).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.last("_value", ignorenulls=True).over(later)).drop("_value")
+    rows = _placed(df, [*(F.col(g).asc_nulls_last() for g in group), *(F.col(c).asc() for c in order)], True, True)
+    in_task = Window.partitionBy(_TASK, *group).orderBy(F.col(_POSITION).desc())
+    later = in_task.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.last("_value", ignorenulls=True).over(later))
+    given = F.when(F.col("_value").isNotNull(), F.struct(_POSITION, "_value"))
+    firsts = rows.groupBy(_TASK, *group).agg(F.min(given)["_value"].alias("_first"))
+    tasks = Window.partitionBy(*group).orderBy(F.col(_TASK).desc())  # one row per writing task
+    firsts = firsts.withColumn(
+        "_ahead", F.last("_first", ignorenulls=True).over(tasks.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    joined = rows.alias("r").join(
+        firsts.alias("s"),
+        _all(
+            [F.col(f"r.{_TASK}") == F.col(f"s.{_TASK}")]
+            + [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+        ),
+    )
+    columns = [F.col(f"r.{c}") for c in df.columns if c != "_value"]
+    return joined.select(*columns, F.coalesce("r._own", "s._ahead").alias(out))
+
+
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     """Rows of the largest group."""
     sizes = df.groupBy(*group).count()

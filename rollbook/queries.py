@@ -22,6 +22,7 @@ from rollbook.operators import access, change, delete, listing, split, stats, va
 from rollbook.operators.children import children_page as one_parent
 from rollbook.operators.children import children_pages as every_parent
 from rollbook.operators.listing import Lookup
+from rollbook.operators.rename import rename_unique as rename
 from rollbook.plans import rank_in_group, stage_path
 from rollbook.sources import csv, snapshot
 from rollbook.streaming import ingest_dir as ingest_files
@@ -828,22 +829,22 @@ def update_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rename_unique(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten customers each want the others' names and a few new ones, many times over."""
+    key, turn = F.col("o_custkey"), F.col("o_orderkey")
     target = _read(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("nama_tim")
     )
-    status = F.col("o_orderstatus")
-    team = F.concat(F.lit("Tim "), F.floor(F.col("o_orderkey") / 3).cast("string"))
+    block = F.floor(key / 10)
+    other = (block * 10 + turn % 7).cast("string")
     name = (
-        F.when(status == "F", _customer_name("o_orderkey"))
-        .when(status == "O", team)
-        .otherwise(F.lit(""))
+        F.when(turn % 11 == 0, F.lit(""))
+        .when(turn % 3 == 0, F.concat(F.lit("Customer#"), F.lpad(other, 9, "0")))
+        .otherwise(F.concat_ws(" ", F.lit("Tim"), block.cast("string"), (turn % 40).cast("string")))
     )
     requests = _read(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("seq"),
-        F.floor(F.col("o_orderkey") / 9).alias("id"),
-        name.alias("nama_tim"),
+        turn.alias("seq"), F.when(turn % 13 == 0, -key).otherwise(key).alias("id"), name.alias("nama_tim")
     )
-    result = change.rename_unique(target, requests, "id", "nama_tim", "seq")
+    result = rename(target, requests, "id", "nama_tim", "seq")
     after = result.after.select(
         F.lit(None).cast("bigint").alias("seq"), "id", "nama_tim", F.lit("after").alias("status")
     )

@@ -26,6 +26,7 @@ from rollbook.operators import access, change, delete, listing, split, stats, va
 from rollbook.operators.change import Change
 from rollbook.operators.children import children_page, children_pages
 from rollbook.operators.listing import Lookup, Page
+from rollbook.operators.rename import rename_unique
 from rollbook.plans import stage
 from rollbook.sources import csv, snapshot, workbook
 
@@ -466,7 +467,8 @@ def insert_teams(teams: DataFrame, rows: DataFrame, order_by: str) -> Change:
 
 
 def rename_teams(teams: DataFrame, requests: DataFrame, order_by: str) -> Change:
-    return change.rename_unique(teams, requests, "id", "nama_tim", order_by)
+    """Rename teams, each request as the table stands when its turn comes."""
+    return rename_unique(teams, requests, "id", "nama_tim", order_by)
 
 
 def delete_teams(teams: DataFrame, requests: DataFrame, activities: DataFrame) -> Change:

@@ -1,10 +1,12 @@
 import datetime
+import random
 
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from rollbook.operators import change
+from rollbook.operators.rename import rename_unique
 
 SMALL = pytest.mark.parametrize("small", [0, 1 << 30])
 
@@ -165,7 +167,7 @@ def test_rename_unique(spark):
         [(0, 1, "b"), (1, 1, "d"), (2, 2, "d"), (3, 3, ""), (4, 9, "z"), (5, 3, "c"), (6, 1, "e")],
         "seq int, id int, nama string",
     )
-    result = change.rename_unique(target, requests, "id", "nama", "seq")
+    result = rename_unique(target, requests, "id", "nama", "seq")
     assert rows(result.status, "seq", "status") == [
         (0, "duplicate"),
         (1, "updated"),
@@ -176,3 +178,65 @@ def test_rename_unique(spark):
         (6, "updated"),
     ]
     assert rows(result.after) == [(1, "e"), (2, "b"), (3, "c")]
+
+
+def one_by_one(names, requests):
+    """The statuses and final names if each request is sent after the one before."""
+    names, statuses = dict(names), []
+    for seq, key, name in sorted(requests, key=lambda r: r[0]):
+        if not name:
+            status = "missing"
+        elif key not in names:
+            status = "not_found"
+        elif any(v == name and k != key for k, v in names.items()):
+            status = "duplicate"
+        else:
+            names[key], status = name, "updated"
+        statuses.append((seq, status))
+    return sorted(statuses, key=str), sorted(names.items(), key=str)
+
+
+RENAMES = {
+    "chain": ([(1, "A"), (2, "B"), (3, "C")], [(1, 1, "Z"), (2, 2, "A"), (3, 3, "B"), (4, 1, "C")]),
+    "refused chain": ([(1, "A"), (2, "B"), (3, "C")], [(1, 1, "B"), (2, 2, "C"), (3, 3, "A"), (4, 3, "D"), (5, 2, "C"), (6, 1, "B")]),
+    "swap": ([(1, "A"), (2, "B")], [(1, 1, "tmp"), (2, 2, "A"), (3, 1, "B")]),
+    "again": ([(1, "A"), (2, "B")], [(1, 1, "A"), (2, 1, "B"), (3, 1, "A"), (4, 1, "C"), (5, 2, "A"), (6, 1, "A"), (7, 2, "A"), (8, 2, "B"), (9, 1, "A")]),
+    "back": ([(1, "A")], [(1, 1, "B"), (2, 1, "A"), (3, 1, "B"), (4, 9, "A"), (5, 1, ""), (6, 1, None)]),
+}
+
+
+WAYS = pytest.mark.parametrize(("large", "folded"), [(1 << 20, 1000), (1 << 20, 0), (2, 0)])
+
+
+@WAYS
+def test_renames_count_one_by_one(spark, large, folded):
+    """All cases in one batch, each with keys and names of its own."""
+    names, requests = [], []
+    for n, (held, asked) in enumerate(RENAMES.values()):
+        names += [(10 * n + k, f"{n}{v}") for k, v in held]
+        requests += [(10 * s + n, 10 * n + k, v and f"{n}{v}") for s, k, v in asked]
+    target = spark.createDataFrame(names, "id int, nama string")
+    batch = spark.createDataFrame(requests, "seq int, id int, nama string")
+    result = rename_unique(target, batch, "id", "nama", "seq", large, folded)
+    statuses, after = one_by_one(names, requests)
+    assert rows(result.status, "seq", "status") == statuses
+    assert rows(result.after) == after
+
+
+def test_many_renames_of_few_names(spark):
+    """A third of the requests want one name, which is handed on many times."""
+    rng = random.Random(8)
+    names = [(i, f"n{i}") for i in range(40)]
+    requests = [(s, rng.randrange(44), rng.choice(["hot", f"n{rng.randrange(40)}", f"m{rng.randrange(60)}"])) for s in range(300)]
+    target = spark.createDataFrame(names, "id int, nama string")
+    batch = spark.createDataFrame(requests, "seq int, id int, nama string").repartition(4)
+    result = rename_unique(target, batch, "id", "nama", "seq")
+    statuses, after = one_by_one(names, requests)
+    assert rows(result.status, "seq", "status") == statuses
+    assert rows(result.after) == after
+
+
+def test_no_renames(spark):
+    target = spark.createDataFrame([(1, "A")], "id int, nama string")
+    result = rename_unique(target, spark.createDataFrame([], "seq int, id int, nama string"), "id", "nama", "seq")
+    assert rows(result.status) == [] and rows(result.after) == [(1, "A")]
