@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.typed import leading_int_of
-from rollbook.plans import all_terms, number_rows, order_columns, rows_between
+from rollbook.plans import all_terms, number_rows, order_columns, rows_at, rows_between
 from rollbook.plans.ordering import Term
 
 DEFAULT_PAGE = 1
@@ -18,13 +18,8 @@ DEFAULT_LIMIT = 10
 # Every task of the scan hands this many rows at most to the one that cuts the page.
 FEW_ROWS = 100
 
-# Up to this row, tasks thin out order values and keys in groups first; beyond it
-# those of the whole table are sorted in parallel. Other columns are read for the
-# page's rows only.
-DEEP_PAGE_ROWS = 10_000
 # Keys of a page up to this size are broadcast.
 PAGE_BROADCAST_ROWS = 10_000
-_GROUPS = 512
 
 
 @dataclass(frozen=True)
@@ -175,41 +170,36 @@ def ordered_array(rows: DataFrame) -> DataFrame:
 def _cut(
     df: DataFrame, order: Sequence[Term], key: str | Sequence[str], number: int, size: int
 ) -> DataFrame:
-    """One page. Beyond the first rows, order values and keys alone find its keys."""
+    """One page. Beyond the first rows, counts of ranges find it, or a sort where a column has no ranges."""
     offset, last = (number - 1) * size, number * size
     columns = order_columns(order, key)
     if last <= FEW_ROWS:
         return df.orderBy(*columns).offset(offset).limit(size)
-    keys = [key] if isinstance(key, str) else list(key)
     terms = [t if isinstance(t, tuple) else (t, "asc") for t in all_terms(order, key)]
-    values = [F.col(v) if isinstance(v, str) else v for v, _ in terms]
+    values = [(F.col(v) if isinstance(v, str) else v, direction) for v, direction in terms]
+    found = rows_at(df, values, offset, last)
+    if found is None:
+        found = _sorted_out(df, values, key, offset, last)
+    return found.orderBy(*columns)
+
+
+def _sorted_out(
+    df: DataFrame, values: Sequence[tuple[Column, str]], key: str | Sequence[str], offset: int, last: int
+) -> DataFrame:
+    """The rows of a page by a parallel sort of all order values and keys."""
+    keys = [key] if isinstance(key, str) else list(key)
     narrow = df.select(
-        *[v.alias(f"_order_{i}") for i, v in enumerate(values)],
+        *[v.alias(f"_order_{i}") for i, (v, _) in enumerate(values)],
         *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
     )
-    sort = order_columns([(f"_order_{i}", direction) for i, (_, direction) in enumerate(terms)])
-    if last <= DEEP_PAGE_ROWS:
-        found = _thinned(narrow, sort, last).orderBy(*sort).offset(offset).limit(size)
-    else:
-        found = rows_between(narrow, sort, offset, last)
-    found = found.select(*[f"_key_{i}" for i in range(len(keys))])
-    if size <= PAGE_BROADCAST_ROWS:
+    sort = order_columns([(f"_order_{i}", direction) for i, (_, direction) in enumerate(values)])
+    found = rows_between(narrow, sort, offset, last).select(*[f"_key_{i}" for i in range(len(keys))])
+    if last - offset <= PAGE_BROADCAST_ROWS:
         found = F.broadcast(found)
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
-    return df.join(found, same, "left_semi").orderBy(*columns)
-
-
-def _thinned(df: DataFrame, columns: list[Column], last: int) -> DataFrame:
-    """The first ``last`` rows of each of a fixed number of groups of tasks."""
-    group = Window.partitionBy("_group").orderBy(*columns)
-    return (
-        df.withColumn("_group", F.spark_partition_id() % F.lit(_GROUPS))
-        .withColumn("_nth", F.row_number().over(group))
-        .filter(F.col("_nth") <= last)
-        .drop("_group", "_nth")
-    )
+    return df.join(found, same, "left_semi")
 
 
 def _summary(counted: DataFrame, number: int, size: int) -> DataFrame:

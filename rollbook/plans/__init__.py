@@ -1,5 +1,6 @@
 """Plan building blocks shared by the operators."""
 
+from rollbook.plans.histogram import rows_at
 from rollbook.plans.ordering import all_terms, order_columns
 from rollbook.plans.ranking import (
     largest_group,
@@ -23,6 +24,7 @@ __all__ = [
     "order_columns",
     "rank_in_group",
     "release",
+    "rows_at",
     "rows_between",
     "stage",
     "stage_path",

@@ -59,9 +59,12 @@ def test_page_past_the_end_and_empty(people):
     assert rows(empty.summary) == [(1, 10, 0, 0)]
 
 
-def test_deep_page_equals_short_page(people, monkeypatch):
+@pytest.mark.parametrize("counted", [True, False])
+def test_deep_page_equals_short_page(people, monkeypatch, counted):
     short = listing.page(people, [("nama", "desc")], "id", 2, 3).rows.collect()
-    monkeypatch.setattr(listing, "DEEP_PAGE_ROWS", 0)
+    monkeypatch.setattr(listing, "FEW_ROWS", 0)
+    if not counted:
+        monkeypatch.setattr(listing, "rows_at", lambda *_: None)
     deep = listing.page(people, [("nama", "desc")], "id", 2, 3)
     assert deep.rows.collect() == short
     assert [r["id"] for r in deep.envelope().first()["data"]] == [r["id"] for r in short]

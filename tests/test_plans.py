@@ -1,5 +1,9 @@
 """Ranking, skew and the physical plans the operators rely on."""
 
+import datetime
+import decimal
+import math
+import random
 import re
 from functools import partial
 
@@ -19,6 +23,7 @@ from rollbook.plans import (
     number_rows,
     rank_in_group,
     release,
+    rows_at,
     rows_between,
     stage,
     stage_path,
@@ -327,3 +332,60 @@ def test_requests_for_one_hot_row(spark, conf, skewed, monkeypatch):
     replaced = access.replace_set(links, wanted, users, "request_id")
     last = requests.groupBy("k").agg(F.max("request_id"))
     assert rows(replaced.after) == rows(last)
+
+
+ORDERED = "k int, i long, d double, s string, t timestamp, day date, b boolean, m decimal(20,4)"
+
+
+@pytest.fixture(scope="module")
+def ordered(spark):
+    rng = random.Random(6)
+    day = datetime.date(1969, 12, 25)
+
+    def maybe(value):
+        return None if rng.random() < 0.15 else value
+
+    rows_ = [
+        (
+            k, maybe(rng.choice([0, 1, -(1 << 63), (1 << 63) - 1, rng.randrange(-50, 50)])),
+            maybe(rng.choice([math.nan, math.inf, -math.inf, 0.0, 1e300, -1e300, 5e-324, rng.random()])),
+            maybe(rng.choice(["", "a", "ab", "ab\0", "aé", "z" * 40, "z" * 40 + "y", "日本", "😀", str(rng.randrange(40))])),
+            maybe(datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=rng.randrange(10**14))),
+            maybe(day + datetime.timedelta(days=rng.randrange(20))), maybe(rng.random() < 0.5),
+            maybe(decimal.Decimal(rng.randrange(-10**6, 10**6)) / 100),
+        )
+        for k in range(90)
+    ]
+    return stage(spark.createDataFrame(rows_, ORDERED).repartition(3), "ordered")
+
+
+@pytest.mark.parametrize(
+    ("column", "direction"),
+    [("i", "asc"), ("d", "desc"), ("d", "asc"), ("s", "asc"), ("s", "desc"), ("t", "desc"), ("day", "asc"), ("b", "desc"), ("m", "asc")],
+)
+def test_rows_found_by_counting(ordered, column, direction):
+    sort = F.col(column).asc_nulls_last() if direction == "asc" else F.col(column).desc_nulls_first()
+    keys = [r["k"] for r in ordered.orderBy(sort, F.col("k").desc()).select("k").collect()]
+    for first, last, few, ranges in ((41, 45, 3, 3), (60, 999, 40, 1024)):
+        found = rows_at(ordered, [(F.col(column), direction), (F.col("k"), "desc")], first, last, few, ranges)
+        assert {r["k"] for r in found.select("k").collect()} == set(keys[first:last])
+
+
+def test_rows_at_uses_no_table_and_no_range_shuffle(spark, tmp_path):
+    path = str(tmp_path / "sorted")
+    spark.range(200_000).select("id", (F.col("id") % 7).alias("g"), F.lit("x").alias("wide")).write.parquet(path)
+    df = spark.read.parquet(path)
+    found = rows_at(df, [(F.col("id"), "desc")], 150_000, 150_010)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "GreaterThanOrEqual(id," in plan
+    assert sorted(r["id"] for r in found.collect()) == list(range(49_990, 50_000))
+    by_group = rows_at(df, [(F.col("g"), "asc"), (F.col("id"), "asc")], 199_995, 200_005)
+    assert sorted(r["id"] for r in by_group.collect()) == [199_968 + 7 * i for i in range(5)]
+
+
+def test_rows_at_without_ranges(spark):
+    df = spark.range(9).select(F.array("id").alias("a"), "id")
+    assert rows_at(df, [(F.col("a"), "asc")], 0, 2) is None
+    assert rows(page(df, ["a"], "id", 52, 2).rows) == [] and page(df, [("a", "desc")], "id", 1, 200).rows.count() == 9
+    empty = df.filter("id < 0").select("id")
+    assert rows_at(empty, [(F.col("id"), "asc")], 500, 510).count() == 0
