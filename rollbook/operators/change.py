@@ -1,7 +1,7 @@
 """Changes to tables as pure functions: inserts, upserts and updates.
 
 No function writes. Each gives the table after the change and the affected
-rows; ``sources.snapshot.publish`` stores a result under a new path.
+rows; ``sources.store`` writes results as versions or merges them by key range.
 """
 
 from __future__ import annotations

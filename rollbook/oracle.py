@@ -413,6 +413,16 @@ ORACLE: dict[str, str] = {
                lower(c_mktsegment) || ' ' || chr(9) || ' of  ' || lower(c_name) AS "unquote"
         FROM customer
     """,
+    "merge_ranges": """
+        WITH top AS (SELECT max(o_orderkey) AS t FROM orders),
+        late AS (
+          SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + t END AS k, 'late ' || o_orderstatus AS status
+          FROM orders, top WHERE o_orderkey * 3 > t * 2
+        )
+        SELECT coalesce(o.o_orderkey, l.k) AS k, coalesce(l.status, o.o_orderstatus) AS status,
+               CASE WHEN o.o_orderkey IS NULL THEN 'new' ELSE o.o_orderpriority END AS note
+        FROM orders o FULL JOIN late l ON l.k = o.o_orderkey
+    """,
     "publish_snapshot": "SELECT p_partkey, p_brand, p_size + 1 AS p_size FROM part",
     "ingest_dir": f"""
         WITH known AS (

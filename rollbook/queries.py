@@ -24,7 +24,7 @@ from rollbook.operators.children import children_pages as every_parent
 from rollbook.operators.listing import Lookup
 from rollbook.operators.rename import rename_unique as rename
 from rollbook.plans import rank_in_group, stage_path
-from rollbook.sources import csv, snapshot
+from rollbook.sources import csv, store
 from rollbook.streaming import ingest_dir as ingest_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -568,14 +568,31 @@ def header_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def publish_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    table = stage_path(spark, "snapshots")
+    table = stage_path(spark, "versions")
     part = _read(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
-    snapshot.publish(part, table)
-    newest = snapshot.read_snapshot(spark, table)
+    store.publish(part, table)
+    newest = store.read_version(spark, table)
     changed = newest.withColumn("p_size", F.col("p_size") + 1)
-    snapshot.publish(changed, table)
-    snapshot.publish(part, table, 1)  # published before, so left as it is
-    return snapshot.read_snapshot(spark, table)
+    store.publish(changed, table)
+    store.publish(part, table, 1)  # published before, so left as it is
+    return store.read_version(spark, table)
+
+
+def merge_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A table by key range that takes all orders, then the changed upper third of the keys and as many new ones."""
+    table = stage_path(spark, "ranges")
+    orders = _read(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("note")
+    )
+    n = orders.count()
+    store.merge(orders.withColumn("o", F.col("k")), table, ["k"], ["status"], ["o"], rows_per_range=n // 10 + 1)
+    top = orders.agg(F.max("k")).scalar()
+    shift = F.when(F.col("k") % 2 == 0, 0).otherwise(top)
+    late = orders.filter(F.col("k") * 3 > top * 2).select(
+        (F.col("k") + shift).alias("k"), F.concat(F.lit("late "), "status").alias("status"), F.lit("new").alias("note")
+    )
+    store.merge(late.withColumn("o", F.col("k")), table, ["k"], ["status"], ["o"], rows_per_range=n // 10 + 1)
+    return store.read_ranges(spark, table)
 
 
 def ingest_dir(spark: SparkSession, sf: str) -> DataFrame:
@@ -1167,6 +1184,7 @@ QUERIES: dict[str, Query] = {
         csv_unclosed,
         header_rules,
         publish_snapshot,
+        merge_ranges,
         ingest_dir,
         delete_by_key,
         delete_owned,

@@ -1,7 +1,7 @@
 """The registry's own queries and loads, bound to its tables.
 
 Each function is one request of the registry in set form. Changes give
-``Change`` frames; nothing is written until ``sources.snapshot.publish``.
+``Change`` frames; nothing is written until ``sources.store.publish`` or ``merge``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from rollbook.operators.children import children_page, children_pages
 from rollbook.operators.listing import Lookup, Page
 from rollbook.operators.rename import rename_unique
 from rollbook.plans import stage
-from rollbook.sources import csv, snapshot, workbook
+from rollbook.sources import csv, store, workbook
 
 SOURCE_ORDER = "source_order"
 
@@ -63,14 +63,13 @@ def merge_file(
     table: tables.UpsertTable,
     schema: T.StructType | None = None,
     rule: str = "a",
-) -> str:
-    """Load a file and merge it into a stored table, all of it or nothing.
+) -> None:
+    """Load a file and merge it into a table by key range, all of it or nothing.
 
-    ``table`` is ``tables.SCHOOLS``, ``STAFF`` or ``CANDIDATES``. Gives the path of
-    the manifest that the merge has published.
+    ``table`` is ``tables.SCHOOLS``, ``STAFF`` or ``CANDIDATES``.
     """
     staged = _staged_file(spark, path, schema or table.schema, rule)
-    return snapshot.merge(staged, table_dir, table.key, table.updates, [SOURCE_ORDER])
+    store.merge(stage(staged, "arrived"), table_dir, table.key, table.updates, [SOURCE_ORDER])
 
 
 def load_participants(

@@ -1 +1 @@
-"""Sources and sinks: CSV, workbooks and snapshots."""
+"""Sources and sinks: CSV, workbooks and stored tables."""

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rollbook.functions.text import header_name
 from rollbook.plans import with_source_order
-from rollbook.sources.records import largest_file, quote_counts, records
+from rollbook.sources.records import largest_file, quote_counts, records, records_of, staged_lines
 
 # Stands for a quoted empty field while Spark turns unquoted ones into null.
 _QUOTED_EMPTY = "\x01\x02"
@@ -112,6 +112,24 @@ def first_line(spark: SparkSession, path: str) -> str:
     return row["value"].rstrip("\r\n") if row else ""
 
 
+def parse_lines(lines: DataFrame, schema: T.StructType, sep: str, source_order: str) -> DataFrame:
+    """Rows as ``load_positional`` gives them, of lines that were read with their ``file`` and ``block``.
+
+    For lines of a stream's batch. A file's first record is its header.
+    """
+    lines = staged_lines(lines)
+    files = lines.groupBy("file").agg(F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2 == 1).alias("spanning"))
+    _fail_if_open(files)
+    if files.filter("spanning").isEmpty():
+        order = F.struct("file", "block", "row")
+        headers = lines.groupBy("file").agg(F.min(order).alias("source_order")).select("source_order")
+        text = F.regexp_replace("value", r"\r\z", "").alias("text")
+        rest = lines.select(order.alias("source_order"), text).join(headers, "source_order", "left_anti").filter("text <> ''")
+    else:
+        _, rest = records_of(lines)
+    return restore_empty(_parsed(rest, schema, _options(sep), source_order))
+
+
 def unclosed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: ``file`` and whether a quoted field in it is ``unclosed``.
 
@@ -141,13 +159,7 @@ def _rows(
     one_task_bytes: int | None = None,
 ) -> DataFrame:
     """Parsed rows; with ``header`` every file must have that first line."""
-    options = {
-        "sep": sep,
-        "mode": "FAILFAST",
-        "escape": '"',
-        "emptyValue": _QUOTED_EMPTY,
-        "columnPruning": "false",
-    }
+    options = _options(sep)
     bound = ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes
     broken, returns = _line_breaks(spark, path)
     if broken and spanning is False:
@@ -193,6 +205,28 @@ def _assembled(
         other = headers.filter(found != header.lstrip("\ufeff"))
         if not other.isEmpty():
             raise ValueError(f"a header differs from the first: {header}")
+    return _parsed(rest, schema, options, source_order)
+
+
+def _options(sep: str) -> dict[str, str]:
+    return {
+        "sep": sep,
+        "mode": "FAILFAST",
+        "escape": '"',
+        "emptyValue": _QUOTED_EMPTY,
+        "columnPruning": "false",
+    }
+
+
+def _fail_if_open(files: DataFrame) -> None:
+    odd = files.filter("quotes % 2 = 1").head()
+    if odd:
+        raise ValueError(f"unterminated quoted field in {odd['file']}")
+
+
+def _parsed(
+    rest: DataFrame, schema: T.StructType, options: dict[str, str], source_order: str | None
+) -> DataFrame:
     parsed = F.from_csv("text", schema.toDDL(), {**options, "multiLine": "true"})
     rows = rest.select(parsed.alias("row"), "source_order")
     fields = [F.col("row").getField(f.name).alias(f.name) for f in schema.fields]

@@ -39,18 +39,20 @@ def records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Data
 
     Every quoted field of the files closes (``quote_counts``).
     """
-    lines = stage(
-        spark.read.option("lineSep", _LINE_BREAK)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-            "value",
-            _quotes(F.col("value")).alias("quotes"),
-        ),
-        "lines",
+    lines = spark.read.option("lineSep", _LINE_BREAK).text(path)
+    return records_of(
+        staged_lines(lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
     )
+
+
+def staged_lines(lines: DataFrame) -> DataFrame:
+    """``value, file, block`` as read, written with the place and the number of quotes of each line."""
+    row = F.monotonically_increasing_id().alias("row")
+    return stage(lines.select("file", "block", row, "value", _quotes(F.col("value")).alias("quotes")), "lines")
+
+
+def records_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``records`` of ``staged_lines``."""
     by_file = Window.partitionBy("file").orderBy("block")  # one row per block
     earlier_blocks = by_file.rowsBetween(Window.unboundedPreceding, -1)
     blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("total"))

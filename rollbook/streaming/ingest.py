@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.plans import stage
-from rollbook.sources.csv import load_positional
-from rollbook.sources.snapshot import merge, read_snapshot
+from rollbook.sources.csv import parse_lines
+from rollbook.sources.store import ROWS_PER_RANGE, merge, read_ranges
 
-# Files of one batch; their paths come to the driver.
+# Files of one batch.
 FILES_PER_BATCH = 1_000
 
 _ORDER = "_source_order"
-_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ingest_dir(
@@ -29,35 +29,34 @@ def ingest_dir(
     sep: str = ",",
     normalise: Callable[[DataFrame], DataFrame] | None = None,
     files_per_batch: int = FILES_PER_BATCH,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Upsert every new CSV file of ``in_dir`` into the table at ``table_dir``.
+    """Upsert every new CSV file of ``in_dir`` into the table by key range at ``table_dir``; gives the table.
 
-    Runs until no new file is left and gives the table's newest snapshot. A
-    batch is a list of at most ``files_per_batch`` arrived files, loaded as
-    ``load_positional`` does; it rewrites the buckets its keys are in and publishes one snapshot under its batch number, so a batch that is repeated
-    after a failure changes nothing. Within a batch the first row per key in
-    source order wins.
+    Runs until no new file is left. Spark's file source reads the lines of at most
+    ``files_per_batch`` arrived files, with their files and blocks as order, and its log knows which have been taken; no
+    list of files passes the driver's code. Within a batch the first row per key in source order wins. A bad file fails
+    its batch before the table is changed. A batch that is repeated after a failure
+    merges the same rows again, which changes nothing.
     """
-    reader = spark.readStream.format("binaryFile").schema(_FILES)
-    reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arriving = reader.load(in_dir).select("path")  # contents are not read here
+    reader = spark.readStream.format("text").option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.load(in_dir).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
 
     def arrived(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        paths = [r["path"] for r in batch.collect()]
-        if not paths:
-            return
-        rows = load_positional(session, paths, schema, sep, source_order=_ORDER)
+        rows = parse_lines(batch, schema, sep, _ORDER)
         if normalise:
             rows = normalise(rows)
         # Parsed once and whole before anything is merged.
-        merge(stage(rows, "arrived"), table_dir, keys, update_cols, [_ORDER], number)
+        merge(stage(rows, "arrived"), table_dir, keys, update_cols, [_ORDER], rows_per_range)
 
     query = (
-        arriving.writeStream.foreachBatch(arrived)
+        lines.writeStream.foreachBatch(arrived)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return read_snapshot(spark, table_dir)
+    table = read_ranges(spark, table_dir, schema)
+    return spark.createDataFrame([], schema) if table is None else table

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from test_workbook import make_workbook
 
 from rollbook import registry, tables
-from rollbook.sources import snapshot
+from rollbook.sources import store
 
 NOW = datetime.datetime(2024, 6, 1)
 
@@ -448,11 +448,11 @@ def test_merge_file(spark, tmp_path):
     for text in ("ptk_id,nama,nip\n1,a,x\n2,b,y\n", "ptk_id,nama,nip\n2,c,z\n2,d,z\n3,e,w\n"):
         (tmp_path / "in.csv").write_text(text)
         registry.merge_file(spark, str(tmp_path / "in.csv"), folder, table)
-    assert rows(snapshot.read_snapshot(spark, folder)) == [("1", "a", "x"), ("2", "c", "y"), ("3", "e", "w")]
+    assert rows(store.read_ranges(spark, folder)) == [("1", "a", "x"), ("2", "c", "y"), ("3", "e", "w")]
     (tmp_path / "in.csv").write_text("ptk_id,nama,nip\n4,f\n")
     with pytest.raises(Exception, match="MALFORMED"):
         registry.merge_file(spark, str(tmp_path / "in.csv"), folder, table)
-    assert snapshot.read_snapshot(spark, folder).count() == 3
+    assert store.read_ranges(spark, folder).count() == 3
 
 
 def test_clears(spark):

@@ -5,7 +5,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from rollbook.operators import split, stats, validate
-from rollbook.sources import csv, snapshot
+from rollbook.sources import csv, store
 
 
 def test_validate_rows(spark):
@@ -107,24 +107,24 @@ def test_parts_in_source_order(spark, tmp_path):
 
 def test_snapshots(spark, tmp_path):
     table = str(tmp_path / "t")
-    assert snapshot.read_snapshot(spark, table) is None
-    assert snapshot.publish(spark.range(3), table).endswith("snapshot-000000000000")
-    current = snapshot.read_snapshot(spark, table)
-    snapshot.publish(current.filter("id > 0"), table)
-    snapshot.publish(spark.range(100), table, 1)
-    assert snapshot.snapshot_numbers(spark, table) == [0, 1]
-    assert rows(snapshot.read_snapshot(spark, table)) == [(1,), (2,)]
-    assert snapshot.read_snapshot(spark, table, before=1).count() == 3
+    assert store.read_version(spark, table) is None
+    assert store.publish(spark.range(3), table).endswith("version=000000000000")
+    current = store.read_version(spark, table)
+    store.publish(current.filter("id > 0"), table)
+    store.publish(spark.range(100), table, 1)
+    assert store.versions(spark, table) == [0, 1]
+    assert rows(store.read_version(spark, table)) == [(1,), (2,)]
+    assert store.read_version(spark, table, before=1).count() == 3
 
 
 def test_failed_publish_changes_nothing(spark, tmp_path):
     table = str(tmp_path / "t")
-    snapshot.publish(spark.range(3), table)
+    store.publish(spark.range(3), table)
     broken = spark.range(10).withColumn(
         "id", F.when(F.col("id") == 9, F.raise_error(F.lit("bad row"))).otherwise(F.col("id"))
     )
     with pytest.raises(Exception, match="bad row"):
-        snapshot.publish(broken, table)
-    assert snapshot.read_snapshot(spark, table).count() == 3
-    snapshot.publish(spark.range(5), table)
-    assert snapshot.read_snapshot(spark, table).count() == 5
+        store.publish(broken, table)
+    assert store.read_version(spark, table).count() == 3
+    store.publish(spark.range(5), table)
+    assert store.read_version(spark, table).count() == 5
