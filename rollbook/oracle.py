@@ -145,6 +145,20 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT p_partkey, p_name, 'percent' FROM part WHERE p_name ILIKE '%ring\%' ESCAPE '\'
     """,
+    "search_requests": """
+        WITH texts AS (
+          SELECT source, lang, min(substr(text, 21, 9)) AS head, max(substr(text, 41, 6)) AS tail
+          FROM documents GROUP BY source, lang
+        ),
+        requests AS (
+          SELECT source || ' ' || lang || ' head' AS request_id, head AS q FROM texts
+          UNION ALL SELECT source || ' ' || lang || ' short', substr(tail, 1, 2) FROM texts
+          UNION ALL SELECT source || ' ' || lang || ' two', substr(head, 1, 5) || '%' || tail FROM texts
+          UNION ALL SELECT source || ' ' || lang || ' one', tail || '_' || source FROM texts
+        )
+        SELECT request_id, doc_id FROM (SELECT request_id, translate(q, 'aeiou', 'AEIOU') AS q FROM requests) JOIN documents
+          ON text ILIKE '%' || q || '%' OR source ILIKE q
+    """,
     "search_documents": """
         SELECT doc_id, lang, source, n_chars FROM documents
         WHERE lang ILIKE 'DE' OR source ILIKE '%DE%' OR text ILIKE '%DE%'

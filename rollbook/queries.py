@@ -23,6 +23,7 @@ from rollbook.operators.children import children_page as one_parent
 from rollbook.operators.children import children_pages as every_parent
 from rollbook.operators.listing import Lookup
 from rollbook.operators.rename import rename_unique as rename
+from rollbook.operators.search import search_batch
 from rollbook.plans import rank_in_group, stage_path
 from rollbook.sources import csv, store
 from rollbook.streaming import ingest_dir as ingest_files
@@ -116,6 +117,24 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
     return search(documents, terms, "DE").select("doc_id", "lang", "source", "n_chars")
 
 
+def search_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts taken from documents of each source and language, some with wildcards, searched in all documents."""
+    documents = _read(spark, sf, "documents")
+    head, tail = F.min(F.substr("text", F.lit(21), F.lit(9))), F.max(F.substr("text", F.lit(41), F.lit(6)))
+    texts = documents.groupBy("source", "lang").agg(head.alias("head"), tail.alias("tail"))
+    forms = F.array(
+        F.struct(F.lit("head").alias("form"), F.col("head").alias("q")),
+        F.struct(F.lit("short").alias("form"), F.substr("tail", F.lit(1), F.lit(2)).alias("q")),
+        F.struct(F.lit("two").alias("form"), F.concat_ws("%", F.substr("head", F.lit(1), F.lit(5)), "tail").alias("q")),
+        F.struct(F.lit("one").alias("form"), F.concat("tail", F.lit("_"), "source").alias("q")),
+    )
+    requests = texts.select("source", "lang", F.explode(forms).alias("x")).select(
+        F.concat_ws(" ", "source", "lang", "x.form").alias("request_id"), F.translate("x.q", "aeiou", "AEIOU").alias("q")
+    )
+    terms = [("text", "contains"), ("source", "exact")]
+    return search_batch(documents, requests, terms, "doc_id")
+
+
 def _activities(spark: SparkSession, sf: str) -> DataFrame:
     orders = _read(spark, sf, "orders")
     return orders.select(
@@ -1152,6 +1171,7 @@ QUERIES: dict[str, Query] = {
         search_page,
         search_pattern,
         search_documents,
+        search_requests,
         page_lookups,
         search_lookups,
         all_lookups,
