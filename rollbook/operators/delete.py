@@ -172,8 +172,11 @@ def delete_cascade(
 
     The change of ``name`` has the status of each request, as ``delete_by_key``
     gives it. What is taken along on each level is written once, since the
-    levels below and both sides of a change read it.
+    levels below and both sides of a change read it. References may form cycles, and a
+    table may refer to itself: then rounds follow them until no further row is found.
     """
+    if _is_cyclic(references, name):
+        return _cascade_in_rounds(tables, references, name, requests, keys)
     changes = {name: delete_by_key(tables[name], requests, keys)}
     for table in _below(references, name):
         after, affected = tables[table], None
@@ -190,6 +193,61 @@ def delete_cascade(
     return changes
 
 
+def _cascade_in_rounds(
+    tables: Mapping[str, DataFrame],
+    references: Sequence[Reference],
+    name: str,
+    requests: DataFrame,
+    keys: Sequence[str],
+) -> dict[str, Change]:
+    """``delete_cascade`` along cycles: each round looks below the rows that the last one has found.
+
+    A round joins a table only with keys that are new, and drops rows that were found before, which
+    their own references tell; so it ends when nothing is added. Only keys are written, and Spark
+    broadcasts written keys by their size.
+    """
+    below = {name, *_reached(references, name)}
+    used = [r for r in references if r.parent in below]
+    needed = {t: list(dict.fromkeys([r.key for r in used if r.parent == t])) for t in below}
+    first = delete_by_key(tables[name], requests, keys)
+    asked = stage(requests.select(*keys).distinct(), "asked")
+    # What makes a row of each table go: values of one or more of its columns.
+    reasons: dict[str, dict[tuple[str, ...], DataFrame]] = {t: {} for t in below}
+    reasons[name][tuple(keys)] = asked
+    fresh = {name: stage(first.affected.select(*needed[name]).distinct(), "found")} if needed[name] else {}
+    while fresh:
+        found: dict[str, DataFrame] = {}
+        for ref in used:
+            if ref.parent not in fresh:
+                continue
+            why, known = (ref.fk,), reasons[ref.child].get((ref.fk,))
+            gone = fresh[ref.parent].select(F.col(ref.key).alias(ref.fk)).filter(F.col(ref.fk).isNotNull()).distinct()
+            gone = stage(gone if known is None else gone.join(known, ref.fk, "left_anti"), "gone")
+            if gone.isEmpty():
+                continue
+            rows = tables[ref.child].join(gone, ref.fk, "left_semi")
+            for columns, earlier in reasons[ref.child].items():
+                rows = rows.join(earlier, list(columns), "left_anti")
+            reasons[ref.child][why] = gone if known is None else stage(known.unionByName(gone), "gone")
+            if needed[ref.child]:
+                step = stage(rows.select(*needed[ref.child]).distinct(), "found")
+                found[ref.child] = step if ref.child not in found else found[ref.child].unionByName(step)
+        fresh = {t: df for t, df in found.items() if not df.isEmpty()}
+    return {t: _split_by_any(tables[t], reasons[t], first.status if t == name else None) for t in sorted(below)}
+
+
+def _split_by_any(target: DataFrame, reasons: Mapping[tuple[str, ...], DataFrame], status: DataFrame | None) -> Change:
+    """Rows of ``target`` that no reason names, and the others."""
+    marked, hit = target, F.lit(False)
+    for number, (columns, values) in enumerate(reasons.items()):
+        mark = f"_hit_{number}"
+        marked = marked.join(values.withColumn(mark, F.lit(True)), list(columns), "left")
+        hit = hit | F.col(mark).isNotNull()
+    return Change(
+        marked.filter(~hit).select(*target.columns), marked.filter(hit).select(*target.columns), status
+    )
+
+
 def _gone_keys(affected: DataFrame, ref: Reference) -> DataFrame:
     keys = affected.select(F.col(ref.key).alias(ref.fk)).distinct()
     return stage(keys, "gone")
@@ -208,7 +266,7 @@ def truncate(
     """
     if refuse_empty and tables[name].isEmpty():
         return Truncation("already_empty", dict(tables), {})
-    emptied = {name, *_below(references, name)}
+    emptied = {name, *_reached(references, name)}
     after = {t: df.limit(0) if t in emptied else df for t, df in tables.items()}
     return Truncation("deleted", after, dict.fromkeys(sorted(emptied), 1))
 
@@ -273,23 +331,30 @@ def _owned_keys(
     return linked.join(hint(held), "_link", "left").drop("_link")
 
 
+def _reached(references: Sequence[Reference], name: str) -> set[str]:
+    """Tables with references to ``name`` or to one of them, ``name`` itself only through a cycle."""
+    found: set[str] = set()
+    while more := {r.child for r in references if r.parent in {name, *found}} - found:
+        found |= more
+    return found
+
+
+def _is_cyclic(references: Sequence[Reference], name: str) -> bool:
+    tables = {name, *_reached(references, name)}
+    return any(t in _reached(references, t) for t in tables)
+
+
 def _below(references: Sequence[Reference], name: str) -> list[str]:
-    """Tables reached from ``name``, each after all of its affected parents."""
+    """Tables reached from ``name`` without a cycle, each after all of its affected parents."""
     order: list[str] = []
-    open_tables: set[str] = set()
 
     def visit(table: str) -> None:
-        if table in open_tables:
-            raise ValueError(f"references form a cycle at {table}")
         if table in order:
             return
-        open_tables.add(table)
         for ref in references:
             if ref.parent == table:
                 visit(ref.child)
-        open_tables.discard(table)
         order.append(table)
 
     visit(name)
     return [t for t in reversed(order) if t != name]
-

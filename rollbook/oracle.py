@@ -540,6 +540,24 @@ ORACLE: dict[str, str] = {
                  THEN 'deleted' ELSE 'not_found' END, c_custkey, 0
         FROM customer
     """,
+    "delete_cascade_cycle": """
+        WITH RECURSIVE nodes AS (
+          SELECT 'part' AS name, CAST(p_partkey AS BIGINT) AS id,
+                 CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 2 WHEN p_partkey % 50 = 1 THEN p_partkey END AS part,
+                 CASE WHEN p_partkey % 5 = 0 THEN p_partkey % (SELECT count(*) FROM supplier) END AS supplier
+          FROM part
+          UNION ALL
+          SELECT 'supplier', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 7 END, NULL FROM supplier
+        ),
+        gone AS (
+          SELECT name, id FROM nodes WHERE name = 'part' AND id % 40 = 1
+          UNION
+          SELECT n.name, n.id FROM nodes n JOIN gone g
+            ON (g.name = 'part' AND n.part = g.id) OR (g.name = 'supplier' AND n.supplier = g.id)
+        )
+        SELECT n.name, CASE WHEN g.id IS NULL THEN 'after' ELSE 'affected' END AS side, n.id
+        FROM nodes n LEFT JOIN gone g ON g.name = n.name AND g.id = n.id
+    """,
     "delete_restricted": """
         WITH requests AS (SELECT event_id AS request_id, event_id * 3 // 2 AS id FROM events),
         firsts AS (

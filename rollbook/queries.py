@@ -785,6 +785,33 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def delete_cascade_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts stand below other parts and below suppliers, suppliers below parts."""
+    key, supplier = F.col("p_partkey"), _read(spark, sf, "supplier")
+    n = supplier.agg(F.count(F.lit(1))).scalar()
+    held = {
+        "part": _read(spark, sf, "part").select(
+            key.alias("id"),
+            F.when(key % 3 == 0, F.floor(key / 2)).when(key % 50 == 1, key).alias("part_of"),
+            F.when(key % 5 == 0, key % n).alias("supplier"),
+        ),
+        "supplier": supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") * 7).alias("part")),
+    }
+    references = [
+        delete.Reference("part", "part_of", "part", "id"),
+        delete.Reference("part", "supplier", "supplier", "id"),
+        delete.Reference("supplier", "part", "part", "id"),
+    ]
+    requests = held["part"].filter("id % 40 = 1").select(F.col("id").alias("request_id"), "id")
+    changes = delete.delete_cascade(held, references, "part", requests, ["id"])
+    out = None
+    for name, change_of in changes.items():
+        for side, rows in (("after", change_of.after), ("affected", change_of.affected)):
+            part = rows.select(F.lit(name).alias("name"), F.lit(side).alias("side"), F.col("id").cast("bigint").alias("id"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def delete_restricted(spark: SparkSession, sf: str) -> DataFrame:
     requests = _read(spark, sf, "events").select(
         F.col("event_id").alias("request_id"),
@@ -1212,6 +1239,7 @@ QUERIES: dict[str, Query] = {
         delete_group,
         truncate_cascade,
         delete_cascade,
+        delete_cascade_cycle,
         delete_restricted,
         insert_unique,
         insert_defaults,

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import rows
 
@@ -147,10 +149,62 @@ def test_delete_cascade_over_two_paths(spark):
     asked = spark.createDataFrame([(1,)], "id int")
     result = delete.delete_cascade(tables, references, "a", asked, ["id"])
     assert rows(result["c"].affected, "id") == [(1,), (2,)]
-    with pytest.raises(ValueError, match="cycle"):
-        delete.delete_cascade(
-            tables, [*references, Reference("a", "id", "c", "id")], "a", asked, ["id"]
-        )
+
+
+def gone_below(tables, references, name, asked):
+    """Row numbers of each table that go, one at a time."""
+    gone = {t: set() for t in tables}
+    gone[name] = {i for i, r in enumerate(tables[name]) if r["id"] in asked}
+    while True:
+        more = [
+            (ref.child, i)
+            for ref in references
+            for i, r in enumerate(tables[ref.child])
+            if i not in gone[ref.child]
+            and r[ref.fk] is not None
+            and r[ref.fk] in {tables[ref.parent][j][ref.key] for j in gone[ref.parent]}
+        ]
+        if not more:
+            return gone
+        for t, i in more:
+            gone[t].add(i)
+
+
+CYCLES = {
+    "self": [Reference("a", "up", "a", "id")],
+    "two tables": [Reference("b", "a", "a", "id"), Reference("a", "b", "b", "id")],
+    "both": [Reference("a", "up", "a", "id"), Reference("b", "a", "a", "id"), Reference("a", "b", "b", "id"), Reference("c", "b", "b", "id"), Reference("c", "a", "a", "id")],
+}
+
+
+@pytest.mark.parametrize("case", CYCLES)
+def test_delete_cascade_along_cycles(spark, case):
+    rng = random.Random(4)
+
+    def key():
+        return rng.choice([None, rng.randrange(60)])
+
+    held = {
+        "a": [{"id": i, "up": i if i % 9 == 0 else key(), "b": key()} for i in range(40)],
+        "b": [{"id": i, "a": key()} for i in range(40)] + [{"id": 3, "a": 1}],
+        "c": [{"id": i, "a": key(), "b": key()} for i in range(40)],
+    }
+    schemas = {"a": "id int, up int, b int", "b": "id int, a int", "c": "id int, a int, b int"}
+    tables = {t: spark.createDataFrame([tuple(r.values()) for r in rs], schemas[t]) for t, rs in held.items()}
+    asked = spark.createDataFrame([(0, 1), (1, 7), (2, 99), (3, 7)], "request_id int, id int")
+    result = delete.delete_cascade(tables, CYCLES[case], "a", asked, ["id"])
+    gone = gone_below(held, CYCLES[case], "a", {1, 7})
+    for name, change in result.items():
+        assert rows(change.affected) == sorted((tuple(held[name][i].values()) for i in gone[name]), key=str)
+        assert rows(change.after.unionByName(change.affected)) == rows(tables[name])
+    assert set(result) == {"a"} | {r.child for r in CYCLES[case]}
+    assert rows(result["a"].status, "request_id", "status") == [(0, "deleted"), (1, "deleted"), (2, "not_found"), (3, "not_found")]
+
+
+def test_truncate_along_a_cycle(spark):
+    tables = {t: spark.range(2) for t in ("a", "b", "c")}
+    result = delete.truncate(tables, "a", CYCLES["two tables"])
+    assert {t: df.count() for t, df in result.tables.items()} == {"a": 0, "b": 0, "c": 2}
 
 
 def test_truncate(registry):
