@@ -264,6 +264,25 @@ ORACLE: dict[str, str] = {
                CAST(n AS DOUBLE) / CAST((SELECT count(*) FROM people) AS DOUBLE) AS share
         FROM counts
     """,
+    "cross_distribution": """
+        WITH rows AS (
+          SELECT CAST(o_orderstatus AS VARCHAR) AS s, nullif(o_orderpriority, '5-LOW') AS p, CAST(o_custkey AS VARCHAR) AS c FROM orders
+        ),
+        ts AS (SELECT s FROM rows WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 12),
+        tp AS (SELECT p FROM rows WHERE p IS NOT NULL GROUP BY p ORDER BY count(*) DESC, p LIMIT 12),
+        tc AS (SELECT c FROM rows WHERE c IS NOT NULL GROUP BY c ORDER BY count(*) DESC, c LIMIT 12),
+        marked AS (
+          SELECT CASE WHEN s IN (FROM ts) THEN s END AS s, CASE WHEN s IS NULL THEN 'null' WHEN s IN (FROM ts) THEN 'value' ELSE 'other' END AS sk,
+                 CASE WHEN p IN (FROM tp) THEN p END AS p, CASE WHEN p IS NULL THEN 'null' WHEN p IN (FROM tp) THEN 'value' ELSE 'other' END AS pk,
+                 CASE WHEN c IN (FROM tc) THEN c END AS c, CASE WHEN c IS NULL THEN 'null' WHEN c IN (FROM tc) THEN 'value' ELSE 'other' END AS ck
+          FROM rows
+        )
+        SELECT concat_ws(',', CASE WHEN grouping(sk) = 0 THEN 'status' END, CASE WHEN grouping(pk) = 0 THEN 'priority' END,
+                         CASE WHEN grouping(ck) = 0 THEN 'customer' END) AS dimensions,
+               s AS status, coalesce(sk, 'all') AS status_is, p AS priority, coalesce(pk, 'all') AS priority_is,
+               c AS customer, coalesce(ck, 'all') AS customer_is, count(*) AS n, count(*) / (SELECT count(*) FROM rows) AS share
+        FROM marked GROUP BY GROUPING SETS ((s, sk, p, pk), (s, sk, c, ck), (p, pk, c, ck), (s, sk, p, pk, c, ck))
+    """,
     "statistics_feed": """
         SELECT l_orderkey, l_linenumber, l_returnflag, (SELECT count(*) FROM lineitem) AS total
         FROM lineitem

@@ -296,6 +296,16 @@ def distribution(spark: SparkSession, sf: str) -> DataFrame:
     return stats.distribution(people, ["c_mktsegment", "c_nationkey"])
 
 
+def cross_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs and the triple of three dimensions, one of them with very many values."""
+    orders = _read(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("status"),
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"),
+        F.col("o_custkey").alias("customer"),
+    )
+    return stats.cross_distribution(orders, ["status", "priority", "customer"], [2, 3], 12)
+
+
 def statistics_feed(spark: SparkSession, sf: str) -> DataFrame:
     lineitem = _read(spark, sf, "lineitem")
     rows, total = stats.feed(lineitem, ["l_orderkey", "l_linenumber", "l_returnflag"])
@@ -1211,6 +1221,7 @@ QUERIES: dict[str, Query] = {
         cast_order_blank,
         all_pages,
         distribution,
+        cross_distribution,
         statistics_feed,
         codes_per_user,
         codes_of_one_user,

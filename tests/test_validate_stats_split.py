@@ -128,3 +128,24 @@ def test_failed_publish_changes_nothing(spark, tmp_path):
     assert store.read_version(spark, table).count() == 3
     store.publish(spark.range(5), table)
     assert store.read_version(spark, table).count() == 5
+
+
+def test_cross_distribution(spark):
+    values = [("a" if i % 2 else None, i % 50 if i % 3 else 7, "other" if i % 5 else "x") for i in range(600)]
+    df = spark.createDataFrame(values, "a string, b int, c string")
+    found = stats.cross_distribution(df, ["a", "b", "c"], [1, 2, 3], top=3).collect()
+    sums = {}
+    for r in found:
+        sums[r["dimensions"]] = sums.get(r["dimensions"], 0) + r["share"]
+    assert set(sums) == {"a", "b", "c", "a,b", "a,c", "b,c", "a,b,c"}
+    assert all(abs(s - 1) < 1e-9 for s in sums.values())
+    by = {(r["dimensions"], r["a"], r["a_is"], r["b"], r["b_is"], r["c"], r["c_is"]): r["n"] for r in found}
+    assert by["b", None, "all", "7", "value", None, "all"] == sum(v[1] == 7 for v in values)
+    top = {7} | {int(k[3]) for k in by if k[0] == "b" and k[4] == "value"}
+    assert len(top) == 3
+    assert by["a,b", None, "null", None, "other", None, "all"] == sum(v[0] is None and v[1] not in top for v in values)
+    assert by["a,b,c", "a", "value", "7", "value", "other", "value"] == sum(v == ("a", 7, "other") for v in values)
+    assert len(by) == len(found)
+    assert stats.cross_distribution(df.limit(0), ["a", "b"]).collect() == []
+    with pytest.raises(ValueError, match="no sets"):
+        stats.cross_distribution(df, ["a"], 2)
