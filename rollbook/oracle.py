@@ -430,6 +430,12 @@ ORACLE: dict[str, str] = {
                CASE WHEN l_linenumber > 2 THEN l_linestatus ELSE '' END AS peran, ';' AS sep
         FROM lineitem
     """,
+    "csv_mixed": """
+        SELECT l_orderkey || '-' || l_linenumber AS nama,
+               CASE WHEN l_linenumber % 3 <> 1 AND l_linenumber > 2 THEN l_linestatus END AS peran,
+               CASE WHEN l_linenumber % 3 <> 2 THEN 'x;y,' || l_returnflag END AS jabatan
+        FROM lineitem
+    """,
     "csv_unclosed": """
         SELECT p_brand AS brand, sum(CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END) % 2 = 1 AS unclosed,
                CASE WHEN max(n) > 0 THEN 'unterminated quoted field' ELSE 'loaded' END AS whole,

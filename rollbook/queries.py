@@ -565,6 +565,21 @@ def csv_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return trim_all(loaded, allowed).withColumn("sep", F.lit(csv.sniff_delimiter(spark, path)))
 
 
+def csv_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with three delimiters and column orders in one folder."""
+    path = stage_path(spark, "mixed-csv")
+    lines = _read(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("NAMA"),
+        F.when(F.col("l_linenumber") > 2, F.col("l_linestatus")).alias("Peran"),
+        F.concat(F.lit("x;y,"), "l_returnflag").alias("jabatan"),
+        F.col("l_linenumber").alias("nth"),
+    )
+    for nth, sep, columns in ((0, ";", ["Peran", "NAMA", "jabatan"]), (1, "\t", ["jabatan", "NAMA"]), (2, ",", ["NAMA", "Peran"])):
+        mine = lines.filter(F.col("nth") % 3 == nth).select(*columns)
+        mine.write.mode("append").option("header", True).option("sep", sep).csv(path)
+    return csv.load_mixed_by_name(spark, path, ["nama", "peran", "jabatan"])
+
+
 def csv_unclosed(spark: SparkSession, sf: str) -> DataFrame:
     """Which brands' files have a quote that never closes, and what their loads say at either size."""
     path = stage_path(spark, "unclosed-csv")
@@ -1239,6 +1254,7 @@ QUERIES: dict[str, Query] = {
         append_normalised,
         csv_positional,
         csv_by_name,
+        csv_mixed,
         csv_unclosed,
         header_rules,
         publish_snapshot,

@@ -90,7 +90,7 @@ def load_participants(
         rows = workbook.workbook_rows(spark, path, "c")
         staged = workbook.rows_by_name(rows, allowed, on_unknown=on_unknown)
     else:
-        staged = csv.load_by_name(spark, path, allowed, on_unknown, source_order=SOURCE_ORDER)
+        staged = csv.load_mixed_by_name(spark, path, allowed, on_unknown, source_order=SOURCE_ORDER)
     trimmed = trim_all(staged.select(*allowed, SOURCE_ORDER), allowed)
     keyed = _in_source_order(trimmed, "peserta_id", participants)
     return change.append(participants, keyed, constants={"kegiatan_id": kegiatan_id})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def load_positional(
 
 def load_by_name(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     allowed: Sequence[str],
     on_unknown: str = "fail",
     sep: str | None = None,
@@ -93,6 +94,43 @@ def load_by_name(
     )
 
 
+def load_mixed_by_name(
+    spark: SparkSession,
+    path: str | list[str],
+    allowed: Sequence[str],
+    on_unknown: str = "fail",
+    source_order: str | None = None,
+) -> DataFrame:
+    """``load_by_name`` for files that differ in delimiter, column order, case and columns.
+
+    The first line of every file is found in one pass; files with the same one are read together, by
+    one reader. Each file's own header decides what is unknown or absent in it. Files without a line have no rows.
+    """
+    by_header: dict[str, list[str]] = {}
+    for row in first_lines(spark, path).collect():  # as many as files, which Spark lists on the driver, too
+        by_header.setdefault(row["header"], []).append(row["file"])
+    if not by_header:
+        raise ValueError(f"no lines in {path}")
+    loads = [
+        load_by_name(spark, sorted(files), allowed, on_unknown, source_order=source_order)
+        for _, files in sorted(by_header.items())
+    ]
+    return reduce(DataFrame.unionByName, loads)
+
+
+def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file`` and ``header``, its first line, of each file that has one."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
+        "value",
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    first = F.min(F.struct("row", "value"))["value"]
+    starts = lines.filter("block = 0").groupBy("file").agg(first.alias("header"))
+    return starts.withColumn("header", F.regexp_replace("header", r"\r\z", ""))
+
+
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter of a file, judged by its first line."""
     return delimiter_of(first_line(spark, path))
@@ -106,7 +144,7 @@ def delimiter_of(line: str) -> str:
     return ","
 
 
-def first_line(spark: SparkSession, path: str) -> str:
+def first_line(spark: SparkSession, path: str | list[str]) -> str:
     """The first line of a file; '' if it has none."""
     row = spark.read.text(path).first()
     return row["value"].rstrip("\r\n") if row else ""

@@ -167,3 +167,22 @@ def test_large_files_without_breaks_are_split(spark, conf, tmp_path, monkeypatch
     loaded = csv.load_positional(spark, path, COLUMNS)
     assert loaded.count() == 2000
     assert loaded.rdd.getNumPartitions() > 3
+
+
+def test_mixed_files(spark, tmp_path):
+    write(tmp_path, "nama;peran\r\na;b\r\n", "1 one.csv")
+    write(tmp_path, "PERAN\tnama\tkabupaten\nc\t\"d\te\"\tf\n", "2+.csv")
+    write(tmp_path, '\ufeffkabupaten,"Nama"\n"g\nh",i\n', "3%20.csv")
+    write(tmp_path, "nama;peran\nj;k\n", "4.csv")
+    write(tmp_path, "", "5.csv")
+    loaded = csv.load_mixed_by_name(spark, str(tmp_path), ALLOWED, source_order="o")
+    assert [tuple(r)[:3] for r in loaded.orderBy("o").collect()] == [
+        ("a", None, "b"), ("d\te", "f", "c"), ("i", "g\nh", None), ("j", None, "k"),
+    ]
+    write(tmp_path, "umur;nama\n1;x\n", "6.csv")
+    with pytest.raises(ValueError, match="unknown columns"):
+        csv.load_mixed_by_name(spark, str(tmp_path), ALLOWED)
+    assert csv.load_mixed_by_name(spark, str(tmp_path), ALLOWED, on_unknown="drop").count() == 5
+    write(tmp_path, 'nama\n"y\n', "7.csv")
+    with pytest.raises(ValueError, match="unterminated"):
+        csv.load_mixed_by_name(spark, str(tmp_path), ALLOWED, on_unknown="drop")
