@@ -295,9 +295,11 @@ def test_teams(spark, teams):
         (6, "Tim B"),
         (7, "Tim C"),
     ]
-    asked = spark.createDataFrame([(0, 5, "Tim Z"), (1, 6, "Tim A")], "seq int, id long, nama_tim string")
+    # The second team may take the name that the first has left, not the one it has taken.
+    asked = spark.createDataFrame([(0, 5, "Tim Z"), (1, 6, "Tim A"), (2, 6, "Tim Z")], "seq int, id long, nama_tim string")
     renamed = registry.rename_teams(teams, asked, "seq")
-    assert rows(renamed.status, "seq", "status") == [(0, "updated"), (1, "duplicate")]
+    assert rows(renamed.status, "seq", "status") == [(0, "updated"), (1, "updated"), (2, "duplicate")]
+    assert rows(renamed.after) == [(5, "Tim Z"), (6, "Tim A")]
 
 
 def positional(schema, data):
