@@ -75,21 +75,29 @@ def _found(df: DataFrame, texts: DataFrame, column: str, mode: str, key: str, li
     # Grams that no row holds rule their patterns out.
     rated = wanted.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     best = rated.groupBy("_q", "_pattern", "_runs").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    pairs = posted.join(best, "_gram").select("_key", "_q", "_pattern", "_runs")
+    # Where the gram is all that a pattern asks for, its postings are the rows found.
+    run = F.coalesce(F.length(F.get("_runs", F.lit(0))), F.lit(0))
+    sure = _open_ended(F.col("_pattern")) & (F.size("_runs") <= 1) & (run <= _GRAM)
+    at_once = posted.join(best.filter(sure), "_gram").select("_q", "_key")
+    pairs = posted.join(best.filter(~sure), "_gram").select("_key", "_q", "_pattern", "_runs")
     # Comparing is the costly part, so pairs are dealt to all tasks whatever their size in bytes.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     checked = pairs.repartition(tasks, "_key").join(rows, "_key").filter(_verified(F.col("_text"), F.col("_pattern"), F.col("_runs")))
-    return checked.select("_q", F.col("_key").alias(key))
+    return at_once.unionByName(checked.select("_q", "_key")).withColumnRenamed("_key", key)
+
+
+def _open_ended(pattern: Column) -> Column:
+    """Whether a pattern has no wildcard but percent signs, and one at either end."""
+    return pattern.rlike(r"^%([^_\\]*%)?$")
 
 
 def _verified(text: Column, pattern: Column, runs: Column) -> Column:
     """Whether a text matches: runs between percent signs in their order, any other pattern by LIKE."""
-    open_ended = pattern.rlike(r"^%([^_\\]*%)?$")
     behind = F.aggregate(
         runs, F.lit(1), lambda at, run: F.when(at > 0, _after(text, run, at)).otherwise(F.lit(0))
     )
     all_held = F.forall(runs, lambda run: F.contains(text, run))
-    return F.when(open_ended, behind > 0).otherwise(all_held & F.call_function("like", text, F.lower(pattern)))
+    return F.when(_open_ended(pattern), behind > 0).otherwise(all_held & F.call_function("like", text, F.lower(pattern)))
 
 
 def _after(text: Column, run: Column, at: Column) -> Column:

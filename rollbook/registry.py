@@ -69,7 +69,7 @@ def merge_file(
     ``table`` is ``tables.SCHOOLS``, ``STAFF`` or ``CANDIDATES``.
     """
     staged = _staged_file(spark, path, schema or table.schema, rule)
-    store.merge(stage(staged, "arrived"), table_dir, table.key, table.updates, [SOURCE_ORDER])
+    store.merge(staged, table_dir, table.key, table.updates, [SOURCE_ORDER])
 
 
 def load_participants(

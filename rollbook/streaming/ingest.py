@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.plans import stage
 from rollbook.sources.csv import parse_lines
 from rollbook.sources.store import ROWS_PER_RANGE, merge, read_ranges
 
@@ -48,8 +47,7 @@ def ingest_dir(
         rows = parse_lines(batch, schema, sep, _ORDER)
         if normalise:
             rows = normalise(rows)
-        # Parsed once and whole before anything is merged.
-        merge(stage(rows, "arrived"), table_dir, keys, update_cols, [_ORDER], rows_per_range)
+        merge(rows, table_dir, keys, update_cols, [_ORDER], rows_per_range)
 
     query = (
         lines.writeStream.foreachBatch(arrived)
