@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.predicates import eq_ci, matches
 from rollbook.operators.change import dedupe_by_key
 from rollbook.operators.listing import ordered_array, page, page_args
-from rollbook.plans import order_columns, rank_in_group
+from rollbook.plans import all_terms, order_columns, rank_in_group, run_of_each_group
 from rollbook.plans.ordering import Term
 
 # Spark cuts a ranked group to its first rows before the shuffle up to this many.
@@ -72,9 +72,9 @@ def children_pages(
 ) -> DataFrame:
     """The same page for every parent, one row per folded parent key.
 
-    Totals are pre-aggregated counts, and each task keeps only the first rows of
-    a parent before the shuffle, so a parent with very many children is never
-    gathered in one task.
+    Totals are pre-aggregated counts. Of a page near the front each task keeps only the first rows of
+    a parent before the shuffle; for others the ranges of the order that hold the page are found by
+    counting, and only their rows travel. So a parent with very many children is never gathered in one task.
     """
     number, size = page_args(page_no, limit)
     folded = "parent_id"
@@ -86,7 +86,7 @@ def children_pages(
         mine = mine.filter(matches(terms, q))
 
     totals = mine.groupBy(folded).agg(F.count(F.lit(1)).alias("_total"))
-    ranked = _page_of_each(mine, folded, order_columns(order, child_key), number, size)
+    ranked = _page_of_each(mine, folded, all_terms(order, child_key), number, size)
     shown = F.struct(*(child_columns or child.columns)).alias("row")
     rows = ranked.select(folded, F.struct("_rank", shown).alias("item"))
     data = rows.groupBy(folded).agg(F.array_sort(F.collect_list("item")).alias("_items"))
@@ -108,13 +108,16 @@ def children_pages(
     )
 
 
-def _page_of_each(
-    mine: DataFrame, folded: str, columns: list[Column], number: int, size: int
-) -> DataFrame:
+def _page_of_each(mine: DataFrame, folded: str, terms: list[Term], number: int, size: int) -> DataFrame:
     offset, last = (number - 1) * size, number * size
     if last < EARLY_CUT_ROWS:
-        window = Window.partitionBy(folded).orderBy(*columns)
+        window = Window.partitionBy(folded).orderBy(*order_columns(terms))
         ranked = mine.withColumn("_rank", F.row_number().over(window))
     else:
-        ranked = rank_in_group(mine, [folded], columns, "_rank", unique=True)
+        pairs = [t if isinstance(t, tuple) else (t, "asc") for t in terms]
+        columns = [(F.col(c) if isinstance(c, str) else c, d) for c, d in pairs]
+        found = run_of_each_group(mine, folded, columns, offset, last, "_rank")
+        if found is not None:
+            return found
+        ranked = rank_in_group(mine, [folded], order_columns(terms), "_rank", unique=True)
     return ranked.filter((F.col("_rank") > offset) & (F.col("_rank") <= last))

@@ -1,5 +1,6 @@
 """Plan building blocks shared by the operators."""
 
+from rollbook.plans.group_ranges import run_of_each_group
 from rollbook.plans.histogram import rows_at
 from rollbook.plans.ordering import all_terms, order_columns
 from rollbook.plans.ranking import (
@@ -26,6 +27,7 @@ __all__ = [
     "release",
     "rows_at",
     "rows_between",
+    "run_of_each_group",
     "stage",
     "stage_path",
     "with_source_order",
