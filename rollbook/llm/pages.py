@@ -1,11 +1,12 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is read once into a flat list of text blocks, each with its number of
+A page is read once into a flat list of text blocks. A block's features are its number of
 words, its link density (share of words inside links), those of the blocks
-before and after it, whether it is a heading or a list item, and what the
-innermost telling element around it says (an article, or a menu, footer,
-advert, form, comment and so on). A decision tree, trained on the labelled
-blocks of a few small pages, tells article blocks from the rest.
+before and after it and of the region it stands in (its innermost section of any kind), how many blocks
+of links it stands among, whether it is a heading or a list item, and what the elements around
+it are called: an article, something beside it, readers' remarks, hidden. Names are features like
+the others; nothing is kept or dropped by them alone. A decision tree, trained on the labelled
+blocks of small pages of many layouts, with and without telling names, tells article blocks from the rest.
 
 A null or empty page, and one without article blocks, has the empty text.
 Repeated rows are handled one by one; other columns are ignored. Broken markup
@@ -17,8 +18,10 @@ Formulas and the fallback text of objects, canvases, audio and video are text.
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,57 +62,92 @@ _BAD_WORDS = frozenset(
 _ARTICLE_WORDS = frozenset("article post entry story".split())
 #: Words of what readers write, be it in an element for articles.
 _READER_WORDS = frozenset("comment comments reply replies respondent".split())
+#: Words that only say that a class is the inside or the frame of what is named before them.
+_FRAMES = frozenset("content body text main inner wrap wrapper container list box area block section item items".split())
 #: What follows these in a class is something that an element has, not what it is.
 _HAVING = frozenset("has have with without no".split())
 #: A class that begins so sorts an article by its subject.
 _SORTING = frozenset("category cat tag tagged topic type format status".split())
 #: Words that may also tell what stands beside the article inside an element.
 _BESIDE_WORDS = frozenset("sidebar side header ad ads share social login related banner".split())
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Attributes of a tag: name, and the value in either quotes or without.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none")
 _SPLIT = re.compile(r"[^a-z]+")
-
-FEATURES = ("place", "words", "link_density", "heading", "item", "words_before", "density_before", "words_after", "density_after", "doubt")
-
-
-def _place(tag: str, attributes: str, outer: int) -> int:
-    """What an element says of its text: 1 article, 2 article but also words of something else, -2 something else, -1 something else but for an article in it, 0 nothing."""
-    if attributes and _HIDDEN.search(attributes):
-        return -2
-    if tag in _BAD_TAGS or tag == "header" and outer <= 0:
-        return -2
-    if attributes and tag not in ("html", "body"):
-        words, good, bad, subject = set(), set(), set(), set()
-        for m in _NAMES.finditer(attributes):
-            for name in (m[1] or m[2] or m[3] or "").lower().split():
-                own = [w for w in _SPLIT.split(name) if w]
-                for i, w in enumerate(own[:-1]):
-                    if w in _HAVING and (w != "no" or own[i + 1] in _BESIDE_WORDS):
-                        own = own[:i]
-                        break
-                words.update(own)
-                if not _BAD_WORDS.isdisjoint(own):
-                    (subject if own[0] in _SORTING else bad).update(_BAD_WORDS.intersection(own))
-                else:
-                    good.update(_GOOD_WORDS.intersection(own))
-        if bad | subject == {"header"} and words & _GOOD_WORDS and tag not in _GOOD_TAGS:
-            return 0
-        named = tag in _GOOD_TAGS or good & _ARTICLE_WORDS
-        if not named:
-            bad |= subject
-        if bad:
-            if (named or good and bad <= _BESIDE_WORDS) and not bad & _READER_WORDS:
-                return 2
-            return -1 if bad <= _BESIDE_WORDS else -2
-        if good:
-            return 1
-    return int(tag in _GOOD_TAGS)
-
-
-def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
-    """The text blocks of a page in order: text, and place, words, words in links, heading, item, doubt."""
-    out: list[tuple[str, tuple[int, int, int, int, int, int]]] = []
-    stack: list[tuple[str, int]] = []  # open elements that part blocks, with their places
+#: Elements that are no region of their own.
+_IN_REGION = frozenset("p li ul ol dl dt dd blockquote pre tr td th tbody thead tfoot figure figcaption".split()) | _HEADINGS
+
+FEATURES = (
+    "words", "link_density", "heading", "item", "words_before", "density_before", "words_after", "density_after", "region_words", "region_density", "region_share", "link_run",
+    "article", "beside_tag", "beside_word", "reader", "hidden", "article_elsewhere",
+)
+#: The features that come from names of elements and classes.
+NAMED = ("article", "beside_tag", "beside_word", "reader", "hidden", "article_elsewhere")
+
+
+class _Around(NamedTuple):
+    """What the open elements around a block are called."""
+
+    article: int = 0  # 2 an element for articles, 1 a class
+    beside_tag: int = 0
+    beside_word: int = 0  # 3 named as something else, 2 as what may stand beside an article, 1 only by part of a longer name
+    reader: int = 0
+    hidden: int = 0
+
+
+def _inside(tag: str, attributes: str, outer: _Around) -> _Around:
+    """What is around the text of an element inside ``outer``."""
+    article, beside_tag, beside_word, reader, hidden = outer
+    names: list[str] = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id", "role"):
+            names += value.split()
+        elif key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and _NO_DISPLAY.search(value):
+            hidden = 1
+    if tag in ("html", "body"):
+        return outer._replace(hidden=hidden)
+    good: set[str] = set()
+    level, sorting, remarks = 0, 0, 0
+    for name in names:
+        own = [w for w in _SPLIT.split(name) if w]
+        for i, w in enumerate(own[:-1]):
+            if w in _HAVING and (w != "no" or own[i + 1] in _BESIDE_WORDS):
+                own = own[:i]
+                break
+        if not own or _BAD_WORDS.isdisjoint(own):
+            good.update(_GOOD_WORDS.intersection(own))
+        elif own[-1] == "header" and _GOOD_WORDS.intersection(own):
+            pass  # the head of an article is part of it
+        else:
+            head = next((w for w in reversed(own) if w not in _FRAMES), "")
+            own_level = 1 if head not in _BAD_WORDS else 2 if head in _BESIDE_WORDS else 3
+            if own[0] in _SORTING and len(own) > 1:
+                sorting = max(sorting, own_level)
+            else:
+                level = max(level, own_level)
+                remarks |= not _READER_WORDS.isdisjoint(own)
+    named = tag in _GOOD_TAGS or good & _ARTICLE_WORDS
+    if not named:
+        level = max(level, sorting)
+    if named or good:
+        if level and not remarks and (named or level <= 2):
+            level = 1
+        elif tag in _GOOD_TAGS and beside_word <= 2 and not (beside_tag or reader):
+            beside_word = 0
+        if level <= 1:
+            article = max(article, 2 if tag in _GOOD_TAGS else 1)
+    if tag in _BAD_TAGS or tag == "header" and not article:
+        beside_tag = 1
+    return _Around(article, beside_tag, max(beside_word, level), max(reader, int(remarks)), hidden)
+
+
+def read_blocks(page: str) -> list[tuple[str, tuple[int, ...]]]:
+    """The text blocks of a page in order: text, and words, words in links, heading, item, region and what is around it."""
+    out: list[tuple[str, tuple[int, ...]]] = []
+    nothing = _Around()
+    stack: list[tuple[str, _Around, int]] = []  # open elements that part blocks, with what is around their text and their region
+    regions = 0
     text: list[str] = []
     linked: list[str] = []
     links = 0
@@ -118,15 +156,10 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
             n_linked = len(html.unescape(" ".join(linked)).split())
-            place = next((p for _, p in reversed(stack) if p), 0)
-            # Nothing inside a part that isn't the article belongs to it again, but for an article in a
-            # part that may only be named for what stands beside it.
-            bad = next((i for i, (_, p) in enumerate(stack) if p < 0), None)
-            if bad is not None and (min(p for _, p in stack) == -2 or not any(t in _GOOD_TAGS for t, _ in stack[bad:])):
-                place = -1
-            tags = [t for t, _ in stack]
+            tags = [t for t, _, _ in stack[-4:]]
+            around, region = (stack[-1][1], stack[-1][2]) if stack else (nothing, 0)
             words = joined.count(" ") + 1
-            out.append((joined, (min(max(place, -1), 1), words, min(n_linked, words), int(any(t in _HEADINGS for t in tags[-2:])), int("li" in tags[-4:]), int(place == 2))))
+            out.append((joined, (words, min(n_linked, words), int(any(t in _HEADINGS for t in tags[-2:])), int("li" in tags), region, *around)))
         text.clear()
         linked.clear()
 
@@ -162,7 +195,7 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int
                 unread, tag = -1, "" if i == unread else tag
         if unread >= 0:
             if tag and not m[2] and tag not in _VOID and not m[4].endswith("/") and (tag != stack[unread][0] or tag not in ("button", "select")):
-                stack.append((tag, 0))
+                stack.append((tag, *(stack[-1][1:] if stack else (nothing, 0))))
         elif not tag:
             pass
         elif tag in _UNREAD:
@@ -172,7 +205,7 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int
                     at = end
                 else:
                     unread = len(stack)
-                    stack.append((tag, 0))
+                    stack.append((tag, *(stack[-1][1:] if stack else (nothing, 0))))
         elif tag in _INLINE:
             if tag == "a":
                 links = max(0, links - 1) if m[2] else links + 1
@@ -192,8 +225,11 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int
             elif tag not in _VOID and not m[4].endswith("/"):
                 if tag in ("p", "li", *_HEADINGS) and stack and stack[-1][0] in ("p", *_HEADINGS, *(("li",) if tag == "li" else ())):
                     stack.pop()
-                outer = next((p for _, p in reversed(stack) if p), 0)
-                stack.append((tag, _place(tag, m[4], outer)))
+                around, region = stack[-1][1:] if stack else (nothing, 0)
+                if tag not in _IN_REGION:
+                    regions += 1
+                    region = regions
+                stack.append((tag, _inside(tag, m[4], around), region))
         m = _TAG.search(page, at)
     if at < len(page) and unread < 0:
         text.append(page[at:])
@@ -201,10 +237,11 @@ def read_blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int
     return out
 
 
-def block_features(found: list[tuple[str, tuple[int, int, int, int, int, int]]]) -> np.ndarray:
+def block_features(found: list[tuple[str, tuple[int, ...]]]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
-    raw = np.array([f for _, f in found], np.float64).reshape(-1, 6)
-    words, density = raw[:, 1], raw[:, 2] / np.maximum(raw[:, 1], 1)
+    raw = np.array([f for _, f in found], np.float64).reshape(-1, 10)
+    words, linked = raw[:, 0], raw[:, 1]
+    density = linked / np.maximum(words, 1)
 
     def moved(x: np.ndarray, by: int) -> np.ndarray:
         y = np.zeros_like(x)
@@ -214,42 +251,135 @@ def block_features(found: list[tuple[str, tuple[int, int, int, int, int, int]]])
             y[:by] = x[-by:]
         return y
 
-    return np.stack([raw[:, 0], words, density, raw[:, 3], raw[:, 4], moved(words, 1), moved(density, 1), moved(words, -1), moved(density, -1), raw[:, 5]], axis=1)
+    # The blocks directly in a region count for it, as do those of its lists and quotes.
+    _, region = np.unique(raw[:, 4], return_inverse=True)
+    region_words, region_linked = (np.bincount(region, x)[region] if len(raw) else x for x in (words, linked))
+    # Blocks of hardly anything but links in a row.
+    links = np.diff(np.concatenate([[0], (density >= 0.9).astype(np.int64), [0]]))
+    run = np.zeros(len(raw))
+    for a, b in zip(np.flatnonzero(links == 1), np.flatnonzero(links == -1), strict=True):
+        run[a:b] = b - a
+    article, beside = raw[:, 5], raw[:, 6] + raw[:, 8] + raw[:, 9] + (raw[:, 7] > 1)
+    elsewhere = np.where((article > 0) & (beside == 0), 0, ((article > 0) & (beside == 0)).any()).astype(np.float64)
+    return np.stack(
+        [words, density, raw[:, 2], raw[:, 3], moved(words, 1), moved(density, 1), moved(words, -1), moved(density, -1), region_words, region_linked / np.maximum(region_words, 1)]
+        + [region_words / max(words.sum(), 1), run, *raw[:, 5:].T, elsewhere],
+        axis=1,
+    )
 
 
 def _some(n: int) -> str:
     return " ".join(["word"] * n)
 
 
-def labelled_pages() -> list[tuple[str, str]]:
-    """The labelled table: small pages, and for each block in order ``+`` (article) or ``-``."""
+def labelled_pages(drawn: int = 1_000) -> list[tuple[str, str]]:
+    """The labelled table: small pages, and for each block in order ``+`` (article) or ``-``.
+
+    A few pages written out, and ``drawn`` ones whose parts, names and lengths a fixed seed draws.
+    """
     link = "<a href='/x'>{}</a>".format
     menu = "<ul>" + "".join(f"<li>{link(_some(n))}</li>" for n in (1, 2, 1, 1)) + "</ul>"
     body = "".join(f"<p>{_some(n)}</p>" for n in (40, 1, 75, 3, 18))
     items = "".join(f"<li>{_some(n)}</li>" for n in (9, 2, 14))
-    return [
-        (f"<nav>{menu}</nav><div class=ad>{_some(9)}</div><article><h1>{_some(8)}</h1>{body}</article><footer>{_some(12)}</footer>", "-----" + "+" * 6 + "-"),
-        (f"<header><h1>{_some(2)}</h1><p>{_some(5)}</p></header>{menu}<main><h2>{_some(6)}</h2>{body}<ul>{items}</ul></main><aside>{body}</aside>", "--" + "----" + "+" * 9 + "-" * 5),
-        (f"<div id=menu>{menu}</div><div class='post content'><h1>{_some(5)}</h1><p>{_some(1)}</p>{body}<p>{link(_some(4))}</p></div><div class=comments><p>{_some(30)}</p><p>{_some(60)}</p></div>", "----" + "+" * 8 + "--"),
+    written = [
         (f"<article><header><h1>{_some(7)}</h1></header><p>{_some(2)} {link(_some(2))}</p><ul><li>{link(_some(3))}</li><li>{_some(20)}</li></ul><div class=share>{link('a b')}</div>{body}<form><p>{_some(25)}</p></form></article>", "+" + "+++" + "-" + "+" * 5 + "-"),
-        (f"<div>{menu}</div><div><h1>{_some(6)}</h1>{body}</div><div>{link(_some(2))} {link(_some(2))}</div><div>{_some(4)}</div>", "----" + "+" * 6 + "--"),
         (f"<table><tr><td>{link(_some(1))}</td><td>{link(_some(2))}</td></tr></table><div><p>{_some(55)}</p><p>{_some(30)}</p><p>{_some(22)}</p></div><p>{link(_some(3))}</p><p>{_some(3)}</p>", "--+++--"),
         (f"<div class=cookie-notice><p>{_some(45)}</p></div><div class=sidebar><p>{_some(80)}</p>{menu}</div><article><p>{_some(1)}</p></article><footer><p>{_some(50)}</p></footer>", "-" + "-" + "----" + "+" + "-"),
         (f"<p>{_some(60)}</p><p>{_some(12)}</p><p>{_some(48)}</p>", "+++"),
         (f"<div>{link(_some(2))}</div><div>{link(_some(5))}</div><p>{_some(2)}</p><p>{link(_some(12))}</p>", "----"),
         (f"<article><h1>{_some(4)}</h1><ul>{''.join(f'<li>{link(_some(2))}</li>' for _ in range(3))}</ul><p>{link(_some(9))}</p><p>{_some(1)}</p></article>", "++++++"),
         (f"<article class='post category-social'><h1>{_some(6)}</h1>{body}</article><article class='post tag-search'>{body}</article><div class=social>{_some(7)}</div>", "+" * 11 + "-"),
-        (f"<main class='content with-sidebar'><h1>{_some(6)}</h1>{body}</main><div class=sidebar>{body}</div>", "+" * 6 + "-" * 5),
-        (f"<div class='content has-sidebar'><h1>{_some(6)}</h1>{body}<ul>{items}</ul></div><div class='left-sidebar'>{menu}</div>", "+" * 9 + "-" * 4),
-        (f"<article class='post social'><h1>{_some(6)}</h1>{body}<ul>{items}</ul></article><article class='related'><h2>{link(_some(6))}</h2><p>{link(_some(12))}</p></article>", "+" * 9 + "--"),
         (f"<div class='content sidebar'><h1>{_some(6)}</h1>{body}</div><article class=promo><p>{link(_some(3))}</p></article><article class='comment'>{body}</article>", "+" * 6 + "-" + "-" * 5),
+        (f"<main><h1>{_some(3)}</h1><p>{_some(40)}</p><p>{_some(35)}</p>{menu}</main>", "+++----"),
+        (f"<article><h1>{_some(6)}</h1>{body}<ul>{items}</ul></article><article class='related'><h2>{link(_some(6))}</h2><p>{link(_some(12))}</p></article>", "+" * 9 + "--"),
     ]
+    rng = random.Random(11)
+    return written + [_drawn_page(rng) for _ in range(drawn)]
+
+
+#: Names of elements in drawn pages: of articles, of what holds an article without saying so, of everything else.
+_AROUND_ARTICLES = (
+    "article", "main", "article class=post", "article class='story sponsored'", "main class='content with-sidebar'", "article class='post tag-search'", "main role=main class='search'",
+    "div class='post content'", "div class='entry-content share'", "div id=post-7 class='story'", "div class='content has-sidebar'", "div id=main-content", "div class='post social'",
+)
+_AROUND_UNNAMED = (
+    "div", "div", "section", "td", "div class=x1", "div id=c-12", "div class='page-header-offset'", "div class='menu-open'", "section class='alert-free'", "div data-role='nav' title='sidebar hidden'",
+)
+_AROUND_BESIDE = (
+    "nav", "footer", "aside", "form", "header class=site-header", "div class=main-nav", "div class=footer", "div id=sidebar", "div class='left-sidebar'", "div class='sidebar-content'", "div class='ad-banner'",
+    "div class=ad", "div class='cookie-notice'", "div role=alert", "div class='related'", "div class='share social'", "div class='newsletter signup'", "div class=breadcrumb", "div hidden", "div style='display: none'",
+    "div aria-hidden=true",
+)
+_AROUND_READERS = ("div class=comments", "section class='comments-list'", "div id=respond class=replies", "section class='post-comments'", "article class=comment")
+_INSIDE_ARTICLES = ("div class='social-science'", "div class=x2", "section", "blockquote", "div class='notice-period'", "div class=entry-header")
+
+
+def _drawn_page(rng: random.Random) -> tuple[str, str]:
+    """A page of drawn parts and its labels."""
+    parts: list[tuple[str, str]] = []
+
+    def element(opening: str, inner: list[tuple[str, str]]) -> tuple[str, str]:
+        name = opening.split()[0]
+        return f"<{opening}>" + "".join(h for h, _ in inner) + f"</{name}>", "".join(m for _, m in inner)
+
+    def links(mark: str, n: int) -> tuple[str, str]:
+        return "<ul>" + "".join(f"<li><a href='/x'>{_some(rng.randint(1, 5))}</a></li>" for _ in range(n)) + "</ul>", mark * n
+
+    def paragraphs(mark: str, n: int, low: int, high: int) -> list[tuple[str, str]]:
+        return [(f"<p>{_some(rng.randint(low, high))}</p>", mark) for _ in range(n)]
+
+    def beside() -> tuple[str, str]:
+        opening = rng.choice(_AROUND_BESIDE)
+        kind = rng.random()
+        inner = [links("-", rng.randint(2, 7))] if kind < 0.45 else paragraphs("-", rng.randint(1, 3), 2, 70) if kind < 0.85 else [(f"<h3>{_some(3)}</h3>", "-"), links("-", 3)]
+        return element(opening, inner)
+
+    def unnamed_beside() -> tuple[str, str]:
+        kind = rng.random()
+        if kind < 0.6:
+            return element("div", [links("-", rng.randint(3, 8))])
+        return element("div", [(f"<p>{_some(rng.randint(1, 7))}</p>", "-")] * rng.randint(1, 2))
+
+    def article(opening: str) -> tuple[str, str]:
+        inner = [(f"<h1>{_some(rng.randint(2, 12))}</h1>", "+")] if rng.random() < 0.8 else []
+        named = opening in _AROUND_ARTICLES
+        if named and rng.random() < 0.3:
+            return element(opening, inner + paragraphs("+", rng.randint(1, 3), 1, 60))
+        # A text that nothing names shows itself by its length.
+        for i in range(rng.randint(2, 6)):
+            inner += paragraphs("+", 1, 30, 110) if i == 0 and not named else paragraphs("+", 1, 1, rng.choice((4, 12, 110)))
+            extra = rng.random()
+            if extra < 0.12:
+                inner.append((f"<ul><li>{_some(rng.randint(1, 4))}</li><li>{_some(rng.randint(6, 20))}</li></ul>", "++"))
+            elif extra < 0.2:
+                inner.append((f"<p><a href=x>{_some(rng.randint(2, 8))}</a></p>", "+"))
+            elif extra < 0.28:
+                inner.append((f"<h2>{_some(rng.randint(1, 6))}</h2>", "+"))
+            elif extra < 0.4 and named:
+                inner.append(element(rng.choice(_INSIDE_ARTICLES), paragraphs("+", 2, 3, 60)))
+            elif extra < 0.5:
+                inner.append(beside())
+        if rng.random() < 0.3:
+            inner += [*paragraphs("+", 1, 20, 60), links("-", rng.randint(4, 9))]
+        return element(opening, inner)
+
+    named = rng.random() < 0.5
+    for _ in range(rng.randint(0, 3)):
+        parts.append(beside() if named or rng.random() < 0.4 else unnamed_beside())
+    parts.append(article(rng.choice(_AROUND_ARTICLES if named else _AROUND_UNNAMED)))
+    if rng.random() < 0.4:
+        parts.append(element(rng.choice(_AROUND_READERS), paragraphs("-", rng.randint(1, 4), 3, 90)))
+    for _ in range(rng.randint(0, 2)):
+        parts.append(beside() if named or rng.random() < 0.5 else unnamed_beside())
+    if rng.random() < 0.15:
+        parts = [element("div class='layout with-sidebar'", parts)]
+    return "".join(h for h, _ in parts), "".join(m for _, m in parts)
 
 
 class Tree:
     """A binary decision tree, grown by Gini impurity until its leaves are pure or ``depth`` is reached."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 14):
         self.nodes: list[tuple[int, float, int, int, bool]] = []
         self._grow(x, y, depth)
 

@@ -1,6 +1,8 @@
 import html
+import random
 import re
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -129,3 +131,90 @@ def test_unclosed_elements_are_read_in_linear_time():
         for page in (f"<{tag}>" * 20_000, f"<p><{tag}>x</p>" * 20_000, f"<{tag}>" * 20_000 + f"</{tag}>", f"<{tag}></{tag}>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000):
             _text(page)
     assert time.perf_counter() - begin < 40
+
+
+def test_pages_drawn_anew():
+    """Pages that the tree wasn't trained on: their layouts are of the same kinds, their parts, names and lengths others."""
+    rng, wrong, n, named, against = random.Random(99), 0, 0, 0, 0
+    for _ in range(300):
+        page, labels = pages._drawn_page(rng)
+        x = pages.block_features(read_blocks(page))
+        got, want = TREE(x), np.array([c == "+" for c in labels])
+        by_name = x[:, pages.FEATURES.index("article")] > 0
+        wrong, n = wrong + (got != want).sum(), n + len(want)
+        named, against = named + (got != by_name).sum(), against + ((got != by_name) & (got == want)).sum()
+    assert wrong <= 0.005 * n
+    # Names alone would often say otherwise, and the tree is right then.
+    assert against > 0.05 * n and against >= 0.99 * named
+
+
+def test_shape_alone_tells_most_blocks(spark):
+    """All features of names blanked: what is left are words, links, neighbours and regions."""
+    right = n = 0
+    blank = [pages.FEATURES.index(f) for f in pages.NAMED]
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        x = pages.block_features(read_blocks(r["html"]))
+        want = x[:, pages.FEATURES.index("article")] > 0
+        x[:, blank] = 0
+        right, n = right + (TREE(x) == want).sum(), n + len(x)
+    assert right > 0.97 * n
+
+
+def test_names_that_say_something_else():
+    long = ("word " * 40).strip()
+    assert _text(f"<div class='page-header-offset'><p>{long}</p></div>") == long
+    for attribute in ("title='the hidden life'", "data-foo='a hidden b'", "data-style='display:none'", "alt=hidden", "aria-label='hidden'", "aria-hidden=false"):
+        assert _text(f"<article {attribute}><p>one</p></article>") == "one", attribute
+    for attribute in ("hidden", "HIDDEN", "hidden=''", "style='color:red;display : none'", "aria-hidden=true", "aria-hidden='true'"):
+        assert _text(f"<article><p>one</p><div {attribute}><p>{long}</p></div></article>") == "one", attribute
+    assert _text(f"<article><h1>t</h1><p>{long}</p><div class='social-science'><p>{long}</p><p>Be.</p></div></article>") == f"t\n{long}\n{long}\nBe."
+    assert _text(f"<nav><a href=/>x</a></nav><div><p>{long}</p><p>Yes.</p><p>No way.</p><p>{long}</p></div>") == f"{long}\nYes.\nNo way.\n{long}"
+    links = "<ul>" + "<li><a href=x>one two</a></li>" * 5 + "</ul>"
+    assert _text(f"<main><h1>t</h1><p>{long}</p><p>{long}</p>{links}</main>") == f"t\n{long}\n{long}"
+
+
+class _Slow(HTMLParser):
+    """The article element's blocks, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.now = False, [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in ("b", "i", "a"):
+            self.cut()
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a"):
+            self.cut()
+        if tag == "article":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now.append(data)
+
+
+def test_another_parser_reads_the_same(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in rows.collect():
+        slow = _Slow()
+        slow.feed(r["html"])
+        want[r["page_id"]] = "\n".join(slow.blocks)
+    assert {r["page_id"]: r["text"] for r in pages.extract(rows).collect()} == want
+
+
+def test_a_very_long_page_with_structure(spark):
+    part = "<section class=x><h2>Head</h2><p>" + "word " * 30 + "</p><div class=ad><a href=x>buy now</a></div></section>"
+    page = f"<nav><a href=/>x</a></nav><article>{part * 10_000}</article><footer>end</footer>"
+    got = pages.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"].split("\n")
+    assert got == ["Head", ("word " * 30).strip()] * 10_000
