@@ -7,10 +7,6 @@ is, so probabilities are raked by themselves (``fitted``), never above 1: the ex
 tokens are the asked share of all, and each value's share of them is its target, or all its tokens
 where that is less, the others' targets then being scaled up alike. DataFrame functions only.
 
-``mixed`` has the rows of ``oracle_sql``, which cuts the weights instead of raking again: its
-probabilities are ``min(1, f * weight)``, with f set to the asked share of tokens.
-Its weights have the target shares, its kept rows may be further off than those of ``sampled``.
-
 Without given targets a dimension's shares are tempered: tokens to the power
 ``TEMPER``, scaled to 1. Given shares are scaled to 1 over the values that
 occur; a value without a share has none of its documents sampled. Targets that no weights can reach are met
@@ -180,11 +176,8 @@ def weighted(docs: DataFrame, topic: str | None = None, targets: Mapping[str, Ma
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Each document's cell, tokens, weight, probability and whether it is sampled, as ``oracle_sql`` has them."""
-    placed = in_cells(docs.select("doc_id", "text", "source", "lang"))
-    cells = raked(_cells(placed))
-    cells = cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(sampling_factor(cells, SHARE))))
-    return _drawn(placed, cells).select(
+    """Each document's cell, tokens, raked weight, calibrated probability and whether it is sampled."""
+    return weighted(docs.select("doc_id", "text", "source", "lang")).select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
         F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"),
     )
@@ -219,15 +212,39 @@ def oracle_sql() -> str:
                 f" from (select *, sum(tokens * weight) over (partition by {d}) has from r{at}) join share_{d} using ({d}))"
             )
             at += 1
-    parts.append("f0 as (select 0.0::double f)")
-    for i in range(CAP_ROUNDS):
+
+    def factor(name: str, rows: str) -> str:
+        """CTEs that find the factor of ``sampling_factor`` for ``rows``; the name of the last."""
+        parts.append(f"{name}0 as (select 0.0::double f)")
+        for i in range(CAP_ROUNDS):
+            parts.append(
+                f"{name}{i + 1} as materialized (select greatest(any_value(f), coalesce(({SHARE} * sum(tokens) - sum(case when weight * f >= 1 then tokens else 0 end))"
+                f" / nullif(sum(case when weight * f >= 1 then 0 else tokens * weight end), 0), 0)) f from {rows}, {name}{i})"
+            )
+        return f"{name}{CAP_ROUNDS}"
+
+    # Probabilities: goals of each value, then rounds in which none exceeds 1.
+    for d in DIMENSIONS:
         parts.append(
-            f"f{i + 1} as materialized (select greatest(any_value(f), coalesce(({SHARE} * sum(tokens) - sum(case when weight * f >= 1 then tokens else 0 end))"
-            f" / nullif(sum(case when weight * f >= 1 then 0 else tokens * weight end), 0), 0)) f from r{at}, f{i})"
+            f"values_{d} as materialized (select {d}, tokens, case when tokens > 0 then share * (select sum(tokens) from cells) / tokens else 0 end weight"
+            f" from (select {d}, sum(tokens) tokens from cells group by 1) join share_{d} using ({d}))"
         )
+        last = factor(f"f_{d}_", f"values_{d}")
+        parts.append(f"goal_{d} as materialized (select {d}, tokens * least(1.0, weight * f) goal from values_{d}, {last})")
+    parts.append(f"p0 as (select source, lang, topic, tokens, {SHARE}::double weight from cells)")
+    rounds = 0
+    for _ in range(ROUNDS):
+        for d in DIMENSIONS:
+            parts.append(
+                f"p{rounds + 1} as materialized (select source, lang, topic, tokens, least(1.0, weight * case when has > 0 then goal / has else 1 end) weight"
+                f" from (select *, sum(tokens * weight) over (partition by {d}) has from p{rounds}) join goal_{d} using ({d}))"
+            )
+            rounds += 1
+    last = factor("f", f"p{rounds}")
+    parts.append(f"fitted as materialized (select source, lang, topic, least(1.0, weight * f) probability from p{rounds}, {last})")
     return (
         "with " + ",\n".join(parts) + f"""
-        select doc_id, source, lang, topic, tokens as n_tokens, round(weight, 6) weight, round(least(1.0, weight * f), 6) probability,
-            ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0 < least(1.0, weight * f) kept
-        from formed join r{at} using (source, lang, topic), f{CAP_ROUNDS}"""
-    ).replace("tokens as n_tokens", "formed.tokens as n_tokens")
+        select doc_id, source, lang, topic, formed.tokens as n_tokens, round(weight, 6) weight, round(probability, 6) probability,
+            ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0 < probability kept
+        from formed join r{at} using (source, lang, topic) join fitted using (source, lang, topic)"""
+    )

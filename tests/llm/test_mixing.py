@@ -62,6 +62,21 @@ def test_kept_rows_have_the_target_shares(spark):
             assert kept == pytest.approx(wanted[value], abs=0.02)
 
 
+def test_the_query_is_calibrated(spark):
+    """Expected tokens of what ``mixed`` keeps have the shares that ``fitted`` aims at, out of reach or not."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mixed(big)
+    total, expected = rows.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).first()
+    assert expected == pytest.approx(mixing.SHARE * total, rel=1e-4)
+    for d in mixing.DIMENSIONS:
+        own = {r[0]: (r[1], r[2]) for r in rows.groupBy(d).agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
+        raw = sum(t**mixing.TEMPER for t, _ in own.values())
+        free = {v: (t, e) for v, (t, e) in own.items() if e < 0.995 * t}
+        # Values that have tokens enough are scaled alike.
+        scales = [e / total / (t**mixing.TEMPER / raw) for t, e in free.values()]
+        assert max(scales) <= 1.05 * min(scales)  # the rounds end before all is exact
+
+
 def test_a_target_out_of_reach_takes_all_there_is(spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.weighted(big)
