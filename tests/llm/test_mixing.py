@@ -62,19 +62,19 @@ def test_kept_rows_have_the_target_shares(spark):
             assert kept == pytest.approx(wanted[value], abs=0.02)
 
 
-def test_the_query_is_calibrated(spark):
-    """Expected tokens of what ``mixed`` keeps have the shares that ``fitted`` aims at, out of reach or not."""
-    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.mixed(big)
-    total, expected = rows.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).first()
-    assert expected == pytest.approx(mixing.SHARE * total, rel=1e-4)
-    for d in mixing.DIMENSIONS:
-        own = {r[0]: (r[1], r[2]) for r in rows.groupBy(d).agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
-        raw = sum(t**mixing.TEMPER for t, _ in own.values())
-        free = {v: (t, e) for v, (t, e) in own.items() if e < 0.995 * t}
-        # Values that have tokens enough are scaled alike.
-        scales = [e / total / (t**mixing.TEMPER / raw) for t, e in free.values()]
-        assert max(scales) <= 1.05 * min(scales)  # the rounds end before all is exact
+def _goals(own):
+    """The shares that a sample of ``SHARE`` of all tokens can have: targets, or all there is, the others being scaled alike."""
+    raw = sum(t**mixing.TEMPER for t in own.values())
+    most = {v: min(1.0, t / mixing.SHARE) for v, t in own.items()}
+    short = {v for v in own if own[v] ** mixing.TEMPER / raw > most[v]}
+    scale = 1.0  # of the targets of the others
+    while True:
+        goal = {v: most[v] if v in short else scale * own[v] ** mixing.TEMPER / raw for v in own}
+        over = {v for v in own if goal[v] > most[v]}
+        if not over and abs(sum(goal.values()) - 1) < 1e-9:
+            return goal
+        short |= over
+        scale = (1 - sum(most[v] for v in short)) / sum(own[v] ** mixing.TEMPER / raw for v in own if v not in short)
 
 
 def test_a_target_out_of_reach_takes_all_there_is(spark):
@@ -82,21 +82,23 @@ def test_a_target_out_of_reach_takes_all_there_is(spark):
     out = mixing.weighted(big)
     for d in mixing.DIMENSIONS:
         own = _shares(out, d)
-        raw = sum(t**mixing.TEMPER for t, _, _ in own.values())
-        most = {v: min(1.0, t / mixing.SHARE) for v, (t, _, _) in own.items()}
-        short = {v for v in own if own[v][0] ** mixing.TEMPER / raw > most[v]}
-        scale = 1.0  # of the targets of the others
-        while True:
-            goal = {v: most[v] if v in short else scale * own[v][0] ** mixing.TEMPER / raw for v in own}
-            over = {v for v in own if goal[v] > most[v]}
-            if not over and abs(sum(goal.values()) - 1) < 1e-9:
-                break
-            short |= over
-            scale = (1 - sum(most[v] for v in short)) / sum(own[v][0] ** mixing.TEMPER / raw for v in own if v not in short)
+        goal = _goals({v: t for v, (t, _, _) in own.items()})
         for v, (_, expected, _) in own.items():
             assert expected == pytest.approx(goal[v], abs=0.01)
 
 
+def test_the_query_is_calibrated(spark):
+    """Expected tokens of what ``mixed`` keeps have the shares that can be had, in all dimensions."""
+    rows = mixing.mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    total, expected = rows.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).first()
+    assert expected == pytest.approx(mixing.SHARE * total, rel=1e-4)
+    for d in mixing.DIMENSIONS:
+        own = {r[0]: (r[1] / total, r[2] / expected) for r in rows.groupBy(d).agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
+        goal = _goals({v: t for v, (t, _) in own.items()})
+        for v, (_, share) in own.items():
+            assert share == pytest.approx(goal[v], abs=0.01)
+
+
 def test_given_targets(spark):
     rows = [(i, "w " * 10, "a" if i % 3 else "b", "x" if i % 2 else "y", 20) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
