@@ -290,27 +290,14 @@ def _last_given(
 ) -> DataFrame:
     """One row per key with the last given value of each column as ``_new_<column>``.
 
-    A value is wrapped in a struct, so that a given null differs from none. The
-    last change of a column is found by numbers alone, which are combined by hash
-    before the shuffle, and its value is joined to it.
+    A value is wrapped in a struct, so that a given null differs from none. All columns are
+    found in one aggregate, combined before its shuffle.
     """
-    row = F.monotonically_increasing_id().alias("_row")  # of a written table, so it is fixed
-    numbered = changes.select(key, *given, *([order_by] if order_by else []), row)
-    if order_by:
-        tops = numbered.groupBy(key).agg(
-            *[F.max(F.when(g, F.col(order_by))).alias(f"_top_{c}") for c, g in given.items()]
-        )
-        placed = numbered.join(tops, key)
-        last = {c: g & F.col(order_by).eqNullSafe(F.col(f"_top_{c}")) for c, g in given.items()}
-    else:
-        placed, last = numbered, given
-    rows = placed.groupBy(key).agg(
-        *[F.max(F.when(is_last, F.col("_row"))).alias(f"_at_{c}") for c, is_last in last.items()]
-    )
-    for c in given:
-        values = numbered.select(F.col("_row").alias(f"_at_{c}"), F.struct(F.col(c).alias("value")).alias(f"_new_{c}"))
-        rows = rows.join(values, f"_at_{c}", "left")
-    return rows.select(key, *[f"_new_{c}" for c in given])
+    row = F.monotonically_increasing_id().alias("row")  # of a written table, so it is fixed
+    place = F.struct(*([F.col(order_by)] if order_by else []), row)
+    placed = changes.select("*", place.alias("_place"))
+    newest = {c: F.max_by(F.struct(F.col(c).alias("value")), F.when(g, F.col("_place"))) for c, g in given.items()}
+    return placed.groupBy(key).agg(*[value.alias(f"_new_{c}") for c, value in newest.items()])
 
 
 def _reversed(term: Term) -> Term:
