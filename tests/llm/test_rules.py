@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from rollbook.llm import rules
 
@@ -74,3 +75,26 @@ def test_empty_tables(nothing, docs, labels, no_labels):
 def test_best_cut():
     assert rules.best_cut([(0.1, True), (0.0, True)]) == -np.inf
     assert rules.best_cut([(1.0, True), (2.0, True), (-1.0, False), (-3.0, False)]) == 0.0
+
+
+def test_all_labels_count(spark):
+    labels = spark.range(25_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert rules.labelled_sample(labels).count() == 25_000
+
+
+@pytest.mark.parametrize("spread", [3, 40, 2000])
+def test_threshold_is_the_best_cut(spark, spread):
+    rng = np.random.default_rng(spread)
+    good = rng.random(3000) < 0.3
+    ratio = (rng.integers(0, spread, 3000) + np.where(good, spread / 2, 0)) / 7 - 1
+    rows = [(float(r), bool(g)) for r, g in zip(ratio, good, strict=True)]
+    scored = spark.createDataFrame(rows, "ratio double, good boolean").repartition(5)
+    assert rules.threshold(scored) == rules.best_cut(rows) > -np.inf
+    assert rules.threshold(scored.where("good")) == -np.inf
+    assert rules.threshold(scored.limit(0)) == -np.inf
+
+
+def test_more_labels_than_can_be_broadcast(docs, labels, odd, monkeypatch):
+    want = [sorted(map(tuple, rules.quality(d, labels).collect()), key=str) for d in (docs, odd)]
+    monkeypatch.setattr(rules, "hint_by_size", lambda df: lambda other: other)
+    assert [sorted(map(tuple, rules.quality(d, labels).collect()), key=str) for d in (docs, odd)] == want
