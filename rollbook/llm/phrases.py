@@ -39,6 +39,7 @@ MAX_IDS = 4_000_000
 #: Suffixes that a slot is meant to hold, and those that a task gathers before it sends them.
 SLOT = 1 << 20
 GATHERED = 3 << 19
+_SENT = 1 << 18  # suffixes that are dealt at a time
 _BYTES_PER_WORD = 6  # only to size slots
 _SALTS = 64
 
@@ -201,10 +202,9 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, min_count: int, slots: int
         known: dict[str, int] = {}
         ordered, bits = sent.value
         is_hot = np.unpackbits(bits, count=(DEPTH - 2) * n_bins).astype(bool)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n = 0
+        held = Gathered(width, (DEPTH - 1) * slots, GATHERED)
         for batch in batches:
-            for block in blocks(batch.column(1), _BLOCK_BYTES):
+            for block in blocks(batch.column(1)):
                 w = Words(block, _block_langs(batch, block, known))
                 ids = _ids(w.keys, ordered, short)
                 links = w.linked & (ids > 0) & _shifted(ids > 0, 1)
@@ -219,13 +219,8 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, min_count: int, slots: int
                     deeper &= is_hot[(leading[j] % np.uint64(n_bins)).astype(np.int64) + j * n_bins]
                     slot = np.where(deeper, leading[j + 1] % np.uint64(slots) + np.uint64((j + 1) * slots), slot)
                 columns = [ids[mine], *(np.where(r[mine], _shifted(ids, j)[mine], 0) for j, r in enumerate(runs, 1))]
-                held.append((np.array(columns, width), slot, leading[-1]))
-                n += len(mine)
-                if n >= GATHERED:
-                    yield _dealt(held)
-                    held, n = [], 0
-        if held:
-            yield _dealt(held)
+                yield from held.add(columns, slot, leading[-1])
+        yield from held.dealt()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = sent.value[0]
@@ -259,13 +254,48 @@ def _ids(keys: np.ndarray, ordered: np.ndarray, short: bool) -> np.ndarray:
     return np.where(found, at + 1, 0).astype(np.uint32)
 
 
-def _dealt(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """A row for each slot, with its suffixes and their counts; equal suffixes are one."""
-    ids, slot, hashes = (np.concatenate([h[i] for h in held], -1) for i in range(3))
-    order = np.lexsort((hashes, slot)) if slot.max() >= 1 << 20 else np.argsort((slot << np.uint64(43)) | (hashes >> np.uint64(21)))
-    ids, slot = ids[:, order], slot[order].astype(np.int64)
+class Gathered:
+    """Suffixes on their way to ``slots`` slots, in arrays that are filled and dealt over and over."""
+
+    def __init__(self, width: np.dtype, slots: int, room: int):
+        self.ids = np.empty((DEPTH, room), width)
+        # The slot above as many bits of the suffix's hash as there is room for.
+        self.keys = np.empty(room, np.uint64)
+        self.bits = np.uint64(slots.bit_length())
+        self.below = np.uint64(64) - self.bits
+        self.n = 0
+
+    def add(self, columns: list[np.ndarray], slot: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Take suffixes in; when the arrays are full, what they hold is dealt."""
+        done, room = 0, len(self.keys)
+        while done < len(slot):
+            more = min(len(slot) - done, room - self.n)
+            to, some = slice(self.n, self.n + more), slice(done, done + more)
+            for own, column in zip(self.ids, columns, strict=True):
+                own[to] = column[some]
+            self.keys[to] = (slot[some].astype(np.uint64) << self.below) | (hashes[some] >> self.bits)
+            self.n += more
+            done += more
+            if self.n == room:
+                yield from self.dealt()
+
+    def dealt(self) -> Iterator[pa.RecordBatch]:
+        """A row for each slot, with its suffixes and their counts; equal suffixes are one."""
+        order = np.argsort(self.keys[: self.n])
+        slots = self.keys[order] >> self.below
+        begin = 0
+        while begin < self.n:
+            end = int(np.searchsorted(slots, slots[min(begin + _SENT, self.n) - 1], "right"))
+            yield _rows(self.ids[:, order[begin:end]], slots[begin:end].astype(np.int64))
+            begin = end
+        self.n = 0
+
+
+def _rows(ids: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
     new = np.ones(len(slot), bool)
-    new[1:] = (ids[:, 1:] != ids[:, :-1]).any(0) | (slot[1:] != slot[:-1])
+    new[1:] = slot[1:] != slot[:-1]
+    for row in ids:
+        new[1:] |= row[1:] != row[:-1]
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(slot)))
     table = np.concatenate([ids[:, first], counts[None].astype(ids.dtype)])

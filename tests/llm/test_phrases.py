@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -90,6 +91,38 @@ def test_partitions():
         assert got == {p: n for p, n in want.items() if n >= least or len(p) < whole}
 
 
+def test_suffixes_are_gathered_in_little_memory(monkeypatch):
+    """Beside the arrays that are filled, dealing takes less than they do; no batch is much more than its share."""
+    rng = np.random.default_rng(5)
+    n, room, slots = 1_000_000, 600_000, 300
+    ids = np.sort(rng.integers(0, 40, (5, n)).astype(np.uint32), 0)
+    hashes = phrases.mix(sum(ids[j].astype(np.uint64) << np.uint64(8 * j) for j in range(5)))
+    monkeypatch.setattr(phrases, "_SENT", 50_000)
+    tracemalloc.start()
+    held = phrases.Gathered(np.dtype(np.uint32), slots, room)
+    sums, largest, at_first = Counter(), 0, tracemalloc.get_traced_memory()[0]
+    peak = 0
+
+    def taken(batches):
+        nonlocal peak, largest
+        for batch in batches:
+            peak = max(peak, tracemalloc.get_traced_memory()[1])
+            for slot, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                table = np.frombuffer(part, np.uint32).reshape(6, -1)
+                sums[slot] += int(table[5].sum())
+            largest = max(largest, sum(map(len, batch.column(1).to_pylist())))
+            tracemalloc.reset_peak()
+
+    for i in range(0, n, 250_000):
+        some = slice(i, i + 250_000)
+        taken(held.add(list(ids[:, some]), hashes[some] % np.uint64(slots), hashes[some]))
+    taken(held.dealt())
+    tracemalloc.stop()
+    assert at_first > room * 28 and peak < 2 * at_first
+    assert largest <= 2 * 50_000 * 24
+    assert sums == Counter((hashes % np.uint64(slots)).tolist())
+
+
 def test_no_rows(nothing):
     assert found(phrases.mined(nothing)) == []
 
