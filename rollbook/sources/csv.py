@@ -127,8 +127,10 @@ def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
     )
     first = F.min(F.struct("row", "value"))["value"]
-    starts = lines.filter("block = 0").groupBy("file").agg(first.alias("header"))
-    return starts.withColumn("header", F.regexp_replace("header", r"\r\z", ""))
+    # A list beside it, always empty, lets Spark keep one line for each file in a hash map; the text alone makes it sort all lines.
+    none = F.collect_list(F.lit(None).cast("boolean"))
+    starts = lines.filter("block = 0").groupBy("file").agg(first.alias("header"), none.alias("none"))
+    return starts.filter(F.size("none") == 0).select("file", F.regexp_replace("header", r"\r\z", "").alias("header"))
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:

@@ -186,3 +186,12 @@ def test_mixed_files(spark, tmp_path):
     write(tmp_path, 'nama\n"y\n', "7.csv")
     with pytest.raises(ValueError, match="unterminated"):
         csv.load_mixed_by_name(spark, str(tmp_path), ALLOWED, on_unknown="drop")
+
+
+def test_first_lines_are_found_without_sorting_lines(spark, tmp_path):
+    for i in range(300):  # more files than a hash map of objects takes
+        (tmp_path / f"{i:03}.csv").write_text(f"h{i}\r\n" + "a line\n" * (i % 7))
+    (tmp_path / "none.csv").write_text("")
+    found = csv.first_lines(spark, str(tmp_path))
+    assert {r["header"] for r in found.collect()} == {f"h{i}" for i in range(300)}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
