@@ -75,39 +75,53 @@ def _accepted(turns: DataFrame, holders: DataFrame, large: int, folded: int) ->
     before = (-F.monotonically_increasing_id() - 1).alias("_turn")  # of a written table, so it is fixed
     claims = turns.unionByName(holders.select(before, F.col("_holder").alias("_id"), "_name"))
     # A name with one claimer is never refused.
-    names = claims.groupBy("_name").agg((F.min("_id") != F.max("_id")).alias("_contested"), F.count(F.lit(1)).alias("_n"))
+    # Its first turn stands for a name from here on, so no text travels in the rounds.
+    names = claims.groupBy("_name").agg(
+        (F.min("_id") != F.max("_id")).alias("_contested"), F.count(F.lit(1)).alias("_n"), F.min("_turn").alias("_first")
+    )
     names = stage(names, "names")
     per_name = names.agg(F.max(F.when(F.col("_contested"), F.col("_n")))).first()[0] or 0
     per_id = largest_group(claims, ["_id"])
-    claims = claims.join(names.drop("_n"), "_name")
+    claims = claims.join(names.drop("_n"), "_name").drop("_name").withColumnRenamed("_first", "_name")
     claims = next_in_group(claims, ["_id", "_name"], ["_turn"], F.col("_turn"), "_again", per_id, large)
     claims = stage(claims.withColumns({"_guess": F.lit(True), "_before": F.lit(True)}), "guess")
     while True:
         guess = F.when(F.col("_guess"), F.col("_turn"))
         ends = next_in_group(claims, ["_id"], ["_turn"], guess, "_end", per_id, large)
-        ends = ends.filter("_contested").select("_turn", "_name", F.least("_end", "_again").alias("_end"))
-        taken = _folded(ends) if per_name <= folded else _chains(stage(ends, "ends"), 2 * per_name, large)
-        judged = claims.join(taken.withColumn("_taken", F.lit(True)), "_turn", "left")
-        now = ~F.col("_contested") | F.col("_taken").isNotNull()
-        judged = judged.withColumns({"_before": F.col("_guess"), "_guess": now}).drop("_taken")
+        ends = ends.withColumn("_end", F.least("_end", "_again"))
+        if per_name <= folded:
+            columns = ["_turn", "_id", "_name", "_again", "_guess", "_end"]
+            open_ = _folded(ends.filter("_contested").select(*columns)).withColumn("_contested", F.lit(True))
+            sure = ends.filter("NOT _contested").select(*columns[:-1], F.lit(True).alias("_now"), "_contested")
+            judged = open_.unionByName(sure)
+        else:
+            taken = _chains(stage(ends.filter("_contested").select("_turn", "_name", "_end"), "ends"), 2 * per_name, large)
+            judged = claims.join(taken.withColumn("_taken", F.lit(True)), "_turn", "left")
+            judged = judged.withColumn("_now", ~F.col("_contested") | F.col("_taken").isNotNull())
+        judged = judged.select(
+            "_turn", "_id", "_contested", "_name", "_again", F.col("_now").alias("_guess"), F.col("_guess").alias("_before")
+        )
         claims = stage(judged, "guess")
         if claims.filter("_guess <> _before").isEmpty():
             return claims.filter("_guess AND _turn >= 0").select("_turn")
 
 
 def _folded(claims: DataFrame) -> DataFrame:
-    """The turns of ``claims (_turn, _name, _end)`` that hold their names in turn, for names of few claims."""
+    """``claims``, their ends apart, with ``_now``: whether they hold their names in turn, for names of few claims."""
     never = F.lit((1 << 63) - 1)
-    each = F.struct("_turn", F.coalesce("_end", never).alias("_end"))
-    state = F.struct(F.lit(-(1 << 63)).alias("free"), F.array().cast("array<bigint>").alias("taken"))
+    carried = [c for c in claims.columns if c not in ("_turn", "_name", "_end")]
+    each = F.struct("_turn", F.coalesce("_end", never).alias("_end"), *carried)
+    state = F.struct(F.lit(-(1 << 63)).alias("free"), F.array().cast("array<boolean>").alias("taken"))
 
     def step(held: Column, claim: Column) -> Column:
-        taken = F.concat(held["taken"], F.array(claim["_turn"]))
-        return F.when(claim["_turn"] >= held["free"], F.struct(claim["_end"].alias("free"), taken.alias("taken"))).otherwise(held)
-
-    claimed = F.array_sort(F.collect_list(each))
-    taken = claims.groupBy("_name").agg(F.aggregate(claimed, state, step)["taken"].alias("taken"))
-    return taken.select(F.explode("taken").alias("_turn"))
+        takes = claim["_turn"] >= held["free"]
+        free = F.when(takes, claim["_end"]).otherwise(held["free"])
+        return F.struct(free.alias("free"), F.concat(held["taken"], F.array(takes)).alias("taken"))
+
+    claimed = claims.groupBy("_name").agg(F.array_sort(F.collect_list(each)).alias("claim"))
+    taken = claimed.select("_name", F.arrays_zip("claim", F.aggregate("claim", state, step)["taken"].alias("now")).alias("both"))
+    one = taken.select("_name", F.explode("both").alias("one"))
+    return one.select("one.claim._turn", "_name", *(f"one.claim.{c}" for c in carried), F.col("one.now").alias("_now"))
 
 
 def _chains(claims: DataFrame, largest: int, large: int) -> DataFrame:

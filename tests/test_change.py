@@ -5,7 +5,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from rollbook.operators import change
+from rollbook.operators import change, rename
 from rollbook.operators.rename import rename_unique
 
 SMALL = pytest.mark.parametrize("small", [0, 1 << 30])
@@ -240,3 +240,17 @@ def test_no_renames(spark):
     target = spark.createDataFrame([(1, "A")], "id int, nama string")
     result = rename_unique(target, spark.createDataFrame([], "seq int, id int, nama string"), "id", "nama", "seq")
     assert rows(result.status) == [] and rows(result.after) == [(1, "A")]
+
+
+def test_rename_rounds_write_no_names(spark, monkeypatch):
+    """What the rounds write again and again has numbers for names, in whole batches folded or chained."""
+    target = spark.createDataFrame([(i, f"name {i}") for i in range(6)], "id int, nama string")
+    batch = [(n, n % 6, f"name {(n * 5 + n // 4) % 7}") for n in range(60)]
+    written = []
+    plain = rename.stage
+    monkeypatch.setattr(rename, "stage", lambda df, label: written.append((label, df.schema)) or plain(df, label))
+    for folded in (1000, 0):
+        rename_unique(target, spark.createDataFrame(batch, "seq int, id int, nama string"), "id", "nama", "seq", folded=folded)
+    rounds = [schema for label, schema in written if label in ("guess", "ends", "steps", "reached")]
+    assert len(rounds) > 4
+    assert not [f for schema in rounds for f in schema if f.dataType.simpleString() == "string"]
