@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook import plans
 from rollbook.operators.change import Change
-from rollbook.plans import hint_by_size, stage
+from rollbook.plans import stage
 
 REQUEST = "request_id"
 
+# Sides with a hint have unique keys, no more than are asked for.
+hint_by_size = partial(plans.hint_by_size, hashed=True)
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -48,8 +53,7 @@ def delete_by_key(target: DataFrame, requests: DataFrame, keys: Sequence[str]) -
     if REQUEST not in requests.columns:
         return change
     first = requests.groupBy(*keys).agg(F.min(REQUEST).alias(REQUEST))
-    known = target.select(*keys).join(hint(first.select(*keys)), list(keys), "left_semi")
-    done = first.join(hint(known.distinct()), list(keys), "left_semi")
+    done = target.select(*keys).join(hint(first), list(keys)).select(REQUEST).distinct()
     status = _with_status(requests, done, hint, "not_found")
     return Change(change.after, change.affected, status)
 
@@ -103,7 +107,7 @@ def delete_group(
         counted = _counts(target.join(hint(first.select(fk)), fk, "left_semi"), fk)
     else:
         counted = _counts(target, fk)
-    done = first.join(hint(counted), fk).select(REQUEST, F.col("_rows"))
+    done = counted.join(hint(first), fk).select(REQUEST, F.col("_rows"))
 
     own = held.select(fk, F.col("_owner").alias("user_id"), F.lit(True).alias("_own"))
     may = (F.coalesce(F.col("role"), F.lit("")) == admin) | F.col("_own").isNotNull()

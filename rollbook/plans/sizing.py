@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 # A broadcast relation is held by the driver and by every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
+# A hashed relation is held by one task, at some six times the bytes measured, and can't spill.
+HASHED_BYTES = 128 * 1024 * 1024
 _FIXED_WIDTH = 16
 
 
@@ -27,14 +29,26 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
-def hint_by_size(df: DataFrame, limit: int = BROADCAST_BYTES) -> Callable[[DataFrame], DataFrame]:
+def hint_by_size(
+    df: DataFrame, limit: int = BROADCAST_BYTES, hashed: bool = False
+) -> Callable[[DataFrame], DataFrame]:
     """A broadcast hint if ``df`` is small, else no hint.
 
     For frames derived from ``df`` that have at most its rows and its columns,
     such as its distinct keys: without the hint a join of a large table with
-    them would shuffle the table.
+    them would shuffle the table. ``hashed`` is for frames with unique keys: what is too large
+    for a broadcast is hashed by the tasks of the shuffle while a task's share fits, so
+    the table passes by and isn't sorted; beyond, both sides are sorted, which can spill.
     """
-    return F.broadcast if is_small(df, limit) else _as_is
+    size = measured_bytes(df)
+    if size <= limit:
+        return F.broadcast
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _hashed if hashed and size <= HASHED_BYTES * tasks else _as_is
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.hint("shuffle_hash")
 
 
 def _as_is(df: DataFrame) -> DataFrame:

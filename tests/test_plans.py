@@ -158,6 +158,37 @@ def test_delete_splits_a_hot_key(spark, skewed, monkeypatch):
     assert change.after.count() + change.affected.count() == 3 * HOT
 
 
+def test_deletes_of_many_keys_sort_no_table(spark):
+    """Requests too large for a broadcast are hashed by the tasks; the table passes by them."""
+    asked = spark.range(2_200_000).select(F.col("id").alias("request_id"), F.col("id").alias("k"))
+    target = spark.range(0, 3_000_000, 1000).select(F.col("id").alias("k"))
+    change = delete_by_key(target, asked, ["k"])
+    free = delete.delete_restricted(target, asked, "k", target.filter("k < 1000000"), "k")
+    for df, n in ((change.after, 800), (change.affected, 2200), (free.after, 1800), (free.affected, 1200)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert df.count() == n
+    assert rows(change.status.groupBy("status").count()) == [("deleted", 2200), ("not_found", 2_197_800)]
+    assert rows(free.status.groupBy("status").count()) == [("deleted", 1200), ("not_found", 2_197_800), ("refused", 1000)]
+
+
+def test_hashed_keys_leave_hot_keys_to_be_split(spark, skewed, monkeypatch):
+    monkeypatch.setattr("rollbook.operators.delete.hint_by_size", lambda df: lambda side: side.hint("shuffle_hash"))
+    change = delete_by_key(skewed, spark.range(5).select(F.col("id").alias("k")), ["k"])
+    plan = final_plan(change.after)
+    assert "ShuffledHashJoin(skew=true)" in plan and "SortMergeJoin" not in plan
+    assert change.after.count() + change.affected.count() == 3 * HOT
+
+
+def test_only_what_fits_a_task_is_hashed(spark, conf):
+    conf(shuffle__partitions=1)
+    df = spark.range(100).repartition(2)
+    assert "shuffle_hash" in hint_by_size(df, 10, hashed=True)(df)._jdf.queryExecution().logical().toString()
+    assert hint_by_size(df, 10)(df) is df
+    large = spark.range(9_000_000)
+    assert hint_by_size(large, hashed=True)(large) is large
+
+
 def test_upsert_of_hot_key_keeps_one_row(spark, skewed):
     target = skewed.filter("id < 0")
     staged = skewed.withColumnRenamed("id", "seq")
