@@ -4,7 +4,8 @@ A pattern matches only rows that hold every run of characters between its wildca
 by one of its grams (three characters, fewer if it has no longer run), the one
 that the fewest rows hold, in the postings of the grams that are asked for; what is found is
 verified with the whole pattern. A pattern without any character of its own, such as '%', is
-looked up by the empty gram, which all rows hold.
+looked up by the empty gram, which all rows hold. Tasks look through blocks of texts for the grams asked for
+(``functions.grams``).
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rollbook.functions import grams as gram_finder
 from rollbook.functions.predicates import MODES
 from rollbook.functions.text import JS_WHITESPACE
 from rollbook.plans import hint_by_size, stage
 
+cloudpickle.register_pickle_by_value(gram_finder)
+
 REQUEST = "request_id"
 _GRAM = 3
 
@@ -68,24 +74,35 @@ def _found(df: DataFrame, texts: DataFrame, column: str, mode: str, key: str, li
     grams = wanted.select("_gram").distinct()
     sizes = [r[0] for r in grams.select(F.length("_gram")).distinct().collect()]  # of 0 to 3
     rows = df.select(F.col(key).alias("_key"), F.lower(F.col(column)).alias("_text")).filter(F.col("_text").isNotNull())
-    held = F.concat(*[_grams_in(F.col("_text"), n) for n in sizes]) if sizes else F.array().cast("array<string>")
-    posted = rows.select("_key", F.explode(F.array_distinct(held)).alias("_gram"))
+    schema = T.StructType([T.StructField("_key", rows.schema["_key"].dataType), T.StructField("_gram", T.StringType())])
+    posted = rows.mapInArrow(gram_finder.finder(_bitmaps(grams), sizes), schema)
+    # Bits may be shared with other grams.
     posted = stage(posted.join(hint_by_size(grams)(grams), "_gram", "left_semi"), "postings")
     counts = posted.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     # Grams that no row holds rule their patterns out.
     rated = wanted.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     best = rated.groupBy("_q", "_pattern", "_runs").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    # Patterns travel to the postings, which are many however small they are written.
+    hint = hint_by_size(wanted)
     # Where the gram is all that a pattern asks for, its postings are the rows found.
     run = F.coalesce(F.length(F.get("_runs", F.lit(0))), F.lit(0))
     sure = _open_ended(F.col("_pattern")) & (F.size("_runs") <= 1) & (run <= _GRAM)
-    at_once = posted.join(best.filter(sure), "_gram").select("_q", "_key")
-    pairs = posted.join(best.filter(~sure), "_gram").select("_key", "_q", "_pattern", "_runs")
+    at_once = posted.join(hint(best.filter(sure)), "_gram").select("_q", "_key")
+    pairs = posted.join(hint(best.filter(~sure)), "_gram").select("_key", "_q", "_pattern", "_runs")
     # Comparing is the costly part, so pairs are dealt to all tasks whatever their size in bytes.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     checked = pairs.repartition(tasks, "_key").join(rows, "_key").filter(_verified(F.col("_text"), F.col("_pattern"), F.col("_runs")))
     return at_once.unionByName(checked.select("_q", "_key")).withColumnRenamed("_key", key)
 
 
+def _bitmaps(grams: DataFrame) -> dict[int, bytes]:
+    """Spark's bitmaps of the buckets of all grams: 128 KB in all, whatever their number."""
+    numbers = grams.mapInArrow(gram_finder.buckets, "bucket long")
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits")
+    parts = numbers.groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(bits)
+    return {r["part"]: bytes(r["bits"]) for r in parts.collect()}
+
+
 def _open_ended(pattern: Column) -> Column:
     """Whether a pattern has no wildcard but percent signs, and one at either end."""
     return pattern.rlike(r"^%([^_\\]*%)?$")
@@ -128,7 +145,6 @@ def _grams_of(runs: Column) -> Column:
 
 
 def _grams_in(text: Column, size: int) -> Column:
-    """All runs of ``size`` characters."""
-    if size == 0:
-        return F.array(F.lit(""))
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    """All runs of ``size`` characters of a short text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.filter(F.transform(starts, lambda at: F.substr(text, at, F.lit(size))), lambda g: F.length(g) == size)
