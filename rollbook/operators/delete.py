@@ -139,16 +139,11 @@ def delete_restricted(
     Status: ``refused`` (in use), ``deleted`` or ``not_found``.
     """
     hint = hint_by_size(requests.select(key))
-    first = requests.groupBy(key).agg(F.min(REQUEST).alias("_first"))
-    asked = hint(first.select(key))
     used = child.select(F.col(fk).alias(key))
     if hint is F.broadcast:
-        used = used.join(asked, key, "left_semi").distinct()
+        judged = _judged_by_joins(requests, target.select(key), used, key)
     else:
-        used = used.distinct().join(asked, key, "left_semi")
-    known = hint(target.select(key).join(asked, key, "left_semi"))
-    judged = first.join(known.withColumn("_known", F.lit(True)), key, "left")
-    judged = judged.join(hint(used).withColumn("_used", F.lit(True)), key, "left")
+        judged = _judged_in_shares(requests, target.select(key), used, key)
     status = (
         requests.join(hint(judged), key, "left")
         .withColumn(
@@ -165,6 +160,31 @@ def delete_restricted(
     return Change(change.after, change.affected, status)
 
 
+def _judged_by_joins(requests: DataFrame, known: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """key, _first, _known and _used of each key asked for; the keys are broadcast, no table is shuffled."""
+    first = requests.groupBy(key).agg(F.min(REQUEST).alias("_first"))
+    asked = F.broadcast(first.select(key))
+    known = known.join(asked, key, "left_semi").withColumn("_known", F.lit(True))
+    used = used.join(asked, key, "left_semi").distinct().withColumn("_used", F.lit(True))
+    return first.join(F.broadcast(known), key, "left").join(F.broadcast(used), key, "left")
+
+
+def _judged_in_shares(requests: DataFrame, known: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """The rows of ``_judged_by_joins`` by one aggregate of all keys, which can spill.
+
+    Keys are dealt into shares by their size, so neither the aggregate nor a join with its rows
+    takes more memory in a task as tables grow.
+    """
+    parts = plans.parts_by_size(requests.select(key), known, used)
+    marks = requests.select(key, F.col(REQUEST).alias("_first"))
+    for mark, rows in (("_known", known), ("_used", used.distinct())):
+        marks = marks.unionByName(rows.withColumn(mark, F.lit(True)), allowMissingColumns=True)
+    judged = marks.repartition(parts, key).groupBy(key).agg(
+        F.min("_first").alias("_first"), F.max("_known").alias("_known"), F.max("_used").alias("_used")
+    )
+    return judged.filter(F.col("_first").isNotNull())
+
+
 def delete_cascade(
     tables: Mapping[str, DataFrame],
     references: Sequence[Reference],

@@ -11,7 +11,7 @@ from rollbook.plans.ranking import (
     rows_between,
     with_source_order,
 )
-from rollbook.plans.sizing import hint_by_size, is_small, measured_bytes
+from rollbook.plans.sizing import hint_by_size, is_small, measured_bytes, parts_by_size
 from rollbook.plans.staging import release, stage, stage_path
 
 __all__ = [
@@ -23,6 +23,7 @@ __all__ = [
     "next_in_group",
     "number_rows",
     "order_columns",
+    "parts_by_size",
     "rank_in_group",
     "release",
     "rows_at",

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A hashed relation is held by one task, at some six times the bytes measured, and can't spill.
 HASHED_BYTES = 128 * 1024 * 1024
+# Rows that measure so much are one task's share where the number of tasks follows the input.
+SHARE_BYTES = 32 * 1024 * 1024
 _FIXED_WIDTH = 16
 
 
@@ -47,6 +49,12 @@ def hint_by_size(
     return _hashed if hashed and size <= HASHED_BYTES * tasks else _as_is
 
 
+def parts_by_size(*frames: DataFrame) -> int:
+    """Partitions that leave each task a share of all ``frames``, no fewer than the session's."""
+    tasks = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(tasks, -(-sum(map(measured_bytes, frames)) // SHARE_BYTES))
+
+
 def _hashed(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_hash")
 

@@ -105,6 +105,26 @@ def test_delete_restricted(spark, activities):
     assert rows(result.after, "id") == [(10,), (11,)]
 
 
+@pytest.mark.parametrize("hint", ["broadcast", "shuffle_hash", "merge"])
+def test_delete_restricted_with_empty_keys(spark, monkeypatch, hint):
+    """Keys that are null match nothing, whatever the join; keys may differ in type and repeat."""
+    if hint != "broadcast":
+        monkeypatch.setattr("rollbook.operators.delete.hint_by_size", lambda df: lambda side: side.hint(hint))
+    teams = spark.createDataFrame([(10,), (11,), (12,), (None,)], "id int")
+    asked = spark.createDataFrame(
+        [(0, None), (1, 12), (2, 10), (3, 12), (4, 50), (5, 51), (6, None)], "request_id int, id bigint"
+    )
+    players = spark.createDataFrame([(10,), (10,), (51,), (None,), (11,)], "team smallint")
+    result = delete.delete_restricted(teams, asked, "id", players, "team")
+    assert rows(result.status, "request_id", "status") == [
+        (0, "not_found"), (1, "deleted"), (2, "refused"), (3, "not_found"),
+        (4, "not_found"), (5, "not_found"), (6, "not_found"),
+    ]
+    assert rows(result.after) == [(10,), (11,), (None,)]
+    assert rows(result.affected) == [(12,)]
+    assert result.after.schema == teams.schema
+
+
 REFERENCES = [
     Reference("kegiatan", "users_id", "users", "id"),
     Reference("links", "user_id", "users", "id"),

@@ -189,6 +189,23 @@ def test_only_what_fits_a_task_is_hashed(spark, conf):
     assert hint_by_size(large, hashed=True)(large) is large
 
 
+def test_restricted_deletes_take_shares_of_all_keys(spark, conf, monkeypatch):
+    """Tasks follow the size of all keys, and each hashes those asked for only once."""
+    conf(shuffle__partitions=2)
+    monkeypatch.setattr("rollbook.plans.sizing.SHARE_BYTES", 16_000)
+    monkeypatch.setattr("rollbook.operators.delete.hint_by_size", lambda df: lambda side: side.hint("shuffle_hash"))
+    asked = spark.range(4000).select(F.col("id").alias("request_id"), (F.col("id") % 3000).alias("k"))
+    target = spark.range(1000, 5000).select(F.col("id").alias("k"))
+    child = spark.range(10_000).select((F.col("id") % 2000).alias("fk"))
+    free = delete.delete_restricted(target, asked, "k", child, "fk")
+    for df, n in ((free.after, 3000), (free.affected, 1000), (free.status, 4000)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("HashJoin") == 1
+        assert df.rdd.getNumPartitions() == 18
+        assert df.count() == n
+    assert rows(free.affected) == sorted(((k,) for k in range(2000, 3000)), key=str)
+    assert rows(free.status.groupBy("status").count()) == [("deleted", 1000), ("not_found", 2000), ("refused", 1000)]
+
+
 def test_upsert_of_hot_key_keeps_one_row(spark, skewed):
     target = skewed.filter("id < 0")
     staged = skewed.withColumnRenamed("id", "seq")
