@@ -41,8 +41,9 @@ LEXICON_BYTES = 64
 REMEMBERED = 100_000
 #: Different pieces that a task counts before it passes counts on.
 COUNTED = 400_000
-#: Pieces between spaces whose ids a Python worker remembers.
+#: Pieces between spaces, and words within them, whose ids a Python worker remembers.
 TABLE_PIECES = 1_000_000
+TABLE_WORDS = 400_000
 #: Longer words, and fewer words, are merged one by one.
 LONG = 64
 FEW = 24
@@ -57,6 +58,14 @@ _IRREGULAR = regex.compile(r" \s|\s ")
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _OTHER_WHITE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+#: Letters (of two bytes from U+00C0 to U+023F and U+0400 to U+047F), digits, other printable ASCII and its
+#: white space; 0 for bytes whose pre-tokens are not simply runs of one class.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9), 0xD0, 0xD1]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x09:0x0E] = _WHITE_KIND = 4
+_KIND[ord("'")] = 0
 #: Told apart from a piece after a space: one at a text's start.
 _AT_START = np.uint64(0x5851F42D4C957F2D)
 #: Characters whose classes may differ between versions of Unicode tables.
@@ -70,6 +79,16 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of ranges that begin ``at`` and are ``n`` long, end to end."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - ends + n, n)
+
+
+def _edges(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+
 class Vocabulary:
     """Ids and merge ranks of a vocabulary file."""
 
@@ -96,30 +115,42 @@ class Vocabulary:
         for i, b in self.bytes_of.items():
             lengths[i] = len(b)
         self.lengths = lengths
-        keys = np.array([a * len(lengths) + b for a, b in self.merges])
-        order = np.argsort(keys)
-        self.pair_key, self.pair_rank = keys[order], np.array([r for r, _ in self.merges.values()])[order]
+        self._place_pairs(np.array([a * len(lengths) + b for a, b in self.merges], np.int64), np.array([r for r, _ in self.merges.values()], np.int64))
         self.starts = np.cumsum(lengths) - lengths
         self.data = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(lengths))), np.uint8)
 
     def merged(self, words: Sequence[bytes]) -> list[bytes]:
-        """The ids of pre-tokens, as little-endian 32-bit integers.
+        """The ids of pre-tokens, as little-endian 32-bit integers."""
+        ids, n = self.merged_flat(np.frombuffer(b"".join(words), np.uint8), _edges(np.array([len(w) for w in words], np.int64)))
+        raw, ends = ids.astype("<u4").tobytes(), np.cumsum(n).tolist()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+    def merged_flat(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens end to end, and how many each has; pre-token i is ``data[at[i]:at[i + 1]]``."""
+        lengths = np.diff(at)
+        short = (lengths > 0) & (lengths <= LONG) & (len(lengths) >= FEW)
+        own = np.flatnonzero(short)
+        ids, counts = self._merged_short(data[_ranges(at[own], lengths[own])], lengths[own])
+        rest = np.flatnonzero(~short & (lengths > 0))
+        if not len(rest):
+            n = np.zeros(len(lengths), np.int64)
+            n[own] = counts
+            return ids, n
+        others = [self._merged_long([self.byte_id[b] for b in data[at[i] : at[i + 1]].tolist()]) for i in rest.tolist()]
+        n, begin = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        n[own], n[rest] = counts, [len(x) for x in others]
+        begin[np.concatenate([own, rest])] = _edges(np.concatenate([n[own], n[rest]]))[:-1]
+        return np.concatenate([ids, *(np.array(x, np.uint32) for x in others)])[_ranges(begin, n)], n
+
+    def _merged_short(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The adjacent pair of the lowest rank merges first, leftmost of equals.
 
-        The adjacent pair of the lowest rank merges first, leftmost of equals.
         All words take a step at a time, each its own next merge.
         """
-        out: list[bytes] = [b""] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG or len(words) < FEW:
-                out[i] = np.array(self._merged_long([self.byte_id[b] for b in w]), "<u4").tobytes()
-            elif w:
-                short.append(i)
-        if not short:
-            return out
-        lengths = np.array([len(words[i]) for i in short])
-        ids = np.array(self.byte_id)[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
-        word = np.repeat(np.arange(len(short)), lengths)
+        if not len(lengths):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.array(self.byte_id)[data]
+        word = np.repeat(np.arange(len(lengths)), lengths)
         done_ids, done_word = [], []
         rank = np.full(len(ids), self.no_rank)
         rank[:-1] = self._ranks(ids[:-1], ids[1:])
@@ -152,16 +183,39 @@ class Vocabulary:
                 rank[at] = fresh
         ids, word = np.concatenate(done_ids), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
-        ends = np.cumsum(np.bincount(word, minlength=len(short)))
-        raw = ids[order].astype("<u4").tobytes()
-        for i, a, b in zip(short, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            out[i] = raw[4 * a : 4 * b]
-        return out
+        return ids[order].astype(np.uint32), np.bincount(word, minlength=len(lengths))
+
+    def _place_pairs(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """Ranks of pairs in open addressing over flat arrays, at most a quarter full."""
+        self.pair_bits = max(4, (4 * len(keys)).bit_length())
+        self.pair_key, self.pair_rank = np.full(1 << self.pair_bits, -1, np.int64), np.full(1 << self.pair_bits, self.no_rank, np.int64)
+        slot = self._pair_slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.pair_key[slot] < 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.pair_key[taken], self.pair_rank[taken] = keys[own], ranks[own]
+            keys, ranks, slot = (np.delete(x, own) for x in (keys, ranks, slot))
+            slot = (slot + 1) & ((1 << self.pair_bits) - 1)
+
+    def _pair_slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * len(self.lengths) + b
-        spot = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where(self.pair_key[spot] == key, self.pair_rank[spot], self.no_rank)
+        slot = self._pair_slot(key)
+        have = self.pair_key[slot]
+        out = np.where(have == key, self.pair_rank[slot], self.no_rank)
+        live = np.flatnonzero((have != key) & (have >= 0))
+        slot = slot[live]
+        while len(live):
+            slot = (slot + 1) & ((1 << self.pair_bits) - 1)
+            have = self.pair_key[slot]
+            hit = have == key[live]
+            out[live[hit]] = self.pair_rank[slot[hit]]
+            more = ~hit & (have >= 0)
+            live, slot = live[more], slot[more]
+        return out
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """One long word in n log n: a heap of pairs over a linked list."""
@@ -205,10 +259,7 @@ class Vocabulary:
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """The bytes of ids."""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        place = np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.data[place + np.repeat(self.starts[ids] - ends + n, n)].tobytes()
+        return self.data[_ranges(self.starts[ids], self.lengths[ids])].tobytes()
 
 
 class PieceTable:
@@ -235,20 +286,23 @@ class PieceTable:
 
     def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
         """Different hashes that aren't there, with the ids of their pieces."""
+        n = np.array([len(x) >> 2 for x in ids], np.int64)
+        self.put(hashes, np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n, n)
+
+    def put(self, hashes: np.ndarray, new: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        """Different hashes that aren't there; the ids of each are ``n`` of ``new`` from ``first`` on."""
         if 2 * (self.count + len(hashes)) > 1 << self.bits:
             old = self.key > 0
-            kept, at, n = self.key[old], self.at[old], self.n[old]
+            kept, at, size = self.key[old], self.at[old], self.n[old]
             while 2 * (self.count + len(hashes)) > 1 << self.bits:
                 self.bits += 1
             self.key = np.zeros(1 << self.bits, np.uint64)
             self.at, self.n = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
-            self._place(kept, at, n)
-        new = np.frombuffer(b"".join(ids), "<u4")
+            self._place(kept, at, size)
         if self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(new), np.uint32)])
         self.ids[self.used : self.used + len(new)] = new
-        n = np.array([len(x) >> 2 for x in ids], np.int32)
-        self._place(hashes, self.used + np.cumsum(n) - n, n)
+        self._place(hashes, self.used + first, n.astype(np.int32))
         self.used += len(new)
         self.count += len(hashes)
 
@@ -267,9 +321,37 @@ class PieceTable:
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces end to end, and those before each piece."""
         n = self.n[slots].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(ends[-1]) + np.repeat(self.at[slots] - ends[:-1], n)
-        return self.ids[place], ends
+        return self.ids[_ranges(self.at[slots], n)], _edges(n)
+
+
+class Tally:
+    """Counts of pieces by hash, with the bytes of each."""
+
+    def __init__(self) -> None:
+        self.table, self.n = PieceTable(), np.zeros(1 << 16, np.int64)
+        self.data: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+
+    def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        slots = self.table.find(hashes)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh, first = np.unique(hashes[new], return_index=True)
+            own = new[first]
+            have, size = self.table.count, ends[own] - starts[own]
+            self.table.put(fresh, np.arange(have, have + len(own), dtype=np.uint32), np.arange(len(own)), np.ones(len(own), np.int64))
+            self.data.append(data[_ranges(starts[own], size)])
+            self.lengths.append(size)
+            slots = self.table.find(hashes)
+        while len(self.n) < self.table.count:
+            self.n = np.concatenate([self.n, np.zeros_like(self.n)])
+        np.add.at(self.n, self.table.ids[self.table.at[slots]], 1)
+
+    def rows(self) -> tuple[pa.Array, pa.Array]:
+        """All pieces and their counts."""
+        at = _edges(np.concatenate([np.zeros(0, np.int64), *self.lengths])).astype(np.int32)
+        data = np.concatenate([np.zeros(0, np.uint8), *self.data])
+        return pa.StringArray.from_buffers(self.table.count, pa.py_buffer(at), pa.py_buffer(data)), pa.array(self.n[: self.table.count])
 
 
 def split_regular(text: str) -> tuple[list[str], list[str]] | None:
@@ -290,7 +372,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.known: dict[str, bytes] = {}
-        self.table = PieceTable()
+        self.table, self.words = PieceTable(), PieceTable()
 
     def learn(self, words: set[str]) -> None:
         """Look up or merge the words that aren't remembered."""
@@ -314,6 +396,70 @@ class Encoder:
             out[i] = b"".join([known[w] for w in own])
         return out
 
+    def spelled_flat(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each piece begin and how many it has; piece i, which isn't empty, is ``data[at[i]:at[i + 1]]``."""
+        begin, n = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
+        ids, used = [], 0
+
+        def given(pieces: np.ndarray, own: np.ndarray, counts: np.ndarray) -> None:
+            nonlocal used
+            n[pieces], begin[pieces] = counts, used + np.cumsum(counts) - counts
+            ids.append(own)
+            used += len(own)
+
+        numbers = self.lexicon.numbers_flat(data, at) if self.lexicon else np.full(len(n), -1, np.int64)
+        if self.lexicon:
+            found = np.flatnonzero(numbers >= 0)
+            given(found, *self.lexicon.gather(numbers[found]))
+        missing = np.flatnonzero(numbers < 0)
+        plain = _plain(data, at)[missing]
+        if plain.any():
+            own = missing[plain]
+            given(own, *self._runs(data[_ranges(at[own], at[own + 1] - at[own])], _edges(at[own + 1] - at[own])))
+        if not plain.all():
+            own = missing[~plain]
+            found = self.spelled([data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i in own.tolist()])
+            given(own, np.frombuffer(b"".join(found), "<u4"), np.array([len(x) >> 2 for x in found], np.int64))
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), begin, n
+
+    def _runs(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain pieces end to end, and how many each has: their pre-tokens are runs of one class, the first with its space; the last of some white space stands alone."""
+        kind, head = _KIND[data], at[:-1]
+        spaced = head[data[head] == 0x20]
+        kind[spaced] = kind[spaced + 1]
+        begins = np.ones(len(data), bool)
+        begins[1:] = kind[1:] != kind[:-1]
+        white = kind == _WHITE_KIND
+        begins[:-1] |= white[:-1] & ~white[1:]
+        begins[head] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        hashes = Hasher(data)(starts, ends)
+        hashes[hashes == 0] = 1
+        if self.words.count > TABLE_WORDS:
+            self.words = PieceTable()
+        slots = self.words.find(hashes)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh, first = np.unique(hashes[new], return_index=True)
+            own = new[first]
+            size = ends[own] - starts[own]
+            raw, edges = data[_ranges(starts[own], size)], _edges(size)
+            numbers = np.full(len(own), -1, np.int64)
+            if self.lexicon:  # which lacks the whole pieces
+                inner = np.flatnonzero(np.bincount(np.searchsorted(at, starts, "right") - 1, minlength=len(head))[np.searchsorted(at, starts[own], "right") - 1] > 1)
+                numbers[inner] = self.lexicon.numbers_flat(raw[_ranges(edges[inner], size[inner])], _edges(size[inner]))
+            found, other = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+            if len(found):
+                ids, n = self.lexicon.gather(numbers[found])
+                self.words.put(fresh[found], ids, np.cumsum(n) - n, n)
+            if len(other):
+                ids, n = self.vocabulary.merged_flat(raw[_ranges(edges[other], size[other])], _edges(size[other]))
+                self.words.put(fresh[other], ids, np.cumsum(n) - n, n)
+            slots = self.words.find(hashes)  # a table that grew has other slots
+        ids, edges = self.words.gather(slots)
+        return ids, np.diff(edges[np.searchsorted(starts, at)])
+
     def whole(self, text: str) -> np.ndarray:
         """The ids of one text, pre-token by pre-token."""
         out = []
@@ -326,31 +472,35 @@ class Encoder:
                 out += [self.known[w] for w in words]
         return np.frombuffer(b"".join(out), "<u4")
 
-    def block(self, block: Block) -> list[np.ndarray]:
-        """The ids of each text."""
+    def cut(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of texts that can be cut at spaces: starts, ends and hashes, each with the space before it, the pieces before each text, and the texts that can't be cut."""
         data = block.data
         space = data == 0x20
         starts, ends, before = block.pieces(~space)
         text = np.repeat(np.arange(block.n), np.diff(before))
         whole = self._not_cut(block, space)
         hashes = Hasher(data)(starts, ends)
-        hashes[starts == block.at[text]] ^= _AT_START
+        first = starts == block.at[text]
+        hashes[first] ^= _AT_START
         hashes[hashes == 0] = 1
         cut = np.flatnonzero(~whole[text])
+        return (starts - ~first)[cut], ends[cut], hashes[cut], np.searchsorted(cut, before), whole
+
+    def block(self, block: Block) -> list[np.ndarray]:
+        """The ids of each text."""
+        starts, ends, hashes, before, whole = self.cut(block)
         if self.table.count > TABLE_PIECES:
             self.table = PieceTable()
-        slots = self.table.find(hashes[cut])
+        slots = self.table.find(hashes)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            fresh, first = np.unique(hashes[cut[new]], return_index=True)
-            pieces = []
-            for i in cut[new[first]].tolist():
-                raw = data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
-                pieces.append(raw if starts[i] == block.at[text[i]] else " " + raw)
-            self.table.add(fresh, self.spelled(pieces))
-            slots = self.table.find(hashes[cut])
+            fresh, first = np.unique(hashes[new], return_index=True)
+            own = new[first]
+            size = ends[own] - starts[own]
+            self.table.put(fresh, *self.spelled_flat(block.data[_ranges(starts[own], size)], _edges(size)))
+            slots = self.table.find(hashes)
         ids, at = self.table.gather(slots)
-        edges = at[np.searchsorted(cut, before)]
+        edges = at[before]
         return [self.whole(block.text(i).decode("utf-8", "replace")) if whole[i] else ids[edges[i] : edges[i + 1]] for i in range(block.n)]
 
     def _not_cut(self, block: Block, space: np.ndarray) -> np.ndarray:
@@ -370,40 +520,53 @@ class Encoder:
         return block.per_text(odd) > 0
 
 
+def _plain(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pieces, after a space or not, of bytes with a class, that end in no white space."""
+    kind = _KIND[data]
+    odd = kind == 0
+    odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs amid letters
+    head, last = at[:-1], at[1:] - 1
+    after = kind[np.minimum(head + 1, last)]
+    odd[head] &= (data[head] != 0x20) | (after == 0) | (after == _WHITE_KIND)
+    odd[last] |= kind[last] == _WHITE_KIND
+    sums = _edges(odd)
+    return sums[at[1:]] == sums[head]
+
+
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
 def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``(word, n)`` of all documents: what follows each space, with it, and pre-tokens where texts can't be cut at spaces."""
+    """``(word, n)`` of all documents: the pieces between spaces, each with the space before it; where texts can't be cut so, what follows each space or pre-tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(sent.value)
+        cutter, tally = Encoder(vocab, None), Tally()
         counts: Counter[str] = Counter()
-        pieces: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            for p, n in pieces.items():
-                counts[" " + p] += n
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            pieces.clear()
-            return out
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([*tally.rows()], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for block in blocks(batch.column("text")):
-                for i in range(block.n):
+                starts, ends, hashes, _, whole = cutter.cut(block)
+                tally.count(block.data, starts, ends, hashes)
+                for i in np.flatnonzero(whole).tolist():
                     for part, special in vocab.pieces(block.text(i).decode("utf-8", "replace")):
                         if special:
                             continue
                         head, rest = split_regular(part) or (vocab.words(part), [])
                         counts.update(head)
-                        pieces.update(rest)
-                if len(counts) + len(pieces) > COUNTED:
-                    yield flush()
-        yield flush()
+                        counts.update(" " + p for p in rest)
+                if len(counts) + tally.table.count > COUNTED:
+                    yield from flush()
+                    tally = Tally()
+                    counts.clear()
+        yield from flush()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -99,14 +99,17 @@ class Lexicon:
 
     def numbers(self, words: Sequence[bytes]) -> np.ndarray:
         """The number of each word, -1 for words that aren't in the lexicon."""
-        out = np.full(len(words), -1, np.int64)
-        if not len(words) or not len(self.arc_key):
+        lengths = np.array([len(w) for w in words], np.int64)
+        return self.numbers_flat(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
+
+    def numbers_flat(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The same for words end to end: word i is ``data[at[i]:at[i + 1]]``."""
+        lengths = np.diff(at)
+        out = np.full(len(lengths), -1, np.int64)
+        if not len(lengths) or not len(self.arc_key):
             return out
-        lengths = np.array([len(w) for w in words])
-        data = np.frombuffer(b"".join(words), np.uint8)
-        at = np.cumsum(lengths) - lengths
         live = np.flatnonzero(lengths > 0)
-        state, number = np.full(len(words), self.start, np.int64), np.zeros(len(words), np.int64)
+        state, number = np.full(len(lengths), self.start, np.int64), np.zeros(len(lengths), np.int64)
         depth = 0
         while len(live):
             key = state[live] << 8 | data[at[live] + depth]
@@ -126,3 +129,10 @@ class Lexicon:
         """The ids of each word as little-endian 32-bit integers, None for words that aren't in the lexicon."""
         numbers = self.numbers(words)
         return [None if i < 0 else self.ids[self.id_at[i] : self.id_at[i + 1]].tobytes() for i in numbers.tolist()]
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in the lexicon end to end, and how many each has."""
+        n = self.id_at[numbers + 1] - self.id_at[numbers]
+        ends = np.cumsum(n)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.id_at[numbers] - ends + n, n)
+        return self.ids[place], n

@@ -76,6 +76,59 @@ def test_random_texts(vocabulary, library):
         assert vocabulary.decoded(ids).decode() == text
 
 
+def _rare_texts(pools, seed):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 14))) for _ in range(60)) for _ in range(120)]
+
+
+PLAIN = ["abcdefghijklmnopqrstuvwxyz", "ABCDE", "0123456789", ".,;:!?#&()-_", "éèñçßÀÿĀȿЀѿдж"]
+
+
+@pytest.mark.parametrize("limit", [0, 400])
+def test_rare_pieces_of_plain_runs_are_cut_together(vocabulary, library, monkeypatch, limit):
+    """No call for each piece: that was most of the time of a table with many rare words."""
+    texts = _rare_texts(PLAIN, 5) + ["a\nb c.\n\n\nD\t1 e", "\n\nx y\r\nz"]
+    words = sorted({" " + w for t in texts for w in t.split(" ")[1:]} | {" ", "ab"})[:limit]
+    ids = bpe.Encoder(vocabulary, None).spelled(words)
+    lexicon = Lexicon(np.frombuffer(compile_lexicon((w.encode(), np.frombuffer(i, "<u4").tolist()) for w, i in zip(words, ids, strict=True)), np.uint8))
+
+    def one_by_one(self, text):
+        raise AssertionError(text)
+
+    monkeypatch.setattr(bpe.Vocabulary, "words", one_by_one)
+    encoder = bpe.Encoder(vocabulary, lexicon)
+    got = [ids.tolist() for _ in range(2) for block in blocks(pa.array(texts), 9000) for ids in encoder.block(block)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)] * 2
+
+
+def test_other_rare_pieces(vocabulary, library):
+    texts = _rare_texts([*PLAIN, "'’", "×÷", "\n\t\x0b\x0c\r", "\x1c\x1f\x7f\x00", "日本٣½\u0301\u0482ǅʰΑ", "🎉"], 6)
+    encoder = bpe.Encoder(vocabulary, None)
+    got = [ids.tolist() for block in blocks(pa.array(texts), 9000) for ids in encoder.block(block)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_two_byte_letters_are_letters(vocabulary, library):
+    letters = [chr(c) for c in [*range(0xC0, 0x240), *range(0x400, 0x480)]]
+    texts = [f"a {'a1' + c + '2b' + c + '.' + c}" for c in letters]
+    encoder = bpe.Encoder(vocabulary, None)
+    got = [ids.tolist() for block in blocks(pa.array(texts)) for ids in encoder.block(block)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert all(bpe.WORDS.findall("a" + c) == ["a" + c] for c in letters if c not in "×÷")
+
+
+def test_word_counts_hold_every_piece(spark, monkeypatch):
+    texts = [*_rare_texts([*PLAIN, "日本", "'"], 7) * 3, ""]
+    monkeypatch.setattr(bpe, "COUNTED", 2000)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, " two  spaces "])], "doc_id long, text string").repartition(3)
+    got = {w: n for w, n in bpe.word_counts(df, bpe.read_vocabulary(PATH)).collect()}
+    want = Counter([" two", " ", " spaces", " "])  # not cut at spaces
+    for t in filter(None, texts):
+        head, *rest = t.split(" ")
+        want.update([head, *(" " + w for w in rest)])
+    assert got == want
+
+
 def test_piece_table_grows():
     rng = np.random.default_rng(0)
     table = bpe.PieceTable()
