@@ -104,8 +104,7 @@ def token_counts(training: DataFrame) -> DataFrame:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 hashes, ending, _ = tokens(block)
-                words, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                parts.append((words, ending[first], n))
+                parts.append(merged([(hashes, ending, np.ones(len(hashes), np.int64))]))
                 if sum(len(p[0]) for p in parts) > 2 * COUNTED:
                     parts = [merged(parts)]
                     if len(parts[0][0]) > COUNTED:
@@ -241,12 +240,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def log_chances(model: Model, counts: Counts, t: Tokens, part: slice) -> tuple[np.ndarray, np.ndarray]:
     """Natural logs of the chances of all classes, and of all members of the token's class; a column for each token."""
-    group = model.classes[0][t.rows[0][part]]
+    group = model.classes[0].take(t.rows[0][part], 0)
+    own = np.empty_like(group)
     for table, rows in zip(model.classes[1:], t.rows[1:], strict=True):
-        group += table[rows[part]]
-    member = counts.member_bias[t.group[part]]
+        group += table.take(rows[part], 0, own, "clip")  # rows are in range; to check them takes a copy
+    member = counts.member_bias.take(t.group[part], 0)
+    own = np.empty_like(member)
     for table, rows in zip(model.members, t.member_rows, strict=True):
-        member += table[rows[part]]
+        member += table.take(rows[part], 0, own, "clip")
     group = np.ascontiguousarray(group.T)
     group += counts.class_bias[:, None]
     return _log_softmax(group), _log_softmax(np.ascontiguousarray(member.T))
@@ -318,6 +319,19 @@ def trained(training: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: flo
     return Model.from_bytes(raw)
 
 
+def rare_words(t: Tokens, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of each text that aren't ``counted``, in order, how often each occurs in its text, and those before each text."""
+    other = np.flatnonzero(~counted)
+    words, text = t.hashes[other], np.repeat(np.arange(len(t.at) - 1), np.diff(t.at))[other]
+    order = np.lexsort((words, text))
+    words, text = words[order], text[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    at = np.searchsorted(text[first], np.arange(len(t.at))).astype(np.int32)
+    return words[first], np.diff(np.append(first, len(words))), at
+
+
 def scored(docs: DataFrame, limit: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each document."""
     own = docs.select("doc_id", "text")
@@ -348,15 +362,8 @@ def scored(docs: DataFrame, limit: int = FREQUENT, rounds: int = ROUNDS) -> Data
                 first = t.at[:-1]
                 shared = np.where(t.slot < OWN, 0.0, count)
                 n = np.diff(t.at)
-                words, times = [], []
-                for i in range(block.n):
-                    span = slice(t.at[i], t.at[i + 1])
-                    other = t.hashes[span][~is_known[span]] if not c.all_known else t.hashes[:0]
-                    w, k = np.unique(other, return_counts=True)
-                    words.append(w.view(np.int64))
-                    times.append(k)
+                words, times, at = rare_words(t, is_known | c.all_known)
                 mine = batch.slice(block.first, block.n)
-                at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         mine.column("doc_id"),
@@ -365,8 +372,8 @@ def scored(docs: DataFrame, limit: int = FREQUENT, rounds: int = ROUNDS) -> Data
                         pa.array(np.add.reduceat(is_known.astype(np.int64), first)),
                         pa.array(np.add.reduceat(count, first) - n * c.floor),
                         pa.array(np.add.reduceat(chance + shared, first)),
-                        pa.ListArray.from_arrays(at, pa.array(np.concatenate(words))),
-                        pa.ListArray.from_arrays(at, pa.array(np.concatenate(times).astype(np.int64))),
+                        pa.ListArray.from_arrays(at, pa.array(words.view(np.int64))),
+                        pa.ListArray.from_arrays(at, pa.array(times)),
                     ],
                     ["doc_id", "row", "n_tokens", "known", "base", "model", "words", "times"],
                 )

@@ -117,6 +117,43 @@ def test_model_is_a_distribution(docs):
     assert counts.mass == pytest.approx(mass + maxent.SMOOTHING)
 
 
+def _small_counts(texts, frequent):
+    """Counts of the most frequent words of texts."""
+    (block,) = blocks(pa.array(texts))
+    hashes, ending, _ = maxent.tokens(block)
+    words, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    top = np.argsort(-n, kind="stable")[:frequent]
+    mass = np.bincount(ending[first], n, maxent.OWN)
+    return block, maxent.Counts(words[top], n[top], int(n.sum()), len(words), mass, False)
+
+
+def test_rare_words_of_a_block(texts):
+    """All texts at once: what a sort for each text gives."""
+    block, counts = _small_counts(["", "Once once twice", None, *list(texts.values())[:40], ""], 50)
+    t = maxent.Tokens(block, counts)
+    words, times, at = maxent.rare_words(t, t.spots >= 0)
+    assert len(at) == block.n + 1 and at[-1] == len(words) > 0
+    for i in range(block.n):
+        span = slice(t.at[i], t.at[i + 1])
+        want, n = np.unique(t.hashes[span][t.spots[span] < 0], return_counts=True)
+        assert words[at[i] : at[i + 1]].tolist() == want.tolist()
+        assert times[at[i] : at[i + 1]].tolist() == n.tolist()
+    assert [len(x) for x in maxent.rare_words(t, np.ones(len(t.spots), bool))[:2]] == [0, 0]
+
+
+def test_chances_are_sums_of_rows(texts):
+    block, counts = _small_counts(list(texts.values())[:40], 5000)
+    t, rng = maxent.Tokens(block, counts), np.random.default_rng(0)
+    model = maxent.Model()
+    for a in model.arrays():
+        a[:] = rng.normal(size=a.shape)
+    assert all(0 <= r.min() and r.max() < len(a) for r, a in zip((*t.rows, *t.member_rows), model.arrays(), strict=True))
+    group, member = maxent.log_chances(model, counts, t, slice(3, 900))
+    for got, tables, rows, bias in ((group, model.classes, t.rows, counts.class_bias), (member, model.members, t.member_rows, counts.member_bias[t.group[3:900]])):
+        x = (bias + sum(a[r[3:900]].astype(float) for a, r in zip(tables, rows, strict=True))).T
+        assert got == pytest.approx(x - np.log(np.exp(x).sum(0)), abs=1e-4)
+
+
 def test_language_model_of_odd_rows(odd, odd_rows, words_of, lowered, nothing):
     got = maxent.scored(odd).collect()
     _check(got, _base([(r[0], r[1]) for r in odd_rows], words_of, lowered))
